@@ -2,12 +2,13 @@
 
 One raw-content zstandard dictionary per language is filled from a bounded
 sample of labelled rows; a text belongs to the language whose dictionary lets
-it shrink most. Whole texts are compressed. The call is rejected if the two
-best sizes lie too close together.
+it shrink most. Whole texts are compressed, in lower case and without ASCII
+signs, digits and line ends, which tell no language apart. The call is rejected
+if the two best sizes lie too close together.
 
 Results in odd cases: a null text, or one without a letter, is ``und`` with
 score 0 and rejected; with no learned language at all every text is; ties go
-to the alphabetically first language; rows keep their number, repeated ids and
+to the language with more training rows, then by name; rows keep their number, repeated ids and
 extra columns do no harm.
 """
 
@@ -22,17 +23,23 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Content of each language's dictionary, in bytes, and the most that one document adds to it.
-DICT_BYTES = 112 << 10
-DOC_BYTES = 4 << 10
+DICT_BYTES = 32 << 10
+DOC_BYTES = 2 << 10
 #: Most labelled rows of a language that are looked at: the bound of the training sample.
 SAMPLE_ROWS = 96
 #: (second best - best) / second best below which a call is rejected.
 MIN_MARGIN = 0.004
-LEVEL = 3
+LEVEL = 5
+SIGNS = bytes(i for i in range(128) if i != 32 and not chr(i).isalpha())
+
+
+def letters(text: str) -> bytes:
+    """What is compressed of a text."""
+    return text.replace("\n", " ").lower().encode().translate(None, SIGNS)
 
 
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionary content by language, from rows (doc_id, text, lang) with text and lang.
+    """Dictionary content by language, the most frequent first, from rows (doc_id, text, lang) with text and lang.
 
     A first aggregation counts each language; then only rows whose hash falls
     under a language's share of ``sample_rows`` are moved, so no language is
@@ -49,10 +56,10 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT
     near = near.select("lang", F.expr(f"substring(text, 1, {DOC_BYTES})").alias("text"), F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")).alias("k"))
     picked: dict[str, list[tuple[int, bytes]]] = {}
     for r in near.where(F.col("k") <= sample_rows).collect():
-        picked.setdefault(r["lang"], []).append((r["k"], r["text"].encode()[:DOC_BYTES]))
+        picked.setdefault(r["lang"], []).append((r["k"], letters(r["text"])[:DOC_BYTES]))
     out = {}
-    for lang, texts in sorted(picked.items()):
-        content = b"\n".join(t for _, t in sorted(texts))[:dict_bytes]
+    for lang, texts in sorted(picked.items(), key=lambda x: (-count[x[0]], x[0])):
+        content = b" ".join(t for _, t in sorted(texts))[:dict_bytes]
         if len(content) >= 8:  # the least that zstandard takes
             out[lang] = content
     return out
@@ -62,12 +69,13 @@ def predict(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MA
     """(doc_id, th, lang_pred, score, rejected) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = sorted(model)
+        langs = list(model)
         coders = []
         for lang in langs:
             data = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(model[lang]), write_content_size=False, write_checksum=False, write_dict_id=False)
+            data.precompute_compress(compression_params=params)
+            coders.append(zstandard.ZstdCompressor(compression_params=params, dict_data=data).compress)
         for batch in batches:
             preds, scores, rejected = [], [], []
             for text in batch.column("text"):
@@ -75,7 +83,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MA
                 if not coders or text is None or not any(map(str.isalpha, text)):
                     preds.append(UNKNOWN), scores.append(0.0), rejected.append(True)
                     continue
-                raw = text.encode()
+                raw = letters(text)
                 sizes = [len(c(raw)) for c in coders]
                 order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
                 best = sizes[order[0]]
