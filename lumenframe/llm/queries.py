@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, language_id, mixing, pii, simhash, token_counts, topk_search
+from lumenframe.llm import decontaminate, language_id, mixing, pii, simhash, suffix_dedup, token_counts, topk_search, word_windows
 
 TOKEN_LIMIT = 2048
 
@@ -32,6 +32,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +45,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op8_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_windows.deduplicate(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_mixing, op5_simhash, op7_pii, op9_language_id, op10_topk_search)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_mixing, op4_suffix_dedup, op5_simhash, op7_pii, op8_word_windows, op9_language_id, op10_topk_search)}
 
 
 #: DuckDB has no byte-pair encoder, XXH64 with a seed, CRF or zstandard: those are tested against brute force.
@@ -70,6 +78,14 @@ SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
+    "op8_word_windows": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT r, s, array_to_string(w[s : s + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+        m AS (SELECT r, s FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+        p AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM m),
+        c AS (SELECT r, list(p) AS ps FROM p GROUP BY r),
+        k AS (SELECT doc_id, w, CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]) END AS kept FROM d LEFT JOIN c USING (r))
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op10_topk_search": """
         WITH x AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
