@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, language_id, mixing, pii, simhash, suffix_dedup, token_counts, topk_search, word_windows
+from lumenframe.llm import context_tree, decontaminate, language_id, mixing, pii, simhash, suffix_dedup, token_counts, topk_search, word_windows
 
 TOKEN_LIMIT = 2048
 
@@ -41,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("th")
 
@@ -58,7 +62,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_mixing, op4_suffix_dedup, op5_simhash, op7_pii, op8_word_windows, op9_language_id, op10_topk_search)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_mixing, op4_suffix_dedup, op5_simhash, op6_context_tree, op7_pii, op8_word_windows, op9_language_id, op10_topk_search)}
 
 
 #: DuckDB has no byte-pair encoder, XXH64 with a seed, CRF or zstandard: those are tested against brute force.
