@@ -71,7 +71,7 @@ def anchored(spark: SparkSession, docs: DataFrame, wins: DataFrame) -> DataFrame
         F.min_by(F.struct("term", "o"), "k").alias("a"),
         F.array_sort(F.collect_list(F.struct("k", "term", "o"))).alias("all"),
     )
-    second = F.expr("filter(all, x -> x.term != a.term)[0]")
+    second = F.expr("get(filter(all, x -> x.term != a.term), 0)")
     return both.where("seen = n").select("wid", "n", F.col("a.term").alias("t1"), F.col("a.o").alias("o1"), second["term"].alias("t2"), second["o"].alias("o2")).join(wins.select("wid", "terms"), "wid")
 
 
