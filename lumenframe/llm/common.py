@@ -53,3 +53,9 @@ def base(docs: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs``, all columns, less (or, with left_semi, only) the rows (doc_id, th) of ``rows``, which are distinct."""
+    side = if_small(rows.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")), 48)
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["__d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == side["__h"]), how)

@@ -65,36 +65,53 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT
     return out
 
 
+class Coders:
+    """One compressor a language."""
+
+    def __init__(self, model: dict[str, bytes]) -> None:
+        self.langs, self.coders = list(model), []
+        for content in model.values():
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(compression_params=params)
+            self.coders.append(zstandard.ZstdCompressor(compression_params=params, dict_data=data).compress)
+
+    def classify(self, text: str | None) -> tuple[str, float]:
+        """(language, margin)."""
+        if not self.coders or text is None or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0
+        raw = letters(text)
+        sizes = [len(c(raw)) for c in self.coders]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        best = sizes[order[0]]
+        second = sizes[order[1]] if len(order) > 1 else max(best, len(raw) + 12)
+        return self.langs[order[0]], (second - best) / second
+
+
 def predict(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """(doc_id, th, lang_pred, score, rejected) of each row of ``docs`` (doc_id, text)."""
+    """(doc_id, lang_pred, score, rejected) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = list(model)
-        coders = []
-        for lang in langs:
-            data = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(model[lang]), write_content_size=False, write_checksum=False, write_dict_id=False)
-            data.precompute_compress(compression_params=params)
-            coders.append(zstandard.ZstdCompressor(compression_params=params, dict_data=data).compress)
+        coders = Coders(model)
+        for batch in batches:
+            found = [coders.classify(text.as_py()) for text in batch.column("text")]
+            margins = [m for _, m in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p for p, _ in found], pa.string()), pa.array(margins, pa.float64()), pa.array([m < min_margin for m in margins], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs``, all columns, whose call is not rejected."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders = Coders(model)
         for batch in batches:
-            preds, scores, rejected = [], [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                if not coders or text is None or not any(map(str.isalpha, text)):
-                    preds.append(UNKNOWN), scores.append(0.0), rejected.append(True)
-                    continue
-                raw = letters(text)
-                sizes = [len(c(raw)) for c in coders]
-                order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-                best = sizes[order[0]]
-                second = sizes[order[1]] if len(order) > 1 else max(best, len(raw) + 12)
-                margin = (second - best) / second
-                preds.append(langs[order[0]]), scores.append(margin), rejected.append(margin < min_margin)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "th", "lang_pred", "score", "rejected"])
-
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, lang_pred string, score double, rejected boolean")
+            yield batch.filter(pa.array([coders.classify(text.as_py())[1] >= min_margin for text in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(folds: int, fold: int) -> F.Column:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumenframe.llm.common import base, stored
 
@@ -38,6 +39,8 @@ BUCKETS = 1 << 18
 MIN_DOCS = 4
 STEPS = 40
 TOLERANCE = 1e-4
+#: Rates below it count as none where a mix is carried out.
+LEAST_RATE = 0.01
 
 
 def features(text: str) -> tuple[np.ndarray, int]:
@@ -102,6 +105,14 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> li
     return [(r["text"], r["domain"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))]
 
 
+def posterior(text: str, weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """(probability of each domain, number of words)."""
+    ids, n = features(text)
+    z = weights[ids].sum(0, dtype=np.float64) + weights[-1]
+    p = np.exp(z - z.max())
+    return p / p.sum(), n
+
+
 def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, th, n_tokens, p array<double>) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -111,10 +122,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             ns, ps = [], []
             for text in batch.column("text"):
-                ids, n = features(text.as_py())
-                z = w[ids].sum(0, dtype=np.float64) + w[-1]
-                p = np.exp(z - z.max())
-                ns.append(n), ps.append(p / p.sum())
+                p, n = posterior(text.as_py(), w)
+                ns.append(n), ps.append(p)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(ns, pa.int64()), pa.array([p.tolist() for p in ps], pa.list_(pa.float64()))], ["doc_id", "th", "n_tokens", "p"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_tokens long, p array<double>")
@@ -184,3 +193,23 @@ def mix(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: d
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "n_tokens", "p")), pa.array(rate)], ["doc_id", "th", "n_tokens", "p", "rate"])
 
     return soft.mapInArrow(run, f"doc_id {soft.schema['doc_id'].dataType.simpleString()}, th long, n_tokens long, p array<double>, rate double")
+
+
+def apply_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, fit_rows: int = FIT_ROWS, least: float = LEAST_RATE) -> DataFrame:
+    """The rows of ``documents``, all columns and ``rate``, less those whose likeliest domain has target 0 and whose rate is under ``least``: the mix leaves them out."""
+    docs = base(documents)
+    weights = fit(labelled(docs, labels, fit_rows))
+    target = np.array([(targets or TARGETS)[d] for d in DOMAINS], float)
+    steps, _ = fitted_steps(stored(spark, posteriors(docs, weights), "mixing-soft"), target / target.sum())
+    sent = spark.sparkContext.broadcast(weights)
+    rows = documents.drop("rate")
+    place = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.array([posterior(text.as_py() or "", sent.value)[0] for text in batch.column(place)]).reshape(-1, len(DOMAINS))
+            rate = replay(p, steps)
+            stays = (rate >= least) | (target[p.argmax(1)] > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"]).filter(pa.array(stays))
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("rate", DoubleType())]))

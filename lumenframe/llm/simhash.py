@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import base, stored
+from lumenframe.llm.common import base, stored, without
 
 SHINGLE = 3
 SEED = 42
@@ -190,11 +190,27 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, th, fp, component_id) of each row of ``docs``."""
+    """(doc_id, th, fp, root, component_id) of each row of ``docs``; root: the component's smallest fingerprint."""
     rows = stored(spark, fingerprints(docs), "simhash-fp")
     fps = stored(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(spark, all_links(spark, fps.select("fp")))
     rooted = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stored(spark, rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return rows.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
+    classes = stored(spark, rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each component: the one with the smallest doc_id (null last), then text hash."""
+    rows = stored(spark, near_duplicates(spark, docs).select("doc_id", "th", "root"), "simhash-rows")
+    best = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).where("n > 1")
+    best = stored(spark, best.select("root", F.col("x.doc_id").alias("b"), F.col("x.th").alias("bh")), "simhash-best")
+    groups = rows.join(best, "root")
+    stays = groups["doc_id"].eqNullSafe(groups["b"]) & (groups["th"] == groups["bh"])
+    gone = groups.where(~stays).select("doc_id", "th").distinct()
+    again = groups.where(stays).groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th")
+    kept = without(docs, gone)
+    if again.isEmpty():
+        return kept
+    # Rows that are repeated as they are: one is left of each.
+    return without(kept, again).unionByName(without(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
