@@ -10,7 +10,8 @@ decides window by window. A key with more than ``hot`` different super-windows
 would make a bucket too large: these windows are counted one by one, by 128-bit
 digests, in aggregations that shrink before they shuffle.
 
-Nothing is dropped at any step: a key that occurs once cannot repeat.
+Nothing is dropped at any step: a key that occurs once cannot repeat. Joins are
+shuffled ones at every size; texts are compressed before they are.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import BROADCAST_BYTES, if_small, stored
+from lumenframe.llm.common import stored
 
 #: Units held at once; positions in such a block take LOW bits beside the hash.
 BLOCK, LOW = 1 << 20, np.uint64(20)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: Different super-windows of one key beyond which its windows are counted one by one.
 HOT = 300
+#: n and offset of a super-window are smaller than this.
+FIELD = 1 << 10
 
 Sequence = Callable[[str], np.ndarray]
 
@@ -125,7 +129,9 @@ def blocks(batches: Iterator[pa.RecordBatch], sequence: Sequence, width: int) ->
 
 
 def occurrences(docs: DataFrame, sequence: Sequence, width: int, core: int) -> DataFrame:
-    """(doc_id, th, key, whole, pos, n, offset) of every super-window."""
+    """(doc_id, th, key, whole, place) of every super-window; see :func:`placed`."""
+    if width - core >= FIELD:
+        raise ValueError("a minimiser's window is too wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
@@ -141,9 +147,34 @@ def occurrences(docs: DataFrame, sequence: Sequence, width: int, core: int) -> D
             piece, key, whole, start, n, offset = super_windows(np.concatenate(units), bounds, width, core)
             ids, ths = pa.array([h[0] for h in held], kind), pa.array([h[1] for h in held], pa.int64())
             pos = start - bounds[piece] + np.array([h[2] for h in held])[piece]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(piece)), ths.take(pa.array(piece)), pa.array(key), pa.array(whole), pa.array(pos, pa.int64()), pa.array(n.astype(np.int32)), pa.array(offset.astype(np.int32))], ["doc_id", "th", "key", "whole", "pos", "n", "offset"])
+            place = (pos * FIELD + n) * FIELD + offset
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(piece)), ths.take(pa.array(piece)), pa.array(key), pa.array(whole), pa.array(place)], ["doc_id", "th", "key", "whole", "place"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key long, whole long, pos long, n int, offset int")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key long, whole long, place long")
+
+
+def placed() -> list[F.Column]:
+    """pos, n and offset of a super-window, which travel as one number."""
+    place = F.col("place")
+    return [F.floor(place / FIELD / FIELD).cast("long").alias("pos"), F.pmod(F.floor(place / FIELD), F.lit(FIELD)).cast("int").alias("n"), F.pmod(place, F.lit(FIELD)).cast("int").alias("offset")]
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, th, text) with their texts as zstandard frames ``z``, for a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_dict_id=False).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([pack(t.as_py().encode()) for t in batch.column("text")], pa.binary())], ["doc_id", "th", "z"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, z binary")
+
+
+def texts(batch: pa.RecordBatch) -> Iterator[str]:
+    """The texts of a batch of compressed documents."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for z in batch.column("z"):
+        yield unpack(z.as_py()).decode()
 
 
 def same_doc(a: DataFrame, b: DataFrame) -> F.Column:
@@ -151,20 +182,19 @@ def same_doc(a: DataFrame, b: DataFrame) -> F.Column:
 
 
 def packed(docs: DataFrame, reps: DataFrame, pack: Callable[[str], Callable[[int, int], bytes]], width: int) -> DataFrame:
-    """(key, whole, count, n, offset, doc_id, th, pos, units) of the super-windows ``reps``, cut from their documents."""
-    wanted = reps.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("key", "whole", "count", "pos", "n", "offset")).alias("wanted"))
-    rows = reps.count()
-    wanted = F.broadcast(wanted) if rows * 64 <= BROADCAST_BYTES else wanted
-    both = docs.join(wanted, same_doc(docs, wanted)).select("doc_id", "th", "text", "wanted")
+    """(key, whole, count, kinds, pos, n, offset, doc_id, th, units) of the super-windows ``reps``, cut from their documents."""
+    wanted = reps.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("key", "whole", "count", "kinds", "pos", "n", "offset")).alias("wanted"))
+    sent = compressed(docs)
+    both = sent.join(wanted, same_doc(sent, wanted)).select("doc_id", "th", "z", "wanted")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "whole", "count", "pos", "n", "offset")
+        names = ("key", "whole", "count", "kinds", "pos", "n", "offset")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in (*names, "doc_id", "th", "units")}
             size = 0
-            for doc_id, th, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
-                cut = pack(text.as_py())
+            for doc_id, th, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts(batch), batch.column("wanted"), strict=True):
+                cut = pack(text)
                 for w in wanted.as_py():
                     for k in names:
                         out[k].append(w[k])
@@ -176,10 +206,10 @@ def packed(docs: DataFrame, reps: DataFrame, pack: Callable[[str], Callable[[int
             yield record(out, batch)
 
     def record(out: dict[str, list], batch: pa.RecordBatch) -> pa.RecordBatch:
-        types = {"key": pa.int64(), "whole": pa.int64(), "count": pa.int64(), "pos": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "th": pa.int64(), "units": pa.binary(), "doc_id": batch.schema.field("doc_id").type}
+        types = {"key": pa.int64(), "whole": pa.int64(), "count": pa.int64(), "kinds": pa.int64(), "pos": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "th": pa.int64(), "units": pa.binary(), "doc_id": batch.schema.field("doc_id").type}
         return pa.RecordBatch.from_arrays([pa.array(out[k], types[k]) for k in out], list(out))
 
-    return both.mapInArrow(run, f"key long, whole long, count long, pos long, n int, offset int, doc_id {kind}, th long, units binary")
+    return both.mapInArrow(run, f"key long, whole long, count long, kinds long, pos long, n int, offset int, doc_id {kind}, th long, units binary")
 
 
 #: From a batch of whole keys (key, count, n, offset, units) to a mask over their windows, in order: whether each is repeated.
@@ -251,21 +281,26 @@ def one_by_one(spark: SparkSession, rows: DataFrame, sequence_of: Callable[[byte
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, sequence: Sequence, pack: Callable[[str], Callable[[int, int], bytes]], sequence_of: Callable[[bytes], np.ndarray], kernel: Kernel, width: int, core: int, batch_bytes: int, hot: int = HOT) -> DataFrame:
-    """(d, h, runs array<struct<pos, n>>): runs of windows that occur elsewhere, one row for each document that has any. ``docs``: doc_id, text, th."""
+    """(doc_id, th, z, runs array<struct<pos, n>>) of each row of ``docs`` (doc_id, text, th): its compressed text, and its runs of windows that occur elsewhere (null: none)."""
+    # Half of the text's hash tells rows of one id apart, and halves what travels.
+    docs = docs.withColumn("th", F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)))
     all_rows = stored(spark, occurrences(docs, sequence, width, core), "repeats-windows")
     keys = stored(spark, all_rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeats-keys")
-    rows = all_rows.join(if_small(keys, 32), "key", "left_semi")
-    wholes = stored(spark, rows.groupBy("key", "whole").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "th", "pos", "n", "offset")).alias("x")).select("key", "whole", "count", "x.*"), "repeats-wholes")
+    rows = stored(spark, all_rows.join(keys, "key", "left_semi"), "repeats-rows")
+    wholes = stored(spark, rows.groupBy("key", "whole").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "th", "place")).alias("x")).select("key", "whole", "count", "x.*"), "repeats-wholes")
     several = stored(spark, wholes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-several")
-    small = several.where(F.col("kinds") <= hot).select("key")
-    large = several.where(F.col("kinds") > hot).select("key")
-    found = in_buckets(packed(docs, wholes.join(if_small(small, 32), "key", "left_semi"), pack, width), kernel, batch_bytes)
+    reps = wholes.join(several, "key").select("key", "whole", "count", "doc_id", "th", "kinds", *placed())
+    strings = stored(spark, packed(docs, reps, pack, width), "repeats-strings")
+    found = in_buckets(strings.where(F.col("kinds") <= hot), kernel, batch_bytes)
+    large = strings.where(F.col("kinds") > hot)
     if not large.isEmpty():
-        found = found.unionByName(one_by_one(spark, packed(docs, wholes.join(if_small(large, 32), "key", "left_semi"), pack, width), sequence_of, width))
+        found = found.unionByName(one_by_one(spark, large, sequence_of, width))
     twice = wholes.where(F.col("count") > 1).select("key", "whole")
-    as_wholes = rows.join(twice, ["key", "whole"], "left_semi").select("doc_id", "th", "pos", F.col("n").cast("long").alias("n"))
+    as_wholes = rows.join(twice, ["key", "whole"], "left_semi").select("doc_id", "th", *placed()).select("doc_id", "th", "pos", F.col("n").cast("long").alias("n"))
     found = as_wholes.unionByName(found)
-    return stored(spark, found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("pos", "n")).alias("runs")), "repeats-runs")
+    runs = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    sent = compressed(docs)
+    return sent.join(runs, same_doc(sent, runs), "left").select("doc_id", "th", "z", "runs")
 
 
 def covered(runs: list[dict], width: int, length: int) -> list[tuple[int, int]]:
@@ -277,10 +312,3 @@ def covered(runs: list[dict], width: int, length: int) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     return [(a, min(b, length)) for a, b in out]
-
-
-def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``docs`` with their runs (null: none)."""
-    size = runs.agg(F.sum(F.size("runs") * 16 + 48)).first()[0] or 0
-    side = F.broadcast(runs) if size <= BROADCAST_BYTES else runs
-    return docs.join(side, same_doc(docs, side), "left").select("doc_id", "th", "text", "runs")

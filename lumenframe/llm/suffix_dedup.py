@@ -2,12 +2,12 @@
 
 A bucket (see :mod:`repeats`) holds the different super-windows of its keys. All
 windows of a key share the minimiser's core, so one symbol of the key's own
-stands for it: a window of 400 bytes becomes 145 symbols. The bucket's strings,
+stands for it: a window of 400 bytes becomes 201 symbols. The bucket's strings,
 each ended by a symbol of its own, get a suffix array and from it their
 transform. Intervals of suffixes with a common prefix are then extended
 backward, breadth first: each level of the search yields the positions where
 neighbouring suffixes share exactly that many symbols, by increasing number.
-The search stops at 145, the minimum length: positions that are still open
+The search stops at 201, the minimum length: positions that are still open
 share at least as much, and suffixes without a settled position between them
 are equal windows.
 
@@ -30,7 +30,7 @@ from lumenframe.llm.common import base
 
 WIDTH = 400
 #: Bytes in a minimiser.
-CORE = 256
+CORE = 200
 BATCH_BYTES = 4 << 20
 
 
@@ -125,13 +125,13 @@ def kernel(width: int = WIDTH, core: int = CORE) -> repeats.Kernel:
 def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = repeats.HOT) -> DataFrame:
     """(doc_id, th, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row: ``kept`` is the remaining bytes."""
     docs = base(documents)
-    runs = repeats.repeated_runs(spark, docs, sequence, pack, byte_units, kernel(width, core), width, core, BATCH_BYTES, hot)
+    rows = repeats.repeated_runs(spark, docs, sequence, pack, byte_units, kernel(width, core), width, core, BATCH_BYTES, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, n_spans, shas, kept = [], [], [], [], []
-            for text, found in zip(batch.column("text"), batch.column("runs"), strict=True):
-                raw = text.as_py().encode()
+            for text, found in zip(repeats.texts(batch), batch.column("runs"), strict=True):
+                raw = text.encode()
                 spans = repeats.covered(found.as_py() or [], width, len(raw))
                 end, parts = 0, []
                 for a, b in spans:
@@ -142,5 +142,4 @@ def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, c
                 shas.append(hashlib.sha256(rest).hexdigest()), kept.append(rest)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(x, pa.int64()) for x in (total, removed, n_spans)), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = repeats.with_runs(docs, runs)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -25,7 +25,7 @@ from lumenframe.llm.common import base
 
 WIDTH = 35
 #: Words in a minimiser.
-CORE = 14
+CORE = 7
 BATCH_BYTES = 8 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -80,13 +80,13 @@ def kernel(width: int = WIDTH) -> repeats.Kernel:
 def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = repeats.HOT) -> DataFrame:
     """(doc_id, th, n_words, n_removed, kept_sha256, kept) of each row: ``kept`` is the remaining text."""
     docs = base(documents)
-    runs = repeats.repeated_runs(spark, docs, sequence, pack, word_hashes, kernel(width), width, core, BATCH_BYTES, hot)
+    rows = repeats.repeated_runs(spark, docs, sequence, pack, word_hashes, kernel(width), width, core, BATCH_BYTES, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, shas, kept = [], [], [], []
-            for text, found in zip(batch.column("text"), batch.column("runs"), strict=True):
-                words = text.as_py().encode().split()
+            for text, found in zip(repeats.texts(batch), batch.column("runs"), strict=True):
+                words = text.encode().split()
                 spans = repeats.covered(found.as_py() or [], width, len(words))
                 total.append(len(words)), removed.append(sum(b - a for a, b in spans))
                 end, left = 0, []
@@ -97,5 +97,4 @@ def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, c
                 shas.append(hashlib.sha256(rest).hexdigest()), kept.append(rest.decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], ["doc_id", "th", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    rows = repeats.with_runs(docs, runs)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_words long, n_removed long, kept_sha256 string, kept string")
