@@ -1,15 +1,639 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine and, where SQL can express one, its SQL.
+
+A query applies one operator to whole tables. Doubles are rounded to six
+decimals on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.functions import geometry as G
+from lumenframe.functions import text as T
+from lumenframe.operators import diff, lineage, matching, metrics, planning, raster, selection, stats, summary, tiling
+from lumenframe.plans.fixtures import chained, table
+from lumenframe.sources import labels as label_files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+BOX = ("x1", "y1", "x2", "y2")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def classes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, "ripe", 12.0), (1, "raw", 10.0), (2, "leaf", 8.0), (3, "stem", 6.0), (4, "damaged", 15.0)], "class_id int, name string, radius double")
+
+
+def tables(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in names]
+
+
+def boxes(df: DataFrame) -> DataFrame:
+    return df.select("image_id", "ann_idx", "class_id", *BOX)
+
+
+PER_IMAGE = """per AS (SELECT s.image_id, s.split, s.group_key, s.width, count(a.image_id) AS n FROM samples s LEFT JOIN annotations a ON a.image_id = s.image_id GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {PER_IMAGE} SELECT coalesce(split, 'all') AS split, count(*) AS images, count(*) FILTER (n > 0) AS annotated, count(*) FILTER (n = 0) AS empty,
+  CAST(sum(n) AS BIGINT) AS annotations, min(width) AS min_width, max(width) AS max_width FROM per GROUP BY GROUPING SETS ((split), ())""")
+def dataset_summary(spark, d):
+    return summary.dataset_summary(*tables(spark, d, "samples", "annotations"))
+
+
+@query("""SELECT c AS class_id, count(image_id) AS annotations, count(DISTINCT image_id) AS images, round(count(image_id) * 1.0E0 / (SELECT count(*) FROM annotations), 6) AS fraction
+FROM (VALUES (0), (1), (2), (3), (4)) AS t(c) LEFT JOIN annotations ON class_id = c GROUP BY c""")
+def class_summary(spark, d):
+    return summary.class_summary(classes(spark).select("class_id"), table(spark, d, "annotations"))
+
+
+@query(f"WITH {PER_IMAGE} SELECT split, count(*) AS total, count(*) FILTER (n > 0) AS labelled, count(*) FILTER (n = 0) AS background FROM per GROUP BY split")
+def split_image_summary(spark, d):
+    return summary.split_image_summary(*tables(spark, d, "samples", "annotations"))
+
+
+@query("SELECT image_id, split FROM samples s WHERE split IN ('train', 'val') AND EXISTS (SELECT 1 FROM annotations a WHERE a.image_id = s.image_id)")
+def filter_annotated(spark, d):
+    s, a = tables(spark, d, "samples", "annotations")
+    return selection.filter_samples(s, a, gt_annotated=True, splits=["train", "val"]).select("image_id", "split")
+
+
+@query("""SELECT image_id, split FROM samples s WHERE EXISTS (SELECT 1 FROM annotations a WHERE a.image_id = s.image_id)
+AND NOT EXISTS (SELECT 1 FROM predictions p WHERE p.image_id = s.image_id AND p.model = 'model_a' AND p.score >= 0.5)""")
+def filter_gt_pred_presence(spark, d):
+    s, a, p = tables(spark, d, "samples", "annotations", "predictions")
+    seen = selection.confident(p.where("model = 'model_a'"), 0.5)
+    return selection.filter_samples(s, a, True, seen, False).select("image_id", "split")
+
+
+@query("""SELECT relative_path, split FROM (SELECT relative_path, split, row_number() OVER (PARTITION BY relative_path ORDER BY side) AS k FROM (
+  SELECT relative_path, split, 0 AS side FROM samples WHERE split <> 'test' UNION ALL SELECT relative_path, split, 1 FROM samples_after) t) u WHERE k = 1""")
+def ordered_union_distinct(spark, d):
+    left = table(spark, d, "samples").where("split <> 'test'").select("relative_path", "split", F.col("image_id").alias("ord"))
+    right = table(spark, d, "samples_after").select("relative_path", "split", F.col("image_id").alias("ord"))
+    return selection.add(left, right).select("relative_path", "split")
+
+
+@query("""SELECT image_id, ann_idx, CAST(CASE class_id WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 END AS INT) AS class_id, x1, y1, x2, y2 FROM annotations WHERE class_id IN (0, 2, 4)""")
+def remove_classes_compact(spark, d):
+    return boxes(selection.remove_classes(*tables(spark, d, "samples", "annotations"), 5, [1, 3])[1])
+
+
+@query("""SELECT image_id, ann_idx, CAST(CASE class_id WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 1 WHEN 4 THEN 1 WHEN 3 THEN 2 END AS INT) AS class_id, x1, y1, x2, y2 FROM annotations
+WHERE image_id IN (SELECT image_id FROM samples WHERE split = 'train')""")
+def remove_classes_merge(spark, d):
+    return boxes(selection.remove_classes(*tables(spark, d, "samples", "annotations"), 5, [1, 4], merge_into=2, splits=["train"])[1])
+
+
+@query("""SELECT image_id, split FROM samples WHERE image_id NOT IN (SELECT image_id FROM annotations WHERE class_id = 4) AND image_id IN (SELECT image_id FROM annotations)""")
+def drop_containing_images(spark, d):
+    return selection.remove_classes(*tables(spark, d, "samples", "annotations"), 5, [4], drop_empty=True, drop_containing=True)[0].select("image_id", "split")
+
+
+@query("""SELECT CAST(class_id AS INT) AS class_id, CASE name WHEN 'raw' THEN 'unripe' ELSE name END AS name, count(image_id) AS annotations
+FROM (VALUES (0, 'ripe'), (1, 'raw'), (2, 'leaf'), (3, 'stem'), (4, 'damaged')) AS c(class_id, name) LEFT JOIN annotations USING (class_id) GROUP BY 1, 2""")
+def rename_classes(spark, d):
+    named = selection.rename_classes(classes(spark), {"raw": "unripe"})
+    counts = table(spark, d, "annotations").groupBy("class_id").agg(F.count("*").alias("annotations"))
+    return named.join(counts, "class_id", "left").select("class_id", "name", F.coalesce("annotations", F.lit(0)).alias("annotations"))
+
+
+@query("""SELECT image_id, CASE WHEN split = 'train' AND group_key IN (SELECT group_key FROM samples s JOIN annotations a ON a.image_id = s.image_id WHERE s.split = 'train' AND a.class_id = 3 AND a.x1 < 1000)
+  THEN 'test' ELSE split END AS split FROM samples""")
+def move_images_with_classes(spark, d):
+    s, a = tables(spark, d, "samples", "annotations")
+    return selection.move_images_with_classes(s, a, [3], "test", ["train"]).select("image_id", "split")
+
+
+@query("""SELECT group_key, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*) AS images FROM samples GROUP BY group_key HAVING count(DISTINCT split) > 1""")
+def split_group_audit(spark, d):
+    return summary.group_isolation(table(spark, d, "samples"))
+
+
+@query("""SELECT split, CAST(sum(n) AS BIGINT) AS images, count(*) AS groups, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median
+FROM (SELECT split, group_key, count(*) AS n FROM samples GROUP BY 1, 2) t GROUP BY split""")
+def group_size_distribution(spark, d):
+    return summary.group_sizes(table(spark, d, "samples"))
+
+
+@query("SELECT split, size, count(*) AS groups FROM (SELECT split, group_key, count(*) AS size FROM samples GROUP BY 1, 2) t GROUP BY 1, 2")
+def group_size_histogram(spark, d):
+    return summary.group_size_histogram(table(spark, d, "samples"))
+
+
+@query("""SELECT group_key, string_agg(split, ',' ORDER BY r) AS splits FROM (SELECT DISTINCT group_key, split, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS r FROM samples) t GROUP BY group_key""")
+def group_split_membership(spark, d):
+    return summary.group_membership(table(spark, d, "samples"))
+
+
+DIFF = """diffed AS (SELECT coalesce(b.relative_path, a.relative_path) AS key, CAST(coalesce(b.occurrence, a.occurrence) AS INT) AS occurrence, b.split AS before_split, a.split AS after_split,
+  CASE WHEN a.split IS NULL THEN 'removed' WHEN b.split IS NULL THEN 'added' WHEN a.edited <> 0 THEN 'modified' WHEN a.split <> b.split THEN 'moved' ELSE 'unchanged' END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY relative_path, split) - 1 AS occurrence FROM samples) b
+FULL OUTER JOIN (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY relative_path, split) - 1 AS occurrence FROM samples_after) a ON a.relative_path = b.relative_path AND a.occurrence = b.occurrence)"""
+
+
+def _diff(spark, d):
+    s, a = tables(spark, d, "samples", "samples_after")
+    return diff.images(s.withColumn("edited", F.lit(0)), a)
+
+
+@query(f"WITH {DIFF} SELECT * FROM diffed")
+def dataset_diff_images(spark, d):
+    return _diff(spark, d)
+
+
+@query(f"WITH {DIFF} SELECT status, count(*) AS images FROM diffed GROUP BY status")
+def dataset_diff_overview(spark, d):
+    return diff.overview(_diff(spark, d))
+
+
+@query("""SELECT split, CAST(sum(b) AS BIGINT) AS before_images, CAST(sum(a) AS BIGINT) AS after_images, CAST(sum(a) - sum(b) AS BIGINT) AS delta
+FROM (SELECT split, 1 AS b, 0 AS a FROM samples UNION ALL SELECT split, 0, 1 FROM samples_after) t GROUP BY split""")
+def dataset_diff_splits(spark, d):
+    return diff.splits(*tables(spark, d, "samples", "samples_after"))
+
+
+@query("""SELECT class_id, CAST(sum(b) AS BIGINT) AS before_annotations, CAST(sum(a) AS BIGINT) AS after_annotations, CAST(sum(a) - sum(b) AS BIGINT) AS delta
+FROM (SELECT class_id, 1 AS b, 0 AS a FROM annotations UNION ALL SELECT class_id, 0, 1 FROM annotations WHERE image_id IN (SELECT image_id FROM samples_after)) t GROUP BY class_id""")
+def dataset_diff_classes(spark, d):
+    a, after = tables(spark, d, "annotations", "samples_after")
+    return diff.classes(a, a.join(after, "image_id", "left_semi"))
+
+
+@query("""SELECT sha256(text) AS sha, count(*) AS copies, count(DISTINCT source) AS splits, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+def duplicate_content(spark, d):
+    return summary.duplicate_content(table(spark, d, "documents"), "text", "source", "doc_id")
+
+
+@query("""SELECT DISTINCT concat('labels/', CAST(image_id AS VARCHAR), '.txt') AS path FROM label_lines WHERE image_id NOT IN (SELECT image_id FROM samples_after)""")
+def orphan_anti_join(spark, d):
+    path = lambda c: F.concat(F.lit("labels/"), F.col(c).cast("string"), F.lit(".txt")).alias("path")
+    lines, after = tables(spark, d, "label_lines", "samples_after")
+    return selection.orphan_labels(lines.select(path("image_id")).distinct(), after.select(path("image_id")))
+
+
+@query("""SELECT m.model, count(DISTINCT s.group_key) AS leaked FROM samples s CROSS JOIN (VALUES ('model_a', 5), ('model_b', 7)) AS m(model, k)
+WHERE s.split = 'val' AND s.group_key IN (SELECT group_key FROM samples t WHERE t.split = 'train' AND t.image_id % m.k = 0) GROUP BY m.model""")
+def leakage_semi_join(spark, d):
+    s = table(spark, d, "samples")
+    models = spark.createDataFrame([("model_a", 5), ("model_b", 7)], "model string, k int")
+    rows = s.join(F.broadcast(models))  # two rows
+    train = rows.where("split = 'train' and image_id % k = 0").select("model", F.col("group_key").alias("original_id"))
+    return selection.leakage(train, rows.where("split = 'val'").select("model", F.col("group_key").alias("original_id")))
+
+
+@query("""WITH checked AS (SELECT s.image_id, a.ann_idx, a.class_id >= 4 AS c, a.x2 - a.x1 > 90 AS w, a.y2 > s.height * 0.75 AS y, a.x1 >= a.x2 OR a.y1 >= a.y2 AS o FROM annotations a JOIN samples s ON s.image_id = a.image_id)
+SELECT image_id, ann_idx, 'class' AS category FROM checked WHERE c UNION ALL SELECT image_id, ann_idx, 'order' FROM checked WHERE o
+UNION ALL SELECT image_id, ann_idx, 'wide' FROM checked WHERE w UNION ALL SELECT image_id, ann_idx, 'bounds' FROM checked WHERE y""")
+def validate_annotations(spark, d):
+    a, s = tables(spark, d, "annotations", "samples")
+    rows = a.join(s.select("image_id", "width", "height"), "image_id")
+    rules = {"class": F.col("class_id") >= 4, "order": (F.col("x1") >= F.col("x2")) | (F.col("y1") >= F.col("y2")), "wide": F.col("x2") - F.col("x1") > 90, "bounds": F.col("y2") > F.col("height") * 0.75}
+    return label_files.issues(rows, rules, ["image_id", "ann_idx"])
+
+
+@query("""SELECT image_id, line_no, CASE WHEN ok THEN CAST(CAST(p[1] AS DOUBLE) AS INT) ELSE -1 END AS class_id, CASE WHEN ok THEN CAST(p[2] AS DOUBLE) END AS cx, CASE WHEN ok THEN CAST(p[3] AS DOUBLE) END AS cy,
+  CASE WHEN ok THEN CAST(p[4] AS DOUBLE) END AS w, CASE WHEN ok THEN CAST(p[5] AS DOUBLE) END AS h,
+  CASE WHEN len(p) <> 5 THEN 'column count' WHEN CAST(p[1] AS DOUBLE) <> floor(CAST(p[1] AS DOUBLE)) THEN 'class not integral' END AS problem
+FROM (SELECT *, len(p) = 5 AND CAST(p[1] AS DOUBLE) = floor(CAST(p[1] AS DOUBLE)) AS ok FROM (SELECT image_id, line_no, string_split(line, ' ') AS p FROM label_lines) t) u""")
+def parse_yolo_labels(spark, d):
+    return label_files.parse_detect(table(spark, d, "label_lines")).select("image_id", "line_no", F.coalesce("class_id", F.lit(-1)).alias("class_id"), "cx", "cy", "w", "h", "problem")
+
+
+@query("""SELECT image_id, ann_idx, CAST(dense_rank() OVER (ORDER BY class_id * 10 + 7) - 1 AS INT) AS class_id FROM annotations""")
+def coco_category_compaction(spark, d):
+    from lumenframe.sources import coco
+
+    a = table(spark, d, "annotations").withColumn("category_id", F.col("class_id") * 10 + 7)
+    compact = coco.compact_categories(a.select(F.col("category_id").alias("id")).distinct())
+    return a.drop("class_id").join(F.broadcast(compact), a["category_id"] == compact["id"]).select("image_id", "ann_idx", "class_id")  # categories are few
+
+
+IOU = """greatest(0.0E0, least(a.x2,p.x2)-greatest(a.x1,p.x1)) * greatest(0.0E0, least(a.y2,p.y2)-greatest(a.y1,p.y1))"""
+
+
+@query(f"""SELECT model, image_id, ann_idx, pred_idx, round(i / (ga + pa - i), 6) AS iou FROM (
+  SELECT p.model, p.image_id, a.ann_idx, p.pred_idx, {IOU} AS i, (a.x2-a.x1)*(a.y2-a.y1) AS ga, (p.x2-p.x1)*(p.y2-p.y1) AS pa
+  FROM predictions p JOIN annotations a ON a.image_id = p.image_id AND a.class_id = p.class_id) t WHERE i * 2 >= ga + pa - i""")
+def box_iou_candidates(spark, d):
+    return metrics.candidates(*tables(spark, d, "annotations", "predictions")).select("model", "image_id", "ann_idx", "pred_idx", F.round("iou", 6).alias("iou"))
+
+
+PR = """curve AS (SELECT f.model, f.class_id, f.score, f.k, f.ctp, f.ctp * 1.0E0 / g.n AS recall, f.ctp * 1.0E0 / f.k AS precision FROM (
+  SELECT model, class_id, score, row_number() OVER w AS k, CAST(sum(tp) OVER w AS BIGINT) AS ctp FROM match_flags
+  WINDOW w AS (PARTITION BY model, class_id ORDER BY score DESC, image_id, pred_idx ROWS UNBOUNDED PRECEDING)) f JOIN (SELECT class_id, count(*) AS n FROM annotations GROUP BY 1) g ON g.class_id = f.class_id)"""
+
+
+@query(f"WITH {PR} SELECT model, class_id, CAST(k AS INT) AS k, score, ctp, round(recall, 6) AS recall, round(precision, 6) AS precision FROM curve")
+def pr_curve(spark, d):
+    c = metrics.pr_curve(*tables(spark, d, "match_flags", "annotations"))
+    return c.select("model", "class_id", "k", "score", "ctp", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+AP = f"""{PR}, lv AS (SELECT c.model, c.class_id, i, max(c.precision) AS p FROM curve c JOIN (SELECT unnest(range(0, 101)) AS i) l ON c.recall >= l.i * 0.01E0 GROUP BY 1, 2, 3),
+  ap AS (SELECT model, class_id, round(sum(p) / 101, 6) AS ap FROM lv GROUP BY 1, 2)"""
+
+
+@query(f"WITH {AP} SELECT model, class_id, ap FROM ap")
+def average_precision(spark, d):
+    return metrics.average_precision(*tables(spark, d, "match_flags", "annotations"))
+
+
+@query(f"WITH {AP} SELECT model, round(avg(ap), 6) AS map FROM ap GROUP BY model")
+def mean_average_precision(spark, d):
+    return metrics.mean_ap(metrics.average_precision(*tables(spark, d, "match_flags", "annotations")))
+
+
+PRF = """img AS (SELECT m.model, s.image_id, s.group_key, coalesce(f.tp, 0) AS tp, coalesce(f.n, 0) - coalesce(f.tp, 0) AS fp, coalesce(a.n, 0) - coalesce(f.tp, 0) AS fn
+  FROM samples s CROSS JOIN (SELECT DISTINCT model FROM match_flags) m LEFT JOIN (SELECT model, image_id, sum(tp) AS tp, count(*) AS n FROM match_flags GROUP BY 1, 2) f ON f.model = m.model AND f.image_id = s.image_id
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM annotations GROUP BY 1) a ON a.image_id = s.image_id),
+ grp AS (SELECT model, group_key, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM img GROUP BY 1, 2),
+ clu AS (SELECT model, avg(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2.0E0*tp/(2*tp+fp+fn) END) AS c FROM grp GROUP BY 1)"""
+
+
+def _images(spark, d):
+    return metrics.per_image(*tables(spark, d, "samples", "annotations", "match_flags"))
+
+
+@query(f"""WITH {PRF} SELECT i.model, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(sum(tp) * 1.0E0 / (sum(tp) + sum(fp)), 6) AS precision, round(sum(tp) * 1.0E0 / (sum(tp) + sum(fn)), 6) AS recall,
+  round(2.0E0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1, round(avg(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2.0E0*tp/(2*tp+fp+fn) END), 6) AS macro_f1, round(max(c), 6) AS cluster_macro_f1
+FROM img i JOIN clu ON clu.model = i.model GROUP BY i.model""")
+def detection_summary(spark, d):
+    return metrics.detection_summary(_images(spark, d))
+
+
+@query("""SELECT f.model, f.class_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(count(*) - sum(tp) AS BIGINT) AS fp, max(g.n) AS support, round(sum(tp) * 1.0E0 / count(*), 6) AS precision, round(sum(tp) * 1.0E0 / max(g.n), 6) AS recall
+FROM match_flags f JOIN (SELECT class_id, count(*) AS n FROM annotations GROUP BY 1) g ON g.class_id = f.class_id GROUP BY 1, 2""")
+def class_scores(spark, d):
+    a, f = tables(spark, d, "annotations", "match_flags")
+    return metrics.class_scores(a, f)
+
+
+@query("""SELECT model, round(avg(abs(n_pred - n_ref)), 6) AS mae, round(sqrt(avg((n_pred - n_ref) * (n_pred - n_ref) * 1.0E0)), 6) AS rmse, round(avg(n_pred - n_ref), 6) AS bias,
+  round(avg(CASE WHEN n_ref > 0 THEN abs(n_pred - n_ref) * 1.0E0 / n_ref END), 6) AS relative_error, round(avg(CASE WHEN greatest(n_ref, n_pred) = 0 THEN 1.0E0 ELSE least(n_ref, n_pred) * 1.0E0 / greatest(n_ref, n_pred) END), 6) AS agreement FROM cases GROUP BY model""")
+def count_metrics(spark, d):
+    return metrics.count_metrics(table(spark, d, "cases"))
+
+
+@query("""SELECT model, count(*) FILTER (n_ref > 0) AS positives, count(*) FILTER (n_ref = 0) AS empties, round(2.0E0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_dice, round(sum(tp) * 1.0E0 / (sum(tp) + sum(fp) + sum(fn)), 6) AS micro_iou,
+  round(sum(tp) * 1.0E0 / (sum(tp) + sum(fp)), 6) AS precision, round(sum(tp) * 1.0E0 / (sum(tp) + sum(fn)), 6) AS recall,
+  round(2.0E0 * sum(tp) FILTER (n_ref > 0) / (2 * sum(tp) FILTER (n_ref > 0) + sum(fp) FILTER (n_ref > 0) + sum(fn) FILTER (n_ref > 0)), 6) AS positive_dice,
+  round(count(*) FILTER (n_ref > 0 AND n_pred > 0) * 1.0E0 / count(*) FILTER (n_ref > 0), 6) AS positive_image_recall, round(count(*) FILTER (n_ref = 0 AND n_pred = 0) * 1.0E0 / count(*) FILTER (n_ref = 0), 6) AS empty_image_specificity,
+  round(count(*) FILTER (n_ref = 0 AND n_pred > 0) * 1.0E0 / count(*) FILTER (n_ref = 0), 6) AS empty_image_fpr, round(count(*) FILTER (n_ref > 0 AND n_pred > 0) * 1.0E0 / count(*) FILTER (n_pred > 0), 6) AS presence_precision FROM cases GROUP BY model""")
+def binary_breakdown(spark, d):
+    return metrics.binary_breakdown(table(spark, d, "cases"))
+
+
+@query("SELECT model, case_id, CASE WHEN 2*tp+fp+fn > 0 THEN round(2.0E0*tp/(2*tp+fp+fn), 6) END AS dice, CASE WHEN tp+fp+fn > 0 THEN round(tp*1.0E0/(tp+fp+fn), 6) END AS iou FROM cases")
+def case_dice(spark, d):
+    return metrics.case_dice(table(spark, d, "cases")).select("model", "case_id", F.round("dice", 6).alias("dice"), F.round("iou", 6).alias("iou"))
+
+
+@query("""WITH seen AS (SELECT DISTINCT model, case_id FROM components WHERE area >= 40), j AS (SELECT c.model, n_ref > 0 AS pos, s.case_id IS NOT NULL AS hit FROM cases c LEFT JOIN seen s ON s.model = c.model AND s.case_id = c.case_id)
+SELECT model, count(*) FILTER (pos) AS positives, count(*) FILTER (pos AND hit) AS detected, count(*) FILTER (NOT pos) AS empties, count(*) FILTER (NOT pos AND hit) AS fp_empties,
+  round(count(*) FILTER (pos AND hit) * 1.0E0 / count(*) FILTER (pos), 6) AS recall, round(count(*) FILTER (NOT pos AND NOT hit) * 1.0E0 / count(*) FILTER (NOT pos), 6) AS specificity FROM j GROUP BY model""")
+def presence_filtered(spark, d):
+    return metrics.presence_filtered(*tables(spark, d, "cases", "components"), 40)
+
+
+@query("""WITH g AS (SELECT model, group_key, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cases GROUP BY 1, 2)
+SELECT model, count(*) AS groups, count(*) FILTER (2*tp+fp+fn > 0) AS defined, round(avg(CASE WHEN 2*tp+fp+fn > 0 THEN 2.0E0*tp/(2*tp+fp+fn) END), 6) AS macro_dice, round(avg(CASE WHEN tp+fp+fn > 0 THEN tp*1.0E0/(tp+fp+fn) END), 6) AS macro_iou FROM g GROUP BY model""")
+def grouped_macro_dice(spark, d):
+    return metrics.grouped_macro(table(spark, d, "cases"))
+
+
+@query("""WITH p AS (SELECT quantile_cont(area, 0.1) AS lo, quantile_cont(area, 0.9) AS hi FROM components), b AS (SELECT o.model, o.case_id, CASE WHEN area <= lo THEN 'small' WHEN area >= hi THEN 'large' ELSE 'medium' END AS bin FROM components o, p)
+SELECT b.model, b.bin, count(*) AS objects, round(avg(CASE WHEN 2*tp+fp+fn > 0 THEN 2.0E0*tp/(2*tp+fp+fn) ELSE 0 END), 6) AS mean_dice FROM b JOIN cases c ON c.model = b.model AND c.case_id = b.case_id GROUP BY 1, 2""")
+def object_size_bins(spark, d):
+    return metrics.object_size_bins(*tables(spark, d, "components", "cases"))
+
+
+SCORED = """scored AS (SELECT model, group_key, case_id, t * 0.25E0 AS threshold, CAST(floor(tp * (1.0E0 - t * t * 0.0625E0)) AS BIGINT) AS tp, CAST(floor(fp * (1.0E0 - t * 0.25E0)) AS BIGINT) AS fp, n_ref - CAST(floor(tp * (1.0E0 - t * t * 0.0625E0)) AS BIGINT) AS fn
+  FROM cases CROSS JOIN (VALUES (0), (1), (2), (3)) AS g(t))"""
+
+
+def _scored(spark, d):
+    """Cases under a grid of thresholds, four rows each."""
+    t = F.col("t")
+    rows = table(spark, d, "cases").withColumn("t", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    kept = F.floor(F.col("tp") * (1.0 - t * t * 0.0625)).cast("long")
+    return rows.select("model", "group_key", "case_id", (t * 0.25).alias("threshold"), kept.alias("tp"), F.floor(F.col("fp") * (1.0 - t * 0.25)).cast("long").alias("fp"), (F.col("n_ref") - kept).alias("fn"))
+
+
+@query(f"""WITH {SCORED}, per AS (SELECT model, threshold, coalesce(round(avg(CASE WHEN 2*tp+fp+fn > 0 THEN 2.0E0*tp/(2*tp+fp+fn) END), 6), -1) AS macro_dice, coalesce(round(2.0E0*sum(tp)/nullif(2*sum(tp)+sum(fp)+sum(fn), 0), 6), -1) AS micro_dice FROM scored GROUP BY 1, 2)
+SELECT model, threshold, macro_dice, micro_dice FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY macro_dice DESC, micro_dice DESC, threshold DESC) AS k FROM per) t WHERE k = 1""")
+def threshold_calibration(spark, d):
+    return metrics.calibrate(_scored(spark, d))
+
+
+@query()
+def threshold_cross_validation(spark, d):
+    return metrics.cross_validated(_scored(spark, d), planning.grouped_folds(table(spark, d, "cases"), 5, 42))
+
+
+TESTS = "tests AS (SELECT l_shipmode AS test, p FROM (SELECT class_id AS c, concat('t', CAST(class_id AS VARCHAR)) AS l_shipmode, round((count(*) % 97 + 1) / 500.0E0, 6) AS p FROM annotations GROUP BY 1, 2) t)"
+
+
+@query(f"""WITH {TESTS}, s AS (SELECT test, p, least(1.0E0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1)) AS step FROM tests)
+SELECT test, p, round(max(step) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s""")
+def holm_adjust(spark, d):
+    tests = table(spark, d, "annotations").groupBy("class_id").agg(F.round((F.count("*") % 97 + 1) / F.lit(500.0), 6).alias("p"))
+    return metrics.holm(tests.select(F.concat(F.lit("t"), F.col("class_id").cast("string")).alias("test"), "p"))
+
+
+@query(f"WITH {AP} SELECT concat(model, '/', CAST(class_id AS VARCHAR)) AS model, ap, CAST(row_number() OVER (ORDER BY ap DESC, concat(model, '/', CAST(class_id AS VARCHAR))) AS INT) AS rank FROM ap")
+def ranking(spark, d):
+    ap = metrics.average_precision(*tables(spark, d, "match_flags", "annotations"))
+    return metrics.ranking(ap.select(F.concat_ws("/", "model", F.col("class_id").cast("string")).alias("model"), "ap"), "ap")
+
+
+@query(f"""WITH {PRF} SELECT image_id, CAST(sum(fp + fn) AS BIGINT) AS errors, string_agg(concat(model, ':', CAST(fp AS BIGINT), ':', CAST(fn AS BIGINT)), ';' ORDER BY concat(model, ':', CAST(fp AS BIGINT), ':', CAST(fn AS BIGINT))) AS models
+FROM img GROUP BY image_id ORDER BY errors DESC, image_id LIMIT 50""")
+def worst_cases(spark, d):
+    return metrics.worst_cases(_images(spark, d), 50)
+
+
+@query(f"""WITH {PRF}, t AS (SELECT model, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM img GROUP BY model) SELECT model, 'fp' AS error, fp AS count FROM t UNION ALL SELECT model, 'fn', fn FROM t""")
+def error_melt(spark, d):
+    return metrics.melted(metrics.detection_summary(_images(spark, d)).select("model", "fp", "fn"))
+
+
+@query("""SELECT a.model AS model_a, b.model AS model_b, a.case_id AS key, round(b.dice - a.dice, 6) AS d FROM (SELECT model, case_id, 2.0E0*tp/nullif(2*tp+fp+fn, 0) AS dice FROM cases) a
+JOIN (SELECT model, case_id, 2.0E0*tp/nullif(2*tp+fp+fn, 0) AS dice FROM cases) b ON a.case_id = b.case_id AND a.model < b.model WHERE a.dice IS NOT NULL AND b.dice IS NOT NULL""")
+def model_pairs(spark, d):
+    dice = metrics.case_dice(table(spark, d, "cases"))
+    return metrics.model_pairs(dice, "case_id", "dice").select("model_a", "model_b", F.col("case_id").alias("key"), F.round("d", 6).alias("d"))
+
+
+GRID = """xs AS (SELECT image_id, split, width, height, unnest(CASE WHEN width <= 512 AND height <= 512 THEN [0] WHEN width <= 512 THEN [0] ELSE list_distinct(list_concat(range(0, width - 512 + 1, 410), [width - 512])) END) AS x FROM samples),
+ gt AS (SELECT image_id, split, width, height, x, unnest(CASE WHEN width <= 512 AND height <= 512 THEN [0] WHEN height <= 512 THEN [0] ELSE list_distinct(list_concat(range(0, height - 512 + 1, 410), [height - 512])) END) AS y FROM xs),
+ tl AS (SELECT image_id, split, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS INT) AS tile, CAST(x AS INT) AS x1, CAST(y AS INT) AS y1, CAST(least(x + 512, width) AS INT) AS x2, CAST(least(y + 512, height) AS INT) AS y2 FROM gt)"""
+CLIP = f"""{GRID}, cl AS (SELECT a.image_id, t.tile, a.ann_idx, a.class_id, greatest(a.x1, t.x1) - t.x1 AS x1, greatest(a.y1, t.y1) - t.y1 AS y1, least(a.x2, t.x2) - t.x1 AS x2, least(a.y2, t.y2) - t.y1 AS y2
+  FROM annotations a JOIN tl t ON t.image_id = a.image_id WHERE a.x1 < t.x2 AND a.x2 > t.x1 AND a.y1 < t.y2 AND a.y2 > t.y1
+  AND (least(a.x2, t.x2) - greatest(a.x1, t.x1)) * (least(a.y2, t.y2) - greatest(a.y1, t.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) >= 0.1)"""
+
+
+def _tiles(spark, d):
+    return tiling.grid_tiles(table(spark, d, "samples"), 512, 0.2)
+
+
+def _clipped(spark, d):
+    return tiling.clip_boxes(_tiles(spark, d), table(spark, d, "annotations"))
+
+
+@query(f"WITH {GRID} SELECT * FROM tl")
+def grid_tiles(spark, d):
+    return _tiles(spark, d)
+
+
+@query(f"WITH {CLIP} SELECT * FROM cl")
+def tile_annotation_clip(spark, d):
+    return _clipped(spark, d)
+
+
+@query(f"WITH {CLIP} SELECT image_id, tile FROM tl WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.image_id = tl.image_id AND cl.tile = tl.tile)")
+def empty_tiles(spark, d):
+    return tiling.empty_tiles(_tiles(spark, d), _clipped(spark, d)).select("image_id", "tile")
+
+
+@query("""WITH c AS (SELECT image_id, ann_idx, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM annotations)
+SELECT a.image_id, a.ann_idx, count(b.ann_idx) AS neighbours, count(b.ann_idx) >= 2 AS dense FROM c a LEFT JOIN c b ON a.image_id = b.image_id AND a.ann_idx <> b.ann_idx AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 128 GROUP BY 1, 2""")
+def dense_neighbors(spark, d):
+    return tiling.dense_neighbours(table(spark, d, "annotations"), 128.0, 2)
+
+
+@query("""WITH g AS (SELECT CAST(i % 24 AS INT) AS bx, CAST(i // 24 AS INT) AS by FROM range(0, 288) AS r(i)), h AS (SELECT CAST(floor(least(greatest((x1 + x2) / 2 / width, 0), 0.999999) * 24) AS INT) AS bx, CAST(floor(least(greatest((y1 + y2) / 2 / height, 0), 0.999999) * 12) AS INT) AS by, count(*) AS n
+  FROM annotations a JOIN samples s ON s.image_id = a.image_id GROUP BY 1, 2) SELECT g.bx, g.by, coalesce(n, 0) AS n FROM g LEFT JOIN h ON h.bx = g.bx AND h.by = g.by""")
+def position_histogram(spark, d):
+    return tiling.position_histogram(*tables(spark, d, "samples", "annotations"))
+
+
+@query(f"""WITH {CLIP}, n AS (SELECT a.image_id, a.ann_idx, count(cl.tile) >= 2 AS covered FROM annotations a LEFT JOIN cl ON cl.image_id = a.image_id AND cl.ann_idx = a.ann_idx GROUP BY 1, 2)
+SELECT image_id, count(*) AS objects, count(*) FILTER (covered) AS covered, round(100.0E0 * count(*) FILTER (covered) / count(*), 6) AS percent FROM n GROUP BY image_id""")
+def coverage_rollup(spark, d):
+    return tiling.coverage_rollup(tiling.object_coverage(table(spark, d, "annotations"), _clipped(spark, d), 2))
+
+
+@query(f"""WITH {GRID}, ev AS (SELECT image_id, y1 AS y FROM tl UNION SELECT image_id, y2 FROM tl), bd AS (SELECT image_id, y, lead(y) OVER (PARTITION BY image_id ORDER BY y) AS y_to FROM ev), ex AS (SELECT image_id, x1 AS x FROM tl UNION SELECT image_id, x2 FROM tl),
+ bx AS (SELECT image_id, x, lead(x) OVER (PARTITION BY image_id ORDER BY x) AS x_to FROM ex), ar AS (SELECT d.image_id, sum((y_to - y) * (x_to - x)) AS area FROM bd d JOIN bx x ON x.image_id = d.image_id WHERE y_to IS NOT NULL AND x_to IS NOT NULL
+  AND EXISTS (SELECT 1 FROM tl t WHERE t.image_id = d.image_id AND t.x1 <= x.x AND t.x2 >= x.x_to AND t.y1 <= d.y AND t.y2 >= d.y_to) GROUP BY 1)
+SELECT s.image_id, round(CAST(area AS DOUBLE) / (width * height), 6) AS coverage FROM samples s JOIN ar ON ar.image_id = s.image_id""")
+def tile_footprint(spark, d):
+    return tiling.footprint(_tiles(spark, d), table(spark, d, "samples"))
+
+
+@query("""SELECT split, n AS positives, CAST(CASE WHEN abs(coalesce(floor(n * 0.15E0 / (1 - 0.15E0)) / nullif(n + floor(n * 0.15E0 / (1 - 0.15E0)), 0), 0) - 0.15E0) <= abs(coalesce(ceil(n * 0.15E0 / (1 - 0.15E0)) / nullif(n + ceil(n * 0.15E0 / (1 - 0.15E0)), 0), 0) - 0.15E0) THEN floor(n * 0.15E0 / (1 - 0.15E0)) ELSE ceil(n * 0.15E0 / (1 - 0.15E0)) END AS BIGINT) AS quota FROM (SELECT split, count(*) AS n FROM samples GROUP BY 1) t""")
+def background_quota(spark, d):
+    per = table(spark, d, "samples").groupBy("split").agg(F.count("*").alias("positives"))
+    return per.withColumn("quota", tiling.background_count(F.col("positives"), 0.15))
+
+
+@query(f"""WITH {PER_IMAGE}, c AS (SELECT split, count(*) FILTER (n > 0) AS positive, count(*) FILTER (n = 0) AS empty FROM per GROUP BY 1)
+SELECT split, positive, empty, CAST(CASE WHEN positive = 0 THEN 0 ELSE least(empty, floor(positive * 0.01E0 / (1 - 0.01E0))) END AS BIGINT) AS allowed FROM c""")
+def rebalance_empty_counts(spark, d):
+    return selection.rebalance_quota(*tables(spark, d, "samples", "annotations"), 0.01)
+
+
+@query(f"""WITH {PER_IMAGE}, c AS (SELECT split, count(*) FILTER (n > 0) AS positive, count(*) FILTER (n = 0) AS empty FROM per GROUP BY 1)
+SELECT split, CAST(positive + CASE WHEN positive = 0 THEN 0 ELSE least(empty, floor(positive * 0.01E0 / (1 - 0.01E0))) END AS BIGINT) AS images FROM c""")
+def rebalance_empty(spark, d):
+    return selection.rebalance_empty(*tables(spark, d, "samples", "annotations"), 0.01, 7).groupBy("split").agg(F.count("*").alias("images"))
+
+
+@query("""SELECT a.model, a.image_id, a.pred_idx AS winner, b.pred_idx AS loser FROM predictions a JOIN predictions b ON a.model = b.model AND a.image_id = b.image_id AND a.class_id = b.class_id AND (a.score > b.score OR (a.score = b.score AND a.pred_idx < b.pred_idx))
+WHERE greatest(0.0E0, least(a.x2,b.x2)-greatest(a.x1,b.x1)) * greatest(0.0E0, least(a.y2,b.y2)-greatest(a.y1,b.y1)) >= 0.2E0 * least((a.x2-a.x1)*(a.y2-a.y1), (b.x2-b.x1)*(b.y2-b.y1))""")
+def nms_edges(spark, d):
+    return matching.suppression_edges(table(spark, d, "predictions"))
+
+
+@query("""WITH RECURSIVE up AS (SELECT node_id, node_id AS top, parent_id, 0 AS depth, dataset_name AS chain FROM lineage UNION ALL
+  SELECT u.node_id, l.node_id, l.parent_id, u.depth + 1, concat(u.chain, '>', l.dataset_name) FROM up u JOIN lineage l ON l.node_id = u.parent_id)
+SELECT node_id, top AS root_id, depth, chain FROM up WHERE parent_id IS NULL""")
+def lineage_trace(spark, d):
+    return lineage.trace(table(spark, d, "lineage"))
+
+
+@query("""SELECT image_id, CAST(c AS INT) AS copy, CASE WHEN c > 0 THEN CAST(concat('0x', substr(sha256(concat('7:', split, ':', relative_path, ':', CAST(c AS VARCHAR))), 1, 8)) AS BIGINT) ELSE 0 END AS copy_seed FROM (
+  SELECT image_id, split, relative_path, unnest(CASE WHEN split = 'train' THEN range(0, 3) ELSE range(0, 1) END) AS c FROM samples) t""")
+def augment_expand(spark, d):
+    return planning.augment(table(spark, d, "samples"), 2, 7).select("image_id", "copy", F.coalesce("copy_seed", F.lit(0)).alias("copy_seed"))
+
+
+@query("""SELECT s.image_id, sha256(concat(s.group_key, chr(0), s.relative_path)) AS original_id, sha256(coalesce(l.lines, '')) AS annotation_sha256 FROM samples s LEFT JOIN (
+  SELECT image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, x1, y1, x2, y2), chr(10) ORDER BY ann_idx) AS lines FROM annotations GROUP BY 1) l ON l.image_id = s.image_id""")
+def cohort_freeze(spark, d):
+    return lineage.freeze(*tables(spark, d, "samples", "annotations"))
+
+
+@query("""SELECT group_key, count(*) AS n FROM samples GROUP BY 1""")
+def content_fingerprint(spark, d):
+    return summary.content_fingerprint(table(spark, d, "samples"), "group_key", ["image_id", "relative_path", "split", "width", "height"]).select("group_key", "n")
+
+
+@query("""SELECT image_id, concat('labels/', replace(relative_path, '.jpg', '.txt')) AS label, CASE split WHEN 'val' THEN 'val' ELSE split END AS split, concat('x', replace(regexp_replace(regexp_replace(printf('%.8f', width / 7.0E0), '0+$', ''), '\\.$', ''), '.', 'p')) AS token FROM samples""")
+def name_functions(spark, d):
+    s = table(spark, d, "samples")
+    return s.select("image_id", T.label_path(F.concat(F.lit("images/"), "relative_path")).alias("label"), T.split_name(F.when(F.col("split") == "val", "Validation ").otherwise(F.col("split"))).alias("split"), F.concat(F.lit("x"), T.number_token(F.col("width") / 7.0)).alias("token"))
+
+
+@query("""SELECT image_id, string_agg(concat_ws(' ', class_id, CAST(round(CAST((x1 + x2) / 2 / width AS DECIMAL(18, 9)), 6) AS VARCHAR), CAST(round(CAST((y1 + y2) / 2 / height AS DECIMAL(18, 9)), 6) AS VARCHAR), CAST(round(CAST((x2 - x1) / width AS DECIMAL(18, 9)), 6) AS VARCHAR), CAST(round(CAST((y2 - y1) / height AS DECIMAL(18, 9)), 6) AS VARCHAR)), chr(10) ORDER BY ann_idx) AS content
+FROM annotations JOIN samples USING (image_id) GROUP BY image_id""")
+def format_yolo_labels(spark, d):
+    return label_files.format_detect(*tables(spark, d, "samples", "annotations"))
+
+
+@query("""SELECT class_id, count(*) AS before, count(*) FILTER (image_id % 3 = 0) AS after FROM annotations GROUP BY class_id""")
+def class_composition(spark, d):
+    a = table(spark, d, "annotations")
+    return summary.class_composition(a, a.where("image_id % 3 = 0"))
+
+
+@query(f"WITH {PER_IMAGE} SELECT split, CASE WHEN n > 0 THEN 'labelled' ELSE 'background' END AS kind, count(*) AS images FROM per GROUP BY 1, 2")
+def chart_split_kind(spark, d):
+    return summary.split_kind_counts(*tables(spark, d, "samples", "annotations"))
+
+
+@query("""SELECT image_id, 'missing' AS problem FROM samples WHERE image_id NOT IN (SELECT image_id FROM predictions WHERE model = 'model_a')""")
+def exact_prediction_set(spark, d):
+    s, p = tables(spark, d, "samples", "predictions")
+    return selection.exact_cover(s, p.where("model = 'model_a'").select("image_id").distinct())
+
+
+@query("SELECT image_id, width, height FROM samples WHERE NOT (width > 830 OR height > 550)")
+def size_policy(spark, d):
+    return selection.size_policy(table(spark, d, "samples"), 830, 550)[0].select("image_id", "width", "height")
+
+
+@query("""SELECT image_id, ann_idx, round(exp(-((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) / (2 * greatest((x2 - x1) * (y2 - y1) * 100, 1) * 0.04 + 1e-12)), 6) AS oks, round(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) / 12, 6) AS distance, (x2 - x1) * (y2 - y1) AS area FROM annotations""")
+def keypoint_similarity(spark, d):
+    pt = lambda x, y: F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(2.0).alias("v")))
+    square = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) * 100
+    return table(spark, d, "annotations").select("image_id", "ann_idx", F.round(G.oks(pt("x1", "y1"), pt("x2", "y2"), area), 6).alias("oks"), F.round(G.point_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(12.0)), 6).alias("distance"), G.polygon_area(square).alias("area"))
+
+
+@query()
+def optimal_matching(spark, d):
+    return matching.optimal_matching(metrics.candidates(*tables(spark, d, "annotations", "predictions")))
+
+
+@query()
+def greedy_matching(spark, d):
+    return matching.greedy_matching(metrics.candidates(*tables(spark, d, "annotations", "predictions")))
+
+
+@query()
+def nearest_matching(spark, d):
+    a, p = tables(spark, d, "annotations", "predictions")
+    g = a.select("image_id", "ann_idx", ((F.col("x1") + F.col("x2")) / 2).alias("gx"), ((F.col("y1") + F.col("y2")) / 2).alias("gy"))
+    pairs = p.join(g, "image_id").withColumn("distance", F.hypot((F.col("x1") + F.col("x2")) / 2 - F.col("gx"), (F.col("y1") + F.col("y2")) / 2 - F.col("gy")))
+    return matching.nearest_matching(pairs)
+
+
+@query()
+def nms(spark, d):
+    return matching.non_maximum(table(spark, d, "predictions"), "NMS")
+
+
+@query()
+def nms_greedy(spark, d):
+    return matching.non_maximum(table(spark, d, "predictions"), "GREEDYNMM")
+
+
+@query()
+def nmm_closure(spark, d):
+    return matching.non_maximum(table(spark, d, "predictions"), "NMM")
+
+
+def _cluster_scores(spark, d):
+    return metrics.case_dice(table(spark, d, "cases")).select("model", F.col("case_id").alias("key"), "dice").where("dice is not null")
+
+
+@query()
+def bootstrap_interval(spark, d):
+    return stats.bootstrap_intervals(_cluster_scores(spark, d), "dice", 2000)
+
+
+@query()
+def paired_bootstrap(spark, d):
+    pairs = metrics.model_pairs(metrics.case_dice(table(spark, d, "cases")), "case_id", "dice").withColumnRenamed("case_id", "key")
+    return stats.paired_bootstrap(pairs, 2000)
+
+
+@query()
+def group_split_preview(spark, d):
+    return planning.split(table(spark, d, "samples"), None, {"train": 0.7, "val": 0.2, "test": 0.1}, 7, preview=True).select("image_id", "split")
+
+
+@query()
+def group_split_greedy(spark, d):
+    s, a = tables(spark, d, "samples", "annotations")
+    return planning.split(s, a, {"train": 0.7, "val": 0.2, "test": 0.1}, 7).select("image_id", "split")
+
+
+@query()
+def grouped_folds(spark, d):
+    return planning.grouped_folds(table(spark, d, "cases"), 5, 42)
+
+
+@query()
+def move_n_groups(spark, d):
+    return planning.move_n_groups(table(spark, d, "samples"), 10, "train", "val", 3).select("image_id", "split")
+
+
+@query()
+def seeded_sample(spark, d):
+    return planning.sample(table(spark, d, "samples"), 100, 11, "train").select("ord", "image_id", "relative_path")
+
+
+def _runs(spark, d):
+    """Rows of pixels of every annotation, two units high each, as runs."""
+    a = table(spark, d, "annotations")
+    return a.select("image_id", F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)).alias("y"), F.col("x1").cast("int").alias("x0"), F.col("x2").cast("int").alias("x1"))
+
+
+@query()
+def connected_components(spark, d):
+    return raster.connected_components(_runs(spark, d))
+
+
+@query()
+def coverage_tiles(spark, d):
+    return tiling.coverage_tiles(*tables(spark, d, "samples", "annotations"), 320, 2)
+
+
+@query()
+def rasterise_polygons(spark, d):
+    a, s = tables(spark, d, "annotations", "samples")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = a.join(s.select("image_id", "width", "height"), "image_id").select("image_id", "ann_idx", "width", "height", F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2")).alias("polygon"))
+    return raster.rasterise(rows).groupBy("image_id", "ann_idx").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
+
+
+@query()
+def feather_stitch(spark, d):
+    s = table(spark, d, "samples").where("split = 'test'")
+    small = tiling.grid_tiles(s.select("image_id", "split", F.lit(12).alias("width"), F.lit(8).alias("height")), 8, 0.5)
+    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % 7) * 1.0 + F.col("tile"))
+    return raster.feather_stitch(small.select("image_id", "x1", "y1", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), value.alias("values")))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: chained(v) for k, v in SQL.items()}
