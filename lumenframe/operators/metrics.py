@@ -179,3 +179,18 @@ def model_pairs(scores: DataFrame, key: str, value: str) -> DataFrame:
     a = rows.select(F.col("model").alias("model_a"), key, F.col(value).alias("a"))
     b = rows.select(F.col("model").alias("model_b"), key, F.col(value).alias("b"))
     return a.join(b, key).where("model_a < model_b").select("model_a", "model_b", key, (F.col("b") - F.col("a")).alias("d"))
+
+
+def example_cases(objects: DataFrame, largest: int = 2, most: int = 4) -> DataFrame:
+    """Cases to show: those of the largest objects, then those with the worst Dice; (case_id, reason), each case once. ``objects``: case_id, area, dice."""
+    per = objects.groupBy("case_id").agg(F.max("area").alias("area"), F.avg(F.coalesce("dice", F.lit(0.0))).alias("dice"))
+    big = per.orderBy(F.desc("area"), "case_id").limit(largest).select("case_id", F.lit(0).alias("order"), (-F.col("area")).cast("double").alias("v"), F.lit("large").alias("reason"))
+    bad = per.orderBy("dice", "case_id").limit(most + largest).select("case_id", F.lit(1).alias("order"), F.col("dice").alias("v"), F.lit("worst").alias("reason"))
+    first = big.unionByName(bad.join(big.select("case_id"), "case_id", "left_anti"))
+    return first.orderBy("order", "v", "case_id").limit(most).select("case_id", "reason")
+
+
+def ranking_invariants(cases: DataFrame) -> DataFrame:
+    """(fingerprints, ok): every model must have been scored on the same cases with the same references."""
+    per = cases.groupBy("model").agg(F.count("*").alias("n"), F.sum("n_ref").alias("refs"), F.sum(F.xxhash64("case_id", "n_ref").cast("decimal(38,0)")).alias("h"))
+    return per.agg(F.count_distinct(F.struct("n", "refs", "h")).alias("fingerprints")).withColumn("ok", F.col("fingerprints") <= 1)

@@ -525,6 +525,86 @@ def keypoint_similarity(spark, d):
     return table(spark, d, "annotations").select("image_id", "ann_idx", F.round(G.oks(pt("x1", "y1"), pt("x2", "y2"), area), 6).alias("oks"), F.round(G.point_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(12.0)), 6).alias("distance"), G.polygon_area(square).alias("area"))
 
 
+@query("""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS best, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS foreground,
+  round(1 / list_sum(list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE)))), 6) AS confidence FROM embeddings""")
+def class_probabilities(spark, d):
+    e = table(spark, d, "embeddings").withColumn("z", F.col("embedding").cast("array<double>"))
+    return e.select("vec_id", G.argmax("z").alias("best"), F.round(G.sigmoid(F.get("z", F.lit(0))), 6).alias("foreground"), F.round(F.array_max(G.softmax("z")), 6).alias("confidence"))
+
+
+@query(f"""WITH {GRID} SELECT a.image_id, t.tile, a.ann_idx, (a.x1 + a.x2) / 2 - t.x1 AS px, (a.y1 + a.y2) / 2 - t.y1 AS py, 15.0E0 AS radius FROM annotations a JOIN tl t ON t.image_id = a.image_id
+WHERE least((a.x1 + a.x2) / 2 - t.x1, t.x2 - (a.x1 + a.x2) / 2, (a.y1 + a.y2) / 2 - t.y1, t.y2 - (a.y1 + a.y2) / 2) >= 15""")
+def tile_point_clip(spark, d):
+    points = table(spark, d, "annotations").select("image_id", "ann_idx", ((F.col("x1") + F.col("x2")) / 2).alias("px"), ((F.col("y1") + F.col("y2")) / 2).alias("py"), F.lit(15.0).alias("radius"))
+    return tiling.clip_points(_tiles(spark, d), points).select("image_id", "tile", "ann_idx", "px", "py", "radius")
+
+
+@query("""SELECT image_id, ann_idx, CASE WHEN x1 >= 50 AND x1 < 300 AND y1 >= 50 AND y1 < 300 THEN x1 - 50 ELSE 0 END + CASE WHEN x2 >= 50 AND x2 < 300 AND y2 >= 50 AND y2 < 300 THEN x2 - 50 ELSE 0 END AS sum_x FROM annotations
+WHERE (x1 >= 50 AND x1 < 300 AND y1 >= 50 AND y1 < 300) OR (x2 >= 50 AND x2 < 300 AND y2 >= 50 AND y2 < 300)""")
+def tile_keypoint_clip(spark, d):
+    pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(2.0).alias("v"))
+    kept = tiling.clip_keypoints(F.array(pt("x1", "y1"), pt("x2", "y2")), F.lit(50.0), F.lit(50.0), F.lit(300.0), F.lit(300.0))
+    rows = table(spark, d, "annotations").select("image_id", "ann_idx", kept.alias("k")).where("k is not null")
+    return rows.select("image_id", "ann_idx", F.aggregate("k", F.lit(0.0), lambda a, q: a + q["x"]).alias("sum_x"))
+
+
+@query("""SELECT model, image_id, class_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, max(score) AS score, round(sum(x1 * score) / sum(score), 6) AS px FROM predictions GROUP BY 1, 2, 3""")
+def merge_payload(spark, d):
+    p = table(spark, d, "predictions").withColumn("px", F.col("x1"))
+    return matching.merged_payload(p, ["model", "image_id", "class_id"]).select("model", "image_id", "class_id", *BOX, "score", F.round("px", 6).alias("px"))
+
+
+@query(f"""SELECT a.image_id, CAST(a.ann_idx AS BIGINT) AS ref, CAST(p.pred_idx AS BIGINT) AS pred, CAST({IOU} AS BIGINT) AS pixels FROM annotations a JOIN predictions p ON p.image_id = a.image_id AND p.model = 'model_a' WHERE {IOU} > 0""")
+def mask_overlap(spark, d):
+    run = lambda df, c: df.select("image_id", F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)).alias("y"), F.col("x1").cast("int").alias("x0"), F.col("x2").cast("int").alias("x1"), F.col(c).cast("long").alias("component"))
+    a, p = tables(spark, d, "annotations", "predictions")
+    return raster.run_overlap(run(a, "ann_idx"), run(p.where("model = 'model_a'"), "pred_idx"), ["image_id"])
+
+
+@query("""WITH o AS (SELECT c.case_id, c.area, CASE WHEN 2*tp+fp+fn > 0 THEN 2.0E0*tp/(2*tp+fp+fn) ELSE 0 END AS dice FROM components c JOIN cases s ON s.model = c.model AND s.case_id = c.case_id WHERE c.model = 'model_a'),
+ p AS (SELECT case_id, max(area) AS area, avg(dice) AS dice FROM o GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY area DESC, case_id) AS a, row_number() OVER (ORDER BY dice, case_id) AS b FROM p)
+SELECT case_id, CASE WHEN a <= 2 THEN 'large' ELSE 'worst' END AS reason FROM r ORDER BY a > 2, CASE WHEN a <= 2 THEN a ELSE b END LIMIT 4""")
+def example_cases(spark, d):
+    dice = metrics.case_dice(table(spark, d, "cases")).select("model", "case_id", "dice")
+    objects = table(spark, d, "components").where("model = 'model_a'").join(dice, ["model", "case_id"])
+    return metrics.example_cases(objects)
+
+
+@query("""SELECT count(DISTINCT (n, refs)) AS fingerprints, count(DISTINCT (n, refs)) <= 1 AS ok FROM (SELECT model, count(*) AS n, sum(n_ref) AS refs FROM cases GROUP BY 1) t""")
+def ranking_invariants(spark, d):
+    return metrics.ranking_invariants(table(spark, d, "cases"))
+
+
+@query("SELECT relative_path FROM samples INTERSECT SELECT relative_path FROM samples_after")
+def common_paths(spark, d):
+    s, a = tables(spark, d, "samples", "samples_after")
+    return s.select("relative_path").intersect(a.select("relative_path"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
+def timestamp_text(spark, d):
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("shown"), F.unix_timestamp("ts").alias("seconds"))
+
+
+@query("""SELECT split, CAST(floor(n * 0.2E0 / (1 - 0.2E0) + 1e-12) AS BIGINT) AS target, CAST(ceil(n * 0.1E0 / (1 - 0.1E0) - 1e-12) AS BIGINT) AS required FROM (SELECT split, count(*) AS n FROM samples GROUP BY 1) t""")
+def background_range(spark, d):
+    target, required = tiling.background_range(F.col("n"), 0.1, 0.2)
+    return table(spark, d, "samples").groupBy("split").agg(F.count("*").alias("n")).select("split", target.alias("target"), required.alias("required"))
+
+
+@query("""SELECT r_regionkey AS image_id, CAST(y // 4 AS BIGINT) AS y, CAST(x // 4 AS BIGINT) AS x, round(avg((y * 7 + x * 3 + r_regionkey) % 11), 6) AS value FROM region, range(0, 12) AS a(y), range(0, 16) AS b(x) GROUP BY 1, 2, 3""")
+def area_pool(spark, d):
+    y, x = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x")
+    pixels = table(spark, d, "region").select(F.col("r_regionkey").alias("image_id"), y).select("image_id", "y", x).withColumn("value", ((F.col("y") * 7 + F.col("x") * 3 + F.col("image_id")) % 11).cast("double"))
+    return raster.area_pool(pixels, 4).select("image_id", "y", "x", F.round("value", 6).alias("value"))
+
+
+@query()
+def overlap_matching(spark, d):
+    edges = mask_overlap(spark, d)
+    return matching.overlap_matching(edges.select("image_id", "ref", "pred"), ("image_id",))
+
+
 @query()
 def optimal_matching(spark, d):
     return matching.optimal_matching(metrics.candidates(*tables(spark, d, "annotations", "predictions")))
