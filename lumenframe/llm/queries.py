@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import work_dir
 from lumenframe.llm import context_tree, decontaminate, language_id, mixing, pii, simhash, suffix_dedup, token_counts, topk_search, word_windows
 
 TOKEN_LIMIT = 2048
@@ -19,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counts = token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # A cache of its own for each call: the result is that of a cold start, whatever ran before.
+    cache = f"{work_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    counts = token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
