@@ -30,8 +30,8 @@ from lumenframe.llm.common import stored
 #: Units held at once; positions in such a block take LOW bits beside the hash.
 BLOCK, LOW = 1 << 20, np.uint64(20)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-#: Different super-windows of one key beyond which its windows are counted one by one.
-HOT = 300
+#: Different super-windows of one key beyond which its windows are counted one by one: a bucket stays under a few MB.
+HOT = 4096
 #: n and offset of a super-window are smaller than this.
 FIELD = 1 << 10
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import repeats, suffix_dedup, word_windows
+from lumenframe.llm import suffix_dedup, word_windows
 from tests.llm.test_operators import ODD, SCHEMA
 
 
@@ -96,8 +96,7 @@ def test_empty(spark):
     assert word_windows.deduplicate(spark, df).count() == 0
 
 
-def test_long_text_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 300)
+def test_long_text_in_pieces(spark):
     rng = random.Random(5)
     a = " ".join(str(rng.randrange(10**6)) for _ in range(120_000))
     rows = [(1, a, "", "", 0), (2, a[300_000:700_000], "", "", 0), (3, "tail " + a[-600:], "", "", 0)]
