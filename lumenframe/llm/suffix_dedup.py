@@ -48,21 +48,38 @@ def pack(text: str) -> Callable[[int, int], bytes]:
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank of each suffix) of a text of small numbers whose last symbols make all suffixes distinct."""
+    """(suffix array, rank of each suffix) of a text of small numbers whose last symbols make all suffixes distinct.
+
+    Prefix doubling from as many symbols as a number holds; only suffixes that
+    are still tied are sorted again. A rank is the first place of its tie.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    length = 1
+    symbols, small = np.unique(text, return_inverse=True)
+    bits = int(len(symbols)).bit_length()
+    length = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for i in range(length):
+        key <<= bits
+        key[: max(0, n - i)] |= small[i:] + 1
+    order = np.argsort(key)
+    place, tied = np.arange(n), key[order]
+    rank = np.empty(n, np.int64)
+    suffixes = order
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - length] = rank[length:] + 1
-        pairs = rank * (n + 1) + nxt
-        order = np.argsort(pairs)
-        ordered = pairs[order]
-        steps = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = steps
-        if steps[-1] == n - 1:
+        fresh = np.ones(len(tied), bool)
+        fresh[1:] = tied[1:] != tied[:-1]
+        starts = np.nonzero(fresh)[0]
+        rank[suffixes] = place[starts][np.cumsum(fresh) - 1]
+        alone = np.diff(np.append(starts, len(tied))) == 1
+        left = ~np.repeat(alone, np.diff(np.append(starts, len(tied))))
+        if not left.any():
             return order, rank
+        place, suffixes = place[left], suffixes[left]
+        after = suffixes + length
+        key = rank[suffixes] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        suffixes, tied = suffixes[by], key[by]
+        order[place] = suffixes
         length *= 2
 
 
@@ -76,6 +93,7 @@ def settled(text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     common = np.full(n + 1, -1, np.int32)
     common[0] = common[n] = 0
     left, right = np.zeros(1, np.int64), np.full(1, n - 1, np.int64)
+    table = np.full(n, -1, np.int64)
     for length in range(limit):
         if not len(left):
             break
@@ -84,7 +102,12 @@ def settled(text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(left)), sizes)
         at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + left[owner]
         target = to[at]
-        by = np.argsort(target)
+        if 8 * len(target) > n:  # many: through a table of all places
+            table[target] = np.arange(len(target))
+            by = table[np.nonzero(table >= 0)[0]]
+            table[target] = -1
+        else:
+            by = np.argsort(target)
         target, owner, front = target[by], owner[by], symbol[at[by]]
         # An interval and a symbol give one run of targets: the interval of that symbol and the interval's prefix.
         last = np.ones(len(target), bool)
