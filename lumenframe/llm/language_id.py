@@ -3,8 +3,10 @@
 One raw-content zstandard dictionary per language is filled from a bounded
 sample of labelled rows; a text belongs to the language whose dictionary lets
 it shrink most. Whole texts are compressed, in lower case and without ASCII
-signs, digits and line ends, which tell no language apart. The call is rejected
-if the two best sizes lie too close together.
+signs, digits and line ends, which tell no language apart, in pieces that each
+start from the dictionary alone: what it saves grows with the text, so the
+margin does not fall with length. The call is rejected if the two best sums of
+sizes lie too close together.
 
 Results in odd cases: a null text, or one without a letter, is ``und`` with
 score 0 and rejected; with no learned language at all every text is; ties go
@@ -25,6 +27,8 @@ UNKNOWN = "und"
 #: Content of each language's dictionary, in bytes, and the most that one document adds to it.
 DICT_BYTES = 32 << 10
 DOC_BYTES = 2 << 10
+#: Bytes of a text that are compressed at a time.
+PIECE_BYTES = 16 << 10
 #: Most labelled rows of a language that are looked at: the bound of the training sample.
 SAMPLE_ROWS = 96
 #: (second best - best) / second best below which a call is rejected.
@@ -81,10 +85,11 @@ class Coders:
         if not self.coders or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         raw = letters(text)
-        sizes = [len(c(raw)) for c in self.coders]
+        pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
+        sizes = [sum(len(c(x)) for x in pieces) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
-        second = sizes[order[1]] if len(order) > 1 else max(best, len(raw) + 12)
+        second = sizes[order[1]] if len(order) > 1 else max(best, len(raw) + 12 * len(pieces))
         return self.langs[order[0]], (second - best) / second
 
 

@@ -209,6 +209,21 @@ def test_language_id_odd(spark, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_long_texts(spark):
+    """Clean texts of 1 MB and more are called and stay, and the margin does not fall with length."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null")
+    model = language_id.fit(df.where(~language_id.held_out(3, 1)))
+    coders, rows = language_id.Coders(model), []
+    for lang in model:
+        text = "\n".join(r["text"] for r in df.where(language_id.held_out(3, 1) & (F.col("lang") == lang)).orderBy("doc_id").collect())
+        for size in (100_000, 1_000_000, 4_000_000):
+            rows.append((lang, (text * (size // len(text) + 1))[:size], lang, "a", size))
+        assert coders.classify(rows[-1][1])[1] > 0.7 * coders.classify(rows[-3][1])[1]
+    long = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long")
+    assert language_id.accepted(long, model).count() == len(rows)
+    assert all(r["doc_id"] == r["lang_pred"] and not r["rejected"] for r in language_id.predict(long, model).collect())
+
+
 def slow_topk(rows, k):
     import math
 
