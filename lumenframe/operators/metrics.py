@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.geometry import box, box_area, box_iou, f1, intersection, ratio, ratio0
+from lumenframe.functions.geometry import box, box_area, box_iou, f1, intersection, point_distance, ratio, ratio0
+from lumenframe.operators.matching import greedy_matching
 
 
 def _r(x: Column) -> Column:
@@ -54,39 +57,86 @@ def count_metrics(images: DataFrame) -> DataFrame:
     return images.groupBy("model").agg(_r(F.avg(F.abs(d))).alias("mae"), _r(F.sqrt(F.avg(d * d))).alias("rmse"), _r(F.avg(d)).alias("bias"), _r(F.avg(ratio(F.abs(d), F.when(F.col("n_ref") > 0, F.col("n_ref"))))).alias("relative_error"), _r(F.avg(agree)).alias("agreement"))
 
 
+#: Thresholds of the averaged AP: IoU and the like, and distances in radii; the first is the primary one.
+IOU_GRID = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+POINT_GRID = tuple(round(1.0 - 0.1 * i, 1) for i in range(10))
+
+
+def point_candidates(annotations: DataFrame, predictions: DataFrame, most: float = POINT_GRID[0]) -> DataFrame:
+    """(model, image_id, ann_idx, pred_idx, class_id, score, distance) of same-class points (px, py) of an image at most ``most`` of the truth's ``radius`` (none: 1) apart."""
+    g = annotations.select("image_id", "class_id", "ann_idx", F.col("px").alias("g_px"), F.col("py").alias("g_py"), F.coalesce(F.nullif("radius", F.lit(0.0)), F.lit(1.0)).alias("g_radius"))
+    pairs = predictions.join(g, ["image_id", "class_id"]).withColumn("distance", point_distance(F.col("px"), F.col("py"), F.col("g_px"), F.col("g_py"), F.col("g_radius")))
+    return pairs.where(F.col("distance") <= most).select("model", "image_id", "ann_idx", "pred_idx", "class_id", "score", "distance")
+
+
+def flags_at(pairs: DataFrame, predictions: DataFrame, thresholds: Sequence[float] = IOU_GRID, similarity: str = "iou", smaller_is_better: bool = False) -> DataFrame:
+    """(model, class_id, image_id, pred_idx, score, threshold, tp) of every prediction at every threshold, each matched greedily anew among ``pairs``."""
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    keys = ["model", "image_id", "class_id", "threshold"]
+    valid = F.col(similarity) <= F.col("threshold") if smaller_is_better else F.col(similarity) >= F.col("threshold")
+    hits = greedy_matching(pairs.select("*", grid).where(valid), tuple(keys), smaller_is_better, similarity).select(*keys, "pred_idx", F.lit(1).alias("tp"))
+    rows = predictions.select("model", "class_id", "image_id", "pred_idx", "score", grid)
+    return rows.join(hits, [*keys, "pred_idx"], "left").select("model", "class_id", "image_id", "pred_idx", "score", "threshold", F.coalesce("tp", F.lit(0)).alias("tp"))
+
+
+def _curve_keys(flags: DataFrame) -> list[str]:
+    return ["model", "class_id", *(["threshold"] if "threshold" in flags.columns else [])]
+
+
 def pr_curve(flags: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Cumulative precision and recall of each model and class in score order."""
+    """Cumulative precision and recall of each model and class, and threshold if ``flags`` have one, in score order."""
     truth = annotations.groupBy("class_id").agg(F.count("*").alias("n_gt"))
-    order = Window.partitionBy("model", "class_id").orderBy(F.desc("score"), "image_id", "pred_idx")
+    keys = _curve_keys(flags)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "image_id", "pred_idx")
     run = flags.withColumn("k", F.row_number().over(order)).withColumn("ctp", F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.join(F.broadcast(truth), "class_id").select("model", "class_id", "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"))
+    return run.join(F.broadcast(truth), "class_id").select(*keys, "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"))
 
 
 LEVELS = 101
 
 
 def average_precision(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """101-point interpolated AP of each model and class with truth; 0 without predictions.
+    """101-point interpolated AP of each model and class with truth, and threshold if ``flags`` have one; 0 without predictions.
 
     The best precision from a recall level on is a suffix maximum; each curve
     point serves the levels that its recall is the first to reach, so no level
     meets every point.
     """
-    curve = pr_curve(flags, annotations)
-    order = Window.partitionBy("model", "class_id").orderBy("k")
-    best = F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing))
+    return _exact_ap(flags, annotations, models).withColumn("ap", _r(F.col("ap")))
+
+
+def _exact_ap(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None, thresholds: Sequence[float] | None = None) -> DataFrame:
+    curve, keys = pr_curve(flags, annotations), _curve_keys(flags)
+    order = Window.partitionBy(*keys).orderBy("k")
+    # From the end on: Spark computes a frame up to the last row anew for each row.
+    best = F.max("precision").over(Window.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
     before = F.coalesce(F.lag("recall").over(order), F.lit(-1.0))
     steps = curve.withColumn("best", best).withColumn("before", before).where("recall > before")
     reached = lambda r: F.size(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: i * F.lit(0.01) <= r))
-    sums = steps.groupBy("model", "class_id").agg(F.sum(F.col("best") * (reached(F.col("recall")) - reached(F.col("before")))).alias("s"))
+    sums = steps.groupBy(*keys).agg(F.sum(F.col("best") * (reached(F.col("recall")) - reached(F.col("before")))).alias("s"))
     grid = annotations.select("class_id").distinct().join(F.broadcast(models if models is not None else flags.select("model").distinct()))
-    return grid.join(sums, ["model", "class_id"], "left").select("model", "class_id", _r(F.coalesce("s", F.lit(0.0)) / LEVELS).alias("ap"))
+    if thresholds is not None:
+        grid = grid.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    elif "threshold" in keys:
+        grid = grid.join(F.broadcast(flags.select("threshold").distinct()))
+    return grid.join(sums, keys, "left").select(*keys, (F.coalesce("s", F.lit(0.0)) / LEVELS).alias("ap"))
 
 
 def mean_ap(ap: DataFrame) -> DataFrame:
     return ap.groupBy("model").agg(_r(F.avg("ap")).alias("map"))
 
 
+def averaged_precision(pairs: DataFrame, predictions: DataFrame, annotations: DataFrame, points: bool = False, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """AP over ten thresholds from candidate ``pairs``: (model, class_id, primary, ap), its mean over thresholds, and (model, ap50, map50_95), or map100, map100_10 of points."""
+    thresholds, similarity = (POINT_GRID, "distance") if points else (IOU_GRID, "iou")
+    primary, mean = ("map100", "map100_10") if points else ("ap50", "map50_95")
+    models = models if models is not None else predictions.select("model").distinct()
+    ap = _exact_ap(flags_at(pairs, predictions, thresholds, similarity, points), annotations, models, thresholds)
+    first = F.avg(F.when(F.col("threshold") == thresholds[0], F.col("ap")))
+    classes = ap.groupBy("model", "class_id").agg(_r(first).alias(primary), _r(F.avg("ap")).alias("ap"))
+    return classes, ap.groupBy("model").agg(_r(first).alias(primary), _r(F.avg("ap")).alias(mean))
+
+
 def binary_breakdown(cases: DataFrame) -> DataFrame:
     """Mask scores of each model: micro Dice and IoU, positive cases only, and presence; null where undefined."""
     pos, empty, seen = F.col("n_ref") > 0, F.col("n_ref") == 0, F.col("n_pred") > 0

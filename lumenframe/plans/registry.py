@@ -615,6 +615,32 @@ def greedy_matching(spark, d):
     return matching.greedy_matching(metrics.candidates(*tables(spark, d, "annotations", "predictions")))
 
 
+@query()
+def pr_curve_thresholds(spark, d):
+    a, p = tables(spark, d, "annotations", "predictions")
+    return metrics.pr_curve(metrics.flags_at(metrics.candidates(a, p), p), a)
+
+
+@query()
+def average_precision_thresholds(spark, d):
+    a, p = tables(spark, d, "annotations", "predictions")
+    return metrics.averaged_precision(metrics.candidates(a, p), p, a)[0]
+
+
+@query()
+def mean_average_precision_thresholds(spark, d):
+    a, p = tables(spark, d, "annotations", "predictions")
+    return metrics.averaged_precision(metrics.candidates(a, p), p, a)[1]
+
+
+@query()
+def mean_average_precision_points(spark, d):
+    centre = [((F.col("x1") + F.col("x2")) / 2).alias("px"), ((F.col("y1") + F.col("y2")) / 2).alias("py")]
+    a, p = (t.select("*", *centre) for t in tables(spark, d, "annotations", "predictions"))
+    a = a.withColumn("radius", F.lit(8.0))
+    return metrics.averaged_precision(metrics.point_candidates(a, p), p, a, points=True)[1]
+
+
 @query()
 def nearest_matching(spark, d):
     a, p = tables(spark, d, "annotations", "predictions")

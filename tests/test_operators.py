@@ -46,6 +46,57 @@ def test_optimal_and_greedy_on_tables(spark):
     assert best.count() >= matching.greedy_matching(pairs).count()
 
 
+def slow_averaged(truth, preds, thresholds, value, points):
+    """{class: [ap by threshold]} of one model: lists of (image, idx, class, shape[, score]); by the definition."""
+    out = {}
+    for c in sorted({g[2] for g in truth}):
+        n = sum(g[2] == c for g in truth)
+        for t in thresholds:
+            used, tps = set(), []
+            for p in sorted((p for p in preds if p[2] == c), key=lambda p: (-p[4], p[0], p[1])):
+                found = [(value(g[3], p[3]), g[1]) for g in truth if g[0] == p[0] and g[2] == c and (g[0], g[1]) not in used]
+                found = [x for x in found if (x[0] <= t if points else x[0] >= t)]
+                if found:
+                    used.add((p[0], (min if points else max)(found)[1]))
+                tps.append(bool(found))
+            ctp = np.cumsum(tps)
+            recall, precision = ctp / n, ctp / np.arange(1, len(tps) + 1)
+            out.setdefault(c, []).append(float(np.mean([max(precision[recall >= i * 0.01], default=0.0) for i in range(101)])))
+    return out
+
+
+@pytest.mark.parametrize("points", [False, True])
+def test_averaged_precision(spark, points):
+    """Greedy matching at each of ten thresholds, against brute force, where predictions compete for truths."""
+    rng = random.Random(4)
+    box = lambda x, y, w: (float(x), float(y), float(x + w), float(y + w))
+    truth = [(i, k, rng.randrange(2), box(rng.randrange(14), rng.randrange(9), 10)) for i in range(12) for k in range(4)]
+    preds = [(i, 2 * k + h, c, box(b[0] + rng.randrange(-3, 4), b[1] + rng.randrange(-2, 3), 10), rng.randrange(8) / 8) for i, k, c, b in truth for h in range(2)]
+    preds.append((3, 90, 7, box(0, 0, 10), 0.9))  # a class without truth
+    truth.append((3, 90, 5, box(0, 0, 10)))  # a class without predictions
+
+    def value(g, p):
+        if points:
+            return float(np.hypot(g[0] - p[0], g[1] - p[1])) / 4.0
+        inter = max(0.0, min(g[2], p[2]) - max(g[0], p[0])) * max(0.0, min(g[3], p[3]) - max(g[1], p[1]))
+        return inter / (200.0 - inter)
+
+    grid = [round(1.0 - 0.1 * i, 1) for i in range(10)] if points else [round(0.5 + 0.05 * i, 2) for i in range(10)]
+    want = slow_averaged(truth, preds, grid, value, points)
+    centre = [((F.col("x1") + F.col("x2")) / 2).alias("px"), ((F.col("y1") + F.col("y2")) / 2).alias("py")]
+    a = spark.createDataFrame([(i, k, c, *b) for i, k, c, b in truth], "image_id long, ann_idx int, class_id int, x1 double, y1 double, x2 double, y2 double").select("*", *centre, F.lit(4.0).alias("radius"))
+    p = spark.createDataFrame([("m", i, k, c, *b, s) for i, k, c, b, s in preds], "model string, image_id long, pred_idx int, class_id int, x1 double, y1 double, x2 double, y2 double, score double").select("*", *centre)
+    pairs = metrics.point_candidates(a, p) if points else metrics.candidates(a, p)
+    classes, total = metrics.averaged_precision(pairs, p, a, points)
+    first, mean = ("map100", "map100_10") if points else ("ap50", "map50_95")
+    got = {r["class_id"]: (r[first], r["ap"]) for r in classes.collect()}
+    assert set(got) == set(want) == {0, 1, 5} and got[5] == (0.0, 0.0)
+    assert all(got[c] == pytest.approx((v[0], np.mean(v)), abs=1e-6) for c, v in want.items())
+    row = total.first()
+    assert row[first] == pytest.approx(np.mean([v[0] for v in want.values()]), abs=1e-6)
+    assert row[mean] == pytest.approx(np.mean(list(want.values())), abs=1e-6) and row[mean] < row[first]
+
+
 def test_suppression():
     boxes = np.array([[0, 0, 10, 10], [5, 0, 15, 10], [10, 0, 20, 10], [40, 40, 50, 50]], float)
     scores, classes = np.array([0.9, 0.8, 0.7, 0.6]), np.zeros(4, int)
