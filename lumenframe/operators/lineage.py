@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 from lumenframe.functions.text import frozen_id
 
 
-def trace(lineage: DataFrame, most: int = 32) -> DataFrame:
+def trace(lineage: DataFrame) -> DataFrame:
     """(node_id, root_id, depth, chain) of nodes (node_id, parent_id, dataset_name): pointers are doubled, so log2(depth) joins do.
 
-    A node on a cycle, or behind one, has no root and is left out; ``most`` bounds the depth.
+    A node on a cycle, or behind one, has no root and is left out: doubling goes on, each step
+    written to the checkpoint folder if there is one, until no further node ends.
     """
+    shared = lineage.sparkSession.sparkContext.getCheckpointDir()
     now = lineage.select("node_id", F.coalesce("parent_id", "node_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.array("dataset_name").alias("chain"), F.col("parent_id").isNull().alias("done"))
-    reach = 1
-    while reach < most:
+    left = None
+    while True:
+        now = now.checkpoint() if shared else now.localCheckpoint()
+        unsettled = now.where(~F.col("done")).count()
+        # A chain that ends has a node at every depth below its own, so each step ends some.
+        if unsettled in (0, left):
+            break
+        left = unsettled
         above = now.select(F.col("node_id").alias("u"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"), F.col("chain").alias("u_chain"), F.col("done").alias("u_done"))
         both = now.join(above, now["up"] == above["u"], "left")
         go = ~F.col("done")
         now = both.select("node_id", F.when(go, F.col("u_up")).otherwise(F.col("up")).alias("up"), F.when(go, F.col("depth") + F.col("u_depth")).otherwise(F.col("depth")).alias("depth"), F.when(go, F.concat("chain", "u_chain")).otherwise(F.col("chain")).alias("chain"), (F.col("done") | F.coalesce("u_done", F.lit(False))).alias("done"))
-        reach *= 2
     return now.where("done").select("node_id", F.col("up").alias("root_id"), "depth", F.array_join("chain", ">").alias("chain"))
 
 

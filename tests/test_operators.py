@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text
-from lumenframe.operators import matching, metrics, planning, raster, stats, tiling
+from lumenframe.operators import lineage, matching, metrics, planning, raster, stats, tiling
 from lumenframe.plans.fixtures import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -191,6 +191,14 @@ def test_coverage_tiles_hold_every_object(spark):
     assert seen == a.join(s, "image_id", "left_semi").count()
 
 
+def test_lineage_of_any_depth(spark):
+    """Chains of more than 32 steps keep all rows; only cycles, what is behind them and lost parents are left out."""
+    rows = [(i, i - 1 if i else None, f"d{i}") for i in range(101)] + [(200, 201, "c"), (201, 202, "c"), (202, 200, "c"), (203, 200, "behind"), (300, 999, "lost")]
+    got = {r["node_id"]: (r["root_id"], r["depth"], r["chain"]) for r in lineage.trace(spark.createDataFrame(rows, "node_id long, parent_id long, dataset_name string")).collect()}
+    assert got == {i: (0, i, ">".join(f"d{k}" for k in range(i, -1, -1))) for i in range(101)}
+    assert lineage.trace(spark.createDataFrame(rows[-5:], "node_id long, parent_id long, dataset_name string")).isEmpty()
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a b/ç",), ("x" * 100,)], "s string")
     rows = [r[0] for r in df.select(text.slug(F.col("s"))).collect()]
