@@ -86,7 +86,7 @@ N_FEATURES = 1 << 10
 
 def shape(token: str) -> str:
     """Letters to a or A, digits to 0, runs of over four shortened to the count's class."""
-    kinds = "".join("0" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:80])
+    kinds = "".join("0" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
     out = []
     for c, run in groupby(kinds):
         n = len(list(run))
@@ -121,11 +121,12 @@ class Crf:
 
     def __init__(self, emit: np.ndarray, trans: np.ndarray) -> None:
         self.emit, self.trans = emit, trans
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str | bytes, np.ndarray] = {}
 
     def scores(self, token: str) -> np.ndarray:
         core = token.strip(TRIM)
-        key = core if len(core) < 40 else core[:80] + str(len(core))
+        # A digest in place of a long token bounds the memo; it is no text, so it equals no short one.
+        key = core if len(core) < 40 else hashlib.blake2b(core.encode(), digest_size=16).digest()
         if (got := self.memo.get(key)) is None:
             if len(self.memo) > 50_000:
                 self.memo.clear()

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -209,6 +210,19 @@ def test_language_id_odd(spark, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_pii_long_tokens_keep_their_own_scores():
+    """Scores of a long token come from all of it, whatever token came before."""
+    rng = np.random.default_rng(0)
+    emit, trans = rng.normal(size=(pii.N_FEATURES, len(pii.KINDS) + 1)), np.zeros((len(pii.KINDS) + 1,) * 2)
+    head = "1" + "a-" * 40
+    a, b, c = head + "xxxxxxxxxx", head + "1234.5@6.7", head + "AbAbAbAbAb"
+    together = pii.Crf(emit, trans)
+    got = [together.scores(t) for t in (a, b, c)]
+    for t, scores in zip((a, b, c), got, strict=True):
+        assert np.array_equal(scores, pii.Crf(emit, trans).scores(t))
+    assert len({pii.shape(t) for t in (a, b, c)}) == 3
+
+
 def test_language_id_long_texts(spark):
     """Clean texts of 1 MB and more are called and stay, and the margin does not fall with length."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null")
