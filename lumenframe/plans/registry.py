@@ -599,6 +599,11 @@ def area_pool(spark, d):
     return raster.area_pool(pixels, 4).select("image_id", "y", "x", F.round("value", 6).alias("value"))
 
 
+@query()
+def content_fingerprint_sha256(spark, d):
+    return summary.content_fingerprint(table(spark, d, "samples"), "group_key", ["image_id", "relative_path", "split", "width", "height"])
+
+
 @query()
 def overlap_matching(spark, d):
     edges = mask_overlap(spark, d)
@@ -670,13 +675,13 @@ def _cluster_scores(spark, d):
 
 @query()
 def bootstrap_interval(spark, d):
-    return stats.bootstrap_intervals(_cluster_scores(spark, d), "dice", 2000)
+    return stats.bootstrap_intervals(_cluster_scores(spark, d), "dice")
 
 
 @query()
 def paired_bootstrap(spark, d):
     pairs = metrics.model_pairs(metrics.case_dice(table(spark, d, "cases")), "case_id", "dice").withColumnRenamed("case_id", "key")
-    return stats.paired_bootstrap(pairs, 2000)
+    return stats.paired_bootstrap(pairs)
 
 
 @query()
@@ -731,7 +736,7 @@ def rasterise_polygons(spark, d):
 
 @query()
 def feather_stitch(spark, d):
-    s = table(spark, d, "samples").where("split = 'test'")
+    s = table(spark, d, "samples")
     small = tiling.grid_tiles(s.select("image_id", "split", F.lit(12).alias("width"), F.lit(8).alias("height")), 8, 0.5)
     value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % 7) * 1.0 + F.col("tile"))
     return raster.feather_stitch(small.select("image_id", "x1", "y1", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), value.alias("values")))

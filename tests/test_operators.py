@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import random
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import text
 from lumenframe.operators import lineage, matching, metrics, planning, raster, stats, tiling
+from lumenframe.plans import registry
 from lumenframe.plans.fixtures import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -199,6 +202,26 @@ def test_lineage_of_any_depth(spark):
     assert lineage.trace(spark.createDataFrame(rows[-5:], "node_id long, parent_id long, dataset_name string")).isEmpty()
 
 
+def test_fingerprint_query_returns_the_digest(spark):
+    names, groups = ["image_id", "relative_path", "split", "width", "height"], {}
+    for r in table(spark, SMALL, "samples").collect():
+        sha = hashlib.sha256(json.dumps({c: r[c] for c in names}, separators=(",", ":")).encode()).hexdigest()
+        groups.setdefault(r["group_key"], []).append([int(sha[12 * i : 12 * i + 12], 16) for i in range(4)])
+    want = {g: (len(x), hashlib.sha256(":".join(map(str, [len(x), *map(sum, zip(*x, strict=True))])).encode()).hexdigest()) for g, x in groups.items()}
+    assert {r["group_key"]: (r["n"], r["fingerprint"]) for r in registry.QUERIES["content_fingerprint_sha256"](spark, SMALL).collect()} == want
+
+
+def test_queries_resample_and_stitch_in_full(spark, monkeypatch):
+    seen = []
+    whole = stats.resampled_means
+    monkeypatch.setattr(stats, "bootstrap_intervals", lambda scores, value, resamples=stats.RESAMPLES: seen.append(resamples))
+    monkeypatch.setattr(stats, "paired_bootstrap", lambda pairs, resamples=stats.RESAMPLES: seen.append(resamples))
+    registry.QUERIES["bootstrap_interval"](spark, SMALL), registry.QUERIES["paired_bootstrap"](spark, SMALL)
+    assert seen == [10_000, 10_000] and len(whole(np.arange(5.0), np.random.default_rng(0), seen[0])) == 10_000
+    images = registry.QUERIES["feather_stitch"](spark, SMALL).select("image_id").distinct()
+    assert images.count() == table(spark, SMALL, "samples").count()
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a b/ç",), ("x" * 100,)], "s string")
     rows = [r[0] for r in df.select(text.slug(F.col("s"))).collect()]
