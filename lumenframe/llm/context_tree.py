@@ -8,9 +8,9 @@ depths weigh in, each node by its posterior. The code length of a text under the
 is the sum over its bytes and one end symbol (0xFF, in no UTF-8 text); zero
 bytes stand before its start.
 
-Documents are dealt to blocks. A block counts its own words and its distinct
-(depth + 1)-grams once; global counts come from one shuffle by word or gram; and
-only what a block cannot know goes back to it. The tree is built where grams that
+Documents are dealt to blocks. A block counts its own words, which are compared
+as they are, and its distinct (depth + 1)-grams once; global counts come from
+one shuffle by word or gram; and only what a block cannot know goes back to it. The tree is built where grams that
 share their two latest context bytes meet, which bounds a group by the alphabet;
 what lies above has at most 256 x 255 nodes.
 
@@ -23,23 +23,23 @@ a text over 64 kB is a block of its own.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import base, if_small, stored
 from lumenframe.llm.language_id import held_out
-from lumenframe.llm.word_windows import word_hashes
 
 DEPTH = 3
 #: Documents of a block, and the bytes over which one is a block of its own.
 BLOCK_ROWS, LONG = 3000, 1 << 16
-#: The end token among word hashes.
-END = np.uint64(1)
-WORD, GRAM, STAT = 0, 1, 2
+#: The end token; no word is empty.
+END = b""
 #: Nodes of one byte's binary decomposition: numbers 1 to 255.
 NODES = 256
 
@@ -75,29 +75,37 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return g[at], sizes
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Hashes of a text's words, A-Z lower-cased, and the end token."""
-    return np.append(word_hashes(text.lower()), END)
+def tokens(text: bytes) -> list[bytes]:
+    """A text's words, A-Z lower-cased, and the end token."""
+    return [*text.lower().split(), END]
 
 
 def own_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, k, block, c): each block's distinct words and grams with their counts in training documents."""
+    """(word, gram, block, c): each block's distinct words and grams, the other of the two null, with their counts in training documents."""
+
+    def batch_of(words: list[bytes] | None, k: np.ndarray | None, block: int, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(c), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            n = len(c[part])
+            word = pa.nulls(n, pa.binary()) if words is None else pa.array(words[part], pa.binary())
+            gram = pa.nulls(n, pa.int64()) if k is None else pa.array(k[part])
+            yield pa.RecordBatch.from_arrays([word, gram, pa.array(np.full(n, block, np.int64)), pa.array(c[part].astype(np.int64))], ["word", "gram", "block", "c"])
 
     def count(block: int, texts: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
-        for kind in (WORD, GRAM):
-            parts = [tokens(t).view(np.int64) for t in texts] if kind == WORD else None
-            if kind == WORD:
-                values, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
-            else:
-                values, sizes = grams(texts, depth)
-            known = np.repeat(np.array(train), sizes)
-            k, c = np.unique(values[known], return_counts=True)
-            rest = np.setdiff1d(values[~known], k)
-            k, c = np.concatenate([k, rest]), np.concatenate([c, np.zeros(len(rest), np.int64)])
-            for i in range(0, len(k), 1 << 17):
-                part = slice(i, i + (1 << 17))
-                n = len(k[part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(k[part]), pa.array(np.full(n, block, np.int64)), pa.array(c[part].astype(np.int64))], ["kind", "k", "block", "c"])
+        known: Counter[bytes] = Counter()
+        for text, t in zip(texts, train, strict=True):
+            if t:
+                known.update(tokens(text))
+        for text, t in zip(texts, train, strict=True):
+            if not t:
+                for w in tokens(text):
+                    known.setdefault(w, 0)
+        yield from batch_of(list(known), None, block, np.array(list(known.values()), np.int64))
+        values, sizes = grams(texts, depth)
+        seen = np.repeat(np.array(train), sizes)
+        k, c = np.unique(values[seen], return_counts=True)
+        rest = np.setdiff1d(values[~seen], k)
+        yield from batch_of(None, np.concatenate([k, rest]), block, np.concatenate([c, np.zeros(len(rest), np.int64)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts, train = None, [], []
@@ -111,41 +119,7 @@ def own_counts(docs: DataFrame, depth: int) -> DataFrame:
         if texts:
             yield from count(now, texts, train)
 
-    return docs.select("block", "text", "held_out").mapInArrow(run, "kind int, k long, block long, c long")
-
-
-def word_totals(counts: DataFrame) -> DataFrame:
-    """(kind, k, block, v): totals of words where a block's own count is not all of it; and (STAT, 0 or 1, 0, v): parts of the number of training tokens and of distinct ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        total = distinct = 0
-
-        def settle(table: pa.Table) -> pa.RecordBatch:
-            nonlocal total, distinct
-            k, block, c = (table[x].to_numpy() for x in ("k", "block", "c"))
-            new = np.append(True, k[1:] != k[:-1])
-            sums = np.add.reduceat(c, np.nonzero(new)[0])
-            total += int(sums.sum())
-            distinct += int((sums > 0).sum())
-            each = sums[np.cumsum(new) - 1]
-            tell = each != c
-            return pa.RecordBatch.from_arrays([pa.array(np.full(tell.sum(), WORD, np.int32)), pa.array(k[tell]), pa.array(block[tell]), pa.array(each[tell].astype(np.float64))], ["kind", "k", "block", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
-            k = table["k"].to_numpy()
-            done = int(np.searchsorted(k, k[-1], side="left"))
-            if done:
-                yield settle(table.slice(0, done))
-            held = [table.slice(done)]
-        if held and held[0].num_rows:
-            yield settle(held[0])
-        yield pa.RecordBatch.from_arrays([pa.array([STAT, STAT], pa.int32()), pa.array([0, 1], pa.int64()), pa.array([0, 0], pa.int64()), pa.array([float(total), float(distinct)])], ["kind", "k", "block", "v"])
-
-    return counts.where(F.col("kind") == WORD).select("k", "block", "c").repartition("k").sortWithinPartitions("k").mapInArrow(run, "kind int, k long, block long, v double")
+    return docs.select("block", "text", "held_out").mapInArrow(run, "word binary, gram long, block long, c long")
 
 
 class Level:
@@ -222,7 +196,7 @@ def top_levels(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.n
 
 def gram_lengths(spark: SparkSession, counts: DataFrame, depth: int) -> DataFrame:
     """(k, v): ln probability of each gram's newest byte."""
-    total = stored(spark, counts.where(F.col("kind") == GRAM).groupBy("k").agg(F.sum("c").alias("c")), "ctw-grams")
+    total = stored(spark, counts.where("gram is not null").groupBy(F.col("gram").alias("k")).agg(F.sum("c").alias("c")), "ctw-grams")
     # Grams with the same two latest context bytes meet.
     grouped = total.repartition(F.shiftright("k", 8).bitwiseAND(F.lit(0xFFFF)))
 
@@ -265,37 +239,40 @@ def score(spark: SparkSession, documents: DataFrame, folds: int = 7, fold: int =
     place = F.when(F.octet_length("text") > LONG, F.col("_metadata.row_index") + (1 << 40)).otherwise(F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
     docs = kept.select("doc_id", "text", "held_out", F.xxhash64("_metadata.file_path", place).alias("block"))
     counts = stored(spark, own_counts(docs, depth), "ctw-counts")
-    words = stored(spark, word_totals(counts), "ctw-words")
-    stat = {r["k"]: r["v"] for r in words.where(F.col("kind") == STAT).groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    total, distinct = int(stat.get(0, 0)), int(stat.get(1, 0))
+    words = counts.where("word is not null").select("word", "block", "c")
+    by_word = words.groupBy("word").agg(F.sum("c").alias("c"))
+    stat = by_word.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total, distinct = stat["n"] or 0, stat["v"]
     lengths = gram_lengths(spark, counts, depth)
-    asked = counts.where(F.col("kind") == GRAM).select("k", "block").join(if_small(lengths, 32), "k").select(F.lit(GRAM).alias("kind"), "k", "block", "v")
-    told = words.where(F.col("kind") == WORD).select("kind", "k", "block", "v").unionByName(asked)
+    asked = counts.where("gram is not null").select(F.col("gram").alias("k"), "block").join(if_small(lengths, 32), "k").select(F.lit(None).cast("binary").alias("word"), F.col("k").alias("gram"), "block", "v")
+    # A block knows its own counts: only totals that differ go back.
+    all_of = F.sum("c").over(Window.partitionBy("word"))
+    told = words.withColumn("v", all_of).where("v != c").select("word", F.lit(None).cast("long").alias("gram"), "block", F.col("v").cast("double").alias("v")).unionByName(asked)
     unit = math.log10(total + distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [t.as_py().encode() for t in left["text"]]
-        kind, k, v = (right[c].to_numpy() for c in ("kind", "k", "v"))
-        parts = [tokens(t).view(np.int64) for t in texts]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        w = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        train = np.repeat(~left["held_out"].to_numpy(zero_copy_only=False), sizes)
-        known, place = np.unique(w, return_inverse=True)
-        c = np.bincount(place, train, len(known))  # the block's own counts, where no other is told
-        told_k, told_v = k[kind == WORD], v[kind == WORD]
-        c[np.searchsorted(known, told_k)] = told_v
-        c = c[place]
-        first = np.cumsum(sizes) - sizes
-        n_known = np.add.reduceat((c > 0).astype(np.int64), first) if len(w) else sizes
-        base_score = np.add.reduceat(np.log10(c + 1), first) - sizes * unit if len(w) else sizes.astype(float)
+        of_word = pa.compute.is_valid(right["word"])
+        known: Counter[bytes] = Counter()  # the block's own counts, where no other is told
+        for text, held in zip(texts, left["held_out"].to_pylist(), strict=True):
+            if not held:
+                known.update(tokens(text))
+        told_words = right.filter(of_word)
+        known.update(dict(zip(told_words["word"].to_pylist(), [int(v) - known.get(w, 0) for w, v in zip(told_words["word"].to_pylist(), told_words["v"].to_pylist(), strict=True)], strict=True)))
+        sizes, n_known, base_score = [], [], []
+        for text in texts:
+            ws = tokens(text)
+            c = np.array([known.get(w, 0) for w in ws], np.int64)
+            sizes.append(len(ws)), n_known.append(int((c > 0).sum())), base_score.append(float(np.log10(c + 1).sum()) - len(ws) * unit)
         g, n = grams(texts, depth)
-        gk, gv = k[kind == GRAM], v[kind == GRAM]
+        told_grams = right.filter(pa.compute.invert(of_word))
+        gk, gv = told_grams["gram"].to_numpy(), told_grams["v"].to_numpy()
         order = np.argsort(gk)
         values = gv[order][np.searchsorted(gk[order], g)]
         natural = np.add.reduceat(values, np.cumsum(n) - n) if len(g) else n.astype(float)
         return pa.table({
-            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(sizes), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(texts), total, np.int64)),
-            "base_score": pa.array(base_score), "score": pa.array(natural / math.log(10)), "bits_per_byte": pa.array(-natural / math.log(2) / n),
+            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(texts), total, np.int64)),
+            "base_score": pa.array(base_score, pa.float64()), "score": pa.array(natural / math.log(10)), "bits_per_byte": pa.array(-natural / math.log(2) / n),
         })
 
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"

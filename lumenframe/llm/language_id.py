@@ -23,10 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import small_batches
+
 UNKNOWN = "und"
-#: Content of each language's dictionary, in bytes, and the most that one document adds to it.
-DICT_BYTES = 32 << 10
-DOC_BYTES = 2 << 10
+#: Most bytes of whole sampled texts that fill a language's dictionary; one text alone may be larger.
+DICT_BYTES = 64 << 10
 #: Bytes of a text that are compressed at a time.
 PIECE_BYTES = 16 << 10
 #: Most labelled rows of a language that are looked at: the bound of the training sample.
@@ -45,6 +46,10 @@ def letters(text: str) -> bytes:
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary content by language, the most frequent first, from rows (doc_id, text, lang) with text and lang.
 
+    Of a language's rows, ``sample_rows`` are drawn by hash, shorter than a
+    dictionary before longer ones; their texts fill it whole, in that order, as
+    long as they fit.
+
     A first aggregation counts each language; then only rows whose hash falls
     under a language's share of ``sample_rows`` are moved, so no language is
     ever sorted or gathered as a whole.
@@ -56,14 +61,19 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT
     share = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, min(1.0, 3 * sample_rows / n))])
     unit = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = rows.where(unit < share[F.col("lang")]).groupBy("lang", "text").agg(F.min("h").alias("h"))
-    # One document gives an excerpt to the dictionary; predictions read whole texts.
-    near = near.select("lang", F.expr(f"substring(text, 1, {DOC_BYTES})").alias("text"), F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")).alias("k"))
+    # Whole texts only: those that a dictionary can hold come first.
+    size = F.octet_length("text")
+    order = Window.partitionBy("lang").orderBy(F.greatest(size, F.lit(dict_bytes)), "h", "text")
+    near = near.select("lang", "text", F.row_number().over(order).alias("k"))
     picked: dict[str, list[tuple[int, bytes]]] = {}
     for r in near.where(F.col("k") <= sample_rows).collect():
-        picked.setdefault(r["lang"], []).append((r["k"], letters(r["text"])[:DOC_BYTES]))
+        picked.setdefault(r["lang"], []).append((r["k"], letters(r["text"])))
     out = {}
     for lang, texts in sorted(picked.items(), key=lambda x: (-count[x[0]], x[0])):
-        content = b" ".join(t for _, t in sorted(texts))[:dict_bytes]
+        content = b""
+        for _, t in sorted(texts):
+            if not content or len(content) + 1 + len(t) <= dict_bytes:
+                content = content + b" " + t if content else t
         if len(content) >= 8:  # the least that zstandard takes
             out[lang] = content
     return out
@@ -103,6 +113,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MA
             margins = [m for _, m in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p for p, _ in found], pa.string()), pa.array(margins, pa.float64()), pa.array([m < min_margin for m in margins], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
@@ -116,6 +127,7 @@ def accepted(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
         for batch in batches:
             yield batch.filter(pa.array([coders.classify(text.as_py())[1] >= min_margin for text in batch.column(place)], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

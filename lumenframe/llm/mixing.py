@@ -6,7 +6,7 @@ expected token total of each domain, ``sum_d rate_d n_d p_d``, matches its
 target: least squares in the metric of the domains' token-weighted Gram
 matrix, by projected gradient steps from rate 1. A rate follows from the
 document's posterior and the few gradient vectors of the steps so far, so a
-step is one scan of the stored posteriors and sends a vector a task.
+step is one aggregation over the stored posteriors.
 
 Domains: ``clean`` (quality 1, not toxic), ``low`` (quality 0, not toxic) and
 ``toxic``.
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from lumenframe.llm.common import base, stored
+from lumenframe.llm.common import base, fresh, small_batches, stored
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.9, "low": 0.1, "toxic": 0.0}
@@ -57,13 +57,13 @@ def features(text: str) -> tuple[np.ndarray, int]:
     return np.fromiter(ids, np.int64, len(ids)), n
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 120, l2: float = 2e-3) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 120, l2: float = 2e-3) -> np.ndarray:
     """Multinomial logistic regression over feature presence: (BUCKETS + 1) x domains, the last row the bias."""
     k = len(DOMAINS)
     weights = np.zeros((BUCKETS + 1, k), np.float32)
     if not rows:
         return weights
-    sets = [features(t)[0] for t, _ in rows]
+    sets = [f for f, _ in rows]
     y = np.array([d for _, d in rows])
     seen = np.bincount(np.concatenate(sets), minlength=BUCKETS) if sets else np.zeros(BUCKETS)
     used = np.nonzero(seen >= MIN_DOCS)[0]
@@ -90,8 +90,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 120, l2: float = 2e-3) -> np.
     return weights
 
 
-def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """At most ``fit_rows`` labelled texts of each domain, those with the smallest hashes."""
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[np.ndarray, int]]:
+    """(features, domain) of at most ``fit_rows`` labelled documents of each domain, those with the smallest hashes; taken from whole texts on the executors."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("x")).select("doc_id", "x.quality", "x.toxic")
     marks = marks.select("doc_id", domain.alias("domain"), F.xxhash64("doc_id").alias("h"))
@@ -100,9 +100,17 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> li
         return []
     share = F.create_map(*[F.lit(x) for d, n in count.items() for x in (d, min(1.0, fit_rows / n))])
     chosen = marks.where(F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col("domain")])
-    # At most about fit_rows of each domain: small enough to broadcast by construction.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("h", "domain", "text").collect()
-    return [(r["text"], r["domain"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))]
+    # About fit_rows of each domain at most: small enough to broadcast by construction. Ids may repeat; rows are counted.
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("h", "domain", F.xxhash64("text").alias("th"), "text")
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("h", "th"))).where(F.col("k") <= fit_rows).drop("k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t.as_py())[0].astype(np.int32).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "th", "domain")), pa.array(found, pa.binary())], ["h", "th", "domain", "ids"])
+
+    got = first.mapInArrow(run, "h long, th long, domain int, ids binary").collect()
+    return [(np.frombuffer(r["ids"], np.int32).astype(np.int64), r["domain"]) for r in sorted(got, key=lambda r: (r["h"], r["th"]))]
 
 
 def posterior(text: str, weights: np.ndarray) -> tuple[np.ndarray, int]:
@@ -113,103 +121,88 @@ def posterior(text: str, weights: np.ndarray) -> tuple[np.ndarray, int]:
     return p / p.sum(), n
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, th, n_tokens, p array<double>) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def posteriors(spark: SparkSession, rows: DataFrame, text: str, keep: list[str], weights: np.ndarray, n: str = "n_tokens", p: str = "p") -> DataFrame:
+    """The columns ``keep`` of ``rows`` with each text's number of words ``n`` and posterior ``p``, stored."""
+    sent = spark.sparkContext.broadcast(weights)
+    places, at = [rows.columns.index(c) for c in keep], rows.columns.index(text)
+    k = len(DOMAINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            ns, ps = [], []
-            for text in batch.column("text"):
-                p, n = posterior(text.as_py(), w)
-                ns.append(n), ps.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(ns, pa.int64()), pa.array([p.tolist() for p in ps], pa.list_(pa.float64()))], ["doc_id", "th", "n_tokens", "p"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_tokens long, p array<double>")
+            found = [posterior(t.as_py() or "", w) for t in batch.column(at)]
+            flat = pa.array(np.concatenate([x for x, _ in found]) if found else np.zeros(0))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * k, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array([x for _, x in found], pa.int64()), lists], [*keep, n, p])
 
+    small_batches(spark)
+    schema = StructType([*(rows.schema.fields[i] for i in places), StructField(n, LongType()), StructField(p, ArrayType(DoubleType()))])
+    soft = stored(spark, rows.mapInArrow(run, schema), "mixing-soft")
+    sent.destroy()
+    return soft
 
-def matrix(column: pa.Array, k: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
+def replay(p: str, steps: np.ndarray) -> F.Column:
+    """Rates after the given gradient steps, from 1, of posteriors in the column ``p``."""
+    rate = F.lit(1.0)
+    if not len(steps):
+        return rate
+    vectors = F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in steps))
 
-def replay(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after the given gradient steps, from 1."""
-    rate = np.ones(len(p))
-    for g in steps:
-        rate = np.maximum(0.0, rate - p @ g)
-    return rate
+    def step(r: F.Column, g: F.Column) -> F.Column:
+        down = F.lit(0.0)
+        for i in range(steps.shape[1]):
+            down = down + F.col(p)[i] * g[i]
+        return F.greatest(F.lit(0.0), r - down)
 
+    return F.aggregate(vectors, rate, step)
 
-def totals(soft: DataFrame, steps: np.ndarray, k: int) -> np.ndarray:
-    """Token-weighted sums over all documents: of rate x posterior (k), and, for the Gram matrix, of posterior pairs (k x k)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k + k * k)
-        for batch in batches:
-            p, n = matrix(batch.column("p"), k), batch.column("n_tokens").to_numpy()
-            total[:k] += (n * replay(p, steps)) @ p
-            total[k:] += (p.T @ (p * n[:, None])).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
-
-    out = np.zeros(k + k * k)
-    for r in soft.select("n_tokens", "p").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-        out[r["i"]] = r["x"]
-    return out
-
-
-def fitted_steps(soft: DataFrame, target: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+def fitted_steps(soft: DataFrame, target: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, n: str = "n_tokens", p: str = "p") -> tuple[np.ndarray, np.ndarray]:
     """(gradient vectors, expected domain shares they lead to); targets are shares of all tokens."""
     k = len(target)
-    made = np.zeros((0, k))
-    now = totals(soft, made, k)
-    gram = now[k:].reshape(k, k)
-    n = gram.sum()  # posteriors add up to 1
-    if n == 0:
+    soft = soft.select(n, p)
+    pairs = soft.agg(*(F.coalesce(F.sum(F.col(n) * F.col(p)[i] * F.col(p)[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k))).first()
+    gram = np.array(list(pairs), float).reshape(k, k)
+    made, total = np.zeros((0, k)), gram.sum()  # posteriors add up to 1
+    if total == 0:
         return made, np.zeros(k)
-    metric = np.linalg.inv(gram / n + 1e-6 * np.eye(k))
-    last = None
+    metric = np.linalg.inv(gram / total + 1e-6 * np.eye(k))
+
+    def shares() -> np.ndarray:
+        rated = soft.select(n, p, replay(p, made).alias("rate"))
+        return np.array(list(rated.agg(*(F.sum(F.col(n) * F.col("rate") * F.col(p)[i]).alias(f"s{i}") for i in range(k))).first()), float) / total
+
+    share, last = shares(), None
     for _ in range(steps):
-        share = now[:k] / n
         miss = share - target
         if np.abs(miss).max() < tolerance or (last is not None and np.abs(share - last).max() < tolerance / 20):
             break
         last = share
         made = np.vstack([made, metric @ miss])
-        now = totals(soft, made, k)
-    return made, now[:k] / n
+        share = shares()
+    return made, share
 
 
-def mix(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, th, n_tokens, p, rate) of each row of ``documents``."""
-    docs = base(documents)
+def target_shares(targets: dict[str, float] | None) -> np.ndarray:
     target = np.array([(targets or TARGETS)[d] for d in DOMAINS], float)
-    soft = stored(spark, posteriors(docs, fit(labelled(docs, labels, fit_rows))), "mixing-soft")
-    steps, _ = fitted_steps(soft, target / target.sum())
+    return target / target.sum()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rate = replay(matrix(batch.column("p"), len(DOMAINS)), steps)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "n_tokens", "p")), pa.array(rate)], ["doc_id", "th", "n_tokens", "p", "rate"])
 
-    return soft.mapInArrow(run, f"doc_id {soft.schema['doc_id'].dataType.simpleString()}, th long, n_tokens long, p array<double>, rate double")
+def mix(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, n_tokens, p, rate) of each row of ``documents``."""
+    docs = base(documents)
+    soft = posteriors(spark, docs, "text", ["doc_id"], fit(labelled(docs, labels, fit_rows)))
+    steps, _ = fitted_steps(soft, target_shares(targets))
+    return soft.select("doc_id", "n_tokens", "p", replay("p", steps).alias("rate"))
 
 
 def apply_rates(spark: SparkSession, documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, fit_rows: int = FIT_ROWS, least: float = LEAST_RATE) -> DataFrame:
-    """The rows of ``documents``, all columns and ``rate``, less those whose likeliest domain has target 0 and whose rate is under ``least``: the mix leaves them out."""
-    docs = base(documents)
-    weights = fit(labelled(docs, labels, fit_rows))
-    target = np.array([(targets or TARGETS)[d] for d in DOMAINS], float)
-    steps, _ = fitted_steps(stored(spark, posteriors(docs, weights), "mixing-soft"), target / target.sum())
-    sent = spark.sparkContext.broadcast(weights)
+    """The rows of ``documents`` and their ``rate``, less those whose likeliest domain has target 0 and whose rate is under ``least``: the mix leaves them out. All columns stay, but one named rate is replaced."""
     rows = documents.drop("rate")
-    place = rows.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.array([posterior(text.as_py() or "", sent.value)[0] for text in batch.column(place)]).reshape(-1, len(DOMAINS))
-            rate = replay(p, steps)
-            stays = (rate >= least) | (target[p.argmax(1)] > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"]).filter(pa.array(stays))
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("rate", DoubleType())]))
+    n, p = fresh(rows, "n_tokens"), fresh(rows, "p")
+    soft = posteriors(spark, rows, "text", rows.columns, fit(labelled(base(documents), labels, fit_rows)), n, p)
+    target = target_shares(targets)
+    steps, _ = fitted_steps(soft, target, n=n, p=p)
+    wanted = F.array(*(F.lit(float(t)) for t in target))[F.array_position(p, F.array_max(p)).cast("int") - 1] > 0
+    return soft.withColumn("rate", replay(p, steps)).where((F.col("rate") >= least) | wanted).drop(n, p)

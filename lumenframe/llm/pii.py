@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import base
+from lumenframe.llm.common import base, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -286,7 +286,7 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """(doc_id, th, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row."""
     crf = crf or train()
     emit, trans = crf.emit, crf.trans
 
@@ -303,10 +303,10 @@ def find(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
                     counts[k].append(len(by[k]))
                 shas.append(hashlib.sha256(written(own).encode()).hexdigest())
                 spans.append(written(own + crf_spans(text, model, [s[1:] for s in own])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(shas, pa.string()), pa.array(spans, pa.string())], ["doc_id", "th", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(shas, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     rows = base(docs)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def mask(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
@@ -332,5 +332,6 @@ def mask(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
                 out.append(text)
             yield pa.array(out, pa.string())
 
+    small_batches(docs.sparkSession)
     masked = F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn("text", masked(docs["text"]))

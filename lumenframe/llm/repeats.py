@@ -1,41 +1,57 @@
 """Repeated windows of a sequence over the whole corpus: what byte and word deduplication share.
 
-A sequence is cut into super-windows: runs of consecutive windows of ``width``
-units that share a minimiser, the position of the smallest hash of ``core``
-consecutive units. Equal windows have equal minimisers, so they meet under the
-minimiser's hash, the key. Per key, super-windows that are equal as a whole are
-counted as one. Where a key has one of them only, its count decides; where it
-has several, one of each travels, packed, to the key's bucket and a kernel
-decides window by window. A key with more than ``hot`` different super-windows
-would make a bucket too large: these windows are counted one by one, by 128-bit
-digests, in aggregations that shrink before they shuffle.
-
-Nothing is dropped at any step: a key that occurs once cannot repeat. Joins are
-shuffled ones at every size; texts are compressed before they are.
+Texts are dealt to blocks of bounded size; one longer than a block is cut into
+overlapping pieces. A piece is cut into super-windows: runs of consecutive
+windows of ``width`` units that share a minimiser, the position of the smallest
+hash of ``core`` consecutive units. Equal windows have equal minimisers, so they
+meet under the minimiser's hash, the key. Super-windows that are equal as a
+whole, by a 128-bit BLAKE2 digest of their bytes, are counted within a block
+first and over all blocks then; one of each travels, packed, with its count to
+the key's bucket, where a kernel decides on every window.
+
+A key with more than ``most`` different super-windows is split by longer
+context until no bucket is larger: of ``s`` spare units, a window has half on
+one side of the core, so that half joins the core and its digest the key. After
+log2(s) such splits a bucket holds one string.
+
+Hashes only bring strings together; equality is decided on the units, or by a
+128-bit digest of them. Nothing is dropped at any step: a key that occurs once
+cannot repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import stored
+from lumenframe.llm.common import base, deleted, stored, stored_at
 
-#: Units held at once; positions in such a block take LOW bits beside the hash.
-BLOCK, LOW = 1 << 20, np.uint64(20)
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-#: Different super-windows of one key beyond which its windows are counted one by one: a bucket stays under a few MB.
-HOT = 4096
-#: n and offset of a super-window are smaller than this.
-FIELD = 1 << 10
+#: Units of a block at most; positions in a block take LOW bits beside the hash.
+BLOCK, LOW = 1 << 18, np.uint64(18)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Different strings of a bucket at most, before it is split.
+MOST = 1024
+#: Bytes of strings that a kernel sees at a time.
+BATCH_BYTES = 1 << 19
 
-Sequence = Callable[[str], np.ndarray]
+
+class Alphabet(Protocol):
+    """What a unit is. A packed text is bytes; ``spans`` gives the bytes of each unit, ``numbers`` a number a unit for the minimisers."""
+
+    def pack(self, text: str) -> bytes: ...
+
+    def spans(self, packed: bytes) -> tuple[np.ndarray, np.ndarray]: ...
+
+    def numbers(self, packed: bytes) -> np.ndarray: ...
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,27 +63,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(2)
-def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for every position of a block."""
-    inverse = pow(int(base), -1, 1 << 64)
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK, b, np.uint64)])) for b in (np.uint64(base), np.uint64(inverse)))
-
-
-class Rolling:
-    """Hashes of any stretch of a block, by prefix sums of unit * base**position."""
-
-    def __init__(self, units: np.ndarray, base: np.uint64) -> None:
-        up, self.down = powers(int(base))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * up[: len(units)], dtype=np.uint64)])
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64, for every position of a block."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK, b, np.uint64)])) for b in (BASE, inverse))
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
-    def each(self, length: int) -> np.ndarray:
-        """Of every stretch of a length."""
-        n = len(self.sums) - length
-        return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
+def rolling(units: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every stretch of a length, by prefix sums of unit * BASE**position."""
+    up, down = powers()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * up[: len(units)], dtype=np.uint64)])
+    n = len(sums) - length
+    return mixed((sums[length:] - sums[:n]) * down[:n])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -82,19 +90,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_windows(units: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tuple[np.ndarray, ...]:
-    """(piece, key, whole, start, n, offset) of the super-windows of a block of pieces, cut at ``bounds``.
+    """(piece, key, start, n, offset) of the super-windows of a block of pieces, cut at ``bounds``.
 
-    ``start``: of the first window, in the block; ``n``: windows; ``offset``:
-    of the core in the first window; ``whole``: hash of all its units and the offset.
+    ``start``: of the first window, in the block; ``n``: windows; ``offset``: of the core in the first window.
     """
-    first, second = Rolling(units, BASES[0]), Rolling(units, BASES[1])
-    hashes = first.each(core)
-    slots = width - core + 1
+    hashes = rolling(units, core)
     tagged = ((hashes >> LOW) << LOW) | np.arange(len(hashes), dtype=np.uint64)
-    at = (sliding_min(tagged, slots) & np.uint64(BLOCK - 1)).astype(np.int64)  # minimiser of each window
+    at = (sliding_min(tagged, width - core + 1) & np.uint64(BLOCK - 1)).astype(np.int64)  # minimiser of each window
     piece = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    window = np.arange(len(at))
-    inside = piece[window] == piece[window + width - 1]
+    inside = piece[: len(at)] == piece[width - 1 :]
     fresh = np.empty(len(at), bool)
     fresh[:1] = True
     fresh[1:] = (at[1:] != at[:-1]) | ~inside[:-1]
@@ -103,151 +107,149 @@ def super_windows(units: np.ndarray, bounds: np.ndarray, width: int, core: int)
     # A run ends before the next fresh or outside window.
     stops = np.nonzero(fresh | ~inside)[0]
     n = np.append(stops, len(at))[np.searchsorted(stops, start, side="right")] - start
-    offset = at[start] - start
-    key = hashes[at[start]]
-    whole = mixed(second.of(start, start + n + width - 1) + offset.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return piece[start], key.view(np.int64), whole.view(np.int64), start, n, offset
-
-
-def blocks(batches: Iterator[pa.RecordBatch], sequence: Sequence, width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Pieces of documents, long ones cut with an overlap so that each window is in one piece: ((doc_id, th, first unit), units)."""
-    held, units, total = [], [], 0
-    for batch in batches:
-        for doc_id, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True):
-            x = sequence(text.as_py())
-            for i in range(0, max(1, len(x) - width + 1), BLOCK // 2):
-                part = x[i : i + BLOCK // 2 + width - 1]
-                if len(part) < width:
-                    continue
-                if total + len(part) > BLOCK:
-                    yield held, units
-                    held, units, total = [], [], 0
-                held.append((doc_id, th, i)), units.append(part)
-                total += len(part)
-    if held:
-        yield held, units
+    return piece[start], hashes[at[start]].view(np.int64), start, n, at[start] - start
+
 
+def pieces(docs: DataFrame, letters: Alphabet, width: int) -> DataFrame:
+    """(home, block, k, row, first, doc_id, z) of each text's pieces.
 
-def occurrences(docs: DataFrame, sequence: Sequence, width: int, core: int) -> DataFrame:
-    """(doc_id, th, key, whole, place) of every super-window; see :func:`placed`."""
-    if width - core >= FIELD:
-        raise ValueError("a minimiser's window is too wide")
+    ``home``: the block of the text's first piece, where its result is put
+    together; ``k``: place in the block; ``first``: unit at which the piece
+    starts; ``z``: the packed piece as a zstandard frame.
+    """
+    step = BLOCK - width
+    names = ["home", "block", "k", "row", "first", "doc_id", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_dict_id=False).compress
+        task = TaskContext.get().partitionId() << 33
+        block, k, held, row = task, 0, 0, task
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in names}
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                packed = letters.pack(text.as_py())
+                start, end = letters.spans(packed)
+                n = len(start)
+                if held and held + n > BLOCK:
+                    block, k, held = block + 1, 0, 0
+                home = block
+                for i in range(0, max(1, n - width + 1), step) if n > BLOCK else (0,):
+                    if i:
+                        block, k = block + 1, 0
+                    part = packed[start[i] : end[min(i + step + width - 1, n) - 1]] if n > BLOCK else packed
+                    for c, x in zip(names, (home, block, k, row, i, doc_id, pack(part)), strict=True):
+                        out[c].append(x)
+                held, k, row = held + n, k + 1, row + 1
+            types = {c: pa.int64() for c in names} | {"doc_id": batch.schema.field("doc_id").type, "z": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], types[c]) for c in names], names)
 
-        def kinds(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal kind
-            for b in it:
-                kind = b.schema.field("doc_id").type
-                yield b
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"home long, block long, k long, row long, first long, doc_id {kind}, z binary")
 
-        for held, units in blocks(kinds(batches), sequence, width):
-            bounds = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-            piece, key, whole, start, n, offset = super_windows(np.concatenate(units), bounds, width, core)
-            ids, ths = pa.array([h[0] for h in held], kind), pa.array([h[1] for h in held], pa.int64())
-            pos = start - bounds[piece] + np.array([h[2] for h in held])[piece]
-            place = (pos * FIELD + n) * FIELD + offset
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(piece)), ths.take(pa.array(piece)), pa.array(key), pa.array(whole), pa.array(place)], ["doc_id", "th", "key", "whole", "place"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key long, whole long, place long")
+#: A place is the piece's number in the block and a position in the piece.
+PLACE = 1 << 20
 
 
-def placed() -> list[F.Column]:
-    """pos, n and offset of a super-window, which travel as one number."""
-    place = F.col("place")
-    return [F.floor(place / FIELD / FIELD).cast("long").alias("pos"), F.pmod(F.floor(place / FIELD), F.lit(FIELD)).cast("int").alias("n"), F.pmod(place, F.lit(FIELD)).cast("int").alias("offset")]
+def halves(digests: bytes, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joined 128-bit digests as two numbers each, with the core's offset worked in."""
+    w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return w[:, 0] ^ offset, w[:, 1]
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, th, text) with their texts as zstandard frames ``z``, for a shuffle."""
+def occurrences(table: DataFrame, letters: Alphabet, width: int, core: int) -> DataFrame:
+    """(home, block, key, w1, w2, n, offset, count, places) of each block's different super-windows."""
+
+    def solve(home: int, block: int, number: list[int], packed: list[bytes]) -> pa.RecordBatch:
+        spans = [letters.spans(p) for p in packed]
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s, _ in spans])])
+        piece, key, start, n, offset = super_windows(np.concatenate([letters.numbers(p) for p in packed]), bounds, width, core)
+        first = np.concatenate([s for s, _ in spans])[start]
+        last = np.concatenate([e for _, e in spans])[start + n + width - 2]
+        w1, w2 = halves(b"".join([blake2b(packed[i][a:b], digest_size=16).digest() for i, a, b in zip(piece.tolist(), first.tolist(), last.tolist(), strict=True)]), offset)
+        place = np.array(number)[piece] * PLACE + start - bounds[piece]
+        order = np.lexsort((w2, w1, key))
+        key, w1, w2 = key[order], w1[order], w2[order]
+        new = np.nonzero(np.append(True, (key[1:] != key[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))[0] if len(key) else np.zeros(0, np.int64)
+        ends = np.append(new, len(key))
+        columns = [np.full(len(new), home), np.full(len(new), block), key[new], w1[new], w2[new], n[order][new].astype(np.int32), offset[order][new].astype(np.int32), np.diff(ends)]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int64()))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["home", "block", "key", "w1", "w2", "n", "offset", "count", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_dict_id=False).compress
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, number, held = None, [], []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([pack(t.as_py().encode()) for t in batch.column("text")], pa.binary())], ["doc_id", "th", "z"])
+            for home, block, k, z in zip(*(batch.column(c).to_pylist() for c in ("home", "block", "k")), batch.column("z"), strict=True):
+                if (home, block) != now and sum(map(len, held)) >= width:
+                    yield from result(now, number, held)
+                if (home, block) != now:
+                    now, number, held = (home, block), [], []
+                number.append(k), held.append(unpack(z.as_py()))
+        if held:
+            yield from result(now, number, held)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, z binary")
+    def result(now: tuple[int, int], number: list[int], held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if sum(len(letters.spans(p)[0]) for p in held) >= width:
+            yield solve(*now, number, held)
 
+    return table.select("home", "block", "k", "z").mapInArrow(run, "home long, block long, key long, w1 long, w2 long, n int, offset int, count long, places array<long>")
 
-def texts(batch: pa.RecordBatch) -> Iterator[str]:
-    """The texts of a batch of compressed documents."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for z in batch.column("z"):
-        yield unpack(z.as_py()).decode()
 
+STRING = "key long, w1 long, w2 long, count long, kinds long, n int, offset int, core int, units binary"
 
-def same_doc(a: DataFrame, b: DataFrame) -> F.Column:
-    return a["doc_id"].eqNullSafe(b["d"]) & (a["th"] == b["h"])
 
+def cut_out(table: DataFrame, wanted: DataFrame, letters: Alphabet, width: int, core: int) -> DataFrame:
+    """The strings (see STRING) of super-windows ``wanted`` (block, place, key, w1, w2, count, kinds, n, offset), cut from their blocks."""
+    names = [f.split()[0] for f in STRING.split(", ")]
 
-def packed(docs: DataFrame, reps: DataFrame, pack: Callable[[str], Callable[[int, int], bytes]], width: int) -> DataFrame:
-    """(key, whole, count, kinds, pos, n, offset, doc_id, th, units) of the super-windows ``reps``, cut from their documents."""
-    wanted = reps.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("key", "whole", "count", "kinds", "pos", "n", "offset")).alias("wanted"))
-    sent = compressed(docs)
-    both = sent.join(wanted, same_doc(sent, wanted)).select("doc_id", "th", "z", "wanted")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        place = right["place"].to_numpy()
+        order = np.argsort(place // PLACE, kind="stable")
+        texts = dict(zip(left["k"].to_pylist(), left["z"], strict=True))
+        out, now, packed, start, end = [], -1, b"", None, None
+        for k, pos, n in zip((place[order] // PLACE).tolist(), (place[order] % PLACE).tolist(), right["n"].to_numpy()[order].tolist(), strict=True):
+            if k != now:
+                now, packed = k, unpack(texts[k].as_py())
+                start, end = letters.spans(packed)
+            out.append(packed[start[pos] : end[pos + n + width - 2]])
+        right = right.take(pa.array(order))
+        columns = {c: right[c] for c in names if c in right.column_names}
+        return pa.table(columns | {"core": pa.array([core] * len(out), pa.int32()), "units": pa.array(out, pa.binary())}).select(names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "whole", "count", "kinds", "pos", "n", "offset")
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in (*names, "doc_id", "th", "units")}
-            size = 0
-            for doc_id, th, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts(batch), batch.column("wanted"), strict=True):
-                cut = pack(text)
-                for w in wanted.as_py():
-                    for k in names:
-                        out[k].append(w[k])
-                    out["doc_id"].append(doc_id), out["th"].append(th), out["units"].append(cut(w["pos"], w["pos"] + w["n"] + width - 1))
-                    size += len(out["units"][-1])
-                if size > 1 << 22:
-                    yield record(out, batch)
-                    out, size = {k: [] for k in out}, 0
-            yield record(out, batch)
-
-    def record(out: dict[str, list], batch: pa.RecordBatch) -> pa.RecordBatch:
-        types = {"key": pa.int64(), "whole": pa.int64(), "count": pa.int64(), "kinds": pa.int64(), "pos": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "th": pa.int64(), "units": pa.binary(), "doc_id": batch.schema.field("doc_id").type}
-        return pa.RecordBatch.from_arrays([pa.array(out[k], types[k]) for k in out], list(out))
-
-    return both.mapInArrow(run, f"key long, whole long, count long, kinds long, pos long, n int, offset int, doc_id {kind}, th long, units binary")
-
-
-#: From a batch of whole keys (key, count, n, offset, units) to a mask over their windows, in order: whether each is repeated.
+    return table.select("block", "k", "z").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, STRING)
+
+
+#: From a batch of whole buckets (n, offset, core, count, units) to a mask over their windows, in order: whether each occurs more than once.
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]], np.ndarray]
 
 
-def in_buckets(rows: DataFrame, kernel: Kernel, batch_bytes: int) -> DataFrame:
-    """(doc_id, th, pos, n) of repeated windows' runs, of super-windows that occur once; ``kernel`` sees whole keys."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "whole")
+def in_buckets(strings: DataFrame, kernel: Kernel) -> DataFrame:
+    """(key, w1, w2, start, n): runs of repeated windows in each string; ``kernel`` sees whole buckets."""
+    names = ("n", "offset", "core", "count")
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        n = table["n"].to_numpy()
+        mask = kernel(*(table[c].to_numpy() for c in names), table["units"].to_pylist())
+        ends = np.cumsum(n)
+        row = np.repeat(np.arange(len(n)), n)
+        first = mask & np.append(True, ~mask[:-1] | (row[1:] != row[:-1]))
+        last = mask & np.append(~mask[1:] | (row[1:] != row[:-1]), True)
+        start, stop = np.nonzero(first)[0], np.nonzero(last)[0] + 1
+        at = row[start]
+        keys = [table[c].combine_chunks().take(pa.array(at)) for c in ("key", "w1", "w2")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array((start - ends[at] + n[at]).astype(np.int32)), pa.array((stop - start).astype(np.int32))], ["key", "w1", "w2", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def solve(table: pa.Table) -> pa.RecordBatch:
-            key, whole = table["key"].to_numpy(), table["whole"].to_numpy()
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])  # repeated documents send a super-window twice
-            table = table.filter(pa.array(new))
-            key, count, n, offset = (table[c].to_numpy() for c in ("key", "count", "n", "offset"))
-            mask = kernel(key, count, n, offset, table["units"].to_pylist())
-            ends = np.cumsum(n)
-            mask &= np.repeat(count == 1, n)  # the others are repeated as wholes
-            edge = np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))
-            cut = np.zeros(len(mask) + 1, bool)
-            cut[ends] = True
-            inner = np.nonzero(cut[:-1] & np.append(False, mask[:-1] & mask[1:]))[0] if len(mask) else np.zeros(0, int)
-            start = np.sort(np.concatenate([np.nonzero(edge == 1)[0], inner]))
-            stop = np.sort(np.concatenate([np.nonzero(edge == -1)[0], inner]))
-            row = np.searchsorted(ends, start, side="right")
-            first = ends[row] - n[row] if len(row) else row
-            return pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().take(pa.array(row)), table["th"].combine_chunks().take(pa.array(row)), pa.array(table["pos"].to_numpy()[row] + start - first), pa.array((stop - start).astype(np.int64))], ["doc_id", "th", "pos", "n"])
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= batch_bytes:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                held.append(whole.slice(i, 256))
+                size += held[-1].nbytes
+                if size < BATCH_BYTES:
+                    continue
                 table = pa.Table.from_batches(held)
                 key = table["key"].to_numpy()
                 done = int(np.searchsorted(key, key[-1], side="left"))
@@ -255,60 +257,119 @@ def in_buckets(rows: DataFrame, kernel: Kernel, batch_bytes: int) -> DataFrame:
                     yield solve(table.slice(0, done))
                     held = table.slice(done).combine_chunks().to_batches()
                     size = sum(b.nbytes for b in held)
-        if held and sum(b.num_rows for b in held):
+        if held:
             yield solve(pa.Table.from_batches(held))
 
-    return sorted_rows.mapInArrow(run, f"doc_id {kind}, th long, pos long, n long")
+    rows = strings.select("key", "w1", "w2", *names, "units")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, w1 long, w2 long, start int, n int")
 
 
-def one_by_one(spark: SparkSession, rows: DataFrame, sequence_of: Callable[[bytes], np.ndarray], width: int) -> DataFrame:
-    """As :func:`in_buckets`, for keys that are too large for a bucket: windows are counted by their digests."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def split(strings: DataFrame, letters: Alphabet, width: int) -> DataFrame:
+    """Strings (pk, p1, p2, at and STRING) of hot buckets under longer cores: their windows with half of the spare units left of the core, and the others."""
+    names = ["pk", "p1", "p2", "at", "key", "w1", "w2", "count", "n", "offset", "core", "units"]
+    types = [*[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                x = sequence_of(batch.column("units")[i].as_py())
-                n = int(batch.column("n")[i].as_py())
-                start = np.arange(n)
-                a, b = (Rolling(x, base).of(start, start + width).view(np.int64) for base in BASES)
-                same = lambda c: pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), same("doc_id"), same("th"), pa.array(start + batch.column("pos")[i].as_py()), same("count")], ["a", "b", "doc_id", "th", "pos", "count"])
-
-    windows = stored(spark, rows.mapInArrow(run, f"a long, b long, doc_id {kind}, th long, pos long, count long"), "repeats-hot")
-    often = stored(spark, windows.groupBy("a", "b").agg(F.sum("count").alias("c")).where("c > 1").select("a", "b"), "repeats-hot-counts")
-    return windows.where(F.col("count") == 1).join(often, ["a", "b"], "left_semi").select("doc_id", "th", "pos", F.lit(1).cast("long").alias("n"))
-
-
-def repeated_runs(spark: SparkSession, docs: DataFrame, sequence: Sequence, pack: Callable[[str], Callable[[int, int], bytes]], sequence_of: Callable[[bytes], np.ndarray], kernel: Kernel, width: int, core: int, batch_bytes: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, th, z, runs array<struct<pos, n>>) of each row of ``docs`` (doc_id, text, th): its compressed text, and its runs of windows that occur elsewhere (null: none)."""
-    # Half of the text's hash tells rows of one id apart, and halves what travels.
-    docs = docs.withColumn("th", F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)))
-    all_rows = stored(spark, occurrences(docs, sequence, width, core), "repeats-windows")
-    keys = stored(spark, all_rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeats-keys")
+            out: list[list] = [[] for _ in names]
+            for r in batch.to_pylist():
+                u, a, n, core = r["units"], r["offset"], r["n"], r["core"]
+                start, end = letters.spans(u)
+                spare = width - core
+                half = (spare + 1) // 2
+                left = min(n, max(0, a - half + 1))
+                for side, i, j, more, context in ((0, 0, left, half, (a - half, a + core)), (1, left, n, spare - half + 1, (a, a + core + spare - half + 1))):
+                    if i == j:
+                        continue
+                    part = u[start[i] : end[j + width - 2]]
+                    offset = a - half if side == 0 else a - i
+                    shared = u[start[context[0]] : end[context[1] - 1]]
+                    key = int.from_bytes(blake2b(bytes([side]) + r["key"].to_bytes(8, signed=True) + shared, digest_size=8).digest(), signed=True)
+                    d1, d2 = (int(x[0]) for x in halves(blake2b(part, digest_size=16).digest(), np.array([offset])))
+                    for column, x in zip(out, (r["pk"], r["p1"], r["p2"], r["at"] + i, key, d1, d2, r["count"], j - i, offset, core + more, part), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+
+    return strings.mapInArrow(run, "pk long, p1 long, p2 long, at int, key long, w1 long, w2 long, count long, n int, offset int, core int, units binary")
+
+
+def verdicts(spark: SparkSession, strings: DataFrame, letters: Alphabet, kernel: Kernel, width: int, most: int) -> DataFrame:
+    """(key, w1, w2, start, n): runs of repeated windows of each of ``strings``, from buckets of at most ``most`` different strings."""
+    found = in_buckets(strings.where(F.col("kinds") <= most), kernel)
+    hot = strings.where(F.col("kinds") > most).select(F.col("key").alias("pk"), F.col("w1").alias("p1"), F.col("w2").alias("p2"), F.lit(0).alias("at"), "key", "count", "n", "offset", "core", "units")
+    while not hot.isEmpty():
+        parts = stored(spark, split(hot, letters, width), "repeats-split")
+        each = parts.groupBy("key", "w1", "w2").agg(F.sum("count").alias("count"), *(F.first(c).alias(c) for c in ("n", "offset", "core", "units")))
+        each = stored(spark, each, "repeats-split-strings")
+        kinds = each.groupBy("key").agg(F.count("*").alias("kinds"))
+        ready = (F.col("kinds") <= most) | (F.col("core") == width)
+        bucketed = stored(spark, each.join(kinds, "key"), "repeats-split-buckets")
+        runs = in_buckets(bucketed.where(ready), kernel)
+        back = parts.select("pk", "p1", "p2", "at", "key", "w1", "w2").join(runs, ["key", "w1", "w2"])
+        found = found.unionByName(back.select(F.col("pk").alias("key"), F.col("p1").alias("w1"), F.col("p2").alias("w2"), (F.col("at") + F.col("start")).cast("int").alias("start"), "n"))
+        again = bucketed.where(~ready).select("key").distinct()
+        hot = parts.join(again, "key", "left_semi").select("pk", "p1", "p2", "at", "key", "count", "n", "offset", "core", "units")
+    return found
+
+
+#: From a packed text and the maximal stretches of its removed units to the operator's columns.
+Finish = Callable[[bytes, list[tuple[int, int]]], tuple]
+ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def removed(spark: SparkSession, documents: DataFrame, letters: Alphabet, kernel: Kernel, finish: Finish, columns: str, width: int, core: int, most: int = MOST) -> DataFrame:
+    """(doc_id, ``columns``) of each row of ``documents``: what ``finish`` makes of its text and the units under windows that occur elsewhere."""
+    docs = base(documents)
+    table = stored(spark, pieces(docs, letters, width), "repeats-pieces")
+    all_rows, at = stored_at(spark, occurrences(table, letters, width, core), "repeats-windows")
+    keys, at_keys = stored_at(spark, all_rows.groupBy("key").agg(F.sum("count").alias("c")).where("c > 1").select("key"), "repeats-keys")
     rows = stored(spark, all_rows.join(keys, "key", "left_semi"), "repeats-rows")
-    wholes = stored(spark, rows.groupBy("key", "whole").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "th", "place")).alias("x")).select("key", "whole", "count", "x.*"), "repeats-wholes")
-    several = stored(spark, wholes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-several")
-    reps = wholes.join(several, "key").select("key", "whole", "count", "doc_id", "th", "kinds", *placed())
-    strings = stored(spark, packed(docs, reps, pack, width), "repeats-strings")
-    found = in_buckets(strings.where(F.col("kinds") <= hot), kernel, batch_bytes)
-    large = strings.where(F.col("kinds") > hot)
-    if not large.isEmpty():
-        found = found.unionByName(one_by_one(spark, large, sequence_of, width))
-    twice = wholes.where(F.col("count") > 1).select("key", "whole")
-    as_wholes = rows.join(twice, ["key", "whole"], "left_semi").select("doc_id", "th", *placed()).select("doc_id", "th", "pos", F.col("n").cast("long").alias("n"))
-    found = as_wholes.unionByName(found)
-    runs = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    sent = compressed(docs)
-    return sent.join(runs, same_doc(sent, runs), "left").select("doc_id", "th", "z", "runs")
-
-
-def covered(runs: list[dict], width: int, length: int) -> list[tuple[int, int]]:
-    """Maximal stretches of units under the windows of ``runs``."""
+    deleted(spark, at, at_keys)
+    one = F.min(F.struct("block", F.col("places")[0].alias("place")))
+    wholes = stored(spark, rows.groupBy("key", "w1", "w2").agg(F.sum("count").alias("count"), F.max("n").alias("n"), F.max("offset").alias("offset"), one.alias("x")), "repeats-wholes")
+    kinds = wholes.groupBy("key").agg(F.count("*").alias("kinds"))
+    wanted = wholes.join(kinds, "key").select("x.block", "x.place", "key", "w1", "w2", "count", "kinds", "n", "offset")
+    strings = stored(spark, cut_out(table, wanted, letters, width, core), "repeats-strings")
+    runs = verdicts(spark, strings, letters, kernel, width, most).groupBy("key", "w1", "w2").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    found = stored(spark, rows.join(stored(spark, runs, "repeats-runs"), ["key", "w1", "w2"]).select("home", "block", "places", "runs"), "repeats-found")
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        spans: dict[tuple[int, int], list] = {}
+        for block, places, found_runs in zip(right["block"].to_pylist(), right["places"].to_pylist(), right["runs"].to_pylist(), strict=True):
+            for p in places:
+                spans.setdefault((block, p // PLACE), []).extend((p % PLACE + r["start"], r["n"]) for r in found_runs)
+        texts: dict[int, list] = {}
+        for row, block, k, first, doc_id, z in zip(*(left[c].to_pylist() for c in ("row", "block", "k", "first", "doc_id", "z")), strict=True):
+            texts.setdefault(row, []).append((first, block, k, doc_id, z))
+        out: list[tuple] = []
+        for parts in texts.values():
+            parts.sort(key=lambda p: p[0])
+            cover = [(first + a, first + a + n - 1 + width) for first, block, k, _, _ in parts for a, n in spans.get((block, k), ())]
+            out.append((parts[0][3], *finish(joined([(p[0], unpack(p[4])) for p in parts], letters), merged(cover))))
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, [left.schema.field("doc_id").type, *types], strict=True))})
+
+    types = [ARROW[c.split()[1]] for c in columns.split(", ")]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}"
+    return table.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(run, schema)
+
+
+def joined(parts: list[tuple[int, bytes]], letters: Alphabet) -> bytes:
+    """A packed text from its overlapping pieces (first unit, packed)."""
+    out = parts[0][1]
+    for first, packed in parts[1:]:
+        start = letters.spans(out)[0]
+        out = (out[: start[first]] if first < len(start) else out) + packed
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal stretches of some."""
     out: list[list[int]] = []
-    for a, b in sorted((r["pos"], r["pos"] + r["n"] - 1 + width) for r in runs):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [(a, min(b, length)) for a, b in out]
+    return [(a, b) for a, b in out]

@@ -1,9 +1,9 @@
 """Suffix-array deduplication over bytes, by backward extension on a Burrows-Wheeler transform.
 
 A bucket (see :mod:`repeats`) holds the different super-windows of its keys. All
-windows of a key share the minimiser's core, so one symbol of the key's own
-stands for it: a window of 400 bytes becomes 201 symbols. The bucket's strings,
-each ended by a symbol of its own, get a suffix array and from it their
+windows of a bucket share a core, so one symbol stands for its bytes, the same
+for equal bytes only: a window of 400 bytes becomes 201 symbols. The bucket's
+strings, each ended by a symbol of its own, get a suffix array and from it their
 transform. Intervals of suffixes with a common prefix are then extended
 backward, breadth first: each level of the search yields the positions where
 neighbouring suffixes share exactly that many symbols, by increasing number.
@@ -19,32 +19,29 @@ into overlapping pieces; removal may split a character, as bytes are judged.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm import repeats
-from lumenframe.llm.common import base
 
 WIDTH = 400
 #: Bytes in a minimiser.
 CORE = 200
-BATCH_BYTES = 4 << 20
 
 
-def byte_units(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+class Bytes:
+    """A unit is a byte of the text's UTF-8."""
 
+    def pack(self, text: str) -> bytes:
+        return text.encode()
 
-def sequence(text: str) -> np.ndarray:
-    return byte_units(text.encode())
+    def spans(self, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(len(packed) + 1)
+        return at[:-1], at[1:]
 
-
-def pack(text: str) -> Callable[[int, int], bytes]:
-    raw = text.encode()
-    return lambda a, b: raw[a:b]
+    def numbers(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, np.uint8).astype(np.uint64) + np.uint64(1)
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,20 +118,19 @@ def settled(text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return order, common[:n]
 
 
-def kernel(width: int = WIDTH, core: int = CORE) -> repeats.Kernel:
-    def solve(key: np.ndarray, count: np.ndarray, n: np.ndarray, offset: np.ndarray, units: list[bytes]) -> np.ndarray:
-        own = np.unique(key, return_inverse=True)[1]
-        reduced = n + width - 1 - core + 1  # symbols of each string, without its end
+def kernel(width: int = WIDTH) -> repeats.Kernel:
+    def of_core(n: np.ndarray, offset: np.ndarray, core: int, count: np.ndarray, units: list[bytes]) -> np.ndarray:
+        """For strings whose cores have one length."""
+        reduced = n + width - core  # symbols of each string, without its end
         first = np.concatenate([[0], np.cumsum(reduced + 1)[:-1]])
         text = np.zeros(int((reduced + 1).sum()), np.int64)
-        for i, u in enumerate(units):
-            a, x = int(offset[i]), np.frombuffer(u, np.uint8)
-            f = first[i]
+        cores: dict[bytes, int] = {}
+        for u, a, f, r in zip(units, offset.tolist(), first.tolist(), reduced.tolist(), strict=True):
+            x = np.frombuffer(u, np.uint8)
             text[f : f + a] = x[:a]
-            text[f + a] = 256 + own[i]
-            text[f + a + 1 : f + reduced[i]] = x[a + core :]
-        ends = first + reduced
-        text[ends] = 256 + len(key) + np.arange(len(key))
+            text[f + a] = 256 + cores.setdefault(u[a : a + core], len(cores))
+            text[f + a + 1 : f + r] = x[a + core :]
+        text[first + reduced] = 256 + len(cores) + np.arange(len(n))
         order, common = settled(text, width - core + 1)
         group = np.empty(len(text), np.int64)
         group[order] = np.cumsum(common >= 0)
@@ -142,27 +138,25 @@ def kernel(width: int = WIDTH, core: int = CORE) -> repeats.Kernel:
         groups = group[at]
         return np.bincount(groups, np.repeat(count, n))[groups] > 1
 
+    def solve(n: np.ndarray, offset: np.ndarray, core: np.ndarray, count: np.ndarray, units: list[bytes]) -> np.ndarray:
+        mask = np.zeros(int(n.sum()), bool)
+        for c in np.unique(core).tolist():
+            own = np.nonzero(core == c)[0]
+            mask[np.repeat(core == c, n)] = of_core(n[own].astype(np.int64), offset[own], c, count[own], [units[i] for i in own])
+        return mask
+
     return solve
 
 
-def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = repeats.HOT) -> DataFrame:
-    """(doc_id, th, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row: ``kept`` is the remaining bytes."""
-    docs = base(documents)
-    rows = repeats.repeated_runs(spark, docs, sequence, pack, byte_units, kernel(width, core), width, core, BATCH_BYTES, hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, removed, n_spans, shas, kept = [], [], [], [], []
-            for text, found in zip(repeats.texts(batch), batch.column("runs"), strict=True):
-                raw = text.encode()
-                spans = repeats.covered(found.as_py() or [], width, len(raw))
-                end, parts = 0, []
-                for a, b in spans:
-                    parts.append(raw[end:a])
-                    end = b
-                rest = b"".join([*parts, raw[end:]])
-                total.append(len(raw)), removed.append(len(raw) - len(rest)), n_spans.append(len(spans))
-                shas.append(hashlib.sha256(rest).hexdigest()), kept.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(x, pa.int64()) for x in (total, removed, n_spans)), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def finish(packed: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str, bytes]:
+    end, parts = 0, []
+    for a, b in spans:
+        parts.append(packed[end:a])
+        end = b
+    rest = b"".join([*parts, packed[end:]])
+    return len(packed), len(packed) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest
+
+
+def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, core: int = CORE, most: int = repeats.MOST) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row: ``kept`` is the remaining bytes."""
+    return repeats.removed(spark, documents, Bytes(), kernel(width), finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", width, core, most)

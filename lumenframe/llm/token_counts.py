@@ -1,13 +1,14 @@
 """Token counts through a digest cache.
 
-Each text is normalised (runs of white space become one space, as the
-tokenizers here do themselves) and digested with SHA-256; so is the vocabulary
-file. The pair is joined to a stored table of counts. Only distinct digests
-that the table lacks are encoded, and appended to it.
+Each text is normalised and digested with SHA-256; so is the vocabulary file.
+The pair is joined to a stored table of counts. Only distinct digests that the
+table lacks are encoded, and appended to it. Digests that should be stored by
+then and are not raise.
 
-Encoding splits a text at ASCII white space first: no token of these
-tokenizers spans it, so a text's count is the sum over its chunks, and each
-worker keeps the counts of chunks that it has met.
+Where a vocabulary's own rules drop white space, no token spans it: runs of it
+are normalised to one space, a text's count is the sum over its chunks, and each
+worker keeps the counts of chunks that it has met. For other vocabularies, and
+for sentencepiece models, texts are digested and encoded as they are.
 
 Results in odd cases: null and empty texts have 0 tokens and 0 bytes; repeated
 rows and ids each keep a row; a very long text is encoded chunk by chunk.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import base, work_dir
+from lumenframe.llm.common import base, many_to_one, stored, work_dir
 
 #: A worker forgets its chunks' counts at this many, which bounds its memory.
 CHUNKS_KEPT = 400_000
@@ -35,6 +36,14 @@ def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def piece_counter(model: bytes) -> Callable[[list[str]], list[int]]:
+    """As :func:`chunk_counter`, for a sentencepiece model."""
+    import sentencepiece
+
+    encode = sentencepiece.SentencePieceProcessor(model_proto=model).encode
+    return lambda texts: [len(encode(t, add_bos=False, add_eos=False)) for t in texts]
+
+
 def chunk_counter(model: bytes, splits: bool) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts, without special tokens added. ``splits``: no token spans white space."""
     from tokenizers import Tokenizer
@@ -77,6 +86,8 @@ def spans_no_space(path: str) -> bool:
     """Whether the vocabulary's own pre-tokenizer drops white space, so that counts add up over chunks."""
     import json
 
+    if path.endswith(".model"):
+        return False
     pre = json.loads(Path(path).read_text()).get("pre_tokenizer") or {}
     parts = pre.get("pretokenizers", [pre])
     return any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") and "\\s" in p["pattern"].get("Regex", "") for p in parts)
@@ -90,7 +101,7 @@ def encode_missing(misses: DataFrame, path: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = chunk_counter(model, splits)
+        count = piece_counter(model) if path.endswith(".model") else chunk_counter(model, splits)
         for batch in batches:
             counts = [n for i in range(0, batch.num_rows, 64) for n in count(batch.column("text").slice(i, 64).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
@@ -115,15 +126,19 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cach
     """
     version = tokenizer_digest(tokenizer_path)
     cache = cache or f"{work_dir(spark)}/token-counts"
-    # Only white space that every tokenizer here treats alike is folded.
-    digest = F.unhex(F.sha2(F.regexp_replace("text", "[ \\t\\n\\r]+", " "), 256))
-    rows = base(docs).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"))
+    # Only white space that the vocabulary drops itself is folded.
+    normal = F.regexp_replace("text", "[ \\t\\n\\r]+", " ") if spans_no_space(tokenizer_path) else F.col("text")
+    texts = base(docs).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(normal, 256)).alias("digest"))
+    rows = stored(spark, texts.select("doc_id", "n_bytes", "digest"), "token-digests")
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("n_rows"))
     before = read_cache(spark, cache).where(F.col("tokenizer") == version)
     known = before.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # The first text of each digest stands for its copies; groups shrink before the shuffle.
-    distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known, "digest", "left_anti")
     new = encode_missing(misses, tokenizer_path).select("digest", F.lit(version).alias("tokenizer"), "n_tokens")
     new.write.mode("append").parquet(cache)
     after = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select("doc_id", "n_bytes", "digest").join(after, "digest", "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    counted = many_to_one(rows, stored(spark, sizes.join(after, "digest"), "token-sizes"), "digest")
+    lost = F.raise_error(F.lit("a text's count is not in the cache")).cast("long")
+    return counted.select("doc_id", "n_bytes", F.coalesce("n_tokens", lost).alias("n_tokens"))

@@ -14,51 +14,37 @@ the other holds; very long texts are cut into overlapping pieces.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm import repeats
-from lumenframe.llm.common import base
 
 WIDTH = 35
 #: Words in a minimiser.
 CORE = 7
-BATCH_BYTES = 8 << 20
-SPACES = np.zeros(256, bool)
-SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit number for each word of a text."""
-    if not raw:
-        return np.zeros(0, np.uint64)
-    if len(raw) > repeats.BLOCK - 1:  # cut at a space, so that no block holds more than it can
-        cut = next((i for i in range(repeats.BLOCK - 2, 0, -1) if SPACES[raw[i]]), None)
-        if cut is None:
-            words = raw.split(maxsplit=1)
-            head = np.frombuffer(hashlib.blake2b(words[0], digest_size=8).digest(), np.uint64) if words else np.zeros(0, np.uint64)
-            return np.concatenate([head, word_hashes(words[1] if len(words) > 1 else b"")])
-        return np.concatenate([word_hashes(raw[:cut]), word_hashes(raw[cut:])])
-    x = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.concatenate([[True], SPACES[x], [True]]).astype(np.int8))
-    start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    return repeats.Rolling(x.astype(np.uint64) + np.uint64(1), repeats.BASES[1]).of(start, end)
+class Words:
+    """A unit is a word; packed, words stand one space apart."""
 
+    def pack(self, text: str) -> bytes:
+        return b" ".join(text.encode().split())
 
-def sequence(text: str) -> np.ndarray:
-    return word_hashes(text.encode())
+    def spans(self, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if not packed:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        space = np.nonzero(np.frombuffer(packed, np.uint8) == 32)[0]
+        return np.append(0, space + 1), np.append(space, len(packed))
 
-
-def pack(text: str) -> Callable[[int, int], bytes]:
-    words = text.encode().split()
-    return lambda a, b: b" ".join(words[a:b])
+    def numbers(self, packed: bytes) -> np.ndarray:
+        """For minimisers only: words with one checksum merely share buckets."""
+        return repeats.mixed(np.array([crc32(w) for w in packed.split()], np.uint64))
 
 
 def kernel(width: int = WIDTH) -> repeats.Kernel:
-    def solve(key: np.ndarray, count: np.ndarray, n: np.ndarray, offset: np.ndarray, units: list[bytes]) -> np.ndarray:
+    def solve(n: np.ndarray, offset: np.ndarray, core: np.ndarray, count: np.ndarray, units: list[bytes]) -> np.ndarray:
         words = [w for u in units for w in u.split(b" ")]
         number: dict[bytes, int] = {}
         rank = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
@@ -68,8 +54,8 @@ def kernel(width: int = WIDTH) -> repeats.Kernel:
             pairs = rank_of[: len(rank_of) - step] * (len(words) + 1) + rank_of[step:]
             rank_of = np.unique(pairs, return_inverse=True)[1]
             length += step
-        sizes = n + width - 1
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        n = n.astype(np.int64)
+        first = np.cumsum(n + width - 1) - (n + width - 1)
         at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         ranks = rank_of[at]
         return np.bincount(ranks, np.repeat(count, n))[ranks] > 1
@@ -77,24 +63,16 @@ def kernel(width: int = WIDTH) -> repeats.Kernel:
     return solve
 
 
-def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = repeats.HOT) -> DataFrame:
-    """(doc_id, th, n_words, n_removed, kept_sha256, kept) of each row: ``kept`` is the remaining text."""
-    docs = base(documents)
-    rows = repeats.repeated_runs(spark, docs, sequence, pack, word_hashes, kernel(width), width, core, BATCH_BYTES, hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, removed, shas, kept = [], [], [], []
-            for text, found in zip(repeats.texts(batch), batch.column("runs"), strict=True):
-                words = text.encode().split()
-                spans = repeats.covered(found.as_py() or [], width, len(words))
-                total.append(len(words)), removed.append(sum(b - a for a, b in spans))
-                end, left = 0, []
-                for a, b in spans:
-                    left += words[end:a]
-                    end = b
-                rest = b" ".join(left + words[end:] if spans else words)
-                shas.append(hashlib.sha256(rest).hexdigest()), kept.append(rest.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], ["doc_id", "th", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, n_words long, n_removed long, kept_sha256 string, kept string")
+def finish(packed: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str, str]:
+    words = packed.split()
+    end, left = 0, []
+    for a, b in spans:
+        left += words[end:a]
+        end = b
+    rest = b" ".join(left + words[end:]) if spans else packed
+    return len(words), sum(b - a for a, b in spans), hashlib.sha256(rest).hexdigest(), rest.decode()
+
+
+def deduplicate(spark: SparkSession, documents: DataFrame, width: int = WIDTH, core: int = CORE, most: int = repeats.MOST) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of each row: ``kept`` is the remaining text."""
+    return repeats.removed(spark, documents, Words(), kernel(width), finish, "n_words long, n_removed long, kept_sha256 string, kept string", width, core, most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import numpy as np
@@ -239,15 +239,23 @@ def test_language_id_long_texts(spark):
 
 
 def slow_topk(rows, k):
+    """Query by row: a row is left out for itself only."""
     import math
 
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in good:
-        if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in good if c != q and len(w) == len(v))[:k]
-            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
-    return sorted(out)
+    for a, (q, v) in enumerate(good):
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), c is None, c or 0) for b, (c, w) in enumerate(good) if a != b and len(w) == len(v))[:k]
+            out += [(q, n + 1, None if null else c, -s) for n, (s, null, c) in enumerate(best)]
+    return sorted(out, key=repr)
+
+
+def single(rows):
+    """Components as the table's floats."""
+    import struct
+
+    return [(i, None if v is None else [None if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, v in rows]
 
 
 def test_topk_odd(spark):
@@ -255,10 +263,120 @@ def test_topk_odd(spark):
 
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(7)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None, 2.0, 0.0, 0.0, 0.0, 0.0]), (350, [float("nan")] * 7), (400, [float("inf")] * 7), (450, [0.5, 0.25]), (451, [0.5, 0.5]), (500, []), (501, [0.0] * 7), (502, [0.0] * 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("clash"))
-    import struct
-
-    single = [(i, None if v is None else [None if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, v in rows]
-    assert rows_of(topk_search.search(spark, df, F.col("vec_id") % 50 == 0, 5)) == slow_topk(single, 5)
+    rows += [(300, None), (301, [1.0, None, 2.0, 0.0, 0.0, 0.0, 0.0]), (350, [float("nan")] * 7), (400, [float("inf")] * 7), (450, [0.5, 0.25]), (451, [0.5, 0.5]), (500, []), (501, [0.0] * 7), (502, [0.0] * 7), (550, []), (600, [3.0])]
+    # Ids that repeat, as queries and candidates, and none.
+    rows += [(50, [rng.gauss(0, 1) for _ in range(7)]), rows[100], (100, [9.0] * 7), (None, [9.0] * 7), (None, [9.0] * 7), (None, None), (7, [9.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("clash")).withColumn("row", F.lit("clash"))
+    for k in (1, 5):
+        assert rows_of(topk_search.search(spark, df, F.col("vec_id") % 50 == 0, k)) == slow_topk(single(rows), k)
     assert topk_search.search(spark, df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_topk_large_components(spark):
+    """Sums beyond 2^53 and 2^63 stay exact; a score that is no long raises."""
+    rng = np.random.default_rng(1)
+    for scale in (2.0**18, 2.0**22):
+        rows = [(i, (rng.normal(size=5) * scale).tolist()) for i in range(120)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert rows_of(topk_search.search(spark, df, F.col("vec_id") % 50 == 0, 5)) == slow_topk(rows, 5)
+    df = spark.createDataFrame([(0, [2.0**30]), (1, [2.0**30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.search(spark, df, F.col("vec_id") % 50 == 0, 5).count()
+
+
+def test_topk_levels_discard(spark):
+    """On clustered vectors, under a tenth of the pairs are scored exactly, and the result is that of all."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 64))
+    v = centres[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 64))
+    raw = np.floor(256 * v).astype(np.int64)
+    x = raw.astype(float)
+    turn = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    side = lambda a: topk_search.Side(np.arange(len(v))[a].tobytes(), np.arange(len(v))[a].tobytes(), np.ones(len(v), bool)[a].tobytes(), raw[a].tobytes(), 64, turn)
+    q, c = side(slice(0, 60)), side(slice(0, 3000))
+    qi, ci, score, left = topk_search.best_of_block(q, c, np.full(60, -np.inf), 5)
+    full = raw[:60] @ raw.T
+    full[np.arange(60), np.arange(60)] = -(1 << 60)
+    assert np.array_equal(score.reshape(60, 5), -np.sort(-full, axis=1)[:, :5])
+    assert left[-1] < 0.1 * left[0]
+
+
+def test_token_counts_lost_digest_raises(spark, docs, tmp_path, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_counts, "encode_missing", lambda misses, _: misses.select("digest", F.lit(1).cast("long").alias("n_tokens")).limit(5))
+    with pytest.raises(Exception, match="not in the cache"):
+        token_counts.count_tokens(spark, docs, path, str(tmp_path / "c")).collect()
+
+
+def test_token_counts_hot_digest(spark, tmp_path):
+    """One text that most rows share."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("text "), "id")).otherwise(F.lit("the same text")).alias("text"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = dict((r[0], r[2]) for r in token_counts.count_tokens(spark, df, path, str(tmp_path / "c")).collect())
+    want = library_counts([r["text"] for r in df.orderBy("doc_id").collect()])
+    assert [got[i] for i in range(3000)] == want
+
+
+def test_token_counts_sentencepiece(spark, odd, tmp_path):
+    models = [p for p in Path("/opt/tokenizers").iterdir() if p.suffix == ".model"]
+    if not models:
+        pytest.skip("no sentencepiece model")
+    import sentencepiece
+
+    encode = sentencepiece.SentencePieceProcessor(model_file=str(models[0])).encode
+    got = token_counts.count_tokens(spark, odd, str(models[0]), str(tmp_path / "c"))
+    assert rows_of(got) == sorted(((r["doc_id"], len((r["text"] or "").encode()), len(encode(r["text"] or ""))) for r in odd.collect()), key=repr)
+
+
+def test_pii_rows_against_brute_force(spark):
+    texts = ["mail a.b@c.org, 10.0.0.1 and 4111 1111 1111 1111 or +1 (415) 555-2671 x", "card 5500-0000-0000-0004 at 999.1.1.1", "(415) 555-2671", None, "", "é a@b.co " * 50, "none"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 0)]
+    crf = pii.train()
+    want = []
+    for i, t, *_ in rows:
+        base = [(k, a, b) for k in pii.KINDS for a, b in slow_base(t or "")[k]]
+        both = base + pii.crf_spans(t or "", crf, [s[1:] for s in base])
+        text = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2])))
+        want.append((i, *(sum(s[0] == k for s in base) for k in pii.KINDS), hashlib.sha256(text(base).encode()).hexdigest(), text(both)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert rows_of(pii.find(df)) == sorted(want, key=repr)
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def slow_language(train, text):
+    """Plain zstandard with the same dictionaries, one call a piece."""
+    import zstandard
+
+    clean = lambda t: bytes(b for b in t.replace("\n", " ").lower().encode() if b >= 128 or b == 32 or chr(b).isalpha())
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    sizes = {}
+    for lang, content in train.items():
+        params = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+        total = 0
+        for i in range(0, len(clean(text)), 16384):
+            coder = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            total += len(coder.compress(clean(text)[i : i + 16384]))
+        sizes[lang] = total
+    order = sorted(sizes, key=lambda x: (sizes[x], list(train).index(x)))
+    return order[0], (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]]
+
+
+def test_language_id_against_brute_force(spark, docs):
+    """Every row of the query on the smallest table, and dictionaries of whole texts."""
+    rows = docs.select("doc_id", "text", "lang").collect()
+    train = language_id.fit(docs.where(~language_id.held_out(3, 1)))
+    whole = {}
+    for r in rows:
+        if r["text"] and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            whole.setdefault(r["lang"], set()).add(language_id.letters(r["text"]))
+    for lang, content in train.items():
+        assert len(content) <= language_id.DICT_BYTES or content in whole[lang]
+        rest = content
+        while rest:  # whole texts, one after the other
+            head = max((t for t in whole[lang] if rest == t or rest.startswith(t + b" ")), key=len)
+            rest = rest[len(head) + 1 :]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect()}
+    for r in rows:
+        lang, margin = slow_language(train, r["text"])
+        assert got[r["doc_id"]] == (lang, pytest.approx(margin))

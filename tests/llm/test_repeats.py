@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import suffix_dedup, word_windows
+from lumenframe.llm import repeats, suffix_dedup, word_windows
 from tests.llm.test_operators import ODD, SCHEMA
 
 
@@ -52,7 +52,7 @@ def corpus(seed, letters, n, length):
     return out
 
 
-def check_bytes(spark, rows, width, core, hot):
+def check_bytes(spark, rows, width, core, most):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit(1)).withColumn("runs", F.lit("clash"))
     units = [list((r[1] or "").encode()) for r in rows]
     want = []
@@ -60,34 +60,34 @@ def check_bytes(spark, rows, width, core, hot):
         kept = bytes(b for b, x in zip(u, m, strict=True) if not x)
         spans = sum(1 for i, x in enumerate(m) if x and (i == 0 or not m[i - 1]))
         want.append((r[0], len(u), sum(m), spans, hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.deduplicate(spark, df, width, core, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = suffix_dedup.deduplicate(spark, df, width, core, most).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     return want
 
 
-def check_words(spark, rows, width, core, hot):
+def check_words(spark, rows, width, core, most):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit(1)).withColumn("runs", F.lit("clash"))
     units = [(r[1] or "").encode().split() for r in rows]
     want = []
     for r, u, m in zip(rows, units, slow(units, width), strict=True):
         kept = b" ".join(b for b, x in zip(u, m, strict=True) if not x)
         want.append((r[0], len(u), sum(m), hashlib.sha256(kept).hexdigest()))
-    got = word_windows.deduplicate(spark, df, width, core, hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = word_windows.deduplicate(spark, df, width, core, most).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     return want
 
 
-@pytest.mark.parametrize("hot", [1, 300])
-def test_random(spark, hot):
-    rows = [(i, t, "en", "s", 0) for i, t in enumerate(corpus(hot, "abc", 120, 60))]
-    assert sum(r[2] for r in check_bytes(spark, rows, 40, 24, hot)) > 0
-    assert sum(r[2] for r in check_words(spark, rows, 8, 4, hot)) > 0
+@pytest.mark.parametrize("most", [1, 3, 1024])
+def test_random(spark, most):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(corpus(most, "abc", 120, 60))]
+    assert sum(r[2] for r in check_bytes(spark, rows, 40, 24, most)) > 0
+    assert sum(r[2] for r in check_words(spark, rows, 8, 4, most)) > 0
 
 
 def test_odd(spark):
     rows = [r for r in ODD if r[0] not in (7, 8)] + [(7, "long " * 500, "en", "b", 9), (8, "x" * 2500, None, "b", 9), (9, "x" * 399, None, "b", 9)]
-    check_bytes(spark, rows, 400, 256, 300)
-    check_words(spark, rows, 35, 14, 300)
+    check_bytes(spark, rows, 400, 200, 1024)
+    check_words(spark, rows, 35, 7, 1024)
 
 
 def test_empty(spark):
@@ -104,16 +104,55 @@ def test_long_text_in_pieces(spark):
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.deduplicate(spark, df).collect()}
     tail = 601 if a[-601] == " " else 600
     assert got == {1: 400_000 + tail, 2: 400_000, 3: tail}
-    words = {r["doc_id"]: r["n_removed"] for r in word_windows.deduplicate(spark, df).collect()}
-    inner = len(a[300_000:700_000].split())
-    assert inner - 2 <= words[2] <= inner and words[1] > 50_000
+
+
+def test_long_words_in_pieces(spark, monkeypatch):
+    """Blocks of a few words, so that texts fall into many pieces."""
+    monkeypatch.setattr(repeats, "BLOCK", 64)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(corpus(9, "ab", 60, 400))]
+    assert sum(r[2] for r in check_words(spark, rows, 8, 4, 50)) > 0
+    assert sum(r[2] for r in check_bytes(spark, rows, 40, 24, 50)) > 0
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    """Thue-Morse words and their complements collide under every polynomial hash modulo 2**64; no window repeats."""
+    common = " ".join(f"w{i}" for i in range(34))
+    for n in (1024, 2048, 4096):
+        rows = [(1, f"{thue_morse(n)} {common}", "", "", 0), (2, f"{thue_morse(n, 1)} {common}", "", "", 0)]
+        assert all(r[2] == 0 for r in check_words(spark, rows, 35, 7, 1024))
+        rows = [(i, "x" * 30 + thue_morse(n, i) + "y" * 500, "", "", 0) for i in range(2)]
+        check_bytes(spark, rows, 400, 200, 1024)
+
+
+def test_rows_without_an_id(spark):
+    """Rows of one id, or of none, keep results of their own."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(420)) for _ in range(3)]
+    rows = [(None, texts[0], "", "", 0), (None, texts[1], "", "", 0), (3, texts[0], "", "", 0), (3, texts[2], "", "", 0), (3, texts[2], "", "", 0)]
+    assert sorted(r[2] for r in check_bytes(spark, rows, 400, 200, 1024)) == [0, 420, 420, 420, 420]
+
+
+@pytest.mark.parametrize("passage", [300, 500])
+def test_hot_key_is_split_by_context(spark, passage):
+    """One passage in many contexts: its buckets are split until they are small, with the same result."""
+    rng = random.Random(passage)
+    p = "".join(rng.choice("abcdefgh ") for _ in range(passage))
+    fresh = lambda: "".join(rng.choice("abcdefgh ") for _ in range(250))
+    rows = [(i, fresh() + p + fresh(), "", "", 0) for i in range(60)] + [(99, p * 3, "", "", 0)]
+    got = check_bytes(spark, rows, 400, 200, 8)
+    assert all(r[2] >= passage for r in got) == (passage == 500)
+    check_words(spark, rows, 35, 7, 8)
 
 
 def test_small_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
-    check_bytes(spark, rows, 400, 256, 300)
-    check_words(spark, rows, 35, 14, 2)
+    check_bytes(spark, rows, 400, 200, 1024)
+    check_words(spark, rows, 35, 7, 1024)
 
 
 def test_common_prefixes_from_the_transform():
