@@ -137,8 +137,8 @@ def best_of_block(q: Side, c: Side, kth: np.ndarray, k: int) -> tuple[np.ndarray
     own = q.row[:, None] == c.row[None, :]
     slack = 1e-9 * q.norm[:, None] * c.norm.max(initial=0) + 1e-6
     if q.levels and m > k and np.isneginf(kth).any():
-        # A first threshold: the exact scores of the k best by a coarse bound.
-        guess = q.levels[min(1, len(q.levels) - 1)] @ c.levels[min(1, len(q.levels) - 1)].T
+        # A first threshold: the exact scores of the k best by the means alone.
+        guess = q.levels[-1][:, :-1] @ c.levels[-1][:, :-1].T
         guess[own] = -np.inf
         at = np.argpartition(-guess, k - 1, axis=1)[:, :k]
         score = products(q.v, c.v, np.repeat(np.arange(n), k), at.ravel()).astype(np.float64).reshape(n, k)
