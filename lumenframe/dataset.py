@@ -47,30 +47,36 @@ class Dataset:
         kept = self.annotations.join(samples.select("image_id"), "image_id", "left_semi")
         return self._next(operation, settings, samples=samples, annotations=kept)
 
+    def _names(self) -> dict[int, str]:
+        return {r["class_id"]: r["name"] for r in self.classes.select("class_id", "name").collect()}
+
     def grouped(self, group_by: GroupBy) -> Dataset:
         """With ``group_key`` from a column or a function of the path."""
-        key = group_by if isinstance(group_by, Column) else F.udf(lambda p: None if (v := group_by(p)) is None else str(v), "string")("relative_path")
+        key = group_by
+        if not isinstance(group_by, Column):
+            of_paths = F.pandas_udf(lambda paths: paths.map(lambda p: None if (v := group_by(p)) is None else str(v)), "string")
+            key = of_paths("relative_path" if "relative_path" in self.samples.columns else "path")
         return replace(self, samples=self.samples.withColumn("group_key", key))
 
     def filter(self, gt_annotated: bool | None = None, predictions: DataFrame | None = None, has_prediction: bool | None = None, splits: Sequence[str] | None = None) -> Dataset:
         return self._with_samples("filter", {"annotated": gt_annotated, "predicted": has_prediction, "splits": splits}, selection.filter_samples(self.samples, self.annotations, gt_annotated, predictions, has_prediction, splits))
 
     def remove_classes(self, classes: Sequence[int | str], merge_into: int | str | None = None, **options: Any) -> Dataset:
-        ids = selection.resolve_classes(self.classes, classes)
+        ids, names = selection.resolve_classes(self.classes, classes), self._names()
         into = None if merge_into is None else selection.resolve_classes(self.classes, [merge_into])[0]
         n = self.classes.count()
         s, a = selection.remove_classes(self.samples, self.annotations, n, ids, into, **options)
         left = [c for c in range(n) if c == into or c not in ids]
         number = F.create_map(*[F.lit(x) for i, c in enumerate(left) for x in (c, i)])
         kept = self.classes.where(F.col("class_id").isin(left)).withColumn("class_id", number[F.col("class_id")])
-        return self._next("remove_classes", {"classes": ids, "merge_into": into, **options}, samples=s, annotations=a, classes=kept)
+        return self._next("remove_classes", {"classes": [names.get(i, i) for i in ids], "merge_into": names.get(into, into), **options}, samples=s, annotations=a, classes=kept)
 
     def rename_classes(self, renames: Mapping[str, str]) -> Dataset:
         return self._next("rename_classes", dict(renames), classes=selection.rename_classes(self.classes, renames))
 
     def move_images_with_classes(self, classes: Sequence[int | str], to_split: str, source_splits: Sequence[str] | None = None) -> Dataset:
-        ids = selection.resolve_classes(self.classes, classes)
-        return self._with_samples("move_images_with_classes", {"classes": ids, "to": to_split}, selection.move_images_with_classes(self.samples, self.annotations, ids, to_split, source_splits))
+        ids, names = selection.resolve_classes(self.classes, classes), self._names()
+        return self._with_samples("move_images_with_classes", {"classes": [names.get(i, i) for i in ids], "to": to_split}, selection.move_images_with_classes(self.samples, self.annotations, ids, to_split, source_splits))
 
     def move_n_groups(self, n: int, from_split: str, to_split: str, seed: int = 0) -> Dataset:
         return self._with_samples("move_n_groups", {"n": n, "from": from_split, "to": to_split, "seed": seed}, planning.move_n_groups(self.samples, n, from_split, to_split, seed))
@@ -92,24 +98,35 @@ class Dataset:
         first = self.annotations.unionByName(other.annotations.join(self.samples.select("image_id"), "image_id", "left_anti"))
         return self._next("add", {"other": other.name}, samples=s.drop("side"), annotations=first)
 
-    def tile(self, size: int, overlap: float = 0.2, min_area_ratio: float = 0.1, negatives: str = "all") -> Dataset:
-        """Grid tiles as new images, their boxes clipped; ``negatives``: all or none of the empty tiles."""
-        if negatives not in ("all", "none"):
-            raise ValueError("negatives are all or none")
-        tiles = tiling.grid_tiles(self.samples, size, overlap)
-        cut = tiling.clip_boxes(tiles, self.annotations, min_area_ratio)
-        if negatives == "none":
-            tiles = tiles.join(cut.select("image_id", "tile").distinct(), ["image_id", "tile"], "left_semi")
+    def tile(self, size: int, overlap: float = 0.2, min_area_ratio: float = 0.1, negatives: str | float = "all", mode: str = "grid", appearances: int = 1, seed: int = 0, lossy: bool = False) -> Dataset:
+        """Tiles as new images, with their boxes, keypoints, polygons or points clipped.
+
+        ``mode``: ``grid``, or ``coverage``: random crops that hold each object
+        (of a box) ``appearances`` times. ``negatives``: all or none of the empty
+        tiles, or the share of a split's tiles that they may have; a seeded hash picks them.
+        """
+        if mode not in ("grid", "coverage") or not (negatives in ("all", "none") or isinstance(negatives, float) and 0 <= negatives < 1):
+            raise ValueError("the mode is grid or coverage; negatives are all, none or a share under 1")
+        samples = self.samples
+        tiles = tiling.grid_tiles(samples, size, overlap) if mode == "grid" else tiling.coverage_tiles(samples, self.annotations, size, appearances, seed=seed).join(samples.select("image_id", "split"), "image_id")
+        cut = tiling.clip_any(tiles, self.annotations, min_area_ratio, lossy)
         new_id = F.xxhash64("image_id", "tile").alias("new_id")
-        s = tiles.join(self.samples.select("image_id", "relative_path", "group_key"), "image_id")
-        s = s.select(new_id, "relative_path", "group_key", "split", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.struct("x1", "y1", "x2", "y2").alias("crop")).withColumnRenamed("new_id", "image_id")
-        a = cut.select(new_id, "ann_idx", "class_id", "x1", "y1", "x2", "y2").withColumnRenamed("new_id", "image_id")
-        return self._next("tile", {"size": size, "overlap": overlap, "ratio": min_area_ratio, "negatives": negatives}, samples=s, annotations=a)
+        s = tiles.join(samples.select("image_id", *(c for c in ("relative_path", "path", "group_key") if c in samples.columns)), "image_id")
+        s = s.select(new_id, *(c for c in ("relative_path", "path", "group_key") if c in s.columns), "split", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.struct("x1", "y1", "x2", "y2").alias("crop")).withColumnRenamed("new_id", "image_id")
+        a = cut.select(new_id, *(c for c in cut.columns if c not in ("image_id", "tile"))).withColumnRenamed("new_id", "image_id")
+        if negatives == "none":
+            s = s.join(a.select("image_id").distinct(), "image_id", "left_semi")
+        elif negatives != "all":
+            s = selection.rebalance_empty(s, a, negatives, seed)
+        return self._next("tile", {"mode": mode, "size": size, "overlap": overlap, "ratio": min_area_ratio, "negatives": negatives, "appearances": appearances, "seed": seed}, samples=s, annotations=a)
 
-    def augment(self, copies: int, seed: int = 0, include_original: bool = True, splits: Sequence[str] = ("train",)) -> Dataset:
+    def augment(self, copies: int, seed: int = 0, include_original: bool = True, splits: Sequence[str] = ("train",), flip_x: float = 0.5, flip_y: float = 0.0) -> Dataset:
+        """Copies with seeds of their own, mirrored with the given chances, annotations with them; ``flip_x`` and ``flip_y`` of the samples say which."""
         s = planning.augment(self.samples, copies, seed, include_original, splits).withColumn("parent_id", F.col("image_id")).withColumn("image_id", F.when(F.col("copy") > 0, F.xxhash64("image_id", "copy")).otherwise(F.col("image_id")))
+        chance = lambda salt, p: (F.col("copy") > 0) & (F.pmod(F.xxhash64("copy_seed", F.lit(salt)), F.lit(10_000)) < int(p * 10_000))
+        s = s.withColumn("flip_x", chance("x", flip_x)).withColumn("flip_y", chance("y", flip_y))
         a = self.annotations.withColumnRenamed("image_id", "parent_id").join(s.select("parent_id", "image_id"), "parent_id").drop("parent_id")
-        return self._next("augment", {"copies": copies, "seed": seed}, samples=s, annotations=a)
+        return self._next("augment", {"copies": copies, "seed": seed, "flips": [flip_x, flip_y]}, samples=s, annotations=planning.mirrored(a, s))
 
     def summary(self) -> DataFrame:
         return summary.dataset_summary(self.samples, self.annotations)
@@ -125,6 +142,10 @@ class Dataset:
         images = diff.images(self.samples, other.samples, changed)
         return {"overview": diff.overview(images), "splits": diff.splits(self.samples, other.samples), "classes": diff.classes(self.annotations, other.annotations), "images": images}
 
+    def export_yolo(self, destination: str, images: bool = True, overwrite: bool = False) -> dict[str, int]:
+        """Publish label files by split and ``data.yaml``, and copy the images where they are whole files."""
+        return sinks.write_yolo(self.samples.sparkSession, destination, self.samples, self.annotations, self.classes, images, overwrite)
+
     def export(self, destination: str, dry_run: bool = False, overwrite: bool = False) -> dict[str, int]:
         """Publish all frames at once, with a manifest of the plan."""
         frames = {"samples": self.samples, "annotations": self.annotations, "classes": self.classes}

@@ -51,6 +51,26 @@ def polygon_bounds(points: Column | str) -> Column:
     return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
 
 
+def clip_polygon(points: Column | str, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The part of a polygon inside a box, cut by one side after the other; empty without overlap. Parts of a concave polygon stay joined along the box's sides."""
+    side = lambda a, b, c: F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), c.cast("double").alias("c"))
+    sides = F.array(side(1, 0, -x1), side(-1, 0, x2), side(0, 1, -y1), side(0, -1, y2))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def cut(acc: Column, h: Column) -> Column:
+        def step(i: Column) -> Column:
+            p, q = F.get(acc, i), F.get(acc, (i + 1) % F.size(acc))
+            d, e = h["a"] * p["x"] + h["b"] * p["y"] + h["c"], h["a"] * q["x"] + h["b"] * q["y"] + h["c"]
+            t = F.try_divide(d, d - e)
+            met = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+            return F.when((d >= 0) & (e >= 0), F.array(q)).when(d >= 0, F.array(met)).when(e >= 0, F.array(met, q)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+        return F.when(F.size(acc) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(acc) - 1), step))).otherwise(acc)
+
+    start = F.transform(_col(points), lambda q: point(q["x"].cast("double"), q["y"].cast("double")))
+    return F.aggregate(sides, start, cut)
+
+
 def moved(points: Column | str, dx: Column, dy: Column, sx: Column | float = 1.0, sy: Column | float = 1.0) -> Column:
     """Points scaled, then translated."""
     return F.transform(_col(points), lambda q: q.withField("x", q["x"] * sx + dx).withField("y", q["y"] * sy + dy))

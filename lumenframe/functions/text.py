@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The names of splits, and what a slug may hold and falls back to.
 SPLITS = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test"}
+SLUG_CHARACTERS, SLUG_EDGES, SLUG_EMPTY = "A-Za-z0-9._-", "-._", "dataset"
 
 
 def slug(x: Column, most: int = 80) -> Column:
-    """Letters, digits, dot, dash and underscore; longer ones end in 12 digits of their digest."""
-    s = F.regexp_replace(F.regexp_replace(x, r"[^A-Za-z0-9._-]+", "-"), r"^[-._]+|[-._]+$", "")
-    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most - 13), F.lit("-"), F.substring(F.sha2(x, 256), 1, 12))).otherwise(s)
+    """Lower-case letters, digits, dot, dash and underscore; longer ones end in 12 digits of the digest of the whole slug."""
+    if most < 14:
+        raise ValueError("a slug has at least 14 characters")
+    clean = F.btrim(F.regexp_replace(x, f"[^{SLUG_CHARACTERS}]+", "-"), F.lit(SLUG_EDGES))
+    whole = F.lower(F.when(clean == "", F.lit(SLUG_EMPTY)).otherwise(clean))
+    cut = F.rtrim(F.substring(whole, 1, most - 13), F.lit(SLUG_EDGES))
+    return F.when(F.length(whole) > most, F.concat(cut, F.lit("-"), F.substring(F.sha2(whole, 256), 1, 12))).otherwise(whole)
+
+
+def plain_slug(x: str) -> str:
+    """As :func:`slug` for one text on the driver, in its own case and at any length."""
+    return re.sub(f"[^{SLUG_CHARACTERS}]+", "-", x).strip(SLUG_EDGES) or SLUG_EMPTY
 
 
 def elided(x: Column, most: int) -> Column:
@@ -21,10 +34,10 @@ def elided(x: Column, most: int) -> Column:
 
 
 def split_name(x: Column) -> Column:
-    """Canonical split; null for any other name."""
-    low = F.lower(F.trim(x))
+    """Canonical split of any spelling; null stays null, any other name raises."""
     names = F.create_map(*[F.lit(v) for kv in SPLITS.items() for v in kv])
-    return names[low]
+    refused = F.raise_error(F.concat(F.lit("no split: "), x)).cast("string")
+    return F.when(x.isNotNull(), F.coalesce(names[F.lower(x)], refused))
 
 
 def number_token(x: Column) -> Column:

@@ -127,7 +127,7 @@ def augment(samples: DataFrame, copies: int, seed: int = 0, include_original: bo
     first = 0 if include_original else 1
     last = F.when(F.col("split").isin(list(splits)), F.lit(copies)).otherwise(F.lit(0))
     rows = samples.withColumn("copy", F.explode(F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array())))
-    return rows.withColumn("copy_seed", F.when(F.col("copy") > 0, seed_of(F.lit(str(seed)), F.col("split"), F.col("relative_path"), F.col("copy").cast("string"))))
+    return rows.withColumn("copy_seed", F.when(F.col("copy") > 0, seed_of(F.lit(str(seed)), F.col("split"), F.col("relative_path" if "relative_path" in samples.columns else "path"), F.col("copy").cast("string"))))
 
 
 def flipped(annotations: DataFrame, samples: DataFrame, horizontal: bool = True) -> DataFrame:
@@ -136,3 +136,22 @@ def flipped(annotations: DataFrame, samples: DataFrame, horizontal: bool = True)
     if horizontal:
         return rows.withColumns({"x1": F.col("width") - F.col("x2"), "x2": F.col("width") - F.col("x1")}).drop("width", "height")
     return rows.withColumns({"y1": F.col("height") - F.col("y2"), "y2": F.col("height") - F.col("y1")}).drop("width", "height")
+
+
+def mirrored(annotations: DataFrame, samples: DataFrame) -> DataFrame:
+    """Boxes, polygons, points and keypoints of images (image_id, width, height, flip_x, flip_y) that are mirrored or not; hidden keypoints at the origin stay there."""
+    rows = annotations.join(samples.select("image_id", "width", "height", "flip_x", "flip_y"), "image_id")
+    w, h = F.col("width"), F.col("height")
+    x = lambda c: F.when(F.col("flip_x"), w - c).otherwise(c)
+    y = lambda c: F.when(F.col("flip_y"), h - c).otherwise(c)
+    new = {}
+    if "x1" in annotations.columns:
+        new |= {"x1": F.least(x(F.col("x1")), x(F.col("x2"))), "x2": F.greatest(x(F.col("x1")), x(F.col("x2"))), "y1": F.least(y(F.col("y1")), y(F.col("y2"))), "y2": F.greatest(y(F.col("y1")), y(F.col("y2")))}
+    if "px" in annotations.columns:
+        new |= {"px": x(F.col("px")), "py": y(F.col("py"))}
+    if "polygon" in annotations.columns:
+        new["polygon"] = F.transform("polygon", lambda q: q.withField("x", x(q["x"])).withField("y", y(q["y"])))
+    if "keypoints" in annotations.columns:
+        seen = lambda q: F.coalesce(q["v"], F.lit(2.0)) > 0
+        new["keypoints"] = F.transform("keypoints", lambda q: F.when(seen(q), q.withField("x", x(q["x"])).withField("y", y(q["y"]))).otherwise(q))
+    return rows.withColumns(new).select(*annotations.columns)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +15,40 @@ from lumenframe.operators.grouped import per_group
 
 def fill_polygon(points: np.ndarray, width: int, height: int) -> np.ndarray:
     """Mask of a polygon with its edges: scan lines at pixel rows, and the outline's own pixels."""
-    mask = np.zeros((height, width), bool)
+    return mask_of(polygon_runs(points, width, height), width, height)
+
+
+def polygon_runs(points: np.ndarray, width: int, height: int) -> np.ndarray:
+    """(n, 3) runs y, x0, x1 (exclusive) of :func:`fill_polygon`, from the edges: only the polygon's own box is ever filled."""
     if len(points) == 0:
-        return mask
+        return np.zeros((0, 3), int)
     a, b = points, np.roll(points, -1, axis=0)
-    for y in range(max(0, int(np.floor(points[:, 1].min()))), min(height - 1, int(np.ceil(points[:, 1].max()))) + 1):
-        spans = (np.minimum(a[:, 1], b[:, 1]) <= y) & (y < np.maximum(a[:, 1], b[:, 1]))
-        xs = np.sort(a[spans, 0] + (y - a[spans, 1]) * (b[spans, 0] - a[spans, 0]) / (b[spans, 1] - a[spans, 1]))
-        for x0, x1 in zip(xs[::2], xs[1::2], strict=False):
-            mask[y, max(0, int(np.ceil(x0 - 1e-9))) : max(0, min(width, int(np.floor(x1 + 1e-9)) + 1))] = True
+    low, high = np.floor(points.min(0)).astype(int), np.ceil(points.max(0)).astype(int)
+    x_min, x_max = max(0, low[0]), min(width - 1, high[0])
+    y_min, y_max = max(0, low[1]), min(height - 1, high[1])
+    if x_min > x_max or y_min > y_max:
+        return np.zeros((0, 3), int)
+    y = np.arange(y_min, y_max + 1)
+    # Where each scan line meets the edges, in order: every two crossings enclose a stretch.
+    met = (np.minimum(a[:, 1], b[:, 1])[:, None] <= y) & (y < np.maximum(a[:, 1], b[:, 1])[:, None])
+    rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
+    x = np.where(met, a[:, :1] + (y - a[:, 1:]) * (b[:, 0] - a[:, 0])[:, None] / rise[:, None], np.inf)
+    x.sort(axis=0)
+    edge = np.zeros((len(y), x_max - x_min + 2), np.int32)
+    for left, right in zip(x[::2], x[1::2], strict=False):
+        rows = np.nonzero(np.isfinite(right))[0]
+        start = np.clip(np.ceil(left[rows] - 1e-9) - x_min, 0, x_max - x_min + 1).astype(int)
+        stop = np.clip(np.floor(right[rows] + 1e-9) + 1 - x_min, 0, x_max - x_min + 1).astype(int)
+        some = start < stop
+        np.add.at(edge, (rows[some], start[some]), 1)
+        np.add.at(edge, (rows[some], stop[some]), -1)
+    mask = np.cumsum(edge, axis=1)[:, :-1] > 0
     for (x0, y0), (x1, y1) in zip(a, b, strict=True):
         n = int(max(abs(x1 - x0), abs(y1 - y0), 1))
         xs, ys = np.rint(np.linspace(x0, x1, n + 1)).astype(int), np.rint(np.linspace(y0, y1, n + 1)).astype(int)
-        ok = (xs >= 0) & (xs < width) & (ys >= 0) & (ys < height)
-        mask[ys[ok], xs[ok]] = True
-    return mask
+        ok = (xs >= x_min) & (xs <= x_max) & (ys >= y_min) & (ys <= y_max)
+        mask[ys[ok] - y_min, xs[ok] - x_min] = True
+    return runs_of(mask) + np.array([y_min, x_min, x_min])
 
 
 def fill_ellipse(cx: float, cy: float, rx: float, ry: float, width: int, height: int) -> np.ndarray:
@@ -97,16 +119,19 @@ def connected_components(runs: DataFrame, by: tuple[str, ...] = ("image_id",)) -
 def rasterise(polygons: DataFrame) -> DataFrame:
     """(image_id, ann_idx, y, x0, x1) runs of polygons (image_id, ann_idx, width, height, polygon)."""
 
-    def run(it):
-        for pdf in it:
-            out = []
-            for r in pdf.itertuples():
-                points = np.array([(p["x"], p["y"]) for p in (r.polygon if r.polygon is not None else [])], float).reshape(-1, 2)
-                out += [(r.image_id, r.ann_idx, *map(int, x)) for x in runs_of(fill_polygon(points, int(r.width), int(r.height)))]
-            yield pd.DataFrame(out, columns=["image_id", "ann_idx", "y", "x0", "x1"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("polygon").fill_null([])
+            xy = np.column_stack([column.flatten().field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")])
+            ends = np.cumsum(column.value_lengths().to_numpy())
+            sizes = zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)
+            found = [polygon_runs(xy[i:j], w, h) for i, j, w, h in sizes]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            runs = np.concatenate(found).astype(np.int32) if found else np.zeros((0, 3), np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(row), batch.column("ann_idx").cast(pa.int32()).take(row), *(pa.array(np.ascontiguousarray(runs[:, i])) for i in range(3))], ["image_id", "ann_idx", "y", "x0", "x1"])
 
     kind = polygons.schema["image_id"].dataType.simpleString()
-    return polygons.select("image_id", "ann_idx", "width", "height", "polygon").mapInPandas(run, f"image_id {kind}, ann_idx int, y int, x0 int, x1 int")
+    return polygons.select("image_id", "ann_idx", "width", "height", "polygon").mapInArrow(run, f"image_id {kind}, ann_idx int, y int, x0 int, x1 int")
 
 
 def run_overlap(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.text import seed_of
+
 
 
 def filter_samples(samples: DataFrame, annotations: DataFrame | None = None, gt_annotated: bool | None = None, predictions: DataFrame | None = None, has_prediction: bool | None = None, splits: Sequence[str] | None = None) -> DataFrame:
@@ -105,8 +107,8 @@ def rebalance_empty(samples: DataFrame, annotations: DataFrame, max_empty_fracti
     """
     quota = rebalance_quota(samples, annotations, max_empty_fraction)
     full = samples.join(annotations.select("image_id"), "image_id", "left_semi")
-    empty = samples.join(annotations.select("image_id"), "image_id", "left_anti").withColumn("h", F.xxhash64(F.lit(seed), "split", "image_id"))
-    cell = F.shiftright("h", 48)
+    empty = samples.join(annotations.select("image_id"), "image_id", "left_anti").withColumn("h", seed_of(F.lit(str(seed)), F.col("split"), F.col("image_id").cast("string")))
+    cell = F.shiftright("h", 16)
     cells = empty.groupBy("split", cell.alias("cell")).agg(F.count("*").alias("n"))  # at most 65,536 a split
     before = F.sum("n").over(Window.partitionBy("split").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     budget = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(quota.select("split", "allowed")), "split")

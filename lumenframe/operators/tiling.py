@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.geometry import box, box_area, grid_cell, intersection, ratio
+from lumenframe.functions.geometry import box, box_area, clip_polygon, grid_cell, intersection, moved, polygon_area, polygon_bounds, ratio
 from lumenframe.operators.grouped import per_group
 
 
@@ -38,6 +38,34 @@ def clip_boxes(tiles: DataFrame, annotations: DataFrame, min_area_ratio: float =
     return kept.select("image_id", "tile", "ann_idx", "class_id", (F.greatest("x1", "t_x1") - F.col("t_x1")).alias("x1"), (F.greatest("y1", "t_y1") - F.col("t_y1")).alias("y1"), (F.least("x2", "t_x2") - F.col("t_x1")).alias("x2"), (F.least("y2", "t_y2") - F.col("t_y1")).alias("y2"))
 
 
+def clip_polygons(tiles: DataFrame, annotations: DataFrame, min_area_ratio: float = 0.1) -> DataFrame:
+    """Polygons cut to each tile that they reach and moved into it, with their boxes; slivers are dropped."""
+    t = tiles.select("image_id", "tile", *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
+    rows = annotations.withColumn("b", polygon_bounds("polygon"))
+    pairs = rows.join(t, "image_id").where("b.x1 < t_x2 and b.x2 > t_x1 and b.y1 < t_y2 and b.y2 > t_y1")
+    cut = pairs.withColumn("cut", clip_polygon("polygon", *(F.col(f"t_{c}") for c in ("x1", "y1", "x2", "y2"))))
+    kept = cut.where(ratio(polygon_area("cut"), polygon_area("polygon")) >= min_area_ratio)
+    inner = moved("cut", -F.col("t_x1"), -F.col("t_y1"))
+    return kept.select("image_id", "tile", "ann_idx", "class_id", inner.alias("polygon")).withColumn("b", polygon_bounds("polygon")).select("image_id", "tile", "ann_idx", "class_id", "polygon", "b.*")
+
+
+def clip_any(tiles: DataFrame, annotations: DataFrame, min_area_ratio: float = 0.1, lossy: bool = False) -> DataFrame:
+    """(image_id, tile, ann_idx, class_id and geometry) of polygons, points, or boxes with keypoints if there are; a pose whose keypoints are all outside keeps its box."""
+    if "polygon" in annotations.columns:
+        return clip_polygons(tiles, annotations, min_area_ratio)
+    if "px" in annotations.columns:
+        return clip_points(tiles, annotations, lossy).select("image_id", "tile", "ann_idx", "class_id", "px", "py", "radius")
+    boxes = clip_boxes(tiles, annotations, min_area_ratio)
+    if "keypoints" not in annotations.columns:
+        return boxes
+    t = tiles.select("image_id", "tile", *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
+    points = annotations.select("image_id", "ann_idx", F.col("keypoints").alias("all"))
+    found = boxes.join(points, ["image_id", "ann_idx"]).join(t, ["image_id", "tile"])
+    none = F.transform("all", lambda q: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("v")))
+    inside = clip_keypoints(F.col("all"), *(F.col(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
+    return found.select(*boxes.columns, F.coalesce(inside, none).alias("keypoints"))
+
+
 def clip_points(tiles: DataFrame, points: DataFrame, lossy: bool = False) -> DataFrame:
     """Circles (px, py, radius) inside a tile; lossy: centre inside, radius cut to the nearest edge."""
     t = tiles.select("image_id", "tile", *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))

@@ -449,12 +449,22 @@ def rebalance_empty_counts(spark, d):
 
 @query(f"""WITH {PER_IMAGE}, c AS (SELECT split, count(*) FILTER (n > 0) AS positive, count(*) FILTER (n = 0) AS empty FROM per GROUP BY 1)
 SELECT split, CAST(positive + CASE WHEN positive = 0 THEN 0 ELSE least(empty, floor(positive * 0.01E0 / (1 - 0.01E0))) END AS BIGINT) AS images FROM c""")
-def rebalance_empty(spark, d):
+def rebalance_empty_totals(spark, d):
     return selection.rebalance_empty(*tables(spark, d, "samples", "annotations"), 0.01, 7).groupBy("split").agg(F.count("*").alias("images"))
 
 
-@query("""SELECT a.model, a.image_id, a.pred_idx AS winner, b.pred_idx AS loser FROM predictions a JOIN predictions b ON a.model = b.model AND a.image_id = b.image_id AND a.class_id = b.class_id AND (a.score > b.score OR (a.score = b.score AND a.pred_idx < b.pred_idx))
-WHERE greatest(0.0E0, least(a.x2,b.x2)-greatest(a.x1,b.x1)) * greatest(0.0E0, least(a.y2,b.y2)-greatest(a.y1,b.y1)) >= 0.2E0 * least((a.x2-a.x1)*(a.y2-a.y1), (b.x2-b.x1)*(b.y2-b.y1))""")
+@query(f"""WITH {PER_IMAGE}, c AS (SELECT split, count(*) FILTER (n > 0) AS positive, count(*) FILTER (n = 0) AS empty FROM per GROUP BY 1),
+q AS (SELECT split, CASE WHEN positive = 0 THEN 0 ELSE least(empty, floor(positive * 0.01E0 / (1 - 0.01E0))) END AS allowed FROM c),
+r AS (SELECT image_id, split, row_number() OVER (PARTITION BY split ORDER BY CAST(concat('0x', substr(sha256(concat('7:', split, ':', CAST(image_id AS VARCHAR))), 1, 8)) AS BIGINT), image_id) AS k FROM per WHERE n = 0)
+SELECT image_id, split FROM per WHERE n > 0 UNION ALL SELECT image_id, split FROM r JOIN q USING (split) WHERE k <= allowed""")
+def rebalance_empty(spark, d):
+    return selection.rebalance_empty(*tables(spark, d, "samples", "annotations"), 0.01, 7).select("image_id", "split")
+
+
+@query("""WITH p AS MATERIALIZED (SELECT model, image_id, class_id, pred_idx, score, x1, y1, x2, y2 FROM predictions),
+j AS MATERIALIZED (SELECT model, image_id, a.pred_idx AS winner, b.pred_idx AS loser, a.score AS s, b.score AS t, greatest(0.0E0, least(a.x2,b.x2)-greatest(a.x1,b.x1)) * greatest(0.0E0, least(a.y2,b.y2)-greatest(a.y1,b.y1)) AS shared, least((a.x2-a.x1)*(a.y2-a.y1), (b.x2-b.x1)*(b.y2-b.y1)) AS smaller
+  FROM p a JOIN p b USING (model, image_id, class_id))
+SELECT model, image_id, winner, loser FROM j WHERE (s > t OR (s = t AND winner < loser)) AND shared >= 0.2E0 * smaller""")
 def nms_edges(spark, d):
     return matching.suppression_edges(table(spark, d, "predictions"))
 
@@ -478,15 +488,37 @@ def cohort_freeze(spark, d):
     return lineage.freeze(*tables(spark, d, "samples", "annotations"))
 
 
-@query("""SELECT group_key, count(*) AS n FROM samples GROUP BY 1""")
+@query("""WITH j AS (SELECT group_key, sha256(concat('{"image_id":', CAST(image_id AS VARCHAR), ',"relative_path":"', relative_path, '","split":"', split, '","width":', CAST(width AS VARCHAR), ',"height":', CAST(height AS VARCHAR), '}')) AS h FROM samples),
+t AS (SELECT group_key, count(*) AS n, sum(CAST(concat('0x', substr(h, 1, 12)) AS BIGINT)) AS s0, sum(CAST(concat('0x', substr(h, 13, 12)) AS BIGINT)) AS s1, sum(CAST(concat('0x', substr(h, 25, 12)) AS BIGINT)) AS s2, sum(CAST(concat('0x', substr(h, 37, 12)) AS BIGINT)) AS s3 FROM j GROUP BY 1)
+SELECT group_key, n, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS fingerprint FROM t""")
 def content_fingerprint(spark, d):
-    return summary.content_fingerprint(table(spark, d, "samples"), "group_key", ["image_id", "relative_path", "split", "width", "height"]).select("group_key", "n")
+    return summary.content_fingerprint(table(spark, d, "samples"), "group_key", ["image_id", "relative_path", "split", "width", "height"])
+
+
+@query("""SELECT image_id, lower(CASE WHEN length(w) > 24 THEN concat(rtrim(substr(w, 1, 11), '-._'), '-', substr(sha256(w), 1, 12)) ELSE w END) AS slug FROM (
+  SELECT image_id, lower(trim(regexp_replace(concat('  ', relative_path, ' (', CAST(width AS VARCHAR), ') é '), '[^A-Za-z0-9._-]+', '-', 'g'), '-._')) AS w FROM samples) t""")
+def name_slugs(spark, d):
+    s = table(spark, d, "samples")
+    return s.select("image_id", T.slug(F.concat(F.lit("  "), "relative_path", F.lit(" ("), F.col("width").cast("string"), F.lit(") é ")), 24).alias("slug"))
+
+
+@query("""SELECT a.image_id, t.tile, a.ann_idx, round(greatest(0.0E0, least(a.x2, t.x2) - greatest(a.x1, t.x1)) * greatest(0.0E0, least(a.y2, t.y2) - greatest(a.y1, t.y1)), 3) AS area,
+  greatest(a.x1, t.x1) - t.x1 AS x1, greatest(a.y1, t.y1) - t.y1 AS y1, least(a.x2, t.x2) - t.x1 AS x2, least(a.y2, t.y2) - t.y1 AS y2
+FROM annotations a JOIN (SELECT image_id, unnest([0, 1]) AS tile, unnest([0, 200]) AS x1, unnest([0, 100]) AS y1, unnest([260, 460]) AS x2, unnest([220, 320]) AS y2 FROM samples) t USING (image_id)
+WHERE greatest(0.0E0, least(a.x2, t.x2) - greatest(a.x1, t.x1)) * greatest(0.0E0, least(a.y2, t.y2) - greatest(a.y1, t.y1)) >= 0.1E0 * (a.x2 - a.x1) * (a.y2 - a.y1)""")
+def tile_polygon_clip(spark, d):
+    a, s = tables(spark, d, "annotations", "samples")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    window = lambda i, *b: F.struct(F.lit(i).alias("tile"), *(F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), b, strict=True)))
+    tiles = s.select("image_id", F.explode(F.array(window(0, 0, 0, 260, 220), window(1, 200, 100, 460, 320))).alias("t")).select("image_id", "t.*")
+    cut = tiling.clip_polygons(tiles, a.withColumn("polygon", F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"))), 0.1)
+    return cut.select("image_id", "tile", "ann_idx", F.round(G.polygon_area("polygon"), 3).alias("area"), "x1", "y1", "x2", "y2")
 
 
 @query("""SELECT image_id, concat('labels/', replace(relative_path, '.jpg', '.txt')) AS label, CASE split WHEN 'val' THEN 'val' ELSE split END AS split, concat('x', replace(regexp_replace(regexp_replace(printf('%.8f', width / 7.0E0), '0+$', ''), '\\.$', ''), '.', 'p')) AS token FROM samples""")
 def name_functions(spark, d):
     s = table(spark, d, "samples")
-    return s.select("image_id", T.label_path(F.concat(F.lit("images/"), "relative_path")).alias("label"), T.split_name(F.when(F.col("split") == "val", "Validation ").otherwise(F.col("split"))).alias("split"), F.concat(F.lit("x"), T.number_token(F.col("width") / 7.0)).alias("token"))
+    return s.select("image_id", T.label_path(F.concat(F.lit("images/"), "relative_path")).alias("label"), T.split_name(F.when(F.col("split") == "val", "Validation").otherwise(F.col("split"))).alias("split"), F.concat(F.lit("x"), T.number_token(F.col("width") / 7.0)).alias("token"))
 
 
 @query("""SELECT image_id, string_agg(concat_ws(' ', class_id, CAST(round(CAST((x1 + x2) / 2 / width AS DECIMAL(18, 9)), 6) AS VARCHAR), CAST(round(CAST((y1 + y2) / 2 / height AS DECIMAL(18, 9)), 6) AS VARCHAR), CAST(round(CAST((x2 - x1) / width AS DECIMAL(18, 9)), 6) AS VARCHAR), CAST(round(CAST((y2 - y1) / height AS DECIMAL(18, 9)), 6) AS VARCHAR)), chr(10) ORDER BY ann_idx) AS content
@@ -599,11 +631,6 @@ def area_pool(spark, d):
     return raster.area_pool(pixels, 4).select("image_id", "y", "x", F.round("value", 6).alias("value"))
 
 
-@query()
-def content_fingerprint_sha256(spark, d):
-    return summary.content_fingerprint(table(spark, d, "samples"), "group_key", ["image_id", "relative_path", "split", "width", "height"])
-
-
 @query()
 def overlap_matching(spark, d):
     edges = mask_overlap(spark, d)
@@ -726,7 +753,11 @@ def coverage_tiles(spark, d):
     return tiling.coverage_tiles(*tables(spark, d, "samples", "annotations"), 320, 2)
 
 
-@query()
+@query("""WITH t AS MATERIALIZED (SELECT image_id, ann_idx, x1, y1, x2, y2, CAST(greatest(x2 - x1, y2 - y1) AS BIGINT) AS n FROM annotations),
+line AS (SELECT image_id, ann_idx, CASE WHEN i = n THEN x1 ELSE round_even(i * ((x1 - x2) / n) + x2, 0) END AS px, CASE WHEN i = n THEN y1 ELSE round_even(i * ((y1 - y2) / n) + y2, 0) END AS py FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM t)),
+slope AS (SELECT image_id, ann_idx, py AS y, min(px) AS px FROM line GROUP BY ALL),
+scan AS (SELECT image_id, ann_idx, y, x2, CASE WHEN y < y2 THEN ceil(x1 + (y - y1) * (x2 - x1) / (y2 - y1) - 1e-9) ELSE x2 END AS sx FROM (SELECT *, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT) + 1)) AS y FROM t))
+SELECT image_id, ann_idx, CAST(sum(x2 - least(sx, coalesce(px, sx)) + 1) AS BIGINT) AS pixels FROM scan LEFT JOIN slope USING (image_id, ann_idx, y) GROUP BY 1, 2""")
 def rasterise_polygons(spark, d):
     a, s = tables(spark, d, "annotations", "samples")
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))

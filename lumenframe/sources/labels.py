@@ -67,12 +67,27 @@ def parse(lines: DataFrame, task: str, keypoint_shape: tuple[int, int] | None =
     return out.drop("p")
 
 
-def format_detect(samples: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(image_id, content): normalised rows with six decimals, in order."""
-    rows = annotations.join(samples.select("image_id", "width", "height"), "image_id")
+def normalised(annotations: DataFrame) -> Column:
+    """The label row of an annotation with its image's ``width`` and ``height``: a polygon, a point (radius as it is), a box, or a box with keypoints."""
     w, h = F.col("width"), F.col("height")
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", (F.col("x1") + F.col("x2")) / 2 / w, (F.col("y1") + F.col("y2")) / 2 / h, (F.col("x2") - F.col("x1")) / w, (F.col("y2") - F.col("y1")) / h)
-    lines = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ann_idx", line.alias("line")))).alias("l"))  # an image's own labels
+    six = lambda *c: F.format_string(" ".join(["%.6f"] * len(c)), *c)
+    kind = F.col("class_id").cast("string")
+    each = lambda name, f: F.array_join(F.transform(name, f), " ")
+    if "polygon" in annotations.columns:
+        return F.concat_ws(" ", kind, each("polygon", lambda q: six(q["x"] / w, q["y"] / h)))
+    if "px" in annotations.columns:
+        return F.concat_ws(" ", kind, six(F.col("radius"), F.col("px") / w, F.col("py") / h))
+    box = six((F.col("x1") + F.col("x2")) / 2 / w, (F.col("y1") + F.col("y2")) / 2 / h, (F.col("x2") - F.col("x1")) / w, (F.col("y2") - F.col("y1")) / h)
+    if "keypoints" in annotations.columns:
+        point = lambda q: F.concat_ws(" ", six(q["x"] / w, q["y"] / h), q["v"].cast("int").cast("string"))
+        return F.concat_ws(" ", kind, box, each("keypoints", point))
+    return F.concat_ws(" ", kind, box)
+
+
+def format_detect(samples: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(image_id, content): normalised rows with six decimals, in order; see :func:`normalised`."""
+    rows = annotations.join(samples.select("image_id", "width", "height"), "image_id").withColumn("line", normalised(annotations))
+    lines = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ann_idx", "line"))).alias("l"))  # an image's own labels
     return lines.select("image_id", F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("content"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.sources import labels
@@ -19,7 +20,10 @@ def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
 
 
 def publish(spark: SparkSession, destination: str, write: Callable[[str], None], check: Callable[[str], None] | None = None, overwrite: bool = False) -> None:
-    """Write to a staging folder beside the destination, check it, then rename: readers see all or nothing."""
+    """Write to a staging folder beside the destination, check it, then rename: readers see all or nothing.
+
+    What is overwritten is moved aside first, put back if the rename fails, and deleted last.
+    """
     fs, final = _fs(spark, destination)
     if fs.exists(final) and not overwrite:
         raise FileExistsError(destination)
@@ -29,10 +33,15 @@ def publish(spark: SparkSession, destination: str, write: Callable[[str], None],
         write(staging)
         if check:
             check(staging)
-        if overwrite and fs.exists(final):
-            fs.delete(final, True)
+        old = _fs(spark, staging.replace(".staging-", ".old-"))[1] if fs.exists(final) else None
+        if old is not None and not fs.rename(final, old):
+            raise OSError(f"cannot move {destination} aside")
         if not fs.rename(staged, final):
+            if old is not None:
+                fs.rename(old, final)
             raise OSError(f"cannot rename {staging}")
+        if old is not None:
+            fs.delete(old, True)
     finally:
         if fs.exists(staged):
             fs.delete(staged, True)
@@ -104,3 +113,53 @@ class PredictionCache:
         stored = self.spark.read.parquet(self.path).where(F.col("cache_key") == cache_key).drop("cache_key", "image_id")
         hits = stored.join(samples.select("image_id", *self.KEY), list(self.KEY))
         return hits, samples.join(stored.select(*self.KEY).distinct(), list(self.KEY), "left_anti")
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write files (path below ``root``, content string, or source path to copy where content is null) from the tasks; a retried task writes the same again. Returns how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for path, content, source in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "source")), strict=True):
+                full = f"{base.rstrip('/')}/{path}"
+                target.create_dir(full.rsplit("/", 1)[0])
+                if content is None:
+                    at, name = fs.FileSystem.from_uri(source) if "://" in source or source.startswith("file:") else (fs.LocalFileSystem(), source)
+                    fs.copy_files(name, full, source_filesystem=at, destination_filesystem=target)
+                else:
+                    with target.open_output_stream(full) as out:
+                        out.write(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content", "source").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_yolo(spark: SparkSession, destination: str, samples: DataFrame, annotations: DataFrame, classes: DataFrame, images: bool = True, overwrite: bool = False) -> dict[str, int]:
+    """Publish ``{split}/images``, ``{split}/labels`` and ``data.yaml``: a label file for every image, empty ones for backgrounds, named by split and image number where file names clash.
+
+    Images are copied from ``path`` if ``samples`` have it and they are neither crops nor copies.
+    """
+    name = F.element_at(F.split("relative_path" if "relative_path" in samples.columns else "path", "/"), -1)
+    named = samples.withColumn("name", name).withColumn("again", F.count("*").over(Window.partitionBy("split", "name")) > 1)
+    stem, suffix = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    named = named.withColumn("stem", F.when(F.col("again"), F.concat(stem, F.lit("-"), F.hex("image_id"))).otherwise(stem)).withColumn("suffix", suffix)
+    texts = labels.format_detect(samples, annotations)
+    rows = named.join(texts, "image_id", "left")
+    files = rows.select(F.concat_ws("/", "split", F.lit("labels"), F.concat("stem", F.lit(".txt"))).alias("path"), F.coalesce(F.concat("content", F.lit("\n")), F.lit("")).alias("content"), F.lit(None).cast("string").alias("source"))
+    if images and "path" in samples.columns and not {"crop", "copy"} & set(samples.columns):
+        copies = rows.select(F.concat_ws("/", "split", F.lit("images"), F.concat("stem", "suffix")).alias("path"), F.lit(None).cast("string").alias("content"), F.col("path").alias("source"))
+        files = files.unionByName(copies)
+    splits = [r[0] for r in samples.select("split").distinct().orderBy("split").collect()]
+    names = [r[0] for r in classes.orderBy("class_id").select("name").collect()]
+    yaml = "".join(f"{s}: {s}/images\n" for s in splits) + f"names: {json.dumps(names)}\n"
+    counts: dict[str, int] = {}
+
+    def write(path: str) -> None:
+        counts["files"] = write_tree(files, path)
+        write_tree(spark.createDataFrame([("data.yaml", yaml, None)], "path string, content string, source string"), path)
+
+    publish(spark, destination, write, overwrite=overwrite)
+    return counts

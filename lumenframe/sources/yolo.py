@@ -61,7 +61,7 @@ def split_entry(spark: SparkSession, root: str, entry: str | list[str]) -> DataF
 def split_by_path(path: Column) -> Column:
     """The split that a path's folder names; ``train`` if none does."""
     found = F.regexp_extract(path, r"(?:^|/)(train|val|valid|validation|test)/", 1)
-    return F.coalesce(split_name(found), F.lit("train"))
+    return F.when(found == "", F.lit("train")).otherwise(split_name(F.nullif(found, F.lit(""))))
 
 
 def image_sizes(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -208,7 +208,7 @@ def test_fingerprint_query_returns_the_digest(spark):
         sha = hashlib.sha256(json.dumps({c: r[c] for c in names}, separators=(",", ":")).encode()).hexdigest()
         groups.setdefault(r["group_key"], []).append([int(sha[12 * i : 12 * i + 12], 16) for i in range(4)])
     want = {g: (len(x), hashlib.sha256(":".join(map(str, [len(x), *map(sum, zip(*x, strict=True))])).encode()).hexdigest()) for g, x in groups.items()}
-    assert {r["group_key"]: (r["n"], r["fingerprint"]) for r in registry.QUERIES["content_fingerprint_sha256"](spark, SMALL).collect()} == want
+    assert {r["group_key"]: (r["n"], r["fingerprint"]) for r in registry.QUERIES["content_fingerprint"](spark, SMALL).collect()} == want
 
 
 def test_queries_resample_and_stitch_in_full(spark, monkeypatch):
@@ -222,10 +222,58 @@ def test_queries_resample_and_stitch_in_full(spark, monkeypatch):
     assert images.count() == table(spark, SMALL, "samples").count()
 
 
+def test_derived_names():
+    name = lambda op, s: lineage.derived_name("my set", op, s).split("__")
+    for op, settings, detail in (
+        ("split", {"ratios": {"train": 0.8, "val": 0.2}}, "split-train80-val20"),
+        ("move_images_with_classes", {"classes": ["a b", "c", "d", "e"], "to": "val"}, "move-a-b-c-d-to-val"),
+        ("move_n_groups", {"n": 3, "from": "train", "to": "test"}, "move-3-groups-train-to-test"),
+        ("remove_classes", {"classes": ["x"], "merge_into": None}, "remove-x"),
+        ("remove_classes", {"classes": ["x"], "merge_into": "y z"}, "merge-x-into-y-z"),
+        ("rename_classes", {"a": "b c"}, "rename-b-c"),
+        ("rebalance_empty", {"fraction": 0.25}, "empty-max25"),
+        ("tile", {"mode": "grid", "size": 320}, "tile-grid-320"),
+        ("augment", {"copies": 2}, "augment-2x"),
+        ("filter", {}, "filter"),
+    ):
+        assert name(op, settings) == ["my-set", detail, lineage.fingerprint(settings)]
+
+
+def slow_fill(points, width, height):
+    """Pixel by pixel: even-odd crossings of the scan line, and the outline."""
+    mask = np.zeros((height, width), bool)
+    edges = [(points[i], points[(i + 1) % len(points)]) for i in range(len(points))]
+    for y in range(height):
+        xs = sorted(a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in edges if min(a[1], b[1]) <= y < max(a[1], b[1]))
+        for x in range(width):
+            mask[y, x] = any(l - 1e-9 <= x <= r + 1e-9 for l, r in zip(xs[::2], xs[1::2], strict=False))
+    for a, b in edges:
+        n = int(max(abs(b[0] - a[0]), abs(b[1] - a[1]), 1))
+        for x, y in zip(np.rint(np.linspace(a[0], b[0], n + 1)), np.rint(np.linspace(a[1], b[1], n + 1)), strict=True):
+            if 0 <= x < width and 0 <= y < height:
+                mask[int(y), int(x)] = True
+    return mask
+
+
+def test_polygon_runs_against_brute_force():
+    rng = np.random.default_rng(0)
+    for i in range(200):
+        points = rng.uniform(-10, 40, (rng.integers(1, 8), 2))
+        points = np.round(points) if i % 2 else points
+        assert np.array_equal(raster.fill_polygon(points, 32, 24), slow_fill(points, 32, 24))
+
+
 def test_text_functions(spark):
-    df = spark.createDataFrame([("a b/ç",), ("x" * 100,)], "s string")
+    long = "é" + "X" * 79 + "._" + "y" * 40
+    df = spark.createDataFrame([("a b/ç",), ("x" * 100,), ("  -Ab.C-_",), ("ç",), ("",), (None,), (long,)], "s string")
     rows = [r[0] for r in df.select(text.slug(F.col("s"))).collect()]
-    assert rows[0] == "a-b" and len(rows[1]) == 80
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()[:12]
+    whole = "x" * 79 + "._" + "y" * 40
+    assert rows == ["a-b", f"{'x' * 67}-{digest('x' * 100)}", "ab.c", "dataset", "dataset", None, f"{whole[:67]}-{digest(whole)}"]
+    splits = spark.createDataFrame([("Validation",), ("TRAIN",), (None,)], "s string")
+    assert [r[0] for r in splits.select(text.split_name(F.col("s"))).collect()] == ["val", "train", None]
+    with pytest.raises(Exception, match="no split"):
+        spark.createDataFrame([("dev",)], "s string").select(text.split_name(F.col("s"))).collect()
     assert [r[0] for r in df.select(text.elided(F.col("s"), 9)).collect()][1] == "xxxx…xxxx"
     got = spark.sql("select 'd/images/a/images/b.c.jpg' as p").select(text.label_path(F.col("p"))).first()[0]
     assert got == "d/images/a/labels/b.c.txt"
