@@ -62,7 +62,8 @@ def clip_polygon(points: Column | str, x1: Column, y1: Column, x2: Column, y2: C
             p, q = F.get(acc, i), F.get(acc, (i + 1) % F.size(acc))
             d, e = h["a"] * p["x"] + h["b"] * p["y"] + h["c"], h["a"] * q["x"] + h["b"] * q["y"] + h["c"]
             t = F.try_divide(d, d - e)
-            met = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+            # On the side itself, the cut coordinate is the side's.
+            met = point(F.when(h["a"] != 0, -h["c"] / h["a"]).otherwise(p["x"] + t * (q["x"] - p["x"])), F.when(h["b"] != 0, -h["c"] / h["b"]).otherwise(p["y"] + t * (q["y"] - p["y"])))
             return F.when((d >= 0) & (e >= 0), F.array(q)).when(d >= 0, F.array(met)).when(e >= 0, F.array(met, q)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
 
         return F.when(F.size(acc) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(acc) - 1), step))).otherwise(acc)

@@ -505,7 +505,7 @@ def name_slugs(spark, d):
 @query("""SELECT a.image_id, t.tile, a.ann_idx, round(greatest(0.0E0, least(a.x2, t.x2) - greatest(a.x1, t.x1)) * greatest(0.0E0, least(a.y2, t.y2) - greatest(a.y1, t.y1)), 3) AS area,
   greatest(a.x1, t.x1) - t.x1 AS x1, greatest(a.y1, t.y1) - t.y1 AS y1, least(a.x2, t.x2) - t.x1 AS x2, least(a.y2, t.y2) - t.y1 AS y2
 FROM annotations a JOIN (SELECT image_id, unnest([0, 1]) AS tile, unnest([0, 200]) AS x1, unnest([0, 100]) AS y1, unnest([260, 460]) AS x2, unnest([220, 320]) AS y2 FROM samples) t USING (image_id)
-WHERE greatest(0.0E0, least(a.x2, t.x2) - greatest(a.x1, t.x1)) * greatest(0.0E0, least(a.y2, t.y2) - greatest(a.y1, t.y1)) >= 0.1E0 * (a.x2 - a.x1) * (a.y2 - a.y1)""")
+WHERE greatest(0.0E0, least(a.x2, t.x2) - greatest(a.x1, t.x1)) * greatest(0.0E0, least(a.y2, t.y2) - greatest(a.y1, t.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) >= 0.1E0""")
 def tile_polygon_clip(spark, d):
     a, s = tables(spark, d, "annotations", "samples")
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
