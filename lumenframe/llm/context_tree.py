@@ -23,12 +23,11 @@ a text over 64 kB is a block of its own.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +37,8 @@ from lumenframe.llm.language_id import held_out
 DEPTH = 3
 #: Documents of a block, and the bytes over which one is a block of its own.
 BLOCK_ROWS, LONG = 3000, 1 << 16
-#: The end token; no word is empty.
-END = b""
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Nodes of one byte's binary decomposition: numbers 1 to 255.
 NODES = 256
 
@@ -75,32 +74,36 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return g[at], sizes
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """A text's words, A-Z lower-cased, and the end token."""
-    return [*text.lower().split(), END]
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each token, tokens of each text, the distinct tokens): A-Z lower-cased words and, last in each text, the end token."""
+    x = np.frombuffer(b"".join(t + b"\n" for t in texts).lower(), np.uint8)
+    space = SPACES[x]
+    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
+    start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+    last = np.cumsum([len(t) + 1 for t in texts]) - 1
+    before = np.searchsorted(start, last)  # words up to each text's end
+    lengths = np.insert(stop - start, before, 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(x[~space].tobytes())])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), np.diff(before, prepend=0) + 1, coded.dictionary.cast(pa.binary())
 
 
 def own_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(word, gram, block, c): each block's distinct words and grams, the other of the two null, with their counts in training documents."""
 
-    def batch_of(words: list[bytes] | None, k: np.ndarray | None, block: int, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def batch_of(words: pa.Array | None, k: np.ndarray | None, block: int, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(c), 1 << 16):
             part = slice(i, i + (1 << 16))
             n = len(c[part])
-            word = pa.nulls(n, pa.binary()) if words is None else pa.array(words[part], pa.binary())
+            word = pa.nulls(n, pa.binary()) if words is None else words.slice(i, n)
             gram = pa.nulls(n, pa.int64()) if k is None else pa.array(k[part])
             yield pa.RecordBatch.from_arrays([word, gram, pa.array(np.full(n, block, np.int64)), pa.array(c[part].astype(np.int64))], ["word", "gram", "block", "c"])
 
     def count(block: int, texts: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
-        known: Counter[bytes] = Counter()
-        for text, t in zip(texts, train, strict=True):
-            if t:
-                known.update(tokens(text))
-        for text, t in zip(texts, train, strict=True):
-            if not t:
-                for w in tokens(text):
-                    known.setdefault(w, 0)
-        yield from batch_of(list(known), None, block, np.array(list(known.values()), np.int64))
+        number, sizes, words = word_numbers(texts)
+        c = np.bincount(number, np.repeat(np.array(train), sizes), len(words))
+        yield from batch_of(words, None, block, c.astype(np.int64))
         values, sizes = grams(texts, depth)
         seen = np.repeat(np.array(train), sizes)
         k, c = np.unique(values[seen], return_counts=True)
@@ -240,32 +243,30 @@ def score(spark: SparkSession, documents: DataFrame, folds: int = 7, fold: int =
     docs = kept.select("doc_id", "text", "held_out", F.xxhash64("_metadata.file_path", place).alias("block"))
     counts = stored(spark, own_counts(docs, depth), "ctw-counts")
     words = counts.where("word is not null").select("word", "block", "c")
-    by_word = words.groupBy("word").agg(F.sum("c").alias("c"))
-    stat = by_word.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    total, distinct = stat["n"] or 0, stat["v"]
+    # Totals by word, and one row of each word marked; a block knows its own counts: only totals that differ go back.
+    of_word = Window.partitionBy("word")
+    totals = words.select("word", "block", "c", F.sum("c").over(of_word).alias("v"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first"))
+    totals = stored(spark, totals.where("first or v != c"), "ctw-words")
+    total = words.agg(F.sum("c")).first()[0] or 0
+    distinct = totals.where("first and v > 0").count()
     lengths = gram_lengths(spark, counts, depth)
     asked = counts.where("gram is not null").select(F.col("gram").alias("k"), "block").join(if_small(lengths, 32), "k").select(F.lit(None).cast("binary").alias("word"), F.col("k").alias("gram"), "block", "v")
-    # A block knows its own counts: only totals that differ go back.
-    all_of = F.sum("c").over(Window.partitionBy("word"))
-    told = words.withColumn("v", all_of).where("v != c").select("word", F.lit(None).cast("long").alias("gram"), "block", F.col("v").cast("double").alias("v")).unionByName(asked)
+    told = totals.where("v != c").select("word", F.lit(None).cast("long").alias("gram"), "block", F.col("v").cast("double").alias("v")).unionByName(asked)
     unit = math.log10(total + distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [t.as_py().encode() for t in left["text"]]
-        of_word = pa.compute.is_valid(right["word"])
-        known: Counter[bytes] = Counter()  # the block's own counts, where no other is told
-        for text, held in zip(texts, left["held_out"].to_pylist(), strict=True):
-            if not held:
-                known.update(tokens(text))
+        of_word = pc.is_valid(right["word"])
+        number, sizes, words = word_numbers(texts)
+        train = np.repeat(~left["held_out"].to_numpy(zero_copy_only=False), sizes)
+        c = np.bincount(number, train, len(words))  # the block's own counts, where no other is told
         told_words = right.filter(of_word)
-        known.update(dict(zip(told_words["word"].to_pylist(), [int(v) - known.get(w, 0) for w, v in zip(told_words["word"].to_pylist(), told_words["v"].to_pylist(), strict=True)], strict=True)))
-        sizes, n_known, base_score = [], [], []
-        for text in texts:
-            ws = tokens(text)
-            c = np.array([known.get(w, 0) for w in ws], np.int64)
-            sizes.append(len(ws)), n_known.append(int((c > 0).sum())), base_score.append(float(np.log10(c + 1).sum()) - len(ws) * unit)
+        c[pc.index_in(told_words["word"].combine_chunks(), words).to_numpy()] = told_words["v"].to_numpy()
+        each, first = c[number], np.cumsum(sizes) - sizes
+        n_known = np.add.reduceat((each > 0).astype(np.int64), first)
+        base_score = np.add.reduceat(np.log10(each + 1), first) - sizes * unit
         g, n = grams(texts, depth)
-        told_grams = right.filter(pa.compute.invert(of_word))
+        told_grams = right.filter(pc.invert(of_word))
         gk, gv = told_grams["gram"].to_numpy(), told_grams["v"].to_numpy()
         order = np.argsort(gk)
         values = gv[order][np.searchsorted(gk[order], g)]

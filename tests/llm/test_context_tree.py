@@ -94,6 +94,14 @@ def test_small_table(spark):
     compare(context_tree.score(spark, df).select(*COLUMNS).collect(), slow([(r["doc_id"], r["text"]) for r in df.collect()], 3))
 
 
+def test_words_are_compared_as_they_are(spark):
+    """Words that collide under every polynomial hash modulo 2**64 are counted apart."""
+    word = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+    rows = [(i, " ".join([word(i % 2)] * (1 + i)), "", "", 0) for i in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    compare(context_tree.score(spark, df, depth=2).select(*COLUMNS).collect(), slow([(r[0], r[1]) for r in rows], 2))
+
+
 def test_empty_and_untrained(spark):
     assert context_tree.score(spark, spark.createDataFrame([], SCHEMA)).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
