@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import diff, lineage, planning, selection, summary, tiling
+from lumenframe.operators import comparison, diff, lineage, planning, selection, summary, tiling
 from lumenframe.sources import coco, sinks, yolo
 
 GroupBy = Column | Callable[[str], Any]
@@ -146,6 +146,35 @@ class Dataset:
         """Publish label files by split and ``data.yaml``, and copy the images where they are whole files."""
         return sinks.write_yolo(self.samples.sparkSession, destination, self.samples, self.annotations, self.classes, images, overwrite)
 
+    def export_masks(self, destination: str, overwrite: bool = False) -> dict[str, int]:
+        """Publish a mask of every image by split, the union of its polygons; classes and objects are not told apart."""
+        return sinks.write_masks(self.samples.sparkSession, destination, self.samples, self.annotations, overwrite)
+
+    def export_formats(self, yolo: str | None = None, masks: str | None = None, images: bool = True) -> dict[str, dict[str, int]]:
+        """Label trees, then masks, into folders that must all be new; nothing is written if one is not."""
+        for place in filter(None, (yolo, masks)):
+            if sinks.exists(self.samples.sparkSession, place):
+                raise FileExistsError(place)
+        done = {}
+        if yolo:
+            done["yolo"] = self.export_yolo(yolo, images)
+        if masks:
+            done["masks"] = self.export_masks(masks)
+        return done
+
+    def assert_trainable(self, required: Sequence[str] = ("train", "val"), task: str = "detect", keypoint_shape: Sequence[int] | None = None) -> None:
+        """Raise with all that keeps the dataset from being trained on; steps that no export has written count."""
+        if self.plan:
+            raise ValueError(f"not exported yet: {[p[0] for p in self.plan]}")
+        issues = selection.trainability(self.samples, self.classes, required, task, keypoint_shape).collect()  # splits and classes are few
+        if issues:
+            raise ValueError(f"not trainable: {[tuple(r) for r in issues]}")
+
+    def compare_models(self, predictions: DataFrame, split: str | None = "val", models: DataFrame | None = None, trained: DataFrame | None = None) -> comparison.Comparison:
+        """Score and rank the models of ``predictions`` on a split (None: all images)."""
+        samples = self.samples if split is None else self.samples.where(F.col("split") == split)
+        return comparison.compare_models(samples, self.annotations, predictions, models, trained)
+
     def export(self, destination: str, dry_run: bool = False, overwrite: bool = False) -> dict[str, int]:
         """Publish all frames at once, with a manifest of the plan."""
         frames = {"samples": self.samples, "annotations": self.annotations, "classes": self.classes}

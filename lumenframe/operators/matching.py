@@ -5,8 +5,10 @@ Groups are an image, or an image and class: bounded by what an image holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, intersection
@@ -138,6 +140,41 @@ def overlap_matching(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return per_group(edges, by, ("ref", "pred"), ("ref", "pred"), one, {"ref": "long", "pred": "long"})
 
 
+def component_dice(ref: DataFrame, pred: DataFrame, by: Sequence[str], overlap: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """(by, ref, pred, dice) of components (by, component, y, x0, x1) that share pixels; ``by`` holds the class, as only equal classes match."""
+    size = lambda runs, key, n: runs.groupBy(*by, F.col("component").alias(key)).agg(F.sum(F.col("x1") - F.col("x0")).alias(n))
+    shared = overlap(ref, pred, list(by))
+    both = shared.join(size(ref, "ref", "a"), [*by, "ref"]).join(size(pred, "pred", "b"), [*by, "pred"])
+    return both.select(*by, "ref", "pred", (2.0 * F.col("pixels") / (F.col("a") + F.col("b"))).alias("dice"))
+
+
+def dice_matching(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The matching of largest total Dice among ``pairs`` (by, ref, pred, dice), each end once; only pairs that share a pixel."""
+
+    def one(x: dict[str, np.ndarray]) -> dict[str, list]:
+        g, gi = np.unique(x["ref"], return_inverse=True)
+        p, pi = np.unique(x["pred"], return_inverse=True)
+        gain = np.zeros((len(g), len(p)))
+        gain[gi, pi] = x["dice"]
+        found = [(i, j) for i, j in assign(-gain) if gain[i, j] > 0]
+        return {"ref": [g[i] for i, _ in found], "pred": [p[j] for _, j in found], "dice": [gain[i, j] for i, j in found]}
+
+    return per_group(pairs.where("dice > 0"), by, ("ref", "pred"), ("ref", "pred", "dice"), one, {"ref": "long", "pred": "long", "dice": "double"})
+
+
+def to_source(tiles: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Predictions of tiles (image_id, tile, box) in the coordinates of their images, numbered anew by tile and number."""
+    corner = tiles.select("image_id", "tile", F.col("x1").alias("left"), F.col("y1").alias("top"))
+    moved = predictions.join(corner, ["image_id", "tile"]).withColumns({c: F.col(c) + F.col(o) for c, o in (("x1", "left"), ("x2", "left"), ("y1", "top"), ("y2", "top"))})
+    order = Window.partitionBy("model", "image_id").orderBy("tile", "pred_idx")
+    return moved.withColumn("pred_idx", F.row_number().over(order) - 1).drop("left", "top", "tile")
+
+
+def merge_sliced(tiles: DataFrame, predictions: DataFrame, method: str = "GREEDYNMM", **options) -> DataFrame:
+    """Predictions made tile by tile, merged into those of whole images; ``method`` and options are those of :func:`non_maximum`."""
+    return non_maximum(to_source(tiles, predictions), method, **options)
+
+
 def overlaps(b: np.ndarray, metric: str = "ios") -> np.ndarray:
     """Pairwise IoU or intersection over the smaller box of boxes (n, 4)."""
     wide = np.maximum(0, np.minimum(b[:, None, 2], b[None, :, 2]) - np.maximum(b[:, None, 0], b[None, :, 0]))

@@ -24,11 +24,11 @@ def candidates(annotations: DataFrame, predictions: DataFrame, least: float = 0.
     return pairs.where(inter >= least * (box_area(p) + box_area(t) - inter)).select("model", "image_id", "ann_idx", "pred_idx", "class_id", "score", box_iou(p, t).alias("iou"))
 
 
-def per_image(samples: DataFrame, annotations: DataFrame, flags: DataFrame) -> DataFrame:
-    """(model, image_id, group_key, tp, fp, fn) of every image and model; ``flags``: predictions with tp 0/1."""
+def per_image(samples: DataFrame, annotations: DataFrame, flags: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """(model, image_id, group_key, tp, fp, fn) of every image and model; ``flags``: predictions with tp 0/1; ``models``: distinct, those of ``flags`` unless given."""
     hits = flags.groupBy("model", "image_id").agg(F.sum("tp").alias("tp"), F.count("*").alias("n_pred"))
     truth = samples.join(annotations.groupBy("image_id").agg(F.count("*").alias("n_gt")), "image_id", "left").select("image_id", "group_key", F.coalesce("n_gt", F.lit(0)).alias("n_gt"))
-    models = flags.select("model").distinct()
+    models = models if models is not None else flags.select("model").distinct()
     grid = truth.join(F.broadcast(models))  # models are few by nature
     return grid.join(hits, ["model", "image_id"], "left").select("model", "image_id", "group_key", F.coalesce("tp", F.lit(0)).alias("tp"), (F.coalesce("n_pred", F.lit(0)) - F.coalesce("tp", F.lit(0))).alias("fp"), (F.col("n_gt") - F.coalesce("tp", F.lit(0))).alias("fn"))
 

@@ -155,3 +155,18 @@ def largest_polygon(parts: Column) -> Column:
     from lumenframe.functions.geometry import polygon_area
 
     return F.array_max(F.transform(parts, lambda p: F.struct(polygon_area(p).alias("area"), p.alias("points"))))["points"]
+
+
+def trainability(samples: DataFrame, classes: DataFrame, required: Sequence[str] = ("train", "val"), task: str = "detect", keypoint_shape: Sequence[int] | None = None) -> DataFrame:
+    """(problem, value) of what keeps a dataset from being trained on: missing splits, class names, keypoint shape or radii."""
+    spark = samples.sparkSession
+    wanted = spark.createDataFrame([(s,) for s in required], "split string")
+    issues = wanted.join(samples.select("split").distinct(), "split", "left_anti").select(F.lit("missing split").alias("problem"), F.col("split").alias("value"))
+    none = classes.agg(F.count("name").alias("n")).where("n = 0").select(F.lit("no class names").alias("problem"), F.lit(None).cast("string").alias("value"))
+    issues = issues.unionByName(none)
+    if task == "pose" and not keypoint_shape:
+        issues = issues.unionByName(spark.createDataFrame([("no keypoint shape", None)], "problem string, value string"))
+    if task == "polo":
+        bad = ~(F.col("radius") > 0) | F.col("radius").isNull() if "radius" in classes.columns else F.lit(True)
+        issues = issues.unionByName(classes.where(bad).select(F.lit("no radius").alias("problem"), F.col("name").alias("value")))
+    return issues

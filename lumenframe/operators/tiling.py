@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, clip_polygon, grid_cell, intersection, moved, polygon_area, polygon_bounds, ratio
+from lumenframe.functions.text import seed_of
 from lumenframe.operators.grouped import per_group
 
 
@@ -145,6 +146,26 @@ def background_range(positives: Column, low: float, high: float) -> tuple[Column
     return F.floor(at(high) + 1e-12).cast("long"), F.ceil(at(low) - 1e-12).cast("long")
 
 
+def allocate_backgrounds(candidates: DataFrame, quotas: DataFrame, seed: int = 0, each: int | None = None) -> DataFrame:
+    """Candidates (image_id, tile, split) up to the quota (split, target) of their split, spread evenly over the images, at most ``each`` of one.
+
+    A seeded hash orders an image's candidates; all images give their first before
+    any gives a second. Where a split's quota ends is found on counts of hash
+    cells, so that no split is sorted as a whole.
+    """
+    h = seed_of(F.lit(str(seed)), F.col("split"), F.col("image_id").cast("string"), F.col("tile").cast("string"))
+    turn = F.row_number().over(Window.partitionBy("split", "image_id").orderBy("h", "tile"))
+    rows = candidates.withColumn("h", h).withColumn("turn", turn).withColumn("cell", F.shiftright("h", 18))
+    if each is not None:
+        rows = rows.where(F.col("turn") <= each)
+    cells = rows.groupBy("split", "turn", "cell").agg(F.count("*").alias("n"))  # at most 16,384 a split and turn
+    before = F.sum("n").over(Window.partitionBy("split").orderBy("turn", "cell").rowsBetween(Window.unboundedPreceding, -1))
+    open_cells = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(quotas.select("split", "target")), "split").where("before < target").drop("n")
+    order = F.row_number().over(Window.partitionBy("split", "turn", "cell").orderBy("h", "image_id", "tile"))
+    ranked = rows.join(open_cells, ["split", "turn", "cell"]).withColumn("k", order)
+    return ranked.where(F.col("before") + F.col("k") <= F.col("target")).select(*candidates.columns)
+
+
 def coverage_tiles(samples: DataFrame, annotations: DataFrame, size: int, appearances: int = 1, attempts: int = 15, cap: int = 100, seed: int = 0) -> DataFrame:
     """Random crops that hold each object whole often enough, image by image: (image_id, tile, x1, y1, x2, y2).
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
 from lumenframe.functions import text as T
-from lumenframe.operators import diff, lineage, matching, metrics, planning, raster, selection, stats, summary, tiling
+from lumenframe.operators import comparison, diff, lineage, matching, metrics, planning, polygons, raster, selection, stats, summary, tiling
 from lumenframe.plans.fixtures import chained, table
 from lumenframe.sources import labels as label_files
 
@@ -773,6 +773,142 @@ def feather_stitch(spark, d):
     return raster.feather_stitch(small.select("image_id", "x1", "y1", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), value.alias("values")))
 
 
+@query()
+def model_comparison(spark, d):
+    return comparison.compare_models(*tables(spark, d, "samples", "annotations", "predictions")).ranking
+
+
+@query()
+def model_comparison_pairs(spark, d):
+    return comparison.compare_models(*tables(spark, d, "samples", "annotations", "predictions")).pairs
+
+
+@query("""WITH o AS (SELECT p.model, p.image_id FROM predictions p LEFT JOIN samples s ON s.image_id = p.image_id AND s.split = 'val' WHERE s.image_id IS NULL),
+ t AS (SELECT DISTINCT p.model, s.group_key FROM predictions p JOIN samples s ON s.image_id = p.image_id AND s.split = 'train')
+SELECT model, 'outside the cohort' AS problem, count(DISTINCT image_id) AS n FROM o GROUP BY 1 UNION ALL
+SELECT t.model, 'trained on', count(DISTINCT t.group_key) FROM t JOIN samples s ON s.group_key = t.group_key AND s.split = 'val' GROUP BY 1""")
+def model_comparison_issues(spark, d):
+    s, a, p = tables(spark, d, "samples", "annotations", "predictions")
+    trained = p.join(s.where("split = 'train'"), "image_id").select("model", "group_key").distinct()
+    return comparison.compare_models(s.where("split = 'val'"), a, p, trained=trained).issues
+
+
+def _maps(spark, d):
+    """Every vector as a score map of one case, each third pixel of it true."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
+    return e.select(F.concat(F.lit("m"), F.col("vec_id") % 3).alias("model"), F.concat(F.lit("g"), F.col("label")).alias("group_key"), F.col("vec_id").alias("case_id"), F.col("v").cast("double").alias("score"), (F.col("i") % 3 == 0).alias("truth"))
+
+
+MAPS = """px AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
+ tc AS (SELECT concat('m', CAST(vec_id % 3 AS VARCHAR)) AS model, concat('g', CAST(label AS VARCHAR)) AS group_key, vec_id AS case_id, t AS threshold, count(*) FILTER (v >= t AND i % 3 = 0) AS tp, count(*) FILTER (v >= t AND i % 3 <> 0) AS fp, count(*) FILTER (v < t AND i % 3 = 0) AS fn
+  FROM px CROSS JOIN (VALUES (-0.125E0), (0.0E0), (0.0625E0), (0.125E0)) AS g(t) GROUP BY ALL)"""
+MAP_GRID = [-0.125, 0.0, 0.0625, 0.125]
+
+
+@query(f"WITH {MAPS} SELECT * FROM tc")
+def threshold_counts(spark, d):
+    return comparison.threshold_counts(_maps(spark, d), MAP_GRID)
+
+
+@query(f"""WITH {MAPS}, per AS (SELECT model, threshold, coalesce(round(avg(CASE WHEN 2*tp+fp+fn > 0 THEN 2.0E0*tp/(2*tp+fp+fn) END), 6), -1) AS macro_dice, coalesce(round(2.0E0*sum(tp)/nullif(2*sum(tp)+sum(fp)+sum(fn), 0), 6), -1) AS micro_dice FROM tc GROUP BY 1, 2)
+SELECT model, threshold, macro_dice, micro_dice FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY macro_dice DESC, micro_dice DESC, threshold DESC) AS k FROM per) t WHERE k = 1""")
+def map_calibration(spark, d):
+    return comparison.calibrate_maps(_maps(spark, d), MAP_GRID)
+
+
+L_SHARED = "greatest(0.0E0, least(a.x2,p.x2)-greatest(a.x1,p.x1)) * greatest(0.0E0, least(a.y2,p.y2)-greatest(a.y1,p.y1)) - greatest(0.0E0, least(a.x2,p.x2)-greatest((a.x1+a.x2)/2,p.x1)) * greatest(0.0E0, least((a.y1+a.y2)/2,p.y2)-greatest(a.y1,p.y1))"
+
+
+@query(f"""SELECT p.model, a.image_id, a.ann_idx, p.pred_idx, round(({L_SHARED}) / ((a.x2-a.x1)*(a.y2-a.y1)*0.75E0 + (p.x2-p.x1)*(p.y2-p.y1) - ({L_SHARED})), 6) AS iou FROM annotations a JOIN predictions p ON p.image_id = a.image_id AND p.class_id = a.class_id""")
+def polygon_iou(spark, d):
+    """Boxes without their upper right quarter against boxes of two halves."""
+    a, p = tables(spark, d, "annotations", "predictions")
+    at = lambda *xy: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in xy])
+    x1, y1, x2, y2 = (F.col(c) for c in BOX)
+    mx, my = (x1 + x2) / 2, (y1 + y2) / 2
+    ell = a.select("image_id", "class_id", "ann_idx", at((x1, y1), (mx, y1), (mx, my), (x2, my), (x2, y2), (x1, y2)).alias("ell"))
+    halves = p.select("model", "image_id", "class_id", "pred_idx", F.array(at((x1, y1), (mx, y1), (mx, y2), (x1, y2)), at((mx, y1), (x2, y1), (x2, y2), (mx, y2))).alias("halves"))
+    return halves.join(ell, ["image_id", "class_id"]).select("model", "image_id", "ann_idx", "pred_idx", F.round(polygons.polygon_iou("ell", "halves"), 6).alias("iou"))
+
+
+@query(f"""SELECT p.model, a.image_id, a.class_id, CAST(a.ann_idx AS BIGINT) AS ref, CAST(p.pred_idx AS BIGINT) AS pred, round(2.0E0 * {IOU} / ((a.x2-a.x1)*(a.y2-a.y1) + (p.x2-p.x1)*(p.y2-p.y1)), 6) AS dice FROM annotations a JOIN predictions p ON p.image_id = a.image_id AND p.class_id = a.class_id WHERE {IOU} > 0""")
+def component_dice(spark, d):
+    return _dice(spark, d).withColumn("dice", F.round("dice", 6))
+
+
+def _box_runs(df: DataFrame, number: str, *by: str) -> DataFrame:
+    return df.select(*by, F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)).alias("y"), F.col("x1").cast("int").alias("x0"), F.col("x2").cast("int").alias("x1"), F.col(number).cast("long").alias("component"))
+
+
+def _dice(spark, d):
+    a, p = tables(spark, d, "annotations", "predictions")
+    by = ("model", "image_id", "class_id")
+    ref = a.crossJoin(F.broadcast(p.select("model").distinct()))  # a row a model
+    return matching.component_dice(_box_runs(ref, "ann_idx", *by), _box_runs(p, "pred_idx", *by), by, raster.run_overlap)
+
+
+@query()
+def component_dice_matching(spark, d):
+    return matching.dice_matching(_dice(spark, d), ("model", "image_id", "class_id"))
+
+
+SCORE_RUNS = """runs AS MATERIALIZED (SELECT model, image_id, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS y, CAST(x1 AS BIGINT) AS x0, CAST(x2 AS BIGINT) AS x1, score FROM predictions),
+ cut AS (SELECT model, image_id, y, x AS a, lead(x) OVER (PARTITION BY model, image_id, y ORDER BY x) AS b FROM (SELECT model, image_id, y, x0 AS x FROM runs UNION SELECT model, image_id, y, x1 FROM runs) t),
+ best AS (SELECT model, image_id, y, a, b, max(score) AS score FROM runs JOIN cut USING (model, image_id, y) WHERE x0 <= a AND b <= x1 GROUP BY ALL)"""
+
+
+def _score_map(spark, d):
+    return comparison.score_map(_box_runs(table(spark, d, "predictions"), "pred_idx", "model", "image_id", "score"))
+
+
+@query(f"WITH {SCORE_RUNS} SELECT model, image_id, CAST(sum(b - a) AS BIGINT) AS pixels, round(sum((b - a) * score), 6) AS total, max(score) AS best FROM best GROUP BY 1, 2")
+def score_map(spark, d):
+    wide = F.col("x1") - F.col("x0")
+    return _score_map(spark, d).groupBy("model", "image_id").agg(F.sum(wide).alias("pixels"), F.round(F.sum(wide * F.col("score")), 6).alias("total"), F.max("score").alias("best"))
+
+
+@query(f"""WITH {SCORE_RUNS}, hi AS (SELECT *, CASE WHEN lag(b) OVER w = a THEN 0 ELSE 1 END AS fresh FROM best WHERE score >= 0.5 WINDOW w AS (PARTITION BY model, image_id, y ORDER BY a))
+SELECT model, image_id, CAST(sum(fresh) AS BIGINT) AS runs, CAST(sum(b - a) AS BIGINT) AS pixels FROM hi GROUP BY 1, 2""")
+def score_projection(spark, d):
+    runs = comparison.projection(_score_map(spark, d), 0.5)
+    return runs.groupBy("model", "image_id").agg(F.count("*").alias("runs"), F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
+
+
+@query(f"""WITH {CLIP}, e AS (SELECT image_id, tile, split FROM tl WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.image_id = tl.image_id AND cl.tile = tl.tile)),
+ q AS (SELECT split, CAST(count(*) // 3 AS BIGINT) AS target FROM e GROUP BY 1), h AS (SELECT *, CAST(concat('0x', substr(sha256(concat('5:', split, ':', CAST(image_id AS VARCHAR), ':', CAST(tile AS VARCHAR))), 1, 8)) AS BIGINT) AS h FROM e),
+ u AS (SELECT *, row_number() OVER (PARTITION BY split, image_id ORDER BY h, tile) AS turn FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY turn, h, image_id, tile) AS k FROM u)
+SELECT image_id, tile, split FROM k JOIN q USING (split) WHERE k <= target""")
+def background_allocation(spark, d):
+    empty = tiling.empty_tiles(_tiles(spark, d), _clipped(spark, d)).select("image_id", "tile", "split")
+    quotas = empty.groupBy("split").agg(F.floor(F.count("*") / 3).alias("target"))
+    return tiling.allocate_backgrounds(empty, quotas, 5)
+
+
+@query("SELECT 'missing split' AS problem, s AS value FROM (VALUES ('train'), ('val'), ('holdout')) AS r(s) WHERE s NOT IN (SELECT split FROM samples)")
+def trainability(spark, d):
+    return selection.trainability(table(spark, d, "samples"), classes(spark), ("train", "val", "holdout"))
+
+
+def _tile_predictions(spark, d):
+    """Every prediction cut to the tiles that it meets, in their coordinates."""
+    p = table(spark, d, "predictions")
+    met = _tiles(spark, d).select("image_id", "tile", *(F.col(c).alias(f"t_{c}") for c in BOX)).join(p, "image_id").where("x1 < t_x2 and x2 > t_x1 and y1 < t_y2 and y2 > t_y1")
+    low = lambda c: (F.greatest(c, f"t_{c}") - F.col(f"t_{c}")).alias(c)
+    high = lambda c, o: (F.least(c, f"t_{c}") - F.col(f"t_{o}")).alias(c)
+    return met.select("image_id", "tile", "model", "pred_idx", "class_id", "score", low("x1"), low("y1"), high("x2", "x1"), high("y2", "y1"))
+
+
+@query(f"""WITH {GRID} SELECT model, p.image_id, CAST(row_number() OVER (PARTITION BY model, p.image_id ORDER BY tile, pred_idx) - 1 AS INT) AS pred_idx, class_id, score, greatest(p.x1, t.x1) AS x1, greatest(p.y1, t.y1) AS y1, least(p.x2, t.x2) AS x2, least(p.y2, t.y2) AS y2
+FROM predictions p JOIN tl t ON t.image_id = p.image_id WHERE p.x1 < t.x2 AND p.x2 > t.x1 AND p.y1 < t.y2 AND p.y2 > t.y1""")
+def sliced_to_source(spark, d):
+    return matching.to_source(_tiles(spark, d), _tile_predictions(spark, d)).select("model", "image_id", "pred_idx", "class_id", "score", *BOX)
+
+
+@query()
+def sliced_merge(spark, d):
+    return matching.merge_sliced(_tiles(spark, d), _tile_predictions(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import raster
 from lumenframe.sources import labels
 
 
@@ -19,6 +23,11 @@ def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def publish(spark: SparkSession, destination: str, write: Callable[[str], None], check: Callable[[str], None] | None = None, overwrite: bool = False) -> None:
     """Write to a staging folder beside the destination, check it, then rename: readers see all or nothing.
 
@@ -116,7 +125,7 @@ class PredictionCache:
 
 
 def write_tree(files: DataFrame, root: str) -> int:
-    """Write files (path below ``root``, content string, or source path to copy where content is null) from the tasks; a retried task writes the same again. Returns how many."""
+    """Write files (path below ``root``, content, text or bytes, or source path to copy where content is null) from the tasks; a retried task writes the same again. Returns how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -131,7 +140,7 @@ def write_tree(files: DataFrame, root: str) -> int:
                     fs.copy_files(name, full, source_filesystem=at, destination_filesystem=target)
                 else:
                     with target.open_output_stream(full) as out:
-                        out.write(content.encode())
+                        out.write(content if isinstance(content, bytes) else content.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return files.select("path", "content", "source").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -163,3 +172,46 @@ def write_yolo(spark: SparkSession, destination: str, samples: DataFrame, annota
 
     publish(spark, destination, write, overwrite=overwrite)
     return counts
+
+
+def png(mask: np.ndarray) -> bytes:
+    """An 8-bit grey image of a boolean mask, 0 and 255."""
+    h, w = mask.shape
+    lines = np.zeros((h, w + 1), np.uint8)
+    lines[:, 1:] = mask * np.uint8(255)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def mask_files(samples: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(path, content): a mask of every image, the union of its polygons, below ``{split}/masks/0``; images without polygons have empty masks."""
+    kept = annotations.where("polygon is not null").groupBy("image_id").agg(F.collect_list("polygon").alias("polygons"))  # bounded by an image
+    where = F.concat_ws("/", "split", F.lit("masks/0"), F.concat(F.regexp_replace("relative_path", r"\.[^./]*$", ""), F.lit(".png")))
+    rows = samples.join(kept, "image_id", "left").select(where.alias("path"), "width", "height", "polygons")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                mask = np.zeros((row["height"], row["width"]), bool)
+                for polygon in row["polygons"] or []:
+                    points = np.array([(p["x"], p["y"]) for p in polygon], float).reshape(-1, 2)
+                    for y, x0, x1 in raster.polygon_runs(points, row["width"], row["height"]):
+                        mask[y, x0:x1] = True
+                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "content": pa.array([png(mask)], pa.binary())})
+
+    return rows.mapInArrow(draw, "path string, content binary")
+
+
+def write_masks(spark: SparkSession, destination: str, samples: DataFrame, annotations: DataFrame, overwrite: bool = False) -> dict[str, int]:
+    """Publish the masks of :func:`mask_files`; images whose masks would share a path, case aside, are refused."""
+    stem = F.lower(F.regexp_replace("relative_path", r"\.[^./]*$", ""))
+    clash = samples.groupBy("split", stem.alias("stem")).count().where("count > 1").limit(4).collect()
+    if clash:
+        raise ValueError(f"images share a mask path: {[tuple(r) for r in clash]}")
+    counts: dict[str, int] = {}
+
+    def write(path: str) -> None:
+        counts["files"] = write_tree(mask_files(samples, annotations).withColumn("source", F.lit(None).cast("string")), path)
+
+    publish(spark, destination, write, overwrite=overwrite)
+    return counts
