@@ -2,73 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Pairs of edges that are compared at once.
+AT_ONCE = 1 << 20
+
 
-def _edges(points: np.ndarray) -> np.ndarray:
-    return np.column_stack([points, np.roll(points, -1, axis=0)])
+def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number within the owner) of ``counts[i]`` rows for each i."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _crossing_heights(edges: np.ndarray) -> np.ndarray:
-    """Heights at which edges cross each other."""
-    p, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
-    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
-    gap = p[None, :] - p[:, None]
+def _heights(edges: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, height) of all corners and of all crossings of edges of one pair; edges are sorted by pair, ``last`` is where each edge's pair ends."""
+    i, k = _expanded(last - np.arange(len(edges)) - 1)
+    j = i + 1 + k
+    d = edges[:, 2:] - edges[:, :2]
+    gap = edges[j, :2] - edges[i, :2]
+    cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
-        u = (gap[..., 0] * d[:, None, 1] - gap[..., 1] * d[:, None, 0]) / cross
-    i, j = np.nonzero((cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))
-    return p[i, 1] + t[i, j] * d[i, 1]
-
-
-def shared_areas(first: np.ndarray, parts: list[np.ndarray]) -> tuple[float, float]:
-    """(intersection, union) of a polygon and the union of others, exact: between heights of corners and crossings
-    both are trapezoids, whose area follows from their width halfway. A polygon that crosses itself is filled even-odd."""
-    shapes = [_edges(p) for p in (first, *parts)]
-    edges = np.concatenate(shapes)
-    cuts = np.unique(np.concatenate([edges[:, 1], _crossing_heights(edges)]))
-    mid, high = (cuts[:-1] + cuts[1:]) / 2, np.diff(cuts)
-    xs, in_first, in_parts = [], [], []
-    for k, e in enumerate(shapes):
-        met = (np.minimum(e[:, 1], e[:, 3])[:, None] <= mid) & (mid < np.maximum(e[:, 1], e[:, 3])[:, None])
-        rise = np.where(e[:, 1] == e[:, 3], 1.0, e[:, 3] - e[:, 1])
-        x = np.sort(np.where(met, e[:, :1] + (mid - e[:, 1:2]) * (e[:, 2:3] - e[:, :1]) / rise[:, None], np.inf), axis=0)
-        step = np.where(np.arange(len(e)) % 2 == 0, 1, -1)[:, None] * np.isfinite(x)
-        xs.append(x), in_first.append(step if k == 0 else 0 * step), in_parts.append(0 * step if k == 0 else step)
-    x = np.concatenate(xs)
-    order = np.argsort(x, axis=0, kind="stable")
-    x = np.take_along_axis(x, order, 0)
-    a = np.cumsum(np.take_along_axis(np.concatenate(in_first), order, 0), axis=0)[:-1] > 0
-    b = np.cumsum(np.take_along_axis(np.concatenate(in_parts), order, 0), axis=0)[:-1] > 0
-    with np.errstate(invalid="ignore"):
-        wide = np.where(np.isfinite(x[1:]), x[1:] - x[:-1], 0.0) * high
-    return float((wide * (a & b)).sum()), float((wide * (a | b)).sum())
-
-
-def plain_iou(first, parts) -> float:
-    """IoU of corner lists; 0 where a polygon has under three corners or a corner that is not finite."""
-    try:
-        shapes = [np.array([(p["x"], p["y"]) for p in s], float) for s in (first, *parts)]
-    except TypeError:
-        return 0.0
-    if len(shapes) < 2 or any(len(s) < 3 or not np.isfinite(s).all() for s in shapes):
-        return 0.0
-    rest = np.concatenate(shapes[1:])
-    if (shapes[0].max(0) <= rest.min(0)).any() or (rest.max(0) <= shapes[0].min(0)).any():
-        return 0.0  # their boxes do not meet
-    inter, union = shared_areas(shapes[0], shapes[1:])
-    return inter / union if union > 0 else 0.0
-
-
-@F.pandas_udf(DoubleType())
-def _ious(first: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([0.0 if a is None or b is None else plain_iou(a, b) for a, b in zip(first, parts, strict=True)], dtype=float)
+        t = (gap[:, 0] * d[j, 1] - gap[:, 1] * d[j, 0]) / cross
+        u = (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / cross
+    met = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    i, t = i[met], t[met]
+    return np.concatenate([pair, pair[i]]), np.concatenate([edges[:, 1], edges[i, 1] + t * d[i, 1]])
+
+
+def shared_areas(edges: np.ndarray, pair: np.ndarray, part: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(intersection, union) of the polygon 0 and the union of the others of each pair, exact.
+
+    ``edges`` (x, y, x, y) are sorted by ``pair``; ``part`` tells the polygons of
+    a pair apart. Between the heights of corners and crossings all are
+    trapezoids, whose area follows from their width halfway. A polygon that
+    crosses itself is filled even-odd.
+    """
+    ends = np.cumsum(np.bincount(pair, minlength=pairs))
+    owner, height = _heights(edges, pair, ends[pair])
+    order = np.lexsort((height, owner))
+    owner, height = owner[order], height[order]
+    slab = np.nonzero((owner[1:] == owner[:-1]) & (height[1:] > height[:-1]))[0]
+    of, mid, high = owner[slab], (height[slab] + height[slab + 1]) / 2, height[slab + 1] - height[slab]
+    s, k = _expanded(np.bincount(pair, minlength=pairs)[of])
+    e = np.append(0, ends)[of[s]] + k
+    y0, y1 = edges[e, 1], edges[e, 3]
+    met = (np.minimum(y0, y1) <= mid[s]) & (mid[s] < np.maximum(y0, y1))
+    s, e = s[met], e[met]
+    x = edges[e, 0] + (mid[s] - edges[e, 1]) * (edges[e, 2] - edges[e, 0]) / (edges[e, 3] - edges[e, 1])
+    # In each slab every second crossing of a polygon leaves it.
+    order = np.lexsort((x, part[e], s))
+    s, x, p = s[order], x[order], part[e][order]
+    fresh = np.append(True, (s[1:] != s[:-1]) | (p[1:] != p[:-1])) if len(s) else np.zeros(0, bool)
+    turn = np.arange(len(s)) - np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))
+    step = np.where(turn % 2 == 0, 1, -1)
+    order = np.lexsort((x, s))
+    s, x, step, p = s[order], x[order], step[order], p[order]
+    # All are left again at a slab's end, so the sums need no restart.
+    a, b = np.cumsum(step * (p == 0)) > 0, np.cumsum(step * (p > 0)) > 0
+    area = np.append(x[1:] - x[:-1], 0.0)[: len(x)] * high[s]
+    total = lambda where: np.bincount(of[s], np.where(where, area, 0.0), pairs)
+    return total(a & b), total(a | b)
+
+
+def _corners(points: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(x and y of all corners, corners of each polygon) of an array of corner lists."""
+    flat = points.flatten()
+    xy = [flat.field(c).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in ("x", "y")]
+    broken = flat.is_null().to_numpy(zero_copy_only=False)
+    return np.where(broken[:, None], np.nan, np.column_stack(xy)), points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def ious(first: pa.Array, parts: pa.Array) -> np.ndarray:
+    """IoU of each polygon and the union of its partners; 0 where one of them has under three corners or a corner that is not finite."""
+    n = len(first)
+    xy_a, size_a = _corners(first)
+    xy_b, size_b = _corners(parts.flatten())
+    owner, number = _expanded(parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    # A pair's own polygon, then its partners: corners sorted by pair and part.
+    shape_pair, shape_part, shape_size = np.concatenate([np.arange(n), owner]), np.concatenate([np.zeros(n, int), number + 1]), np.concatenate([size_a, size_b])
+    corner, xy = np.repeat(np.arange(len(shape_size)), shape_size), np.concatenate([xy_a, xy_b])
+    bad = np.bincount(shape_pair[shape_size < 3], minlength=n) + np.bincount(shape_pair[corner[~np.isfinite(xy).all(1)]], minlength=n) + (np.bincount(owner, minlength=n) == 0)
+    ends = np.cumsum(shape_size)
+    follow = np.arange(1, len(xy) + 1)
+    follow[ends[shape_size > 0] - 1] = (ends - shape_size)[shape_size > 0]
+    edges, pair, part = np.column_stack([xy, xy[follow]]), shape_pair[corner], shape_part[corner]
+    keep = bad[pair] == 0
+    order = np.lexsort((part[keep], pair[keep]))
+    edges, pair, part = edges[keep][order], pair[keep][order], part[keep][order]
+    out, count = np.zeros(n), np.bincount(pair, minlength=n)
+    chunk = np.cumsum(count.astype(np.int64) ** 2) // AT_ONCE
+    for c in np.unique(chunk):
+        low, high = np.searchsorted(chunk, [c, c + 1])
+        i, j = np.searchsorted(pair, [low, high])
+        if i < j:
+            inter, union = shared_areas(edges[i:j], pair[i:j] - low, part[i:j], high - low)
+            out[low:high] = np.divide(inter, union, out=np.zeros(high - low), where=union > 0)
+    return out
+
+
+def _run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for first, parts in batches:
+        yield pa.array(ious(first, parts))
 
 
 def polygon_iou(first: Column | str, parts: Column | str) -> Column:
     """IoU of a polygon, array of (x, y), and the union of an array of polygons; null or broken ones have 0."""
-    return _ious(first, parts)
+    return F.arrow_udf(_run, DoubleType(), F.ArrowUDFType.SCALAR_ITER)(first, parts)

@@ -87,7 +87,9 @@ def test_polygon_areas_against_a_fine_grid():
     for _ in range(25):
         first, parts = star(rng.integers(3, 9)), [star(rng.integers(3, 9)) for _ in range(rng.integers(1, 4))]
         a, b = inside(first, x, y), np.any([inside(p, x, y) for p in parts], axis=0)
-        inter, union = polygons.shared_areas(first, parts)
+        shapes = [first, *parts]
+        edges = np.concatenate([np.column_stack([q, np.roll(q, -1, axis=0)]) for q in shapes])
+        (inter,), (union,) = polygons.shared_areas(edges, np.zeros(len(edges), int), np.repeat(np.arange(len(shapes)), [len(q) for q in shapes]), 1)
         assert inter == pytest.approx((a & b).sum() / 3600, abs=0.06) and union == pytest.approx((a | b).sum() / 3600, abs=0.08)
 
 
@@ -101,6 +103,7 @@ def test_polygon_iou_of_broken_ones(spark):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], f"i int, a {kind}, b array<{kind}>")
     got = {r["i"]: r["v"] for r in rows.select("i", polygons.polygon_iou("a", "b").alias("v")).collect()}
     assert all(got[i] == pytest.approx(w) for i, (_, _, w) in enumerate(cases))
+    assert rows.limit(0).select(polygons.polygon_iou("a", "b")).count() == 0
 
 
 def test_dice_matching_has_the_largest_total(spark):
