@@ -53,4 +53,6 @@ def per_group(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns:
         if held is not None:
             yield solve(held, np.zeros(1, int))
 
-    return rows.select(*by, *[c for c in columns if c not in by]).repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    # With a number: small groups can be much work, so few bytes must not end in one task.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*by, *[c for c in columns if c not in by]).repartition(n, *by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)

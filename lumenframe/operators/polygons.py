@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 AT_ONCE = 1 << 20
 
 
-def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, number within the owner) of ``counts[i]`` rows for each i."""
     owner = np.repeat(np.arange(len(counts)), counts)
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -22,7 +22,7 @@ def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _heights(edges: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pair, height) of all corners and of all crossings of edges of one pair; edges are sorted by pair, ``last`` is where each edge's pair ends."""
-    i, k = _expanded(last - np.arange(len(edges)) - 1)
+    i, k = expanded(last - np.arange(len(edges)) - 1)
     j = i + 1 + k
     d = edges[:, 2:] - edges[:, :2]
     gap = edges[j, :2] - edges[i, :2]
@@ -49,7 +49,7 @@ def shared_areas(edges: np.ndarray, pair: np.ndarray, part: np.ndarray, pairs: i
     owner, height = owner[order], height[order]
     slab = np.nonzero((owner[1:] == owner[:-1]) & (height[1:] > height[:-1]))[0]
     of, mid, high = owner[slab], (height[slab] + height[slab + 1]) / 2, height[slab + 1] - height[slab]
-    s, k = _expanded(np.bincount(pair, minlength=pairs)[of])
+    s, k = expanded(np.bincount(pair, minlength=pairs)[of])
     e = np.append(0, ends)[of[s]] + k
     y0, y1 = edges[e, 1], edges[e, 3]
     met = (np.minimum(y0, y1) <= mid[s]) & (mid[s] < np.maximum(y0, y1))
@@ -83,7 +83,7 @@ def ious(first: pa.Array, parts: pa.Array) -> np.ndarray:
     n = len(first)
     xy_a, size_a = _corners(first)
     xy_b, size_b = _corners(parts.flatten())
-    owner, number = _expanded(parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    owner, number = expanded(parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     # A pair's own polygon, then its partners: corners sorted by pair and part.
     shape_pair, shape_part, shape_size = np.concatenate([np.arange(n), owner]), np.concatenate([np.zeros(n, int), number + 1]), np.concatenate([size_a, size_b])
     corner, xy = np.repeat(np.arange(len(shape_size)), shape_size), np.concatenate([xy_a, xy_b])

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators.grouped import per_group
+from lumenframe.operators.polygons import expanded
+
+#: Outline pixels of the polygons that are drawn at once.
+DRAWN = 1 << 22
 
 
 def fill_polygon(points: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -19,36 +23,51 @@ def fill_polygon(points: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def polygon_runs(points: np.ndarray, width: int, height: int) -> np.ndarray:
-    """(n, 3) runs y, x0, x1 (exclusive) of :func:`fill_polygon`, from the edges: only the polygon's own box is ever filled."""
-    if len(points) == 0:
-        return np.zeros((0, 3), int)
-    a, b = points, np.roll(points, -1, axis=0)
-    low, high = np.floor(points.min(0)).astype(int), np.ceil(points.max(0)).astype(int)
-    x_min, x_max = max(0, low[0]), min(width - 1, high[0])
-    y_min, y_max = max(0, low[1]), min(height - 1, high[1])
-    if x_min > x_max or y_min > y_max:
-        return np.zeros((0, 3), int)
-    y = np.arange(y_min, y_max + 1)
+    """(n, 3) runs y, x0, x1 (exclusive) of :func:`fill_polygon`."""
+    return all_runs(np.asarray(points, float).reshape(-1, 2), np.array([len(points)]), np.array([width]), np.array([height]))[:, 1:]
+
+
+def all_runs(xy: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """(n, 4) runs polygon, y, x0, x1 of many polygons, from their edges; ``xy`` holds the corners of one after the other."""
+    some = sizes > 0
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first, last = (np.cumsum(sizes) - sizes)[some], np.cumsum(sizes)[some] - 1
+    if not len(first):
+        return np.zeros((0, 4), int)
+    after = np.arange(len(xy)) + 1
+    after[last] = first
+    a, b = xy, xy[after]
+    low, high = np.zeros((len(sizes), 2), int), np.full((len(sizes), 2), -1)
+    low[some] = np.maximum(np.floor(np.minimum.reduceat(xy, first)), 0)
+    high[some] = np.minimum(np.ceil(np.maximum.reduceat(xy, first)), np.column_stack([width, height])[some] - 1)
     # Where each scan line meets the edges, in order: every two crossings enclose a stretch.
-    met = (np.minimum(a[:, 1], b[:, 1])[:, None] <= y) & (y < np.maximum(a[:, 1], b[:, 1])[:, None])
-    rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
-    x = np.where(met, a[:, :1] + (y - a[:, 1:]) * (b[:, 0] - a[:, 0])[:, None] / rise[:, None], np.inf)
-    x.sort(axis=0)
-    edge = np.zeros((len(y), x_max - x_min + 2), np.int32)
-    for left, right in zip(x[::2], x[1::2], strict=False):
-        rows = np.nonzero(np.isfinite(right))[0]
-        start = np.clip(np.ceil(left[rows] - 1e-9) - x_min, 0, x_max - x_min + 1).astype(int)
-        stop = np.clip(np.floor(right[rows] + 1e-9) + 1 - x_min, 0, x_max - x_min + 1).astype(int)
-        some = start < stop
-        np.add.at(edge, (rows[some], start[some]), 1)
-        np.add.at(edge, (rows[some], stop[some]), -1)
-    mask = np.cumsum(edge, axis=1)[:, :-1] > 0
-    for (x0, y0), (x1, y1) in zip(a, b, strict=True):
-        n = int(max(abs(x1 - x0), abs(y1 - y0), 1))
-        xs, ys = np.rint(np.linspace(x0, x1, n + 1)).astype(int), np.rint(np.linspace(y0, y1, n + 1)).astype(int)
-        ok = (xs >= x_min) & (xs <= x_max) & (ys >= y_min) & (ys <= y_max)
-        mask[ys[ok] - y_min, xs[ok] - x_min] = True
-    return runs_of(mask) + np.array([y_min, x_min, x_min])
+    y0 = np.maximum(np.ceil(np.minimum(a[:, 1], b[:, 1])), low[owner, 1]).astype(int)
+    y1 = np.minimum(np.ceil(np.maximum(a[:, 1], b[:, 1])), high[owner, 1] + 1).astype(int)
+    e, k = expanded(np.maximum(y1 - y0, 0))
+    y, of = y0[e] + k, owner[e]
+    x = a[e, 0] + (y - a[e, 1]) * (b[e, 0] - a[e, 0]) / (b[e, 1] - a[e, 1])
+    order = np.lexsort((x, y, of))
+    left, right, of, y = x[order][::2], x[order][1::2], of[order][::2], y[order][::2]
+    start = np.clip(np.ceil(left - 1e-9).astype(int), low[of, 0], high[of, 0] + 1)
+    stop = np.clip(np.floor(right + 1e-9).astype(int) + 1, low[of, 0], high[of, 0] + 1)
+    inside = np.column_stack([of, y, start, stop])[start < stop]
+    # The outline's own pixels.
+    n = np.maximum(np.abs(b - a).max(1), 1).astype(int)
+    e, k = expanded(n + 1)
+    at = np.where((k == n[e])[:, None], b[e], k[:, None] * ((b - a) / n[:, None])[e] + a[e])
+    at, of = np.rint(at).astype(int), owner[e]
+    ok = ((at >= low[of]) & (at <= high[of])).all(1)
+    outline = np.column_stack([of, at[:, 1], at[:, 0], at[:, 0] + 1])[ok]
+    # Stretches that overlap or touch become one; lines lie a whole width apart.
+    rows = np.concatenate([inside, outline])
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return rows
+    line = np.cumsum((np.diff(rows[:, :2], axis=0, prepend=rows[:1, :2]) != 0).any(1)) * (int(width.max()) + 2)
+    reach = np.maximum.accumulate(rows[:, 3] + line)
+    fresh = np.append(0, np.nonzero(rows[1:, 2] + line[1:] > reach[:-1])[0] + 1)
+    end = np.append(fresh[1:], len(rows)) - 1
+    return np.column_stack([rows[fresh, :3], reach[end] - line[end]])
 
 
 def fill_ellipse(cx: float, cy: float, rx: float, ry: float, width: int, height: int) -> np.ndarray:
@@ -123,12 +142,18 @@ def rasterise(polygons: DataFrame) -> DataFrame:
         for batch in batches:
             column = batch.column("polygon").fill_null([])
             xy = np.column_stack([column.flatten().field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")])
-            ends = np.cumsum(column.value_lengths().to_numpy())
-            sizes = zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)
-            found = [polygon_runs(xy[i:j], w, h) for i, j, w, h in sizes]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            runs = np.concatenate(found).astype(np.int32) if found else np.zeros((0, 3), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(row), batch.column("ann_idx").cast(pa.int32()).take(row), *(pa.array(np.ascontiguousarray(runs[:, i])) for i in range(3))], ["image_id", "ann_idx", "y", "x0", "x1"])
+            sizes = column.value_lengths().to_numpy()
+            ends = np.cumsum(sizes)
+            width, height = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("width", "height"))
+            # Polygons are drawn together up to this many outline pixels, if no edge is longer than its image's sides.
+            part = np.cumsum(sizes * (width + height)) // DRAWN
+            for rows in np.split(np.arange(len(sizes)), np.nonzero(np.diff(part))[0] + 1):
+                if not len(rows):
+                    continue
+                i, j = rows[0], rows[-1] + 1
+                runs = all_runs(xy[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j], width[i:j], height[i:j])
+                row = pa.array(runs[:, 0] + i)
+                yield pa.RecordBatch.from_arrays([batch.column("image_id").take(row), batch.column("ann_idx").cast(pa.int32()).take(row), *(pa.array(runs[:, c].astype(np.int32)) for c in (1, 2, 3))], ["image_id", "ann_idx", "y", "x0", "x1"])
 
     kind = polygons.schema["image_id"].dataType.simpleString()
     return polygons.select("image_id", "ann_idx", "width", "height", "polygon").mapInArrow(run, f"image_id {kind}, ann_idx int, y int, x0 int, x1 int")

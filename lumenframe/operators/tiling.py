@@ -44,9 +44,10 @@ def clip_polygons(tiles: DataFrame, annotations: DataFrame, min_area_ratio: floa
     t = tiles.select("image_id", "tile", *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
     rows = annotations.withColumn("b", polygon_bounds("polygon"))
     pairs = rows.join(t, "image_id").where("b.x1 < t_x2 and b.x2 > t_x1 and b.y1 < t_y2 and b.y2 > t_y1")
-    cut = pairs.withColumn("cut", clip_polygon("polygon", *(F.col(f"t_{c}") for c in ("x1", "y1", "x2", "y2"))))
-    kept = cut.where(ratio(polygon_area("cut"), polygon_area("polygon")) >= min_area_ratio)
-    inner = moved("cut", -F.col("t_x1"), -F.col("t_y1"))
+    # explode keeps the cut polygon from being worked out again wherever it is named.
+    cut = F.explode(F.array(clip_polygon("polygon", *(F.col(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))))
+    kept = pairs.select("*", cut.alias("cut")).where(ratio(polygon_area("cut"), polygon_area("polygon")) >= min_area_ratio)
+    inner = F.explode(F.array(moved("cut", -F.col("t_x1"), -F.col("t_y1"))))
     return kept.select("image_id", "tile", "ann_idx", "class_id", inner.alias("polygon")).withColumn("b", polygon_bounds("polygon")).select("image_id", "tile", "ann_idx", "class_id", "polygon", "b.*")
 
 
