@@ -39,6 +39,12 @@ class Dataset:
             frames = yolo.open_dataset(spark, path, None if format == "flat" else "data.yaml", errors=errors)
         return cls(frames["samples"], frames["annotations"], frames["classes"], name)
 
+    @classmethod
+    def update(cls, spark: SparkSession, path: str, destination: str | None = None, name: str = "dataset") -> Dataset:
+        """Bring what :meth:`export` wrote to the current schema, in place or as a copy, and open it."""
+        sinks.update_dataset(spark, path, destination)
+        return cls.open(spark, destination or path, "parquet", name)
+
     def _next(self, operation: str, settings: dict[str, Any], **changes: DataFrame) -> Dataset:
         step = (operation, lineage.fingerprint(settings))
         return replace(self, name=lineage.derived_name(self.name, operation, settings), plan=(*self.plan, step), **changes)

@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.text import frozen_id, plain_slug
+from lumenframe.operators.shared import deleted, stored
 
 
 def trace(lineage: DataFrame) -> DataFrame:
     """(node_id, root_id, depth, chain) of nodes (node_id, parent_id, dataset_name): pointers are doubled, so log2(depth) joins do.
 
     A node on a cycle, or behind one, has no root and is left out: doubling goes on, each step
-    written to the checkpoint folder if there is one, until no further node ends.
+    written to the shared folder, until no further node ends.
     """
-    shared = lineage.sparkSession.sparkContext.getCheckpointDir()
+    spark, before = lineage.sparkSession, None
     now = lineage.select("node_id", F.coalesce("parent_id", "node_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.array("dataset_name").alias("chain"), F.col("parent_id").isNull().alias("done"))
     left = None
     while True:
-        now = now.checkpoint() if shared else now.localCheckpoint()
+        now, path = stored(now, "lineage-trace")
+        deleted(spark, before)
+        before = path
         unsettled = now.where(~F.col("done")).count()
         # A chain that ends has a node at every depth below its own, so each step ends some.
         if unsettled in (0, left):

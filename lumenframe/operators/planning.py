@@ -6,10 +6,11 @@ import random
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.text import seed_of
+from lumenframe.operators.shared import stored
 
 
 def group_sizes(samples: DataFrame, annotations: DataFrame | None = None) -> list[tuple[str, int, int]]:
@@ -70,10 +71,10 @@ def split(samples: DataFrame, annotations: DataFrame | None, ratios: Mapping[str
     return rows.join(side, "group_key").withColumn("split", F.col("new_split")).drop("new_split")
 
 
-def with_ordinal(samples: DataFrame, order: str = "relative_path") -> DataFrame:
-    """0-based ordinal in a global order: a range sort, and partition offsets from one count a partition."""
-    rows = samples.sort(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    rows = rows.persist()
+def with_ordinal(samples: DataFrame, *order: str) -> DataFrame:
+    """0-based ordinal in a global order (by default of ``relative_path``): a range sort, stored, and partition offsets from one count a partition."""
+    rows = samples.sort(*(order or ("relative_path",))).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    rows = stored(rows, "ordinals")[0]
     first = {r["__p"]: (r["n"], r["lo"]) for r in rows.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("lo")).collect()}
     offset, table = 0, []
     for p in sorted(first):
@@ -95,6 +96,17 @@ def sample(samples: DataFrame, n: int, seed: int = 0, split_name: str | None = N
     return numbered.join(side, "ord", "left_semi").orderBy("ord")
 
 
+def visual_cases(cases: DataFrame, n: int, filled: Column | None = None, seed: int = 0, order: Sequence[str] = ("relative_path",)) -> DataFrame:
+    """``n`` cases to look at, with their ordinal ``ord``: drawn by a seeded generator among those that are ``filled``, or among all if none is or no column is given; all of them if they are fewer."""
+    some = cases if filled is None else cases.where(filled)
+    numbered = with_ordinal(cases if filled is not None and some.isEmpty() else some, *order)
+    total = numbered.count()
+    if n >= total:
+        return numbered
+    drawn = np.random.default_rng(seed).choice(total, size=n, replace=False).tolist()
+    return numbered.join(cases.sparkSession.createDataFrame([(i,) for i in drawn], "ord long"), "ord", "left_semi")
+
+
 def move_n_groups(samples: DataFrame, n: int, from_split: str, to_split: str, seed: int = 0) -> DataFrame:
     """``n`` groups that have images in a split move theirs to another."""
     eligible = [g for g, _, _ in group_sizes(samples.where(F.col("split") == from_split))]

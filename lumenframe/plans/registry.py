@@ -737,6 +737,11 @@ def seeded_sample(spark, d):
     return planning.sample(table(spark, d, "samples"), 100, 11, "train").select("ord", "image_id", "relative_path")
 
 
+@query()
+def visual_cases(spark, d):
+    return planning.visual_cases(table(spark, d, "cases"), 24, F.col("n_ref") > 0, 42, ("case_id", "model")).select("ord", "model", "case_id", "n_ref")
+
+
 def _runs(spark, d):
     """Rows of pixels of every annotation, two units high each, as runs."""
     a = table(spark, d, "annotations")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
 import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -17,6 +21,10 @@ from pyspark.sql import functions as F
 from lumenframe.operators import raster
 from lumenframe.sources import labels
 
+#: Of the tables that :func:`write_dataset` writes; 2: samples have ``annotation_count`` and ``sha256`` after an update.
+SCHEMA = 2
+REPORT_BYTES = 64 << 20
+
 
 def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,6 +93,103 @@ def read_dataset(spark: SparkSession, path: str, *names: str) -> list[DataFrame]
     return [spark.read.parquet(f"{path}/{n}") for n in names]
 
 
+def file_digests(paths: DataFrame) -> DataFrame:
+    """(path, sha256) of files (path), read in pieces by the tasks; null for a file that is not there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                at, name = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+                if at.get_file_info(name).type != fs.FileType.File:
+                    found.append(None)
+                    continue
+                digest = hashlib.sha256()
+                with at.open_input_stream(name) as source:
+                    while piece := source.read(1 << 20):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], ["path", "sha256"])
+
+    return paths.where("path is not null").select("path").distinct().mapInArrow(run, "path string, sha256 string")
+
+
+def update_dataset(spark: SparkSession, path: str, destination: str | None = None) -> dict[str, int]:
+    """Bring what :func:`write_dataset` wrote to the current schema, in place or as a copy: digests of the images that are there, annotation counts, the manifest's number. A folder without manifest is refused."""
+    if not exists(spark, f"{path}/manifest"):
+        raise ValueError(f"no manifest in {path}: export the dataset first")
+    info = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    frames = {n: spark.read.parquet(f"{path}/{n}") for n in info["rows"]}
+    samples = frames["samples"].drop("annotation_count")
+    counts = frames["annotations"].groupBy("image_id").agg(F.count("*").alias("annotation_count"))
+    samples = samples.join(counts, "image_id", "left").withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)))
+    if "path" in samples.columns:
+        old = F.col("sha256") if "sha256" in samples.columns else F.lit(None).cast("string")
+        samples = samples.withColumn("old", old).drop("sha256").join(file_digests(samples), "path", "left").withColumn("sha256", F.coalesce("sha256", "old")).drop("old")
+    return write_dataset(spark, destination or path, {**frames, "samples": samples}, {**info, "schema": SCHEMA}, overwrite=destination in (None, path))
+
+
+def _without_pairs(value: Any) -> Any:
+    """A report without its earlier half: ``before`` entries go, ``x_after`` is ``x``, ``after`` is ``result``."""
+    if isinstance(value, list):
+        return [_without_pairs(v) for v in value]
+    if not isinstance(value, dict):
+        return value
+    out = {k.removesuffix("_after"): _without_pairs(v) for k, v in value.items() if k not in ("before", "after") and not k.endswith("_before")}
+    return out | ({"result": _without_pairs(value["after"])} if "after" in value else {})
+
+
+def _report(name: str, content: bytes) -> Any:
+    """A JSON document, the rows of JSON lines or of a CSV table with its header, as text."""
+    try:
+        text = content.decode()
+        if name.lower().endswith(".csv"):
+            return list(csv.DictReader(io.StringIO(text, newline="")))
+        try:
+            return _without_pairs(json.loads(text))
+        except json.JSONDecodeError:
+            return _without_pairs([json.loads(line) for line in text.splitlines() if line.strip()])
+    except (UnicodeDecodeError, json.JSONDecodeError):
+        return [] if name.lower().endswith(".csv") else {"status": "unreadable"}
+
+
+def fold_reports(spark: SparkSession, root: str, prune: bool = False, keep: Sequence[str] = ("dataset-info.json", "source-info.json")) -> dict[str, Any]:
+    """The JSON and CSV reports below ``root``, by their dotted names, as one payload; ``prune`` then deletes all but the files ``keep``.
+
+    A name with both gives its document as ``summary`` and its table as ``rows``.
+    Reports are audits of a run; over ``REPORT_BYTES`` in all they are refused.
+    """
+    fs, base = _fs(spark, root)
+    start = len(fs.makeQualified(base).toString()) + 1
+    sizes, entries = {}, fs.listFiles(base, True)
+    while entries.hasNext():
+        entry = entries.next()
+        if re.search(r"/[^._/][^/]*\.(json|csv)$", name := entry.getPath().toString(), re.IGNORECASE):
+            sizes[name[start:]] = entry.getLen()
+    if sum(sizes.values()) > REPORT_BYTES:
+        raise ValueError(f"over {REPORT_BYTES} bytes of reports in {root}")
+    contents = dict.fromkeys(sizes, b"")  # the reader skips empty files
+    if any(sizes.values()):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.lower("path").rlike(r"\.(json|csv)$"))
+        contents |= {r["path"][start:]: bytes(r["content"]) for r in files.select("path", "content").collect()}
+    documents: dict[str, Any] = {}
+    rows: dict[str, Any] = {}
+    for path, content in sorted(contents.items()):
+        if path.rsplit("/", 1)[-1] in keep:
+            continue
+        stem, part = path.rsplit(".", 1)[0], re.search(r"/(?:csv|json)/part-[^/]*$", path)
+        key = (path[: part.start()] if part else stem).replace("/", ".")
+        found, into = _report(path, content), rows if path.lower().endswith(".csv") else documents
+        into[key] = into[key] + found if part and isinstance(into.get(key), list) and isinstance(found, list) else found
+    if prune:
+        for entry in fs.listStatus(base):
+            if entry.isDirectory() or entry.getPath().getName() not in keep:
+                fs.delete(entry.getPath(), True)
+    return {k: {"summary": documents[k], "rows": rows[k]} if k in documents and k in rows else documents.get(k, rows.get(k)) for k in sorted({*documents, *rows})}
+
+
 def write_label_rows(samples: DataFrame, annotations: DataFrame, path: str) -> None:
     """(split, image_id, content) of every image, background ones empty, by split."""
     rows = samples.select("image_id", "split").join(labels.format_detect(samples, annotations), "image_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
@@ -94,7 +199,7 @@ def write_label_rows(samples: DataFrame, annotations: DataFrame, path: str) -> N
 def write_report(table: DataFrame, path: str) -> None:
     """A small table as CSV, nested cells as JSON, and as JSON lines."""
     flat = table.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in table.dtypes])
-    flat.coalesce(1).write.option("header", True).option("lineSep", "\r\n").csv(f"{path}/csv")
+    flat.coalesce(1).write.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(f"{path}/csv")
     table.coalesce(1).write.json(f"{path}/json")
 
 

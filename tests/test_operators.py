@@ -277,3 +277,21 @@ def test_text_functions(spark):
     assert [r[0] for r in df.select(text.elided(F.col("s"), 9)).collect()][1] == "xxxx…xxxx"
     got = spark.sql("select 'd/images/a/images/b.c.jpg' as p").select(text.label_path(F.col("p"))).first()[0]
     assert got == "d/images/a/labels/b.c.txt"
+
+
+def test_visual_cases(spark):
+    cases = spark.createDataFrame([(f"c{i:03d}", i % 3) for i in range(90)], "relative_path string, n int").repartition(5)
+    filled = [f"c{i:03d}" for i in range(90) if i % 3]
+    expected = [filled[i] for i in sorted(np.random.default_rng(7).choice(60, size=10, replace=False).tolist())]
+    of = lambda df: [r["relative_path"] for r in df.orderBy("ord").collect()]
+    assert of(planning.visual_cases(cases, 10, F.col("n") > 0, 7)) == expected
+    assert of(planning.visual_cases(cases, 60, F.col("n") > 0, 7)) == filled
+    assert len(of(planning.visual_cases(cases, 70, F.col("n") > 5, 7))) == 70
+    assert len(of(planning.visual_cases(cases, 100))) == 90
+    assert of(planning.visual_cases(cases.limit(0), 3, F.col("n") > 0)) == []
+
+
+def test_trace_without_checkpoint_folder(spark):
+    rows = [(i, i - 1 if i else None, f"d{i}") for i in range(40)] + [(50, 51, "x"), (51, 50, "y"), (52, 51, "z"), (60, None, "r")]
+    got = {r["node_id"]: (r["root_id"], r["depth"]) for r in lineage.trace(spark.createDataFrame(rows, "node_id long, parent_id long, dataset_name string")).collect()}
+    assert got == {i: (0, i) for i in range(40)} | {60: (60, 0)}

@@ -237,3 +237,43 @@ def test_clip_polygon_against_pixels(spark):
         for a, b in zip(p, p[1:] + p[:1], strict=True):
             inside &= (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) >= 0
         assert abs(got[i] - inside.sum() * 0.0004) < 0.3
+
+
+def test_fold_reports(spark, tmp_path):
+    root = tmp_path / "reports"
+    (root / "audit").mkdir(parents=True)
+    (root / "dataset-info.json").write_text("{}")
+    (root / "audit" / "split.json").write_text(json.dumps({"images_before": 3, "images_after": 2, "before": 1, "after": {"n_before": 1, "n": 5}, "rows": [{"x_after": 1}]}))
+    (root / "audit" / "split.csv").write_text('a,b\n1,"x, y"\n,2\n')
+    (root / "odd.json").write_text("{not json")
+    (root / "empty.csv").write_text("")
+    sinks.write_report(spark.createDataFrame([(1, ["p"]), (2, None)], "n int, v array<string>").orderBy("n"), str(root / "table"))
+    found = sinks.fold_reports(spark, str(root), prune=True)
+    assert found == {
+        "audit.split": {"summary": {"images": 2, "result": {"n": 5}, "rows": [{"x": 1}]}, "rows": [{"a": "1", "b": "x, y"}, {"a": "", "b": "2"}]},
+        "empty": [],
+        "odd": {"status": "unreadable"},
+        "table": {"summary": [{"n": 1, "v": ["p"]}, {"n": 2}], "rows": [{"n": "1", "v": '["p"]'}, {"n": "2", "v": ""}]},
+    }
+    assert [p.name for p in root.iterdir() if not p.name.startswith(".")] == ["dataset-info.json"]
+    assert sinks.fold_reports(spark, str(root)) == {}
+
+
+def test_update(spark, root, tmp_path):
+    import hashlib
+
+    out, copy = str(tmp_path / "out"), str(tmp_path / "copy")
+    with pytest.raises(ValueError, match="no manifest"):
+        Dataset.update(spark, str(root))
+    ds = Dataset.open(spark, str(root))
+    ds.export(out)
+    (root / "train" / "images" / "i1.png").unlink()
+    made = Dataset.update(spark, out, copy)
+    rows = {r["path"].rsplit("/", 1)[-1]: (r["annotation_count"], r["sha256"]) for r in made.samples.collect()}
+    digest = lambda n, s: hashlib.sha256((root / s / "images" / n).read_bytes()).hexdigest()
+    assert rows["i0.png"] == (2, digest("i0.png", "train")) and rows["i2.png"] == (2, digest("i2.png", "val")) and rows["i1.png"][0] == 0
+    assert "annotation_count" not in spark.read.parquet(f"{out}/samples").columns
+    Dataset.update(spark, out)
+    again = Dataset.update(spark, out)
+    assert {r["path"].rsplit("/", 1)[-1]: (r["annotation_count"], r["sha256"]) for r in again.samples.collect()} == rows
+    assert json.loads(spark.read.text(f"{out}/manifest").first()[0])["schema"] == sinks.SCHEMA and again.annotations.count() == 4
