@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import work_dir
-from lumenframe.llm import context_tree, decontaminate, language_id, mixing, pii, simhash, suffix_dedup, token_counts, topk_search, word_windows
+from lumenframe.llm import context_tree, decontaminate, filter_audit, language_id, mixing, packing, pii, simhash, suffix_dedup, token_counts, topk_search, whitening, word_windows
 
 TOKEN_LIMIT = 2048
 
@@ -65,8 +65,23 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_mixing, op4_suffix_dedup, op5_simhash, op6_context_tree, op7_pii, op8_word_windows, op9_language_id, op10_topk_search)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_mixing, op4_suffix_dedup, op5_simhash, op6_context_tree, op7_pii, op8_word_windows, op9_language_id, op10_topk_search, op11_filter_audit, op12_whitening, op13_packing)}
 
 
 #: DuckDB has no byte-pair encoder, XXH64 with a seed, CRF or zstandard: those are tested against brute force.
@@ -106,6 +121,27 @@ SQL = {
           SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT * FROM r WHERE rank <= 5""",
+    "op11_filter_audit": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+        l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+            'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+            'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+            'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)} AS f
+          FROM w LEFT JOIN l USING (doc_id)),
+        one AS (SELECT part, good, toxic, [[f.A, f.B, f.C, f.D, f.E][i] FOR i IN range(1, 6)] AS f FROM f),
+        n(i) AS (SELECT unnest(range(1, 6))),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM n a, n b, n c, n d, n e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT part, o, i AS step, o[i] AS k, good, toxic, f[o[i]] AS hit, len(list_filter(o[1 : i - 1], lambda x: f[x])) > 0 AS gone,
+            f[o[i]] AND len(list_filter(f, lambda x: x)) = 1 AS alone FROM one, o, n),
+        c AS (SELECT part, o, step, k, count_if(NOT hit AND NOT gone) AS kept, count_if(hit AND NOT gone) AS removed, count_if(hit AND gone) AS redundant,
+            count_if(alone) AS unique_fails, count_if(hit AND NOT gone AND good) AS good_lost, count_if(hit AND NOT gone AND toxic) AS toxic_lost
+          FROM s GROUP BY part, o, step, k)
+        SELECT part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, CAST(step AS INTEGER) AS step,
+          CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+          CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+        FROM c""",
 }
 
 
