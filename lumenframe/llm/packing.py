@@ -17,12 +17,14 @@ the same sequences; their ids hold its partition's number.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,36 +36,38 @@ SEQUENCE = 2048
 END_ID = 0
 #: Sequences that a task has open, and pieces that wait to be placed by falling length.
 OPEN, WINDOW = 4096, 1000
-#: A worker keeps the ids of so many chunks met lately, and of as many before those.
-CHUNKS_KEPT = 350_000
-#: Chunks that go to the library in one string.
+#: A worker keeps the ids of so many parts of chunks met lately, and of as many before those.
+CHUNKS_KEPT = 500_000
+#: Words that go to the library in one string.
 TOGETHER = 256
 #: Numbers of a task's sequences, below the partition's.
 TASK_BITS = 40
 #: Bytes of pieces that a task holds before it hands rows on.
 HELD_BYTES = 4 << 20
-#: These end a run of letters or digits, and a run of them is one token's text, where white space follows.
-TRAILING = b".,;:!?$%&#*"
+#: After an ASCII letter or digit and before white space, a run of these is a text of its own to the vocabulary's rules.
+TRAILING = "[.,;:!?$%&#*]+"
 
-Encode = Callable[[list[str]], list[bytes]]
+Encode = Callable[[pa.Array], list[bytes]]
 
 
 class ChunkIds:
     """Ids of texts, as little-endian unsigned 32-bit numbers, for a vocabulary whose rules drop white space.
 
     Ids of a text are those of its chunks between white space, one after the
-    other. Chunks are kept; those that are new lose their trailing punctuation,
-    and stems of letters are encoded many in one string, where each ends at a
-    token that ends a word.
+    other. Each different chunk of a batch is looked at once: it loses its
+    capitals, where the vocabulary does so too, and its trailing punctuation is
+    set apart. The different parts that then remain are kept with their ids; of
+    those not met lately, parts of letters are encoded many in one string,
+    where each ends at a token that ends a word.
     """
 
-    def __init__(self, model: bytes) -> None:
-        self.tok = library(model)
+    def __init__(self, model: bytes, lower: bool) -> None:
+        self.tok, self.lower = library(model), lower
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -82,37 +86,37 @@ class ChunkIds:
             out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Put the ids of chunks into ``new``."""
-        known, old, left, stems = self.new, self.old, [], {}
-        for c in chunks:
-            if c in old:
-                known[c] = old[c]
-                continue
-            stem = c.rstrip(TRAILING)
-            # After an ASCII letter or digit, trailing punctuation is a token's text of its own.
-            if stem != c and stem and stem[-1] < 128 and stem[-1:].isalnum():
-                left.append((c, stem, c[len(stem) :]))
-                stems[stem] = stems[c[len(stem) :]] = b""
-            else:
-                left.append((c, c, b""))
-                stems[c] = b""
-        plain = {s: t for s in stems if s not in known and (t := s.decode()).isalpha()}
-        other = [s for s in stems if s not in known and s not in plain]
-        got = dict(zip(plain, self.words(list(plain.values())), strict=True))
-        got |= zip(other, self.each([s.decode() for s in other]), strict=True)
-        of = lambda s: known[s] if s in known else got[s]
-        known.update([(c, of(stem) + of(end) if end else of(stem)) for c, stem, end in left])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.encode().split() for t in texts]
+    def ids(self, parts: list[str]) -> list[bytes]:
         if len(self.new) > CHUNKS_KEPT:
             self.old, self.new = self.new, {}
-        missing = set().union(*parts).difference(self.new)
+        known, old = self.new, self.old
+        missing = [p for p in parts if p not in known]
         if missing:
-            self.learn(missing)
-        known = self.new
-        return [b"".join([known[c] for c in chunks]) for chunks in parts]
+            known.update([(p, old[p]) for p in missing if p in old])
+            missing = [p for p in missing if p not in old]
+            plain, other = [p for p in missing if p.isalpha()], [p for p in missing if not p.isalpha()]
+            known.update(zip(plain, self.words(plain), strict=True))
+            known.update(zip(other, self.each(other), strict=True))
+        return [known[p] for p in parts]
+
+    def set_apart(self, chunks: pa.Array) -> pa.Array:
+        """Lists of the parts of chunks. Special tokens' strings keep their case; so do letters before marks, with which they may compose."""
+        if self.lower:
+            chunks = pc.if_else(pc.match_substring_regex(chunks, "<|[\\x{300}-\\x{36f}]"), chunks, pc.ascii_lower(chunks))
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(chunks, f"([A-Za-z0-9])({TRAILING})$", "\\1 \\2"))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        in_text = pc.ascii_split_whitespace(texts)
+        chunks = in_text.flatten().dictionary_encode()
+        in_chunk = self.set_apart(chunks.dictionary)
+        parts = in_chunk.flatten().dictionary_encode()
+        found = self.ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        of_part = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4"))).take(parts.indices)
+        of_chunk = pa.ListArray.from_arrays(of_part.offsets.take(in_chunk.offsets), of_part.flatten()).take(chunks.indices)
+        at = (np.asarray(of_chunk.offsets)[np.asarray(in_text.offsets)] * 4).tolist()
+        raw = np.asarray(of_chunk.flatten()).tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def library(model: bytes):
@@ -138,11 +142,11 @@ def encoder(path: str, model: bytes) -> Encode:
         import sentencepiece
 
         encode = sentencepiece.SentencePieceProcessor(model_proto=model).encode
-        return lambda texts: [np.array(encode(t, add_bos=False, add_eos=False), "<u4").tobytes() for t in texts]
+        return lambda texts: [np.array(encode(t, add_bos=False, add_eos=False), "<u4").tobytes() for t in texts.to_pylist()]
     if splits_punctuation(path):
-        return ChunkIds(model)
+        return ChunkIds(model, '"Lowercase"' in json.dumps(json.loads(model).get("normalizer")))
     tok = library(model)
-    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
 
 
 #: A worker's encoders by version of the vocabulary: pure functions, so tasks may share what they have met.
@@ -219,23 +223,21 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer_path: str, size: i
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), width)):
-                        cut = ids[at : at + width]
-                        row = (doc, piece, at // 4, cut)
-                        held += len(cut) + 64
-                        if len(cut) == width:
-                            ready.append((*row, *bins.place(size)))
-                        else:
-                            waiting.append(row)
-                            if len(waiting) >= window:
-                                settle()
-                        if held > HELD_BYTES and ready:
-                            yield rows()
-                            held = sum(len(p[3]) + 64 for p in waiting)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+                ids += end
+                for piece, at in enumerate(range(0, len(ids), width)):
+                    cut = ids[at : at + width]
+                    row = (doc, piece, at // 4, cut)
+                    held += len(cut) + 64
+                    if len(cut) == width:
+                        ready.append((*row, *bins.place(size)))
+                    else:
+                        waiting.append(row)
+                        if len(waiting) >= window:
+                            settle()
+                    if held > HELD_BYTES and ready:
+                        yield rows()
+                        held = sum(len(p[3]) + 64 for p in waiting)
         settle()
         if ready:
             yield rows()
