@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.operators import comparison, diff, lineage, planning, selection, summary, tiling
-from lumenframe.sources import coco, sinks, yolo
+from lumenframe.operators.shared import work_dir
+from lumenframe.sources import coco, other, sinks, yolo
 
 GroupBy = Column | Callable[[str], Any]
 
@@ -24,20 +25,30 @@ class Dataset:
     classes: DataFrame
     name: str = "dataset"
     plan: tuple[tuple[str, str], ...] = ()
+    issues: DataFrame | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, format: str = "yolo", name: str = "dataset", errors: str = "raise") -> Dataset:
-        """Read a dataset: ``yolo``, ``flat`` (without metadata), ``coco`` or ``parquet`` (of :meth:`export`)."""
-        if format == "parquet":
-            return cls(*sinks.read_dataset(spark, path, "samples", "annotations", "classes"), name)
-        if format == "coco":
-            frames = coco.read(spark, path)
+    def open(cls, spark: SparkSession, path: str, format: str | None = None, name: str = "dataset", errors: str = "raise", task: str | None = None) -> Dataset:
+        """Read a dataset: ``yolo``, ``flat`` (without metadata), ``coco`` or ``parquet`` (of :meth:`export`); by default what the path looks like.
+
+        ``path``: a folder, a metadata file, or a ZIP archive. ``errors``: ``raise``
+        refuses bad records, ``skip`` sets them aside and keeps their ``issues``.
+        Samples have a ``relative_path`` that does not change with the split, and a
+        ``group_key``: the image itself, until :meth:`grouped` says otherwise.
+        """
+        if path.endswith(".zip"):
+            path = other.extract_zip(path, f"{work_dir(spark).removeprefix('file://')}/archives")
+        found, root, files = other.resolve(spark, path, format)
+        if found == "parquet":
+            return cls(*sinks.read_dataset(spark, root, "samples", "annotations", "classes"), name)
+        if found == "coco":
+            frames = coco.read(spark, files, root if not yolo.images_under(spark, root).isEmpty() else None, task)
             bad = frames["issues"]
             if errors == "raise" and not bad.isEmpty():
                 raise ValueError(f"bad records: {[tuple(r) for r in bad.limit(4).collect()]}")
         else:
-            frames = yolo.open_dataset(spark, path, None if format == "flat" else "data.yaml", errors=errors)
-        return cls(frames["samples"], frames["annotations"], frames["classes"], name)
+            frames = yolo.open_dataset(spark, root, files[0] if found == "yolo" else None, task, errors)
+        return cls(frames["samples"], frames["annotations"], frames["classes"], name, issues=frames["issues"])
 
     @classmethod
     def update(cls, spark: SparkSession, path: str, destination: str | None = None, name: str = "dataset") -> Dataset:
@@ -98,11 +109,28 @@ class Dataset:
     def rebalance_empty(self, max_empty_fraction: float, seed: int = 0) -> Dataset:
         return self._with_samples("rebalance_empty", {"fraction": max_empty_fraction, "seed": seed}, selection.rebalance_empty(self.samples, self.annotations, max_empty_fraction, seed))
 
-    def add(self, other: Dataset) -> Dataset:
-        order = lambda s: s.withColumn("ord", F.col("image_id"))
-        s = selection.add(order(self.samples), order(other.samples)).drop("ord")
-        first = self.annotations.unionByName(other.annotations.join(self.samples.select("image_id"), "image_id", "left_anti"))
-        return self._next("add", {"other": other.name}, samples=s.drop("side"), annotations=first)
+    def add(self, second: Dataset) -> Dataset:
+        """This dataset's images, then those of ``second`` whose path (and occurrence of it) this one lacks, each with its own side's annotations.
+
+        The classes must be the same. Images of ``second`` whose id another image has here get a new one.
+        """
+        if self._names() != second._names():
+            raise ValueError("the datasets have different classes")
+        order = lambda s: diff.keyed(s).withColumn("ord", F.col("image_id"))
+        kept = selection.add(order(self.samples), order(second.samples), ("relative_path", "occurrence")).drop("ord")
+        ours, theirs = kept.where("side = 0").drop("side", "occurrence"), kept.where("side = 1")
+        taken = ours.select("image_id", F.lit(True).alias("taken"))
+        new_id = F.when(F.col("taken"), F.xxhash64(F.lit("add"), "image_id", "relative_path", "occurrence")).otherwise(F.col("image_id"))
+        theirs = theirs.join(taken, "image_id", "left").withColumn("new_id", new_id).drop("taken", "side", "occurrence")
+        renamed = lambda df: df.drop("image_id").withColumnRenamed("new_id", "image_id")
+        samples = ours.unionByName(renamed(theirs), allowMissingColumns=True)
+        first = self.annotations.join(ours.select("image_id"), "image_id", "left_semi")
+        rest = renamed(second.annotations.join(theirs.select("image_id", "new_id"), "image_id"))
+        return self._next("add", {"other": second.name}, samples=samples, annotations=first.unionByName(rest, allowMissingColumns=True))
+
+    def _drawn(self, what: str) -> None:
+        if "runs" in self.annotations.columns:
+            raise ValueError(f"{what} needs polygons: this dataset has run-length masks")
 
     def tile(self, size: int, overlap: float = 0.2, min_area_ratio: float = 0.1, negatives: str | float = "all", mode: str = "grid", appearances: int = 1, seed: int = 0, lossy: bool = False) -> Dataset:
         """Tiles as new images, with their boxes, keypoints, polygons or points clipped.
@@ -113,8 +141,9 @@ class Dataset:
         """
         if mode not in ("grid", "coverage") or not (negatives in ("all", "none") or isinstance(negatives, float) and 0 <= negatives < 1):
             raise ValueError("the mode is grid or coverage; negatives are all, none or a share under 1")
+        self._drawn("tiling")
         samples = self.samples
-        tiles = tiling.grid_tiles(samples, size, overlap) if mode == "grid" else tiling.coverage_tiles(samples, self.annotations, size, appearances, seed=seed).join(samples.select("image_id", "split"), "image_id")
+        tiles = tiling.grid_tiles(samples, size, overlap) if mode == "grid" else tiling.coverage_tiles(samples, tiling.boxed(self.annotations), size, appearances, seed=seed).join(samples.select("image_id", "split"), "image_id")
         cut = tiling.clip_any(tiles, self.annotations, min_area_ratio, lossy)
         new_id = F.xxhash64("image_id", "tile").alias("new_id")
         s = tiles.join(samples.select("image_id", *(c for c in ("relative_path", "path", "group_key") if c in samples.columns)), "image_id")
@@ -128,6 +157,7 @@ class Dataset:
 
     def augment(self, copies: int, seed: int = 0, include_original: bool = True, splits: Sequence[str] = ("train",), flip_x: float = 0.5, flip_y: float = 0.0) -> Dataset:
         """Copies with seeds of their own, mirrored with the given chances, annotations with them; ``flip_x`` and ``flip_y`` of the samples say which."""
+        self._drawn("augmentation")
         s = planning.augment(self.samples, copies, seed, include_original, splits).withColumn("parent_id", F.col("image_id")).withColumn("image_id", F.when(F.col("copy") > 0, F.xxhash64("image_id", "copy")).otherwise(F.col("image_id")))
         chance = lambda salt, p: (F.col("copy") > 0) & (F.pmod(F.xxhash64("copy_seed", F.lit(salt)), F.lit(10_000)) < int(p * 10_000))
         s = s.withColumn("flip_x", chance("x", flip_x)).withColumn("flip_y", chance("y", flip_y))
@@ -143,13 +173,22 @@ class Dataset:
     def audit(self) -> DataFrame:
         return summary.group_isolation(self.samples)
 
-    def compare(self, other: Dataset, changed: str = "sha256") -> dict[str, DataFrame]:
+    def _marked(self, changed: str) -> DataFrame:
+        """Samples with the column that tells whether an image changed; digests of the files where they are missing."""
+        if changed in self.samples.columns:
+            return self.samples
+        if changed == "sha256" and "path" in self.samples.columns:
+            return self.samples.join(sinks.file_digests(self.samples), "path", "left")
+        return self.samples.withColumn(changed, F.lit(None).cast("string"))
+
+    def compare(self, later: Dataset, changed: str = "sha256") -> dict[str, DataFrame]:
         """overview, splits, classes and images tables of this dataset against a later one."""
-        images = diff.images(self.samples, other.samples, changed)
-        return {"overview": diff.overview(images), "splits": diff.splits(self.samples, other.samples), "classes": diff.classes(self.annotations, other.annotations), "images": images}
+        images = diff.images(self._marked(changed), later._marked(changed), changed)
+        return {"overview": diff.overview(images), "splits": diff.splits(self.samples, later.samples), "classes": diff.classes(self.annotations, later.annotations), "images": images}
 
     def export_yolo(self, destination: str, images: bool = True, overwrite: bool = False) -> dict[str, int]:
         """Publish label files by split and ``data.yaml``, and copy the images where they are whole files."""
+        self._drawn("a label tree")
         return sinks.write_yolo(self.samples.sparkSession, destination, self.samples, self.annotations, self.classes, images, overwrite)
 
     def export_masks(self, destination: str, overwrite: bool = False) -> dict[str, int]:

@@ -87,7 +87,7 @@ def with_ordinal(samples: DataFrame, *order: str) -> DataFrame:
 def sample(samples: DataFrame, n: int, seed: int = 0, split_name: str | None = None, order: str = "relative_path") -> DataFrame:
     """``n`` samples drawn by a seeded generator over the ordinals; order is kept. Rows are numbered first."""
     rows = samples if split_name is None else samples.where(F.col("split") == split_name)
-    numbered = with_ordinal(rows, order)
+    numbered = with_ordinal(rows, order, "image_id")  # paths may repeat over splits
     total = numbered.count()
     if n > total:
         raise ValueError(f"{n} of {total} samples")

@@ -77,10 +77,10 @@ def move_images_with_classes(samples: DataFrame, annotations: DataFrame, classes
     return samples.join(groups, "group_key", "left").withColumn("split", F.when(F.col("triggered") & movable, to_split).otherwise(F.col("split"))).drop("triggered")
 
 
-def add(left: DataFrame, right: DataFrame, key: str = "relative_path") -> DataFrame:
+def add(left: DataFrame, right: DataFrame, key: str | Sequence[str] = "relative_path") -> DataFrame:
     """Ordered union: left rows first, then right rows whose key the left lacks; the first row of a key stays. ``ord`` gives each side's order."""
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("side", "ord"))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    first = F.row_number().over(Window.partitionBy([key] if isinstance(key, str) else list(key)).orderBy("side", "ord"))
     return both.withColumn("k", first).where("k = 1").drop("k")
 
 

@@ -68,6 +68,15 @@ def clip_any(tiles: DataFrame, annotations: DataFrame, min_area_ratio: float = 0
     return found.select(*boxes.columns, F.coalesce(inside, none).alias("keypoints"))
 
 
+def boxed(annotations: DataFrame) -> DataFrame:
+    """``annotations`` with a box: their own, or that of their polygon or circle."""
+    if "x1" in annotations.columns:
+        return annotations
+    if "polygon" in annotations.columns:
+        return annotations.withColumn("b", polygon_bounds("polygon")).select("*", "b.*").drop("b")
+    return annotations.withColumns({"x1": F.col("px") - F.col("radius"), "y1": F.col("py") - F.col("radius"), "x2": F.col("px") + F.col("radius"), "y2": F.col("py") + F.col("radius")})
+
+
 def clip_points(tiles: DataFrame, points: DataFrame, lossy: bool = False) -> DataFrame:
     """Circles (px, py, radius) inside a tile; lossy: centre inside, radius cut to the nearest edge."""
     t = tiles.select("image_id", "tile", *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.sources.sinks import exists
+from lumenframe.sources.yolo import local
+
 YAML_NAMES = ("data.yaml", "dataset.yaml", "data.yml")
 REPORT_NAMES = ("dataset-info.json", "provenance.json")
 
@@ -27,6 +30,28 @@ def sniff(names: list[str]) -> str:
     return "flat"
 
 
+def resolve(spark: SparkSession, path: str, format: str | None = None) -> tuple[str, str, list[str]]:
+    """(format, root, files) of a folder or a metadata file: for yolo its metadata's name, for coco the paths of its files."""
+    path = path.rstrip("/")
+    parent, _, name = path.rpartition("/")
+    if name.endswith(".json"):
+        return "coco", parent, [path]
+    if name.endswith((".yaml", ".yml")):
+        return "yolo", parent, [name]
+    if format == "parquet" or format is None and exists(spark, f"{path}/manifest") and exists(spark, f"{path}/samples"):
+        return "parquet", path, []
+    if format == "flat":
+        return "flat", path, []
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,yaml,yml}").load(path).select(local(F.col("path")).alias("path"))
+    base = path.removeprefix("file://").removeprefix("file:") + "/"
+    names = sorted(r["path"].removeprefix(base) for r in found.collect())  # metadata files, a handful
+    kind = format or sniff(names)
+    tops = [n for n in names if "/" not in n and n.endswith((".yaml", ".yml"))]
+    if kind == "yolo":
+        return kind, path, [next((n for n in YAML_NAMES if n in tops), tops[0] if tops else YAML_NAMES[0])]
+    return kind, path, [f"{path}/{n}" for n in names if n.endswith(".json") and n.rsplit("/", 1)[-1] not in REPORT_NAMES] if kind == "coco" else []
+
+
 def mask_pixels(spark: SparkSession, root: str) -> DataFrame:
     """(path, foreground, total) of mask images, decoded by the JVM; one pass over the bytes."""
     images = spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*")
@@ -86,7 +111,8 @@ def safe_members(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
 
 def extract_zip(path: str, cache: str) -> str:
     """Folder of an archive's content, by its digest; extracted once. The shared folder must be one that the driver can write files to."""
-    digest = hashlib.sha256(Path(path).read_bytes()).hexdigest()[:16]
+    with Path(path).open("rb") as source:  # in pieces: archives may be larger than memory
+        digest = hashlib.file_digest(source, "sha256").hexdigest()[:16]
     target = Path(cache) / digest
     if not target.exists():
         part = Path(cache) / f".{digest}.part"

@@ -289,10 +289,11 @@ def png(mask: np.ndarray) -> bytes:
 
 
 def mask_files(samples: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(path, content): a mask of every image, the union of its polygons, below ``{split}/masks/0``; images without polygons have empty masks."""
-    kept = annotations.where("polygon is not null").groupBy("image_id").agg(F.collect_list("polygon").alias("polygons"))  # bounded by an image
+    """(path, content): a mask of every image, the union of its polygons and runs, below ``{split}/masks/0``; images without any have empty masks."""
+    lists = [F.collect_list("polygon").alias("polygons"), F.flatten(F.collect_list("runs")).alias("runs") if "runs" in annotations.columns else F.array().cast("array<struct<y:int,x0:int,x1:int>>").alias("runs")]
+    kept = annotations.groupBy("image_id").agg(*lists)  # bounded by an image
     where = F.concat_ws("/", "split", F.lit("masks/0"), F.concat(F.regexp_replace("relative_path", r"\.[^./]*$", ""), F.lit(".png")))
-    rows = samples.join(kept, "image_id", "left").select(where.alias("path"), "width", "height", "polygons")
+    rows = samples.join(kept, "image_id", "left").select(where.alias("path"), "width", "height", "polygons", "runs")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,6 +303,8 @@ def mask_files(samples: DataFrame, annotations: DataFrame) -> DataFrame:
                     points = np.array([(p["x"], p["y"]) for p in polygon], float).reshape(-1, 2)
                     for y, x0, x1 in raster.polygon_runs(points, row["width"], row["height"]):
                         mask[y, x0:x1] = True
+                for r in row["runs"] or []:
+                    mask[r["y"], r["x0"] : r["x1"]] = True
                 yield pa.RecordBatch.from_pydict({"path": [row["path"]], "content": pa.array([png(mask)], pa.binary())})
 
     return rows.mapInArrow(draw, "path string, content binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +75,12 @@ def local(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:(//)?(?=/)", "")
 
 
+def canonical(at: Column) -> Column:
+    """A path below a dataset's root without the folders that only say split and kind: ``train/images/a/1.jpg`` and ``images/train/a/1.jpg`` are ``a/1.jpg``."""
+    split = "(?:train|val|valid|validation|test)"
+    return F.regexp_replace(at, rf"^(?:\./)?(?:{split}/images/|images/{split}/|images/|{split}/)", "")
+
+
 def open_dataset(spark: SparkSession, root: str, yaml_name: str | None = "data.yaml", task: str | None = None, errors: str = "raise") -> dict[str, DataFrame]:
     """samples, annotations, classes and issues of a dataset.
 
@@ -92,7 +99,10 @@ def open_dataset(spark: SparkSession, root: str, yaml_name: str | None = "data.y
         images = images_under(spark, root).withColumn("split", split_by_path(F.col("path")))
     images = images.withColumn("path", local(F.col("path")))
     sizes = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(IMAGE_SUFFIXES) + "}").load(base).select(local(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    samples = images.join(sizes, "path", "left").withColumn("image_id", F.xxhash64("path")).withColumn("label", label_path(F.col("path")))
+    samples = images.distinct().join(sizes, "path", "left").withColumn("image_id", F.xxhash64("path")).withColumn("label", label_path(F.col("path")))
+    below = lambda at: "^" + re.escape(re.sub(r"^file:(//)?(?=/)", "", at.rstrip("/"))) + "/"
+    inside = F.regexp_replace(F.regexp_replace(F.col("path"), below(base), ""), below(root), "")
+    samples = samples.withColumn("relative_path", canonical(inside)).withColumn("group_key", F.concat_ws("/", "split", "relative_path"))
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(base, wholetext=True).select(local(F.col("_metadata.file_path")).alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
     rows = lines.join(samples.select("image_id", "label", "width", "height"), "label").select("image_id", "label", (F.col("n") + 1).alias("line_no"), "line", "width", "height")
     shape = tuple(meta["kpt_shape"]) if meta.get("kpt_shape") else None
@@ -103,7 +113,7 @@ def open_dataset(spark: SparkSession, root: str, yaml_name: str | None = "data.y
         raise ValueError(f"bad label rows: {[tuple(r) for r in issues.limit(4).collect()]}")
     good = parsed.where("problem is null").withColumn("source_id", F.concat_ws(":", "label", F.col("line_no").cast("string"))).withColumn("ann_idx", (F.col("line_no") - 1).cast("int")).drop("problem", "line", "label", "line_no", "width", "height")
     largest = -1 if meta.get("names") else (good.agg(F.max("class_id")).first()[0] if not good.isEmpty() else -1)
-    return {"samples": samples.drop("label"), "annotations": good, "classes": class_frame(spark, meta, largest), "issues": issues}
+    return {"samples": samples.drop("label"), "annotations": good, "classes": class_frame(spark, meta, largest), "issues": issues, "task": task}
 
 
 def orphans(spark: SparkSession, root: str) -> DataFrame:

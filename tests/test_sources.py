@@ -81,10 +81,11 @@ def test_coco(spark, tmp_path):
         "categories": [{"id": 7, "name": "x"}, {"id": 3, "name": "y"}],
     }
     (tmp_path / "val.json").write_text(json.dumps(data))
-    out = coco.read(spark, str(tmp_path / "val.json"))
-    rows = {r["source_id"]: r for r in out["annotations"].collect()}
+    out = coco.read(spark, str(tmp_path / "val.json"), task="pose")
+    rows = {r["source_id"].rsplit(":", 1)[-1]: r for r in out["annotations"].collect()}
+    assert len(coco.read(spark, str(tmp_path / "val.json"), task="segment")["annotations"].first()["polygon"]) == 3
     assert set(rows) == {"1", "2"} and rows["1"]["class_id"] == 1 and rows["2"]["class_id"] == 0
-    assert (rows["1"]["x2"], rows["1"]["y2"]) == (3.0, 4.0) and len(rows["1"]["polygons"][0]) == 3 and rows["2"]["keypoints"][0]["v"] == 2
+    assert (rows["1"]["x2"], rows["1"]["y2"]) == (3.0, 4.0) and rows["2"]["keypoints"][0]["v"] == 2
     assert sorted(r["category"] for r in out["issues"].collect()) == ["dangling category", "dangling image"]
     assert {r["split"] for r in out["samples"].collect()} == {"val"}
 
