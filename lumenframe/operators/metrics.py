@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, box_iou, f1, intersection, point_distance, ratio, ratio0
+from lumenframe.operators import scan
 from lumenframe.operators.matching import greedy_matching
 
 
@@ -85,11 +86,16 @@ def _curve_keys(flags: DataFrame) -> list[str]:
 
 def pr_curve(flags: DataFrame, annotations: DataFrame) -> DataFrame:
     """Cumulative precision and recall of each model and class, and threshold if ``flags`` have one, in score order."""
+    return _curve(flags, annotations).drop("tp", "before", scan.PART)
+
+
+def _curve(flags: DataFrame, annotations: DataFrame) -> DataFrame:
+    """:func:`pr_curve` with ``tp`` and the range that each row lies in: no task holds a whole curve."""
     truth = annotations.groupBy("class_id").agg(F.count("*").alias("n_gt"))
     keys = _curve_keys(flags)
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "image_id", "pred_idx")
-    run = flags.withColumn("k", F.row_number().over(order)).withColumn("ctp", F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.join(F.broadcast(truth), "class_id").select(*keys, "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"))
+    order = [F.desc("score"), F.asc("image_id"), F.asc("pred_idx")]
+    run = scan.running(scan.ranged(flags, keys, order), keys, order, {"ctp": "tp"})
+    return run.join(F.broadcast(truth), "class_id").select(*keys, "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"), ratio0(F.col("ctp") - F.col("tp"), F.col("n_gt")).alias("before"), "tp", scan.PART)
 
 
 LEVELS = 101
@@ -106,12 +112,10 @@ def average_precision(flags: DataFrame, annotations: DataFrame, models: DataFram
 
 
 def _exact_ap(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None, thresholds: Sequence[float] | None = None) -> DataFrame:
-    curve, keys = pr_curve(flags, annotations), _curve_keys(flags)
-    order = Window.partitionBy(*keys).orderBy("k")
-    # From the end on: Spark computes a frame up to the last row anew for each row.
-    best = F.max("precision").over(Window.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.lag("recall").over(order), F.lit(-1.0))
-    steps = curve.withColumn("best", best).withColumn("before", before).where("recall > before")
+    curve, keys = _curve(flags, annotations), _curve_keys(flags)
+    # Before a curve's first row not even the level 0 is reached.
+    stepped = scan.suffix_max(curve, keys, "k", "precision", "best").withColumn("before", F.when(F.col("k") == 1, F.lit(-1.0)).otherwise(F.col("before")))
+    steps = stepped.where("recall > before")
     reached = lambda r: F.size(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: i * F.lit(0.01) <= r))
     sums = steps.groupBy(*keys).agg(F.sum(F.col("best") * (reached(F.col("recall")) - reached(F.col("before")))).alias("s"))
     grid = annotations.select("class_id").distinct().join(F.broadcast(models if models is not None else flags.select("model").distinct()))

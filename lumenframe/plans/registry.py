@@ -16,6 +16,7 @@ from lumenframe.functions import text as T
 from lumenframe.operators import comparison, diff, lineage, matching, metrics, planning, polygons, raster, selection, stats, summary, tiling
 from lumenframe.plans.fixtures import chained, table
 from lumenframe.sources import labels as label_files
+from lumenframe.sources import rle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,6 +223,20 @@ def coco_category_compaction(spark, d):
     return a.drop("class_id").join(F.broadcast(compact), a["category_id"] == compact["id"]).select("image_id", "ann_idx", "class_id")  # categories are few
 
 
+@query("""SELECT image_id, ann_idx, CAST(y2 - y1 AS BIGINT) AS n_runs, CAST((x2 - x1) * (y2 - y1) AS BIGINT) AS pixels, CAST(y1 AS INT) AS first_y, CAST(y2 AS INT) - 1 AS last_y, CAST(x1 AS INT) AS first_x, CAST(x2 AS INT) AS after_x
+FROM (SELECT a.image_id, ann_idx, x1, y1, least(x2, s.width) AS x2, least(y2, s.height) AS y2 FROM annotations a JOIN samples s ON s.image_id = a.image_id) t""")
+def rle_masks(spark, d):
+    """Boxes as run-length masks, plain or, for every second image, compressed, decoded to runs."""
+    s, a = tables(spark, d, "samples", "annotations")
+    rows = a.join(s.select("image_id", "width", "height"), "image_id").withColumns({"x2": F.least("x2", "width"), "y2": F.least("y2", "height")})
+    counts = rle.of_box(*(F.col(c) for c in (*BOX, "width", "height")))
+    plain = rows.select("image_id", "ann_idx", "width", "height", F.to_json(F.struct(F.array("height", "width").alias("size"), counts.alias("counts"))).alias("rle"))
+    even = F.col("image_id") % 2 == 0
+    packed = rle.encoded(rle.decoded(plain.where(even)).drop("rle", "problem")).drop("runs")
+    found = rle.exploded(rle.decoded(plain.where(~even).unionByName(packed)), "image_id", "ann_idx")
+    return found.groupBy("image_id", "ann_idx").agg(F.count("*").alias("n_runs"), F.sum((F.col("x1") - F.col("x0")).cast("long")).alias("pixels"), F.min("y").alias("first_y"), F.max("y").alias("last_y"), F.min("x0").alias("first_x"), F.max("x1").alias("after_x"))
+
+
 IOU = """greatest(0.0E0, least(a.x2,p.x2)-greatest(a.x1,p.x1)) * greatest(0.0E0, least(a.y2,p.y2)-greatest(a.y1,p.y1))"""
 
 
