@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import comparison, diff, lineage, planning, selection, summary, tiling
+from lumenframe.operators import augmentation, comparison, diff, lineage, planning, selection, summary, tiling
 from lumenframe.operators.shared import work_dir
 from lumenframe.sources import coco, other, sinks, yolo
 
@@ -116,12 +116,11 @@ class Dataset:
         """
         if self._names() != second._names():
             raise ValueError("the datasets have different classes")
-        order = lambda s: diff.keyed(s).withColumn("ord", F.col("image_id"))
-        kept = selection.add(order(self.samples), order(second.samples), ("relative_path", "occurrence")).drop("ord")
-        ours, theirs = kept.where("side = 0").drop("side", "occurrence"), kept.where("side = 1")
-        taken = ours.select("image_id", F.lit(True).alias("taken"))
-        new_id = F.when(F.col("taken"), F.xxhash64(F.lit("add"), "image_id", "relative_path", "occurrence")).otherwise(F.col("image_id"))
-        theirs = theirs.join(taken, "image_id", "left").withColumn("new_id", new_id).drop("taken", "side", "occurrence")
+        key = ["relative_path", "occurrence"]  # unique on each side
+        ours = self.samples
+        theirs = diff.keyed(second.samples).join(diff.keyed(ours).select(*key), key, "left_anti")
+        new_id = F.when(F.col("taken"), F.xxhash64(F.lit("add"), "image_id", *key)).otherwise(F.col("image_id"))
+        theirs = theirs.join(ours.select("image_id", F.lit(True).alias("taken")), "image_id", "left").withColumn("new_id", new_id).drop("taken", "occurrence")
         renamed = lambda df: df.drop("image_id").withColumnRenamed("new_id", "image_id")
         samples = ours.unionByName(renamed(theirs), allowMissingColumns=True)
         first = self.annotations.join(ours.select("image_id"), "image_id", "left_semi")
@@ -155,14 +154,20 @@ class Dataset:
             s = selection.rebalance_empty(s, a, negatives, seed)
         return self._next("tile", {"mode": mode, "size": size, "overlap": overlap, "ratio": min_area_ratio, "negatives": negatives, "appearances": appearances, "seed": seed}, samples=s, annotations=a)
 
-    def augment(self, copies: int, seed: int = 0, include_original: bool = True, splits: Sequence[str] = ("train",), flip_x: float = 0.5, flip_y: float = 0.0) -> Dataset:
-        """Copies with seeds of their own, mirrored with the given chances, annotations with them; ``flip_x`` and ``flip_y`` of the samples say which."""
+    def augment(self, copies: int, seed: int = 0, include_original: bool = True, splits: Sequence[str] = ("train",), flip_x: float = 0.5, flip_y: float = 0.0, transforms: Sequence[augmentation.Transform] | None = None, min_visibility: float = 0.0) -> Dataset:
+        """Copies with seeds of their own and their annotations. Samples have what each copy drew (``replay``) and its ``matrix``.
+
+        ``transforms``: what to draw from, in order; by default mirroring with the given chances.
+        """
         self._drawn("augmentation")
-        s = planning.augment(self.samples, copies, seed, include_original, splits).withColumn("parent_id", F.col("image_id")).withColumn("image_id", F.when(F.col("copy") > 0, F.xxhash64("image_id", "copy")).otherwise(F.col("image_id")))
-        chance = lambda salt, p: (F.col("copy") > 0) & (F.pmod(F.xxhash64("copy_seed", F.lit(salt)), F.lit(10_000)) < int(p * 10_000))
-        s = s.withColumn("flip_x", chance("x", flip_x)).withColumn("flip_y", chance("y", flip_y))
+        if transforms is None:
+            transforms = [augmentation.Transform("flip_x", p=flip_x), augmentation.Transform("flip_y", p=flip_y)]
+        s = augmentation.copies(self.samples, copies, transforms, seed, include_original, splits)
         a = self.annotations.withColumnRenamed("image_id", "parent_id").join(s.select("parent_id", "image_id"), "parent_id").drop("parent_id")
-        return self._next("augment", {"copies": copies, "seed": seed, "flips": [flip_x, flip_y]}, samples=s, annotations=planning.mirrored(a, s))
+        originals = a.join(s.where("copy = 0").select("image_id"), "image_id", "left_semi")  # as they are, whether inside their image or not
+        moved = augmentation.transformed(a, s.where("copy > 0"), min_visibility)
+        settings = {"copies": copies, "seed": seed, "transforms": [[t.kind, t.low, t.high, t.p] for t in transforms], "visibility": min_visibility}
+        return self._next("augment", settings, samples=s, annotations=originals.unionByName(moved))
 
     def summary(self) -> DataFrame:
         return summary.dataset_summary(self.samples, self.annotations)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def keyed(rows: DataFrame, key: str = "relative_path") -> DataFrame:
     """With ``occurrence``: 0-based number within the key."""
-    order = Window.partitionBy(key).orderBy("relative_path", "split")
+    order = Window.partitionBy(key).orderBy("relative_path", "split", *(["image_id"] if "image_id" in rows.columns else []))
     return rows.withColumn("occurrence", F.row_number().over(order) - 1)
 
 

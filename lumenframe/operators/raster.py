@@ -198,11 +198,3 @@ def feather_stitch(tiles: DataFrame) -> DataFrame:
 def area_pool(pixels: DataFrame, factor: int) -> DataFrame:
     """Mean of factor x factor blocks of (image_id, y, x, value)."""
     return pixels.groupBy("image_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg("value").alias("value"))
-
-
-def projective(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Composition of 3 x 3 transforms in the order in which they were applied, and its inverse."""
-    m = np.eye(3)
-    for t in transforms:
-        m = np.asarray(t, float) @ m
-    return m, np.linalg.inv(m)

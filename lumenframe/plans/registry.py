@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
 from lumenframe.functions import text as T
-from lumenframe.operators import comparison, diff, lineage, matching, metrics, planning, polygons, raster, selection, stats, summary, tiling
+from lumenframe.operators import augmentation, comparison, diff, lineage, matching, metrics, planning, polygons, raster, selection, stats, summary, tiling
 from lumenframe.plans.fixtures import chained, table
 from lumenframe.sources import labels as label_files
 from lumenframe.sources import rle
@@ -497,6 +497,30 @@ def augment_expand(spark, d):
     return planning.augment(table(spark, d, "samples"), 2, 7).select("image_id", "copy", F.coalesce("copy_seed", F.lit(0)).alias("copy_seed"))
 
 
+TRANSFORMS = (("rotate", -30, 30, 0.6), ("scale", 0.8, 1.25, 0.7), ("flip_x", 0, 0, 0.5), ("shear_x", -10, 10, 0.5), ("shift_y", -0.2, 0.2, 0.5))
+DRAW = "CAST(concat('0x', substr(sha256(concat(copy_seed, ':{i}:{what}')), 1, 8)) AS BIGINT) / 4294967296.0E0"
+DRAWN = ", ".join(f"{DRAW.format(i=i, what='p')} < {p} AS on{i}, {float(lo)}E0 + ({DRAW.format(i=i, what='value')}) * {float(hi - lo)}E0 AS v{i}" for i, (_, lo, hi, p) in enumerate(TRANSFORMS))
+
+
+@query(f"""WITH c AS (SELECT image_id, width * 1.0E0 AS w, height * 1.0E0 AS h, CAST(concat('0x', substr(sha256(concat('3:', split, ':', relative_path, ':1')), 1, 8)) AS BIGINT) AS copy_seed FROM samples),
+d AS (SELECT image_id, w, h, {DRAWN} FROM c),
+p AS (SELECT a.image_id, ann_idx, class_id, w, h, x - w / 2 AS x, y - h / 2 AS y, d.* EXCLUDE (image_id, w, h) FROM (
+  SELECT image_id, ann_idx, class_id, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM annotations) a JOIN d ON d.image_id = a.image_id),
+t0 AS (SELECT * REPLACE (CASE WHEN on0 THEN cos(radians(v0)) * x - sin(radians(v0)) * y ELSE x END AS x, CASE WHEN on0 THEN sin(radians(v0)) * x + cos(radians(v0)) * y ELSE y END AS y) FROM p),
+t1 AS (SELECT * REPLACE (CASE WHEN on1 THEN v1 * x ELSE x END AS x, CASE WHEN on1 THEN v1 * y ELSE y END AS y) FROM t0),
+t3 AS (SELECT * REPLACE (CASE WHEN on2 THEN -x ELSE x END + CASE WHEN on3 THEN tan(radians(v3)) * y ELSE 0 END AS x, y + CASE WHEN on4 THEN v4 * h ELSE 0 END AS y) FROM t1),
+b AS (SELECT image_id, ann_idx, class_id, w, h, min(x) + w / 2 AS x1, min(y) + h / 2 AS y1, max(x) + w / 2 AS x2, max(y) + h / 2 AS y2 FROM t3 GROUP BY image_id, ann_idx, class_id, w, h),
+k AS (SELECT *, greatest(x1, 0) AS a1, greatest(y1, 0) AS b1, least(x2, w) AS a2, least(y2, h) AS b2 FROM b)
+SELECT image_id, ann_idx, class_id, round(a1, 4) AS x1, round(b1, 4) AS y1, round(a2, 4) AS x2, round(b2, 4) AS y2 FROM k
+WHERE a2 > a1 AND b2 > b1 AND (a2 - a1) * (b2 - b1) >= 0.3 * (x2 - x1) * (y2 - y1)""")
+def augment_affine(spark, d):
+    """A seeded copy of every image, rotated, scaled, mirrored, sheared and shifted by chance, with its boxes."""
+    s, a = tables(spark, d, "samples", "annotations")
+    made = augmentation.copies(s, 1, [augmentation.Transform(*t) for t in TRANSFORMS], 3, False, ("train", "val", "test"))
+    of_parent = made.withColumn("image_id", F.col("parent_id"))
+    return augmentation.transformed(boxes(a), of_parent, 0.3).select("image_id", "ann_idx", "class_id", *(F.round(c, 4).alias(c) for c in BOX))
+
+
 @query("""SELECT s.image_id, sha256(concat(s.group_key, chr(0), s.relative_path)) AS original_id, sha256(coalesce(l.lines, '')) AS annotation_sha256 FROM samples s LEFT JOIN (
   SELECT image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, x1, y1, x2, y2), chr(10) ORDER BY ann_idx) AS lines FROM annotations GROUP BY 1) l ON l.image_id = s.image_id""")
 def cohort_freeze(spark, d):
