@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import augmentation, comparison, diff, lineage, planning, selection, summary, tiling
 from lumenframe.operators.shared import work_dir
-from lumenframe.sources import coco, other, sinks, yolo
+from lumenframe.sources import coco, other, prepare, sinks, yolo
 
 GroupBy = Column | Callable[[str], Any]
 
@@ -212,6 +212,12 @@ class Dataset:
             done["masks"] = self.export_masks(masks)
         return done
 
+    def prepare(self, kind: str, destination: str, masks: DataFrame | None = None, mask_threshold: int = 128, max_size: tuple[int, int] | None = None, errors: str = "raise") -> prepare.Prepared:
+        """Bring a training layout (``yolo-seg``, ``yolo-sem``, ``nnunet``) in line with this dataset; only what changed is written. Steps that no export has written are refused."""
+        if self.plan:
+            raise ValueError(f"not exported yet: {[p[0] for p in self.plan]}")
+        return prepare.prepare(self.samples.sparkSession, destination, self.samples, self.annotations, self.classes, kind, masks, mask_threshold, max_size, errors)
+
     def assert_trainable(self, required: Sequence[str] = ("train", "val"), task: str = "detect", keypoint_shape: Sequence[int] | None = None) -> None:
         """Raise with all that keeps the dataset from being trained on; steps that no export has written count."""
         if self.plan:

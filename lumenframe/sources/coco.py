@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.sources import rle
-from lumenframe.sources.yolo import canonical, files_under, local
+from lumenframe.sources.yolo import canonical, files_under, local, named
 
 SCHEMA = """images array<struct<id: bigint, file_name: string, width: int, height: int>>,
 annotations array<struct<id: bigint, image_id: bigint, category_id: bigint, bbox: array<string>, segmentation: string, keypoints: array<string>>>,
@@ -79,7 +79,7 @@ def read(spark: SparkSession, path: str | Sequence[str], root: str | None = None
     Two images of a split with one path are refused, as are files that name a category differently.
     """
     names = [path] if isinstance(path, str) else list(path)
-    files = spark.read.schema(SCHEMA).option("multiLine", True).json(names).withColumn("file", local(F.input_file_name())).withColumn("split", split_of("file"))
+    files = spark.read.schema(SCHEMA).option("multiLine", True).json(names).withColumn("file", named(F.input_file_name())).withColumn("split", split_of("file"))
     images = files.select("file", "split", F.posexplode("images").alias("pos", "i")).select("file", "split", "pos", "i.*")
     images, no_image_id = first_of(images, "image")
     sized = (F.col("width") > 0) & (F.col("height") > 0) & F.col("file_name").isNotNull()

@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import raster
@@ -279,20 +279,21 @@ def write_yolo(spark: SparkSession, destination: str, samples: DataFrame, annota
     return counts
 
 
-def png(mask: np.ndarray) -> bytes:
-    """An 8-bit grey image of a boolean mask, 0 and 255."""
+def png(mask: np.ndarray, value: int = 255) -> bytes:
+    """An 8-bit grey image of a boolean mask, 0 and ``value``."""
     h, w = mask.shape
     lines = np.zeros((h, w + 1), np.uint8)
-    lines[:, 1:] = mask * np.uint8(255)
+    lines[:, 1:] = mask * np.uint8(value)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def mask_files(samples: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(path, content): a mask of every image, the union of its polygons and runs, below ``{split}/masks/0``; images without any have empty masks."""
+def mask_files(samples: DataFrame, annotations: DataFrame, where: Column | None = None, value: int = 255) -> DataFrame:
+    """(path, content): a mask of every image, the union of its polygons and runs, at ``where``, by default below ``{split}/masks/0``; images without any have empty masks."""
     lists = [F.collect_list("polygon").alias("polygons"), F.flatten(F.collect_list("runs")).alias("runs") if "runs" in annotations.columns else F.array().cast("array<struct<y:int,x0:int,x1:int>>").alias("runs")]
     kept = annotations.groupBy("image_id").agg(*lists)  # bounded by an image
-    where = F.concat_ws("/", "split", F.lit("masks/0"), F.concat(F.regexp_replace("relative_path", r"\.[^./]*$", ""), F.lit(".png")))
+    if where is None:
+        where = F.concat_ws("/", "split", F.lit("masks/0"), F.concat(F.regexp_replace("relative_path", r"\.[^./]*$", ""), F.lit(".png")))
     rows = samples.join(kept, "image_id", "left").select(where.alias("path"), "width", "height", "polygons", "runs")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +306,7 @@ def mask_files(samples: DataFrame, annotations: DataFrame) -> DataFrame:
                         mask[y, x0:x1] = True
                 for r in row["runs"] or []:
                     mask[r["y"], r["x0"] : r["x1"]] = True
-                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "content": pa.array([png(mask)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "content": pa.array([png(mask, value)], pa.binary())})
 
     return rows.mapInArrow(draw, "path string, content binary")
 

@@ -67,7 +67,7 @@ def split_by_path(path: Column) -> Column:
 
 def image_sizes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, width, height) by the JVM's own image reader; unreadable images have -1."""
-    return spark.read.format("image").load(paths).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    return spark.read.format("image").load(paths).select(named(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
 
 
 def local(path: Column) -> Column:
@@ -75,6 +75,11 @@ def local(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:(//)?(?=/)", "")
 
 
+def named(url: Column) -> Column:
+    """The path of a file that Spark names by URL, as its metadata column does: blanks and the like are themselves again."""
+    return local(F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))))
+
+
 def canonical(at: Column) -> Column:
     """A path below a dataset's root without the folders that only say split and kind: ``train/images/a/1.jpg`` and ``images/train/a/1.jpg`` are ``a/1.jpg``."""
     split = "(?:train|val|valid|validation|test)"
@@ -98,12 +103,12 @@ def open_dataset(spark: SparkSession, root: str, yaml_name: str | None = "data.y
     else:
         images = images_under(spark, root).withColumn("split", split_by_path(F.col("path")))
     images = images.withColumn("path", local(F.col("path")))
-    sizes = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(IMAGE_SUFFIXES) + "}").load(base).select(local(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    sizes = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(IMAGE_SUFFIXES) + "}").load(base).select(named(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
     samples = images.distinct().join(sizes, "path", "left").withColumn("image_id", F.xxhash64("path")).withColumn("label", label_path(F.col("path")))
     below = lambda at: "^" + re.escape(re.sub(r"^file:(//)?(?=/)", "", at.rstrip("/"))) + "/"
     inside = F.regexp_replace(F.regexp_replace(F.col("path"), below(base), ""), below(root), "")
     samples = samples.withColumn("relative_path", canonical(inside)).withColumn("group_key", F.concat_ws("/", "split", "relative_path"))
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(base, wholetext=True).select(local(F.col("_metadata.file_path")).alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(base, wholetext=True).select(named(F.col("_metadata.file_path")).alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
     rows = lines.join(samples.select("image_id", "label", "width", "height"), "label").select("image_id", "label", (F.col("n") + 1).alias("line_no"), "line", "width", "height")
     shape = tuple(meta["kpt_shape"]) if meta.get("kpt_shape") else None
     task = task or labels.infer_task(rows.withColumn("ord", F.col("label")), bool(shape)) or "detect"

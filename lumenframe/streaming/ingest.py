@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenframe.sources import labels
+from lumenframe.sources.yolo import named
 
 
 def stream_labels(spark: SparkSession, root: str) -> DataFrame:
     """Parsed rows of label files as they appear."""
     lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    rows = lines.select(F.col("_metadata.file_path").alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+    rows = lines.select(named(F.col("_metadata.file_path")).alias("label"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
     return labels.parse_detect(rows.withColumn("line_no", F.col("n") + 1)).drop("p", "n")
 
 
