@@ -95,12 +95,12 @@ class Dataset:
         ids, names = selection.resolve_classes(self.classes, classes), self._names()
         return self._with_samples("move_images_with_classes", {"classes": [names.get(i, i) for i in ids], "to": to_split}, selection.move_images_with_classes(self.samples, self.annotations, ids, to_split, source_splits))
 
-    def move_n_groups(self, n: int, from_split: str, to_split: str, seed: int = 0) -> Dataset:
-        return self._with_samples("move_n_groups", {"n": n, "from": from_split, "to": to_split, "seed": seed}, planning.move_n_groups(self.samples, n, from_split, to_split, seed))
+    def move_n_groups(self, n: int, from_split: str, to_split: str, seed: int = 0, method: str = "exact") -> Dataset:
+        return self._with_samples("move_n_groups", {"n": n, "from": from_split, "to": to_split, "seed": seed}, planning.move_n_groups(self.samples, n, from_split, to_split, seed, method))
 
-    def split(self, ratios: Mapping[str, float], seed: int = 0, source_splits: Sequence[str] | None = None, assign: Mapping[str, str] | None = None) -> Dataset:
-        """Whole groups to splits; ``assign`` pins groups."""
-        out = planning.split(self.samples, self.annotations, ratios, seed, source_splits, assign)
+    def split(self, ratios: Mapping[str, float], seed: int = 0, source_splits: Sequence[str] | None = None, assign: Mapping[str, str] | None = None, method: str = "exact") -> Dataset:
+        """Whole groups to splits; ``assign`` pins groups. ``method='classes'`` balances by size classes, without a row a group on the driver."""
+        out = planning.split(self.samples, self.annotations, ratios, seed, source_splits, assign, method=method)
         return self._with_samples("split", {"ratios": dict(ratios), "seed": seed}, out)
 
     def sample(self, n: int, split: str | None = None, seed: int = 0) -> Dataset:

@@ -1,4 +1,4 @@
-"""Seeded plans. Decisions that follow one order over all groups are taken on the driver, on one row a group; rows never leave the executors."""
+"""Seeded plans. Decisions that follow one order over all groups are taken on the driver, on one row a group; those by size classes from a row a class. Rows never leave the executors."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.text import seed_of
+from lumenframe.operators import scan
 from lumenframe.operators.shared import stored
 
 
@@ -63,9 +64,72 @@ def assign_splits(groups: Sequence[tuple[str, int, int]], ratios: Mapping[str, f
     return out
 
 
-def split(samples: DataFrame, annotations: DataFrame | None, ratios: Mapping[str, float], seed: int = 0, source_splits: Sequence[str] | None = None, pinned: Mapping[str, str] | None = None, preview: bool = False) -> DataFrame:
-    """Samples with new splits, whole groups at a time; unselected source splits are left out."""
+def sized_groups(samples: DataFrame, annotations: DataFrame | None, seed: int) -> DataFrame:
+    """(group_key, n, a, cls, h): images, annotated images, size class and seeded hash of each group. Sizes of a class differ by under a fifth."""
+    marked = samples.withColumn("has", F.lit(0)) if annotations is None else samples.join(annotations.select("image_id").distinct().withColumn("has", F.lit(1)), "image_id", "left")
+    groups = marked.groupBy("group_key").agg(F.count("*").alias("n"), F.sum(F.coalesce("has", F.lit(0))).alias("a"))
+    level = lambda c: F.when(F.col(c) < 6, F.col(c)).otherwise(F.floor(F.log2(c) * 4)).cast("int")
+    return groups.select("group_key", "n", "a", (level("n") * 1000 + level("a")).alias("cls"), seed_of(F.lit(str(seed)), F.col("group_key")).alias("h"))
+
+
+def quotas(classes: Sequence[tuple[int, int, int, int]], want: Mapping[str, float], got: Mapping[str, tuple[int, int]] | None = None) -> dict[int, list[int]]:
+    """For each size class (cls, groups, images, annotated images), how many of its groups come before the end of each name's share.
+
+    Large sizes first; a class is shared out by what its names still lack of
+    annotated images, or of images where the class has none, whole groups by
+    largest remainders. So each name ends within one group of a class, and the
+    spread of sizes inside classes, of its share.
+    """
+    names = list(want)
+    got_n, got_a = ({s: (got or {}).get(s, (0, 0))[i] for s in names} for i in range(2))
+    total = [sum(c[i] for c in classes) + sum(g[i - 2] for g in (got or {}).values()) for i in (2, 3)]
+    out = {}
+    for cls, count, images, annotated in sorted(classes, key=lambda c: (-c[3] / c[1], -c[2] / c[1], c[0])):
+        by_a = annotated > 0
+        lack = {s: max(0.0, want[s] * total[1 if by_a else 0] - (got_a if by_a else got_n)[s]) if want[s] > 0 else 0.0 for s in names}
+        whole = sum(lack.values())
+        ideal = {s: count * (lack[s] / whole if whole > 0 else want[s]) for s in names}
+        take = {s: int(ideal[s]) for s in names}
+        for s in sorted(names, key=lambda s: (take[s] - ideal[s], names.index(s)))[: count - sum(take.values())]:
+            take[s] += 1
+        for s in names:
+            got_n[s] += take[s] * images / count
+            got_a[s] += take[s] * annotated / count
+        out[cls] = np.cumsum([take[s] for s in names]).tolist()
+    return out
+
+
+def dealt_groups(groups: DataFrame, want: Mapping[str, float], pinned: Mapping[str, str] | None = None) -> DataFrame:
+    """(group_key, name) of groups of :func:`sized_groups`: quotas from the classes' totals on the driver, ordinals inside a class by :mod:`scan` on the executors. No row a group leaves them."""
+    spark = groups.sparkSession
+    side = spark.createDataFrame(list((pinned or {}).items()), "group_key string, name string")
+    fixed = groups.join(side, "group_key")
+    got = {r["name"]: (r["n"], r["a"]) for r in fixed.groupBy("name").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).collect()} if pinned else {}
+    rest = groups.join(side.select("group_key"), "group_key", "left_anti") if pinned else groups
+    totals = [tuple(r) for r in rest.groupBy("cls").agg(F.count("*"), F.sum("n"), F.sum("a")).collect()]  # some hundred size classes
+    ends = spark.createDataFrame(list(quotas(totals, want, got).items()), "cls int, ends array<long>")
+    order = [F.asc("h"), F.asc("group_key")]
+    ranked = scan.running(scan.ranged(rest, ["cls"], order), ["cls"], order, {}).join(F.broadcast(ends), "cls")
+    names = F.array(*(F.lit(s) for s in want))
+    out = ranked.select("group_key", names[F.size(F.filter("ends", lambda e: e < F.col("k")))].alias("name"))
+    return out.unionByName(fixed.select("group_key", "name")) if pinned else out
+
+
+def split(samples: DataFrame, annotations: DataFrame | None, ratios: Mapping[str, float], seed: int = 0, source_splits: Sequence[str] | None = None, pinned: Mapping[str, str] | None = None, preview: bool = False, method: str = "exact") -> DataFrame:
+    """Samples with new splits, whole groups at a time; unselected source splits are left out.
+
+    ``method``: ``exact`` follows one order over all groups, on the driver, a row
+    a group; ``classes`` balances by size classes and keeps groups on the executors.
+    """
     rows = samples if source_splits is None else samples.where(F.col("split").isin(list(source_splits)))
+    if method == "classes":
+        total = sum(ratios.values())
+        if total <= 0:
+            raise ValueError("ratios must have a positive sum")
+        side = dealt_groups(sized_groups(rows, None if preview else annotations, seed), {s: r / total for s, r in ratios.items()}, pinned)
+        return rows.join(side, "group_key").withColumn("split", F.col("name")).drop("name")
+    if method != "exact":
+        raise ValueError("the method is exact or classes")
     plan = assign_splits(group_sizes(rows, annotations), ratios, seed, pinned, preview)
     side = samples.sparkSession.createDataFrame(list(plan.items()), "group_key string, new_split string")
     return rows.join(side, "group_key").withColumn("split", F.col("new_split")).drop("new_split")
@@ -107,8 +171,17 @@ def visual_cases(cases: DataFrame, n: int, filled: Column | None = None, seed: i
     return numbered.join(cases.sparkSession.createDataFrame([(i,) for i in drawn], "ord long"), "ord", "left_semi")
 
 
-def move_n_groups(samples: DataFrame, n: int, from_split: str, to_split: str, seed: int = 0) -> DataFrame:
-    """``n`` groups that have images in a split move theirs to another."""
+def move_n_groups(samples: DataFrame, n: int, from_split: str, to_split: str, seed: int = 0, method: str = "exact") -> DataFrame:
+    """``n`` groups that have images in a split move theirs to another; ``method`` as of :func:`split` (``classes``: those with the smallest seeded hashes)."""
+    if method == "classes":
+        groups = sized_groups(samples.where(F.col("split") == from_split), None, seed).withColumn("cls", F.lit(0))
+        order = [F.asc("h"), F.asc("group_key")]
+        ranked = scan.running(scan.ranged(groups, ["cls"], order), ["cls"], order, {})
+        total = ranked.count()
+        if n > total:
+            raise ValueError(f"{n} of {total} groups")
+        first = ranked.where(F.col("k") <= n).select("group_key", F.lit(True).alias("go"))
+        return samples.join(first, "group_key", "left").withColumn("split", F.when(F.col("go") & (F.col("split") == from_split), to_split).otherwise(F.col("split"))).drop("go")
     eligible = [g for g, _, _ in group_sizes(samples.where(F.col("split") == from_split))]
     if n > len(eligible):
         raise ValueError(f"{n} of {len(eligible)} groups")
@@ -128,8 +201,13 @@ def folds(groups: Sequence[tuple[str, int]], k: int, seed: int = 0) -> dict[str,
     return out
 
 
-def grouped_folds(cases: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(group_key, fold)."""
+def grouped_folds(cases: DataFrame, k: int, seed: int = 0, method: str = "exact") -> DataFrame:
+    """(group_key, fold); ``method`` as of :func:`split`."""
+    if method == "classes":
+        images = cases.select("group_key", F.col("case_id").alias("image_id")).distinct()
+        groups = sized_groups(images, None, seed)
+        many = min(k, groups.count())
+        return dealt_groups(groups, {str(f): 1 / many for f in range(many)}).select("group_key", F.col("name").cast("int").alias("fold"))
     sizes = [(r["group_key"], r["n"]) for r in cases.groupBy("group_key").agg(F.count_distinct("case_id").alias("n")).orderBy("group_key").collect()]
     return cases.sparkSession.createDataFrame(list(folds(sizes, k, seed).items()), "group_key string, fold int")
 

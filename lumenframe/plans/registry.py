@@ -771,6 +771,17 @@ def move_n_groups(spark, d):
     return planning.move_n_groups(table(spark, d, "samples"), 10, "train", "val", 3).select("image_id", "split")
 
 
+@query()
+def group_split_classes(spark, d):
+    s, a = tables(spark, d, "samples", "annotations")
+    return planning.split(s, a, {"train": 0.7, "val": 0.2, "test": 0.1}, 7, method="classes").select("image_id", "split")
+
+
+@query()
+def grouped_folds_classes(spark, d):
+    return planning.grouped_folds(table(spark, d, "cases"), 5, 42, "classes")
+
+
 @query()
 def seeded_sample(spark, d):
     return planning.sample(table(spark, d, "samples"), 100, 11, "train").select("ord", "image_id", "relative_path")

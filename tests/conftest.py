@@ -26,3 +26,15 @@ def spark(tmp_path_factory) -> SparkSession:
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture
+def light(spark):
+    """Settings for many jobs over a handful of rows: nothing is compiled, and each shuffle has one task."""
+    new = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -67,7 +67,7 @@ def whole(ds):
 
 
 @pytest.mark.parametrize("kind", KINDS)
-def test_every_method(spark, tmp_path, kind):
+def test_every_method(spark, light, tmp_path, kind):
     ds = opened(spark, tmp_path, kind)
     ds = replace(ds, samples=ds.samples.cache(), annotations=ds.annotations.cache(), classes=ds.classes.cache())
     first, second = (r["name"] for r in ds.classes.orderBy("class_id").collect())

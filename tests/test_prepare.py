@@ -28,7 +28,7 @@ def listing(out):
 
 
 @pytest.mark.parametrize("kind", prepare.KINDS)
-def test_only_changes_are_written(spark, tmp_path, kind):
+def test_only_changes_are_written(spark, light, tmp_path, kind):
     root, out = root_with(tmp_path), tmp_path / "out"
     open_ = lambda: Dataset.open(spark, str(root), task="segment")
     first = open_().prepare(kind, str(out))
@@ -57,7 +57,7 @@ def test_only_changes_are_written(spark, tmp_path, kind):
     assert open_().prepare(kind, str(out)).written >= 2 and any("im-1" in p for p in listing(out))
 
 
-def test_labels_and_masks(spark, tmp_path):
+def test_labels_and_masks(spark, light, tmp_path):
     root = root_with(tmp_path)
     ds = Dataset.open(spark, str(root), task="segment")
     ds.prepare("yolo-seg", str(tmp_path / "seg"))
@@ -76,7 +76,7 @@ def test_labels_and_masks(spark, tmp_path):
         prepare.prepare(spark, str(tmp_path / "x"), ds.samples.withColumn("crop", F.lit(1)), ds.annotations, ds.classes, "yolo-seg")
 
 
-def test_mask_files(spark, tmp_path):
+def test_mask_files(spark, light, tmp_path):
     root, masks = root_with(tmp_path), tmp_path / "masks"
     ds = Dataset.open(spark, str(root), task="segment")
     rows = []
