@@ -77,12 +77,16 @@ def decode(counts: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def encode(runs: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Counts of runs y, x0, x1."""
-    mask = np.zeros(width * height, bool)
-    for y, a, b in np.asarray(runs).reshape(-1, 3).tolist():
-        mask[a * height + y : b * height + y : height] = True
-    edges = np.flatnonzero(np.diff(mask, prepend=False))
-    return np.diff(np.concatenate([[0], edges, [width * height]]))
+    """Counts of runs y, x0, x1; only the columns between the first and the last are drawn."""
+    runs = np.asarray(runs, int).reshape(-1, 3)
+    if not len(runs):
+        return np.array([width * height])
+    left, right = int(runs[:, 1].min()), int(runs[:, 2].max())
+    mask = np.zeros((right - left) * height, bool)
+    for y, a, b in runs.tolist():
+        mask[(a - left) * height + y : (b - left) * height + y : height] = True
+    edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)) + left * height
+    return np.diff(np.concatenate([[0], edges[edges < width * height], [width * height]]))
 
 
 def parsed(segmentation: str) -> tuple[np.ndarray, int, int]:
@@ -99,24 +103,29 @@ def decoded(rows: DataFrame, text: str = "rle", width: str = "width", height: st
     at = rows.columns.index
     columns = (at(text), at(width), at(height))
 
-    def one(rle: str | None, w: int | None, h: int | None) -> tuple[list[dict] | None, str | None]:
+    def one(rle: str | None, w: int | None, h: int | None) -> tuple[np.ndarray | None, str | None]:
         if rle is None:
             return None, None
         try:
             counts, rw, rh = parsed(rle)
             if (w is not None and h is not None and (rw, rh) != (w, h)) or rw < 1 or rh < 1:
                 return None, "mask size"
-            return [dict(zip(("y", "x0", "x1"), r, strict=True)) for r in decode(counts, rw, rh).tolist()], None
+            return decode(counts, rw, rh), None
         except (ValueError, KeyError, TypeError, OverflowError):
             return None, "mask"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("y", pa.int32()), ("x0", pa.int32()), ("x1", pa.int32())]))
         for batch in batches:
             found = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.string())], [*batch.schema.names, runs, problem])
+            flat = np.concatenate([np.zeros((0, 3), int), *(r for r, _ in found if r is not None)]).astype(np.int32)
+            ends = np.cumsum([0, *(0 if r is None else len(r) for r, _ in found)]).astype(np.int32)
+            parts = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["y", "x0", "x1"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), parts, mask=pa.array([r is None for r, _ in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array([p for _, p in found], pa.string())], [*batch.schema.names, runs, problem])
 
-    return rows.mapInArrow(run, schema)
+    # With a number: a few bytes of counts can be large masks, and must not end in one task.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n).mapInArrow(run, schema)
 
 
 def encoded(rows: DataFrame, compressed: bool = True, runs: str = "runs", width: str = "width", height: str = "height", text: str = "rle") -> DataFrame:
@@ -125,15 +134,15 @@ def encoded(rows: DataFrame, compressed: bool = True, runs: str = "runs", width:
     at = rows.columns.index
     columns = (at(runs), at(width), at(height))
 
-    def one(found: list[dict] | None, w: int, h: int) -> str | None:
-        if found is None:
-            return None
-        counts = encode(np.array([(r["y"], r["x0"], r["x1"]) for r in found], int), w, h)
-        return json.dumps({"size": [h, w], "counts": text_of(counts) if compressed else counts.tolist()})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+            lists = batch.column(columns[0])
+            flat = np.column_stack([np.asarray(lists.flatten().field(c)) for c in ("y", "x0", "x1")])
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
+            texts = []
+            for there, end, start, w, h in zip(lists.is_valid().to_pylist(), ends.tolist(), [0, *ends[:-1].tolist()], batch.column(columns[1]).to_pylist(), batch.column(columns[2]).to_pylist(), strict=True):
+                counts = encode(flat[start:end], w, h) if there else None
+                texts.append(None if counts is None else json.dumps({"size": [h, w], "counts": text_of(counts) if compressed else counts.tolist()}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
     return rows.mapInArrow(run, schema)

@@ -198,7 +198,7 @@ def test_rle_round_trip():
         for w, h in ((1, 1), (7, 5), (3, 40), (60, 50)):
             mask = rng.random((h, w)) < density
             counts = slow_counts(mask)
-            assert rle.encode(raster.runs_of(mask), w, h).tolist() == counts or not mask.any()
+            assert rle.encode(raster.runs_of(mask), w, h).tolist() == counts
             assert (raster.mask_of(rle.decode(np.array(counts), w, h), w, h) == mask).all()
             assert rle.counts_of(rle.text_of(np.array(counts))).tolist() == counts
     big = np.array([0, 5_000_000, 3, 1, 70_000, 2])
