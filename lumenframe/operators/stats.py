@@ -120,7 +120,9 @@ def partial_sums(rows: DataFrame, by: Sequence[str], value: str, resamples: int,
         add = lambda c: np.sum([np.frombuffer(b) for b in table.column(c).to_pylist()], axis=0)
         return as_table(key, sum(table.column("n").to_pylist()), float(sum(table.column("total").to_pylist())), add("boot"), add("flip"))
 
-    parts = dealt.groupBy(*by, "__cell").applyInArrow(one, schema)
+    # With a number: few bytes are much work here, and must not end in one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = dealt.repartition(tasks, *by, "__cell").groupBy(*by, "__cell").applyInArrow(one, schema)
     return parts.groupBy(*by).applyInArrow(together, schema)  # a row a cell
 
 
