@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import augmentation, comparison, diff, lineage, planning, selection, summary, tiling
+from lumenframe.operators import augmentation, backgrounds, comparison, diff, lineage, planning, selection, summary, tiling
 from lumenframe.operators.shared import work_dir
 from lumenframe.sources import coco, other, prepare, sinks, yolo
 
@@ -56,7 +56,7 @@ class Dataset:
         sinks.update_dataset(spark, path, destination)
         return cls.open(spark, destination or path, "parquet", name)
 
-    def _next(self, operation: str, settings: dict[str, Any], **changes: DataFrame) -> Dataset:
+    def _next(self, operation: str, settings: dict[str, Any], **changes: DataFrame | None) -> Dataset:
         step = (operation, lineage.fingerprint(settings))
         return replace(self, name=lineage.derived_name(self.name, operation, settings), plan=(*self.plan, step), **changes)
 
@@ -131,28 +131,39 @@ class Dataset:
         if "runs" in self.annotations.columns:
             raise ValueError(f"{what} needs polygons: this dataset has run-length masks")
 
-    def tile(self, size: int, overlap: float = 0.2, min_area_ratio: float = 0.1, negatives: str | float = "all", mode: str = "grid", appearances: int = 1, seed: int = 0, lossy: bool = False) -> Dataset:
+    def tile(self, size: int, overlap: float = 0.2, min_area_ratio: float = 0.1, negatives: str | float = "all", mode: str = "grid", appearances: int = 1, seed: int = 0, lossy: bool = False, background_share: float | None = None, background_each: int | None = None, most: int | None = None, background_filter: Callable[[Any], Any] | None = None, roots: Sequence[str] = ()) -> Dataset:
         """Tiles as new images, with their boxes, keypoints, polygons or points clipped.
 
         ``mode``: ``grid``, or ``coverage``: random crops that hold each object
         (of a box) ``appearances`` times. ``negatives``: all or none of the empty
         tiles, or the share of a split's tiles that they may have; a seeded hash picks them.
+        ``background_share``: crops of empty space, or of images without objects, up to this share
+        of a split's tiles, ``background_each`` an image at most, ``most`` with its tiles.
+        ``background_filter`` decides on a crop's pixels (rows, columns, RGB) of images below
+        ``roots``. Samples then have an ``origin``, and ``issues`` the shortfall by split.
         """
         if mode not in ("grid", "coverage") or not (negatives in ("all", "none") or isinstance(negatives, float) and 0 <= negatives < 1):
             raise ValueError("the mode is grid or coverage; negatives are all, none or a share under 1")
         self._drawn("tiling")
         samples = self.samples
         tiles = tiling.grid_tiles(samples, size, overlap) if mode == "grid" else tiling.coverage_tiles(samples, tiling.boxed(self.annotations), size, appearances, seed=seed).join(samples.select("image_id", "split"), "image_id")
+        issues = self.issues
+        if background_share is not None:
+            more = backgrounds.propose(samples, self.annotations, tiles, size, background_share, seed, background_each, most, background_filter, list(roots))
+            tiles, issues = tiles.unionByName(more.crops, allowMissingColumns=True), more.report.where("shortfall > 0")
         cut = tiling.clip_any(tiles, self.annotations, min_area_ratio, lossy)
         new_id = F.xxhash64("image_id", "tile").alias("new_id")
         s = tiles.join(samples.select("image_id", *(c for c in ("relative_path", "path", "group_key") if c in samples.columns)), "image_id")
-        s = s.select(new_id, *(c for c in ("relative_path", "path", "group_key") if c in s.columns), "split", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.struct("x1", "y1", "x2", "y2").alias("crop")).withColumnRenamed("new_id", "image_id")
+        s = s.select(new_id, *(c for c in ("relative_path", "path", "group_key") if c in s.columns), "split", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.struct("x1", "y1", "x2", "y2").alias("crop"), *(["origin"] if "origin" in s.columns else [])).withColumnRenamed("new_id", "image_id")
         a = cut.select(new_id, *(c for c in cut.columns if c not in ("image_id", "tile"))).withColumnRenamed("new_id", "image_id")
         if negatives == "none":
             s = s.join(a.select("image_id").distinct(), "image_id", "left_semi")
         elif negatives != "all":
             s = selection.rebalance_empty(s, a, negatives, seed)
-        return self._next("tile", {"mode": mode, "size": size, "overlap": overlap, "ratio": min_area_ratio, "negatives": negatives, "appearances": appearances, "seed": seed}, samples=s, annotations=a)
+        settings = {"mode": mode, "size": size, "overlap": overlap, "ratio": min_area_ratio, "negatives": negatives, "appearances": appearances, "seed": seed}
+        if background_share is not None:
+            settings |= {"background_share": background_share, "background_each": background_each, "most": most, "background_filter": lineage.described(background_filter)}
+        return self._next("tile", settings, samples=s, annotations=a, issues=issues)
 
     def augment(self, copies: int, seed: int = 0, include_original: bool = True, splits: Sequence[str] = ("train",), flip_x: float = 0.5, flip_y: float = 0.0, transforms: Sequence[augmentation.Transform] | None = None, min_visibility: float = 0.0) -> Dataset:
         """Copies with seeds of their own and their annotations. Samples have what each copy drew (``replay``) and its ``matrix``.

@@ -156,8 +156,8 @@ def background_range(positives: Column, low: float, high: float) -> tuple[Column
     return F.floor(at(high) + 1e-12).cast("long"), F.ceil(at(low) - 1e-12).cast("long")
 
 
-def allocate_backgrounds(candidates: DataFrame, quotas: DataFrame, seed: int = 0, each: int | None = None) -> DataFrame:
-    """Candidates (image_id, tile, split) up to the quota (split, target) of their split, spread evenly over the images, at most ``each`` of one.
+def allocate_backgrounds(candidates: DataFrame, quotas: DataFrame, seed: int = 0, each: int | Column | None = None) -> DataFrame:
+    """Candidates (image_id, tile, split) up to the quota (split, target) of their split, spread evenly over the images, at most ``each`` (a number, or a column of the candidates) of one.
 
     A seeded hash orders an image's candidates; all images give their first before
     any gives a second. Where a split's quota ends is found on counts of hash

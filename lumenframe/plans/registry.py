@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
 from lumenframe.functions import text as T
-from lumenframe.operators import augmentation, comparison, diff, lineage, matching, metrics, planning, polygons, raster, selection, stats, summary, tiling
+from lumenframe.operators import augmentation, backgrounds, comparison, diff, lineage, matching, metrics, planning, polygons, raster, selection, stats, summary, tiling
 from lumenframe.plans.fixtures import chained, table
 from lumenframe.sources import labels as label_files
 from lumenframe.sources import rle
@@ -939,6 +939,34 @@ def background_allocation(spark, d):
     return tiling.allocate_backgrounds(empty, quotas, 5)
 
 
+FREE = """s AS (SELECT image_id, width - least(width, 200) + 1 AS w, height - least(height, 200) + 1 AS h, least(width, 200) AS tw, least(height, 200) AS th FROM samples),
+shut AS (SELECT image_id, greatest(0, CAST(floor(x1 - tw) AS INT) + 1) AS a, least(w, CAST(ceil(x2) AS INT)) AS b, greatest(0, CAST(floor(y1 - th) AS INT) + 1) AS c, least(h, CAST(ceil(y2) AS INT)) AS d FROM annotations JOIN s USING (image_id)),
+f AS (SELECT * FROM shut WHERE a < b AND c < d),
+ends AS (SELECT image_id, 0 AS y0 FROM s UNION SELECT image_id, h FROM s UNION SELECT image_id, c FROM f UNION SELECT image_id, d FROM f),
+bands AS (SELECT * FROM (SELECT image_id, y0, lead(y0) OVER (PARTITION BY image_id ORDER BY y0) AS y1 FROM ends) t WHERE y1 IS NOT NULL),
+spans AS (SELECT bands.image_id, y0, y1, a, b FROM bands JOIN f ON f.image_id = bands.image_id AND c <= y0 AND d >= y1 UNION ALL SELECT image_id, y0, y1, w, w FROM bands JOIN s USING (image_id)),
+free AS (SELECT * FROM (SELECT image_id, coalesce(max(b) OVER (PARTITION BY image_id, y0 ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x0, y0, a AS x1, y1 FROM spans) t WHERE x0 < x1)"""
+
+
+@query(f"WITH {FREE} SELECT * FROM free")
+def free_places(spark, d):
+    return backgrounds.free_places(*tables(spark, d, "samples", "annotations"), 200)
+
+
+@query()
+def background_proposals(spark, d):
+    s, a = tables(spark, d, "samples", "annotations")
+    return backgrounds.propose(s, a, _tiles(spark, d), 200, 0.3, 5, each=2).crops
+
+
+@query(f"""WITH {GRID}, {FREE}, n AS (SELECT split, count(*) AS positives FROM tl GROUP BY 1), x AS (SELECT split, positives, positives * 0.05E0 / (1 - 0.05E0) AS x FROM n),
+q AS (SELECT split, positives, CAST(CASE WHEN abs(floor(x) / (positives + floor(x)) - 0.05E0) <= abs(ceil(x) / (positives + ceil(x)) - 0.05E0) THEN floor(x) ELSE ceil(x) END AS BIGINT) AS target FROM x),
+have AS (SELECT split, count(DISTINCT image_id) AS had FROM free JOIN samples USING (image_id) GROUP BY 1)
+SELECT split, positives, target, least(target, coalesce(had, 0)) AS allocated, target - least(target, coalesce(had, 0)) AS shortfall FROM q LEFT JOIN have USING (split)""")
+def background_shortfall(spark, d):
+    return backgrounds.propose(*tables(spark, d, "samples", "annotations"), _tiles(spark, d), 200, 0.05, 5, each=1).report
+
+
 @query("SELECT 'missing split' AS problem, s AS value FROM (VALUES ('train'), ('val'), ('holdout')) AS r(s) WHERE s NOT IN (SELECT split FROM samples)")
 def trainability(spark, d):
     return selection.trainability(table(spark, d, "samples"), classes(spark), ("train", "val", "holdout"))
