@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -16,6 +17,14 @@ from lumenframe.sources import coco, other, prepare, sinks, yolo
 GroupBy = Column | Callable[[str], Any]
 
 
+@dataclass(frozen=True)
+class Trace:
+    """The datasets of a chain, and the samples with where their files are; None where samples have no path."""
+
+    datasets: DataFrame
+    samples: DataFrame | None
+
+
 @dataclass(frozen=True)
 class Dataset:
     """samples, annotations and classes, and the operations that led to them."""
@@ -26,6 +35,9 @@ class Dataset:
     name: str = "dataset"
     plan: tuple[tuple[str, str], ...] = ()
     issues: DataFrame | None = None
+    #: Where it was opened, and what the export there recorded.
+    location: str | None = None
+    manifest: Mapping[str, Any] | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, format: str | None = None, name: str = "dataset", errors: str = "raise", task: str | None = None) -> Dataset:
@@ -40,7 +52,7 @@ class Dataset:
             path = other.extract_zip(path, f"{work_dir(spark).removeprefix('file://')}/archives")
         found, root, files = other.resolve(spark, path, format)
         if found == "parquet":
-            return cls(*sinks.read_dataset(spark, root, "samples", "annotations", "classes"), name)
+            return cls(*sinks.read_dataset(spark, root, "samples", "annotations", "classes"), name, location=root, manifest=sinks.read_manifest(spark, root))
         if found == "coco":
             frames = coco.read(spark, files, root if not yolo.images_under(spark, root).isEmpty() else None, task)
             bad = frames["issues"]
@@ -48,7 +60,7 @@ class Dataset:
                 raise ValueError(f"bad records: {[tuple(r) for r in bad.limit(4).collect()]}")
         else:
             frames = yolo.open_dataset(spark, root, files[0] if found == "yolo" else None, task, errors)
-        return cls(frames["samples"], frames["annotations"], frames["classes"], name, issues=frames["issues"])
+        return cls(frames["samples"], frames["annotations"], frames["classes"], name, issues=frames["issues"], location=root)
 
     @classmethod
     def update(cls, spark: SparkSession, path: str, destination: str | None = None, name: str = "dataset") -> Dataset:
@@ -186,6 +198,41 @@ class Dataset:
     def class_summary(self) -> DataFrame:
         return summary.class_summary(self.classes.select("class_id"), self.annotations)
 
+    def _source(self) -> dict[str, Any] | None:
+        """The record of what this dataset was opened from, with that one's own source."""
+        if self.location is None:
+            return None
+        m = self.manifest or {}
+        return {"id": m.get("dataset_id"), "name": m.get("name"), "path": self.location, "source": m.get("source")}
+
+    def trace(self, search_paths: Sequence[str] = (), path_rewrites: Mapping[str, str] | None = None) -> Trace:
+        """The datasets that this one comes from, nearest first, and where its samples' files are now.
+
+        A dataset is where a rewrite or its recorded path has its id, else wherever below
+        the search paths a manifest has it. Files are found as :func:`lineage.resolved` says, by
+        the samples' ``sha256`` where they have one.
+        """
+        spark, moves, chain = self.samples.sparkSession, dict(path_rewrites or {}), []
+        step = self._source()
+        while step:
+            chain.append(step)
+            step = step.get("source")
+        searched = sinks.manifests_below(spark, search_paths, [c["id"] for c in chain if c["id"]])
+        rows = []
+        for depth, c in enumerate(chain):  # a row for each dataset of a chain
+            moved = lineage.moved_path(c["path"], moves)
+            tries = [(moved, "path-rewrite")] * (moved is not None) + [(c["path"], "stored-path")]
+            here = next(((p, how) for p, how in tries if sinks.exists(spark, p) and (not c["id"] or sinks.read_manifest(spark, p).get("dataset_id") == c["id"])), None)
+            here = here or ((searched[c["id"]], "search") if c["id"] in searched else (None, "unresolved"))
+            rows.append((depth, c["id"], c["name"], c["path"], *here))
+        datasets = spark.createDataFrame(rows, "depth int, dataset_id string, name string, path string, resolved string, resolved_by string")
+        if "path" not in self.samples.columns:
+            return Trace(datasets, None)
+        s = self.samples.withColumn("path", yolo.local(F.col("path")))
+        s = s if "sha256" in s.columns else s.withColumn("sha256", F.lit(None).cast("string"))
+        files = sinks.listed(spark, s, search_paths, moves)
+        return Trace(datasets, lineage.resolved(s, files, moves).select("image_id", "relative_path", "path", "sha256", "resolved", "resolved_by"))
+
     def audit(self) -> DataFrame:
         return summary.group_isolation(self.samples)
 
@@ -245,4 +292,4 @@ class Dataset:
     def export(self, destination: str, dry_run: bool = False, overwrite: bool = False) -> dict[str, int]:
         """Publish all frames at once, with a manifest of the plan."""
         frames = {"samples": self.samples, "annotations": self.annotations, "classes": self.classes}
-        return sinks.write_dataset(self.samples.sparkSession, destination, frames, {"name": self.name, "plan": [list(p) for p in self.plan]}, dry_run, overwrite)
+        return sinks.write_dataset(self.samples.sparkSession, destination, frames, {"name": self.name, "plan": [list(p) for p in self.plan], "dataset_id": uuid.uuid4().hex, "source": self._source()}, dry_run, overwrite)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -40,14 +40,62 @@ def trace(lineage: DataFrame) -> DataFrame:
     return now.where("done").select("node_id", F.col("up").alias("root_id"), "depth", F.array_join("chain", ">").alias("chain"))
 
 
-def rewritten(paths: F.Column, rewrites: dict[str, str]) -> F.Column:
-    """Paths whose prefix moved."""
-    out = paths
-    for old, new in rewrites.items():
-        out = F.when(F.startswith(paths, F.lit(old)), F.concat(F.lit(new), F.substring(paths, len(old) + 1, 1 << 20))).otherwise(out)
+def rewritten(paths: F.Column, rewrites: Mapping[str, str]) -> F.Column:
+    """Paths below a folder that moved, by the first of ``rewrites`` that holds them; null for others. Whole folder names only: ``/a/b`` does not hold ``/a/bc``."""
+    out = F.lit(None).cast("string")
+    for old, new in reversed(list(rewrites.items())):
+        old, new = old.rstrip("/"), new.rstrip("/")
+        out = F.when((paths == old) | F.startswith(paths, F.lit(old + "/")), F.concat(F.lit(new), F.substring(paths, len(old) + 1, 1 << 20))).otherwise(out)
     return out
 
 
+def moved_path(path: str, rewrites: Mapping[str, str]) -> str | None:
+    """As :func:`rewritten`, of one path."""
+    for old, new in rewrites.items():
+        old = old.rstrip("/")
+        if path == old or path.startswith(old + "/"):
+            return new.rstrip("/") + path[len(old) :]
+    return None
+
+
+def suffixes(path: str) -> F.Column:
+    """(suffix, parts) of a path, from the file's name on, as an array."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    return F.when(F.size(parts) < 1, F.array().cast("array<struct<suffix:string,parts:int>>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, -n, n), "/").alias("suffix"), n.alias("parts"))))
+
+
+def resolved(records: DataFrame, files: DataFrame, rewrites: Mapping[str, str] | None = None) -> DataFrame:
+    """``records`` (path, sha256) with where each file is now, ``resolved``, and how that was found, ``resolved_by``.
+
+    ``files`` (root int, path, sha256) lists the roots' files, in the order in which
+    the roots are searched; those of root -1 are found by their whole paths only. A path
+    that moved by one of ``rewrites`` comes first (``path-rewrite``), then the path itself
+    (``stored-path``), then the file that shares the most trailing names with it
+    (``search``); ties go to the earlier root, then the smaller path. A file counts only if
+    it has the recorded digest, where there is one. Others are ``unresolved``; a null
+    path has null.
+
+    Every suffix of a file keeps one file by digest, and one of all, so a common
+    name such as ``0.jpg`` meets each record once, however many files bear it.
+    """
+    one = F.min(F.struct("root", F.col("path").alias("found"))).alias("best")
+    named = files.where("path is not null")
+    whole = named.select("root", "path", "sha256", F.lit(0).alias("kind"), F.col("path").alias("suffix"))
+    ends = whole.unionByName(named.where("root >= 0").select("root", "path", "sha256", F.lit(1).alias("kind"), F.explode(suffixes("path")["suffix"]).alias("suffix")))
+    any_of = ends.groupBy("kind", "suffix").agg(one).select("kind", "suffix", F.lit("").alias("digest"), "best")
+    index = any_of.unionByName(ends.where("sha256 is not null").groupBy("kind", "suffix", F.col("sha256").alias("digest")).agg(one))
+    wanted = records.select("path", "sha256").where("path is not null").distinct().withColumn("digest", F.coalesce("sha256", F.lit("")))
+    key = lambda kind, step, suffix, parts: F.struct(F.lit(kind).alias("kind"), F.lit(step).alias("step"), suffix.alias("suffix"), parts.cast("int").alias("parts"))
+    direct = F.array(key(0, 0, rewritten(F.col("path"), rewrites or {}), F.lit(0)), key(0, 1, F.col("path"), F.lit(0)))
+    keys = wanted.select("path", "sha256", "digest", F.explode(F.concat(direct, F.transform(suffixes("path"), lambda s: key(1, 2, s["suffix"], s["parts"])))).alias("k")).select("path", "sha256", "digest", "k.*")
+    met = keys.join(index, ["kind", "suffix", "digest"])
+    best = met.groupBy("path", "sha256").agg(F.min(F.struct("step", (-F.col("parts")).alias("parts"), "best")).alias("b"))
+    how = F.element_at(F.array(F.lit("path-rewrite"), F.lit("stored-path"), F.lit("search")), F.col("b.step") + 1)
+    found = best.select(F.col("path").alias("r_path"), F.col("sha256").alias("r_sha256"), F.col("b.best.found").alias("resolved"), how.alias("resolved_by"))
+    both = records.join(found, (records["path"] == found["r_path"]) & records["sha256"].eqNullSafe(found["r_sha256"]), "left")
+    return both.drop("r_path", "r_sha256").withColumn("resolved_by", F.when(F.col("path").isNotNull(), F.coalesce("resolved_by", F.lit("unresolved"))))
+
+
 def freeze(samples: DataFrame, annotations: DataFrame) -> DataFrame:
     """(image_id, original_id, annotation_sha256): digests of identity and of the ordered annotations of each image."""
     line = F.concat_ws(" ", "class_id", *(F.format_string("%.6f", c) for c in ("x1", "y1", "x2", "y2")))

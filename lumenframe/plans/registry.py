@@ -491,6 +491,25 @@ def lineage_trace(spark, d):
     return lineage.trace(table(spark, d, "lineage"))
 
 
+@query("""WITH r AS (SELECT image_id, concat('/old/', relative_path) AS path, CASE WHEN image_id % 3 = 0 THEN cast(NULL AS VARCHAR) ELSE sha256(cast(image_id AS VARCHAR)) END AS sha256 FROM samples),
+f AS (SELECT cast(image_id % 2 AS INT) AS root, concat('/new', cast(image_id % 2 AS VARCHAR), '/', CASE WHEN image_id % 5 = 0 THEN split ELSE group_key END, '/img_', cast(image_id AS VARCHAR), '.jpg') AS path, sha256(cast(CASE WHEN image_id % 7 = 0 THEN -1 ELSE image_id END AS VARCHAR)) AS sha256 FROM samples WHERE image_id % 11 <> 0
+  UNION ALL SELECT -1, concat('/old/', relative_path), sha256(cast(image_id AS VARCHAR)) FROM samples WHERE image_id % 13 = 0
+  UNION ALL SELECT -1, concat('/moved/img_', cast(image_id AS VARCHAR), '.jpg'), sha256(cast(image_id AS VARCHAR)) FROM samples WHERE image_id % 17 = 0),
+c AS (SELECT r.image_id, f.path AS resolved, CASE WHEN f.root = -1 THEN 1 ELSE 2 END AS step, f.root FROM r JOIN f ON split_part(r.path, '/', -1) = split_part(f.path, '/', -1) AND (r.sha256 IS NULL OR r.sha256 = f.sha256) AND (f.root >= 0 OR r.path = f.path)),
+b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY step, root, resolved) AS k FROM c)
+SELECT r.image_id, resolved, CASE WHEN step IS NULL THEN 'unresolved' WHEN step = 1 THEN 'stored-path' ELSE 'search' END AS resolved_by FROM r LEFT JOIN (SELECT * FROM b WHERE k = 1) x USING (image_id)""")
+def moved_files(spark, d):
+    s, text = table(spark, d, "samples"), lambda c: F.sha2(c.cast("string"), 256)
+    i, old = F.col("image_id"), F.concat(F.lit("/old/"), "relative_path").alias("path")
+    records = s.select("image_id", old, F.when(i % 3 != 0, text(i)).alias("sha256"))
+    root = (i % 2).cast("int")
+    new = F.concat(F.lit("/new"), root.cast("string"), F.lit("/"), F.when(i % 5 == 0, F.col("split")).otherwise(F.col("group_key")), F.lit("/img_"), i.cast("string"), F.lit(".jpg"))
+    files = s.where(i % 11 != 0).select(root.alias("root"), new.alias("path"), text(F.when(i % 7 == 0, F.lit(-1)).otherwise(i)).alias("sha256"))
+    files = files.unionByName(s.where(i % 13 == 0).select(F.lit(-1).alias("root"), old, text(i).alias("sha256")))
+    files = files.unionByName(s.where(i % 17 == 0).select(F.lit(-1).alias("root"), F.concat(F.lit("/moved/img_"), i.cast("string"), F.lit(".jpg")).alias("path"), text(i).alias("sha256")))
+    return lineage.resolved(records, files, {"/elsewhere": "/moved"}).select("image_id", "resolved", "resolved_by")
+
+
 @query("""SELECT image_id, CAST(c AS INT) AS copy, CASE WHEN c > 0 THEN CAST(concat('0x', substr(sha256(concat('7:', split, ':', relative_path, ':', CAST(c AS VARCHAR))), 1, 8)) AS BIGINT) ELSE 0 END AS copy_seed FROM (
   SELECT image_id, split, relative_path, unnest(CASE WHEN split = 'train' THEN range(0, 3) ELSE range(0, 1) END) AS c FROM samples) t""")
 def augment_expand(spark, d):

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators import raster
-from lumenframe.sources import labels
+from lumenframe.operators import lineage, raster
+from lumenframe.sources import labels, yolo
 
 #: Of the tables that :func:`write_dataset` writes; 2: samples have ``annotation_count`` and ``sha256`` after an update.
 SCHEMA = 2
@@ -116,6 +116,42 @@ def file_digests(paths: DataFrame) -> DataFrame:
     return paths.where("path is not null").select("path").distinct().mapInArrow(run, "path string, sha256 string")
 
 
+def read_manifest(spark: SparkSession, path: str) -> dict[str, Any]:
+    """What :func:`write_dataset` recorded; empty where there is nothing."""
+    at = f"{path.rstrip('/')}/manifest"
+    row = spark.read.text(at).first() if exists(spark, at) else None
+    return json.loads(row[0]) if row else {}
+
+
+def manifests_below(spark: SparkSession, roots: Sequence[str], ids: Sequence[str]) -> dict[str, str]:
+    """Where below ``roots`` a dataset of each of ``ids`` lies; the first root, then the smallest path."""
+    found: dict[str, str] = {}
+    for root in roots:
+        left = [i for i in ids if i not in found]
+        if not left or not exists(spark, root):
+            continue
+        path = F.regexp_extract(yolo.named(F.col("_metadata.file_path")), r"^(.*)/manifest/part-[^/]*$", 1)
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.txt").text(root).select(path.alias("path"), F.get_json_object("value", "$.dataset_id").alias("id"))
+        rows = lines.where((F.col("path") != "") & F.col("id").isin(left)).groupBy("id").agg(F.min("path").alias("path")).collect()  # a row for each dataset of a chain
+        found |= {r["id"]: r["path"] for r in rows}
+    return found
+
+
+def listed(spark: SparkSession, records: DataFrame, roots: Sequence[str], rewrites: Mapping[str, str]) -> DataFrame:
+    """(root, path, sha256) of the files that could be those of ``records`` (path, sha256): the paths themselves and where they moved (root -1), and files below ``roots`` that bear their names. Only files that a digest has to tell apart are read."""
+    name = F.element_at(F.split("path", "/"), -1)
+    paths = records.where("path is not null").select("path", "sha256")
+    near = paths.unionByName(paths.select(lineage.rewritten(F.col("path"), rewrites).alias("path"), "sha256")).where("path is not null")
+    out = file_digests(near).where("sha256 is not null").select(F.lit(-1).alias("root"), "path", "sha256")
+    names = paths.groupBy(name.alias("name")).agg(F.max(F.col("sha256").isNotNull()).alias("exact"))
+    for i, root in enumerate(roots):
+        if exists(spark, root):
+            under = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(yolo.local(F.col("path")).alias("path")).withColumn("name", name).join(names, "name")
+            plain = under.where("not exact").select(F.lit(i).alias("root"), "path", F.lit(None).cast("string").alias("sha256"))
+            out = out.unionByName(plain).unionByName(file_digests(under.where("exact")).select(F.lit(i).alias("root"), "path", "sha256"))
+    return out
+
+
 def update_dataset(spark: SparkSession, path: str, destination: str | None = None) -> dict[str, int]:
     """Bring what :func:`write_dataset` wrote to the current schema, in place or as a copy: digests of the images that are there, annotation counts, the manifest's number. A folder without manifest is refused."""
     if not exists(spark, f"{path}/manifest"):
