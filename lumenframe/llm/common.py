@@ -104,8 +104,8 @@ def numbered(spark: SparkSession, docs: DataFrame, table: str, row: str = "row")
     return stored(spark, docs.withColumn(row, F.monotonically_increasing_id()), table), row
 
 
-def many_to_one(rows: DataFrame, side: DataFrame, key: str, count: str = "n_rows", how: str = "left") -> DataFrame:
-    """``rows`` joined to ``side``, which has each ``key`` once with the number of its rows in ``count``; ``rows`` is a stored table.
+def many_to_one(rows: DataFrame, side: DataFrame, key: str | list[str], count: str = "n_rows", how: str = "left") -> DataFrame:
+    """``rows`` joined to ``side``, which has each ``key`` (a column or some) once with the number of its rows in ``count``; ``rows`` is a stored table.
 
     The rows of a hot key would all go to one task: those keys, fewer than
     1 / HOT_SHARE, are broadcast instead.
@@ -113,7 +113,7 @@ def many_to_one(rows: DataFrame, side: DataFrame, key: str, count: str = "n_rows
     total = rows.count()
     least = max(1000, int(total * HOT_SHARE))
     hot = F.broadcast(side.where(F.col(count) > least).drop(count))
-    rest = rows.join(F.broadcast(side.where(F.col(count) > least).select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(side.where(F.col(count) > least).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     cold = rest.join(side.where(F.col(count) <= least).drop(count), key, how)
     return cold.unionByName(rows.join(hot, key))
 

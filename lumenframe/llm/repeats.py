@@ -33,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import base, deleted, stored, stored_at
+from lumenframe.llm.common import base, deleted, many_to_one, stored, stored_at
 
 #: Units of a block at most; positions in a block take LOW bits beside the hash.
 BLOCK, LOW = 1 << 18, np.uint64(18)
+#: Texts of a block at most: empty ones have no units.
+TEXTS = 1 << 12
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Different strings of a bucket at most, before it is split.
 MOST = 1024
@@ -130,7 +132,7 @@ def pieces(docs: DataFrame, letters: Alphabet, width: int) -> DataFrame:
                 packed = letters.pack(text.as_py())
                 start, end = letters.spans(packed)
                 n = len(start)
-                if held and held + n > BLOCK:
+                if held and held + n > BLOCK or k >= TEXTS:
                     block, k, held = block + 1, 0, 0
                 home = block
                 for i in range(0, max(1, n - width + 1), step) if n > BLOCK else (0,):
@@ -322,16 +324,19 @@ def removed(spark: SparkSession, documents: DataFrame, letters: Alphabet, kernel
     docs = base(documents)
     table = stored(spark, pieces(docs, letters, width), "repeats-pieces")
     all_rows, at = stored_at(spark, occurrences(table, letters, width, core), "repeats-windows")
-    keys, at_keys = stored_at(spark, all_rows.groupBy("key").agg(F.sum("count").alias("c")).where("c > 1").select("key"), "repeats-keys")
-    rows = stored(spark, all_rows.join(keys, "key", "left_semi"), "repeats-rows")
+    keys, at_keys = stored_at(spark, all_rows.groupBy("key").agg(F.sum("count").alias("c"), F.count("*").alias("n_rows")).where("c > 1").select("key", "n_rows"), "repeats-keys")
+    # A passage that every block has brings a row a block: hot keys and strings are joined by broadcast.
+    rows = stored(spark, many_to_one(all_rows, keys, "key", how="inner"), "repeats-rows")
     deleted(spark, at, at_keys)
     one = F.min(F.struct("block", F.col("places")[0].alias("place")))
-    wholes = stored(spark, rows.groupBy("key", "w1", "w2").agg(F.sum("count").alias("count"), F.max("n").alias("n"), F.max("offset").alias("offset"), one.alias("x")), "repeats-wholes")
+    wholes = stored(spark, rows.groupBy("key", "w1", "w2").agg(F.sum("count").alias("count"), F.max("n").alias("n"), F.max("offset").alias("offset"), one.alias("x"), F.count("*").alias("n_rows")), "repeats-wholes")
     kinds = wholes.groupBy("key").agg(F.count("*").alias("kinds"))
     wanted = wholes.join(kinds, "key").select("x.block", "x.place", "key", "w1", "w2", "count", "kinds", "n", "offset")
     strings = stored(spark, cut_out(table, wanted, letters, width, core), "repeats-strings")
     runs = verdicts(spark, strings, letters, kernel, width, most).groupBy("key", "w1", "w2").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    found = stored(spark, rows.join(stored(spark, runs, "repeats-runs"), ["key", "w1", "w2"]).select("home", "block", "places", "runs"), "repeats-found")
+    string = ["key", "w1", "w2"]
+    runs = stored(spark, runs.join(wholes.select(*string, "n_rows"), string), "repeats-runs")
+    found = stored(spark, many_to_one(rows, runs, string, how="inner").select("home", "block", "places", "runs"), "repeats-found")
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

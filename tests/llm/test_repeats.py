@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import repeats, suffix_dedup, word_windows
+from lumenframe.llm import common, repeats, suffix_dedup, word_windows
 from tests.llm.test_operators import ODD, SCHEMA
 
 
@@ -148,6 +148,30 @@ def test_hot_key_is_split_by_context(spark, passage):
     check_words(spark, rows, 35, 7, 8)
 
 
+def test_blocks_are_bounded_in_texts(spark):
+    """Null and empty texts have no units; they fill blocks by number, and each keeps its row."""
+    n = 3 * repeats.TEXTS
+    docs = spark.range(n, numPartitions=2).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 1000 == 1, F.lit("seven words that a text may have")).alias("text"))
+    table = repeats.pieces(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), word_windows.Words(), 35)
+    per = [r["count"] for r in table.groupBy("home").count().collect()]
+    assert max(per) <= repeats.TEXTS and sum(per) == n
+    out = word_windows.deduplicate(spark, docs).groupBy("n_removed").count().collect()
+    assert [tuple(r) for r in out] == [(0, n)]
+
+
+@pytest.mark.parametrize("share", [0, 1])
+def test_hot_keys_and_strings_by_broadcast(spark, monkeypatch, share):
+    """Rows of a hot key (over 1,000 of them), by one column or two, are joined by broadcast with the same result."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    side = spark.createDataFrame([(1, "a", 5), (2, "b", 1)], "k long, v string, n_rows long")
+    rows = spark.createDataFrame([(1, i) for i in range(2000)] + [(2, 7), (3, 8)], "k long, i long")
+    side = side.withColumn("n_rows", F.when(F.col("k") == 1, 2000).otherwise(1))
+    for key, s in (("k", side), (["k", "j"], side.withColumn("j", F.lit(0)))):
+        r = rows if key == "k" else rows.withColumn("j", F.lit(0))
+        got = common.many_to_one(r, s, key, how="inner").groupBy("k", "v").count().collect()
+        assert {tuple(x) for x in got} == {(1, "a", 2000), (2, "b", 1)}
+
+
 def test_small_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
