@@ -180,19 +180,30 @@ def feather(length: int) -> np.ndarray:
 
 
 def feather_stitch(tiles: DataFrame) -> DataFrame:
-    """(image_id, y, x, value): weighted mean of overlapping tiles (image_id, x1, y1, width, height, values array<double>); weights in one pass, sums by pixel."""
-
-    def run(it):
-        for pdf in it:
-            for r in pdf.itertuples():
-                w, h = int(r.width), int(r.height)
-                weight = np.outer(feather(h), feather(w)).ravel()
-                y, x = np.divmod(np.arange(w * h), w)
-                v = np.asarray(r.values, float)
-                yield pd.DataFrame({"image_id": r.image_id, "y": y + r.y1, "x": x + r.x1, "weight": weight, "part": weight * v})
-
-    pixels = tiles.select("image_id", "x1", "y1", "width", "height", "values").mapInPandas(run, "image_id long, y int, x int, weight double, part double")
-    return pixels.groupBy("image_id", "y", "x").agg(F.round(F.try_divide(F.sum("part"), F.sum("weight")), 9).alias("value"))
+    """(image_id, y, x, value): weighted mean of overlapping tiles (image_id, x1, y1, width, height, values array<double>).
+
+    One shuffle of tiles by image; an image's sums are two arrays over the box of its
+    tiles. Pixels under no tile have no row. An image's tiles must fit in a task.
+    """
+
+    def one(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        left, top, w, h = (x[c].astype(np.int64) for c in ("x1", "y1", "width", "height"))
+        x0, y0 = left.min(), top.min()
+        weight = np.zeros(((top + h).max() - y0, (left + w).max() - x0))
+        total = np.zeros_like(weight)
+        for i, values in enumerate(x["values"]):
+            if not w[i] or not h[i]:
+                continue
+            part = np.s_[top[i] - y0 : top[i] - y0 + h[i], left[i] - x0 : left[i] - x0 + w[i]]
+            f = np.outer(feather(h[i]), feather(w[i]))
+            weight[part] += f
+            total[part] += f * np.asarray(values, float).reshape(h[i], w[i])
+        y, at = np.nonzero(weight)
+        return {"y": y + y0, "x": at + x0, "value": total[y, at] / weight[y, at]}
+
+    rows = tiles.select("image_id", "x1", "y1", "width", "height", "values")
+    out = per_group(rows, ("image_id",), ("y1", "x1"), ("x1", "y1", "width", "height", "values"), one, {"y": "int", "x": "int", "value": "double"})
+    return out.withColumn("value", F.round("value", 9))
 
 
 def area_pool(pixels: DataFrame, factor: int) -> DataFrame:

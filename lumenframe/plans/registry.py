@@ -839,7 +839,9 @@ def rasterise_polygons(spark, d):
     return raster.rasterise(rows).groupBy("image_id", "ann_idx").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
 
 
-@query()
+@query("""WITH t AS (SELECT image_id, k AS tile, k * 4 AS x1 FROM samples, range(0, 2) AS r(k)),
+p AS (SELECT image_id, y, x1 + j AS x, greatest(0.05E0, 0.5E0 - 0.5E0 * cos(2 * pi() * (y + 1) / 9)) * greatest(0.05E0, 0.5E0 - 0.5E0 * cos(2 * pi() * (j + 1) / 9)) AS w, (y * 8 + j) % 7 + tile AS v FROM t, range(0, 8) AS a(y), range(0, 8) AS b(j))
+SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(sum(w * v) / sum(w), 9) AS value FROM p GROUP BY 1, 2, 3""")
 def feather_stitch(spark, d):
     s = table(spark, d, "samples")
     small = tiling.grid_tiles(s.select("image_id", "split", F.lit(12).alias("width"), F.lit(8).alias("height")), 8, 0.5)

@@ -153,6 +153,22 @@ def test_stitching_constant_tiles(spark):
     assert len(rows) == 24 and all(abs(r["value"] - 2) < 1e-6 for r in rows)
 
 
+def test_stitching_against_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    tiles = [(i % 3, int(rng.integers(0, 9)), int(rng.integers(0, 9)), int(rng.integers(1, 6)), int(rng.integers(1, 6))) for i in range(18)]
+    rows, sums = [], {}
+    for image, x1, y1, w, h in tiles:
+        values = rng.random(w * h)
+        rows.append((image, x1, y1, w, h, values.tolist()))
+        for k, v in enumerate(values):
+            f = raster.feather(h)[k // w] * raster.feather(w)[k % w]
+            s = sums.setdefault((image, y1 + k // w, x1 + k % w), [0.0, 0.0])
+            s[0], s[1] = s[0] + f * v, s[1] + f
+    frame = spark.createDataFrame([*rows, (9, 5, 5, 0, 0, [])], "image_id long, x1 int, y1 int, width int, height int, values array<double>")
+    got = {(r["image_id"], r["y"], r["x"]): r["value"] for r in raster.feather_stitch(frame).collect()}
+    assert set(got) == set(sums) and all(abs(got[k] - a / b) < 1e-8 for k, (a, b) in sums.items())
+
+
 def test_split_plan():
     rng = random.Random(1)
     groups = [(f"g{i}", rng.randrange(1, 9), rng.randrange(0, 5)) for i in range(60)]
