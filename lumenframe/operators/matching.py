@@ -141,8 +141,9 @@ def overlap_matching(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def component_dice(ref: DataFrame, pred: DataFrame, by: Sequence[str], overlap: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> DataFrame:
-    """(by, ref, pred, dice) of components (by, component, y, x0, x1) that share pixels; ``by`` holds the class, as only equal classes match."""
-    size = lambda runs, key, n: runs.groupBy(*by, F.col("component").alias(key)).agg(F.sum(F.col("x1") - F.col("x0")).alias(n))
+    """(by, ref, pred, dice) of components (by, component, y, x0, x1, and ``rows`` as in ``overlap``, if there) that share pixels; ``by`` holds the class, as only equal classes match."""
+    pixels = lambda runs: (F.col("x1") - F.col("x0")) * (F.col("rows") if "rows" in runs.columns else 1)
+    size = lambda runs, key, n: runs.groupBy(*by, F.col("component").alias(key)).agg(F.sum(pixels(runs)).alias(n))
     shared = overlap(ref, pred, list(by))
     both = shared.join(size(ref, "ref", "a"), [*by, "ref"]).join(size(pred, "pred", "b"), [*by, "pred"])
     return both.select(*by, "ref", "pred", (2.0 * F.col("pixels") / (F.col("a") + F.col("b"))).alias("dice"))

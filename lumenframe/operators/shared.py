@@ -28,6 +28,12 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key``; joins on the key and further columns leave the rows where they are, so a key's rows have to fit in a task."""
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition(key)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as a Parquet table and read again, and where it is: a lost executor costs its tasks only."""
     spark = df.sparkSession
