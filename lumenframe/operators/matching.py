@@ -12,12 +12,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, intersection
-from lumenframe.operators.grouped import per_group
+from lumenframe.operators.grouped import in_order, lone, per_batch, per_group
 
 #: Cost of a pair that may not be matched: any number of valid pairs outweighs it.
 FORBIDDEN = 1e6
 
 
+def contested(rows: DataFrame, by: Sequence[str], ends: tuple[str, str], value: str | None, solve: Callable[[dict[str, np.ndarray]], dict[str, Sequence]], out: dict[str, str]) -> DataFrame:
+    """A matching of each group's ``rows``, sorted by ``ends``: all of them where none shares an end with another, for many groups at once, else what ``solve`` makes of the group."""
+    columns = (*ends, value) if value else ends
+
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        free = lone(owner, x[ends[0]], x[ends[1]])
+        of, parts = [owner[free]], {c: [x[c][free]] for c in columns}
+        hard = np.flatnonzero(~free)
+        for i in np.split(hard, np.flatnonzero(np.diff(owner[hard])) + 1) if len(hard) else ():
+            made = solve({c: x[c][i] for c in columns})
+            of.append(np.full(len(made[ends[0]]), owner[i[0]]))
+            for c in columns:
+                parts[c].append(np.asarray(made[c], x[c].dtype))
+        return np.concatenate(of), {c: np.concatenate(p) for c, p in parts.items()}
+
+    return per_batch(rows, by, ends, columns, many, out)
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Minimum-cost assignment of rows to columns, shortest augmenting paths with potentials."""
     n, m = cost.shape
@@ -58,14 +76,18 @@ def optimal_matching(pairs: DataFrame, by: tuple[str, ...] = ("model", "image_id
     def one(x: dict[str, np.ndarray]) -> dict[str, list]:
         g, gi = np.unique(x["ann_idx"], return_inverse=True)
         p, pi = np.unique(x["pred_idx"], return_inverse=True)
-        if len(g) == len(x["ann_idx"]) == len(p):  # no pair competes with another
-            return {"ann_idx": x["ann_idx"], "pred_idx": x["pred_idx"], similarity: x[similarity]}
         cost = np.full((len(g), len(p)), FORBIDDEN)
         cost[gi, pi] = -x[similarity]
         found = [(i, j) for i, j in assign(cost) if cost[i, j] < FORBIDDEN]
         return {"ann_idx": [g[i] for i, _ in found], "pred_idx": [p[j] for _, j in found], similarity: [-cost[i, j] for i, j in found]}
 
-    return per_group(pairs, by, ("ann_idx", "pred_idx"), ("ann_idx", "pred_idx", similarity), one, {"ann_idx": "int", "pred_idx": "int", similarity: "double"})
+    return contested(pairs, by, ("ann_idx", "pred_idx"), similarity, one, {"ann_idx": "int", "pred_idx": "int", similarity: "double"})
+
+
+def by_score(x: dict[str, np.ndarray], owner: np.ndarray, similarity: str, smaller_is_better: bool) -> np.ndarray:
+    """Order of candidate pairs by group: predictions in score order, the best candidate of each first."""
+    sign = 1 if smaller_is_better else -1
+    return np.lexsort((sign * x["ann_idx"], sign * x[similarity], x["pred_idx"], -x["score"], owner))
 
 
 def greedy_matching(pairs: DataFrame, by: tuple[str, ...] = ("model", "image_id", "class_id"), smaller_is_better: bool = False, similarity: str = "iou") -> DataFrame:
@@ -74,33 +96,23 @@ def greedy_matching(pairs: DataFrame, by: tuple[str, ...] = ("model", "image_id"
     An image's predictions meet only its own truths, so the order over all images need not be gathered.
     """
 
-    def one(x: dict[str, np.ndarray]) -> dict[str, list]:
-        sign = 1 if smaller_is_better else -1
-        # The best candidate of each prediction comes first; predictions in score order.
-        order = np.lexsort((sign * x["ann_idx"], sign * x[similarity], x["pred_idx"], -x["score"]))
-        used, done, out = set(), set(), []
-        for g, p in zip(x["ann_idx"][order].tolist(), x["pred_idx"][order].tolist(), strict=True):
-            if p not in done and g not in used:
-                used.add(g), done.add(p)
-                out.append((g, p))
-        return {"ann_idx": [g for g, _ in out], "pred_idx": [p for _, p in out]}
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        order = by_score(x, owner, similarity, smaller_is_better)
+        i = order[in_order(owner[order], x["ann_idx"][order], x["pred_idx"][order])]
+        return owner[i], {c: x[c][i] for c in ("ann_idx", "pred_idx")}
 
-    return per_group(pairs, by, ("pred_idx", "ann_idx"), ("ann_idx", "pred_idx", "score", similarity), one, {"ann_idx": "int", "pred_idx": "int"})
+    return per_batch(pairs, by, ("pred_idx", "ann_idx"), ("ann_idx", "pred_idx", "score", similarity), many, {"ann_idx": "int", "pred_idx": "int"})
 
 
 def nearest_matching(pairs: DataFrame, most: float = 50.0, by: tuple[str, ...] = ("model", "image_id")) -> DataFrame:
     """Closest pairs first, each end once, up to a distance; classes do not matter."""
 
-    def one(x: dict[str, np.ndarray]) -> dict[str, list]:
-        gs, ps, out = set(), set(), []
-        for g, p, d in zip(x["ann_idx"].tolist(), x["pred_idx"].tolist(), x["distance"].tolist(), strict=True):
-            if g not in gs and p not in ps:
-                gs.add(g), ps.add(p)
-                out.append((g, p, d))
-        return {"ann_idx": [o[0] for o in out], "pred_idx": [o[1] for o in out], "distance": [o[2] for o in out]}
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        i = in_order(owner, x["ann_idx"], x["pred_idx"])
+        return owner[i], {c: v[i] for c, v in x.items()}
 
     near = pairs.where(F.col("distance") <= most)
-    return per_group(near, by, ("distance", "ann_idx", "pred_idx"), ("ann_idx", "pred_idx", "distance"), one, {"ann_idx": "int", "pred_idx": "int", "distance": "double"})
+    return per_batch(near, by, ("distance", "ann_idx", "pred_idx"), ("ann_idx", "pred_idx", "distance"), many, {"ann_idx": "int", "pred_idx": "int", "distance": "double"})
 
 
 def bipartite_matching(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -137,7 +149,7 @@ def overlap_matching(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
         found = bipartite_matching(x["ref"], x["pred"])
         return {"ref": [a for a, _ in found], "pred": [b for _, b in found]}
 
-    return per_group(edges, by, ("ref", "pred"), ("ref", "pred"), one, {"ref": "long", "pred": "long"})
+    return contested(edges, by, ("ref", "pred"), None, one, {"ref": "long", "pred": "long"})
 
 
 def component_dice(ref: DataFrame, pred: DataFrame, by: Sequence[str], overlap: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> DataFrame:
@@ -160,7 +172,7 @@ def dice_matching(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
         found = [(i, j) for i, j in assign(-gain) if gain[i, j] > 0]
         return {"ref": [g[i] for i, _ in found], "pred": [p[j] for _, j in found], "dice": [gain[i, j] for i, j in found]}
 
-    return per_group(pairs.where("dice > 0"), by, ("ref", "pred"), ("ref", "pred", "dice"), one, {"ref": "long", "pred": "long", "dice": "double"})
+    return contested(pairs.where("dice > 0"), by, ("ref", "pred"), "dice", one, {"ref": "long", "pred": "long", "dice": "double"})
 
 
 def to_source(tiles: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import raster
+from lumenframe.operators import grouped, raster
 from lumenframe.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,7 +47,22 @@ def test_repeated_runs_share_what_their_pixels_do(spark, light):
         assert {(r["image_id"], r["ref"], r["pred"]): r["pixels"] for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["mask_overlap"])
+@pytest.mark.parametrize("name", ["mask_overlap", "overlap_matching"])
 def test_boxes_travel_once_and_whole(spark, name):
     text = plan(registry.QUERIES[name](spark, SMALL))
     assert text.count("hashpartitioning(") == text.count("hashpartitioning(l_orderkey") > 0
+
+
+def test_many_groups_are_matched_at_once_as_one_by_one():
+    rng = np.random.default_rng(3)
+    owner = np.sort(rng.integers(0, 40, 300))
+    left, right = rng.integers(-3, 5, 300), rng.integers(0, 6, 300)
+    taken, want = set(), []
+    for i, (g, a, b) in enumerate(zip(owner.tolist(), left.tolist(), right.tolist(), strict=True)):
+        if ("a", g, a) not in taken and ("b", g, b) not in taken:
+            taken |= {("a", g, a), ("b", g, b)}
+            want.append(i)
+    assert grouped.in_order(owner, left, right).tolist() == want
+    free = [len(set(left[owner == g])) == len(set(right[owner == g])) == (owner == g).sum() for g in owner]
+    assert grouped.lone(owner, left, right).tolist() == free
+    assert grouped.in_order(*(np.zeros(0, int),) * 3).tolist() == []
