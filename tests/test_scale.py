@@ -47,7 +47,7 @@ def test_repeated_runs_share_what_their_pixels_do(spark, light):
         assert {(r["image_id"], r["ref"], r["pred"]): r["pixels"] for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["mask_overlap", "overlap_matching", "component_dice"])
+@pytest.mark.parametrize("name", ["mask_overlap", "overlap_matching", "component_dice", "component_dice_matching"])
 def test_boxes_travel_once_and_whole(spark, name):
     text = plan(registry.QUERIES[name](spark, SMALL))
     assert text.count("hashpartitioning(") == text.count("hashpartitioning(l_orderkey") > 0
