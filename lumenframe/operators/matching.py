@@ -104,6 +104,25 @@ def greedy_matching(pairs: DataFrame, by: tuple[str, ...] = ("model", "image_id"
     return per_batch(pairs, by, ("pred_idx", "ann_idx"), ("ann_idx", "pred_idx", "score", similarity), many, {"ann_idx": "int", "pred_idx": "int"})
 
 
+def greedy_hits(pairs: DataFrame, thresholds: Sequence[float], by: tuple[str, ...] = ("model", "image_id", "class_id"), smaller_is_better: bool = False, similarity: str = "iou") -> DataFrame:
+    """(by, pred_idx, hits): the bit of every threshold at which :func:`greedy_matching`, anew among the pairs valid there, gives a prediction a truth; predictions without one have no row."""
+
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        order = by_score(x, owner, similarity, smaller_is_better)
+        group, truth, pred, near = owner[order], x["ann_idx"][order], x["pred_idx"][order], x[similarity][order]
+        bits = np.zeros(len(order), np.int64)
+        for i, t in enumerate(thresholds):
+            valid = np.flatnonzero(near <= t if smaller_is_better else near >= t)
+            bits[valid[in_order(group[valid], truth[valid], pred[valid])]] |= 1 << i
+        found = np.flatnonzero(bits)
+        found = found[np.lexsort((pred[found], group[found]))]
+        fresh = np.flatnonzero((np.diff(group[found], prepend=-1) != 0) | (np.diff(pred[found], prepend=pred.min() - 1) != 0))
+        # At different thresholds a prediction may take different truths, but at each only one.
+        return group[found[fresh]], {"pred_idx": pred[found[fresh]], "hits": np.add.reduceat(bits[found], fresh) if len(fresh) else bits[:0]}
+
+    return per_batch(pairs, by, ("pred_idx", "ann_idx"), ("ann_idx", "pred_idx", "score", similarity), many, {"pred_idx": "int", "hits": "long"})
+
+
 def nearest_matching(pairs: DataFrame, most: float = 50.0, by: tuple[str, ...] = ("model", "image_id")) -> DataFrame:
     """Closest pairs first, each end once, up to a distance; classes do not matter."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, box_iou, f1, intersection, point_distance, ratio, ratio0
 from lumenframe.operators import scan
-from lumenframe.operators.matching import greedy_matching
+from lumenframe.operators.matching import greedy_hits
 
 
 def _r(x: Column) -> Column:
@@ -70,14 +70,21 @@ def point_candidates(annotations: DataFrame, predictions: DataFrame, most: float
     return pairs.where(F.col("distance") <= most).select("model", "image_id", "ann_idx", "pred_idx", "class_id", "score", "distance")
 
 
+def hits_at(pairs: DataFrame, predictions: DataFrame, thresholds: Sequence[float] = IOU_GRID, similarity: str = "iou", smaller_is_better: bool = False) -> DataFrame:
+    """(model, class_id, image_id, pred_idx, score, hits): a row a prediction, with the bit of every threshold at which it has a truth, matched greedily anew at each among ``pairs``."""
+    found = greedy_hits(pairs, thresholds, ("model", "image_id", "class_id"), smaller_is_better, similarity)
+    rows = predictions.select("model", "class_id", "image_id", "pred_idx", "score")
+    return rows.join(found, ["model", "image_id", "class_id", "pred_idx"], "left").select("model", "class_id", "image_id", "pred_idx", "score", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def _bit(i: int) -> Column:
+    return F.shiftright("hits", i).bitwiseAND(F.lit(1)).cast("int")
+
+
 def flags_at(pairs: DataFrame, predictions: DataFrame, thresholds: Sequence[float] = IOU_GRID, similarity: str = "iou", smaller_is_better: bool = False) -> DataFrame:
     """(model, class_id, image_id, pred_idx, score, threshold, tp) of every prediction at every threshold, each matched greedily anew among ``pairs``."""
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    keys = ["model", "image_id", "class_id", "threshold"]
-    valid = F.col(similarity) <= F.col("threshold") if smaller_is_better else F.col(similarity) >= F.col("threshold")
-    hits = greedy_matching(pairs.select("*", grid).where(valid), tuple(keys), smaller_is_better, similarity).select(*keys, "pred_idx", F.lit(1).alias("tp"))
-    rows = predictions.select("model", "class_id", "image_id", "pred_idx", "score", grid)
-    return rows.join(hits, [*keys, "pred_idx"], "left").select("model", "class_id", "image_id", "pred_idx", "score", "threshold", F.coalesce("tp", F.lit(0)).alias("tp"))
+    hits = hits_at(pairs, predictions, thresholds, similarity, smaller_is_better)
+    return hits.select("model", "class_id", "image_id", "pred_idx", "score", F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), _bit(i).alias("tp")) for i, t in enumerate(thresholds)])))
 
 
 def _curve_keys(flags: DataFrame) -> list[str]:
@@ -98,9 +105,32 @@ def _curve(flags: DataFrame, annotations: DataFrame) -> DataFrame:
     return run.join(F.broadcast(truth), "class_id").select(*keys, "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"), ratio0(F.col("ctp") - F.col("tp"), F.col("n_gt")).alias("before"), "tp", scan.PART)
 
 
+def _ranked(hits: DataFrame, annotations: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """(model, class_id, k, score, n_gt, range) of :func:`hits_at` with ``tp0``, ``ctp0`` and so on of each threshold: the order is the same at all of them, so a prediction is one row."""
+    truth = annotations.groupBy("class_id").agg(F.count("*").alias("n_gt"))
+    keys, order = ["model", "class_id"], [F.desc("score"), F.asc("image_id"), F.asc("pred_idx")]
+    flags = scan.ranged(hits, keys, order).withColumns({f"tp{i}": _bit(i) for i in range(len(thresholds))}).drop("hits")
+    run = scan.running(flags, keys, order, {f"ctp{i}": f"tp{i}" for i in range(len(thresholds))})
+    return run.join(F.broadcast(truth), "class_id").drop("image_id", "pred_idx")
+
+
+def pr_curve_at(hits: DataFrame, annotations: DataFrame, thresholds: Sequence[float] = IOU_GRID) -> DataFrame:
+    """:func:`pr_curve` at every threshold, from :func:`hits_at`; a row a threshold is only made at the end."""
+    each = F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"ctp{i}").alias("ctp")) for i, t in enumerate(thresholds)]))
+    rows = _ranked(hits, annotations, thresholds).select("model", "class_id", "k", "score", "n_gt", each)
+    return rows.select("model", "class_id", "threshold", "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"))
+
+
 LEVELS = 101
 
 
+def _reached(recall: Column) -> Column:
+    """How many levels, hundredths as doubles, a recall reaches: its floor, put right by comparing."""
+    c, at = F.floor(recall * 100), lambda i: i * F.lit(0.01)
+    found = c + F.when(at(c + 1) <= recall, 2).when(at(c) <= recall, 1).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), found))
+
+
 def average_precision(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """101-point interpolated AP of each model and class with truth, and threshold if ``flags`` have one; 0 without predictions.
 
@@ -111,21 +141,34 @@ def average_precision(flags: DataFrame, annotations: DataFrame, models: DataFram
     return _exact_ap(flags, annotations, models).withColumn("ap", _r(F.col("ap")))
 
 
-def _exact_ap(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None, thresholds: Sequence[float] | None = None) -> DataFrame:
+def _exact_ap(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None) -> DataFrame:
     curve, keys = _curve(flags, annotations), _curve_keys(flags)
     # Before a curve's first row not even the level 0 is reached.
     stepped = scan.suffix_max(curve, keys, "k", "precision", "best").withColumn("before", F.when(F.col("k") == 1, F.lit(-1.0)).otherwise(F.col("before")))
     steps = stepped.where("recall > before")
-    reached = lambda r: F.size(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: i * F.lit(0.01) <= r))
-    sums = steps.groupBy(*keys).agg(F.sum(F.col("best") * (reached(F.col("recall")) - reached(F.col("before")))).alias("s"))
+    sums = steps.groupBy(*keys).agg(F.sum(F.col("best") * (_reached(F.col("recall")) - _reached(F.col("before")))).alias("s"))
     grid = annotations.select("class_id").distinct().join(F.broadcast(models if models is not None else flags.select("model").distinct()))
-    if thresholds is not None:
-        grid = grid.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
-    elif "threshold" in keys:
+    if "threshold" in keys:
         grid = grid.join(F.broadcast(flags.select("threshold").distinct()))
     return grid.join(sums, keys, "left").select(*keys, (F.coalesce("s", F.lit(0.0)) / LEVELS).alias("ap"))
 
 
+def _ap_at(hits: DataFrame, annotations: DataFrame, models: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """:func:`average_precision`, unrounded, at every threshold, from :func:`hits_at`: a column a threshold, not a row."""
+    numbers, keys = range(len(thresholds)), ["model", "class_id"]
+    run = _ranked(hits, annotations, thresholds).withColumns({f"p{i}": ratio0(F.col(f"ctp{i}"), F.col("k")) for i in numbers})
+    best = scan.suffix_maxima(run, keys, "k", {f"best{i}": f"p{i}" for i in numbers})
+
+    def gain(i: int) -> Column:
+        before = F.when(F.col("k") == 1, F.lit(-1.0)).otherwise(ratio0(F.col(f"ctp{i}") - F.col(f"tp{i}"), F.col("n_gt")))
+        return F.when((F.col("k") == 1) | (F.col(f"tp{i}") > 0), F.col(f"best{i}") * (_reached(ratio0(F.col(f"ctp{i}"), F.col("n_gt"))) - _reached(before)))
+
+    sums = best.groupBy(*keys).agg(*(F.sum(gain(i)).alias(f"s{i}") for i in numbers))
+    grid = annotations.select("class_id").distinct().join(F.broadcast(models)).join(sums, keys, "left")
+    each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), (F.coalesce(f"s{i}", F.lit(0.0)) / LEVELS).alias("ap")) for i, t in enumerate(thresholds)])
+    return grid.select(*keys, F.inline(each))
+
+
 def mean_ap(ap: DataFrame) -> DataFrame:
     return ap.groupBy("model").agg(_r(F.avg("ap")).alias("map"))
 
@@ -135,7 +178,7 @@ def averaged_precision(pairs: DataFrame, predictions: DataFrame, annotations: Da
     thresholds, similarity = (POINT_GRID, "distance") if points else (IOU_GRID, "iou")
     primary, mean = ("map100", "map100_10") if points else ("ap50", "map50_95")
     models = models if models is not None else predictions.select("model").distinct()
-    ap = _exact_ap(flags_at(pairs, predictions, thresholds, similarity, points), annotations, models, thresholds)
+    ap = _ap_at(hits_at(pairs, predictions, thresholds, similarity, points), annotations, models, thresholds)
     first = F.avg(F.when(F.col("threshold") == thresholds[0], F.col("ap")))
     classes = ap.groupBy("model", "class_id").agg(_r(first).alias(primary), _r(F.avg("ap")).alias("ap"))
     return classes, ap.groupBy("model").agg(_r(first).alias(primary), _r(F.avg("ap")).alias(mean))

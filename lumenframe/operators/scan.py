@@ -47,9 +47,14 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums:
 
 def suffix_max(rows: DataFrame, keys: Sequence[str], number: str, value: str, name: str) -> DataFrame:
     """``rows`` with the largest ``value`` of their key from their ``number`` on."""
+    return suffix_maxima(rows, keys, number, {name: value})
+
+
+def suffix_maxima(rows: DataFrame, keys: Sequence[str], number: str, values: Mapping[str, str]) -> DataFrame:
+    """``rows`` with the largest of each of the ``values`` (name to column) of their key from their ``number`` on."""
     keys = list(keys)
-    totals = rows.groupBy(*keys, PART).agg(F.max(value).alias("__m"))
-    after = _carried(totals, keys, {"__later": F.max("__m")}, backwards=True)
+    totals = rows.groupBy(*keys, PART).agg(*(F.max(value).alias(f"__{name}") for name, value in values.items()))
+    after = _carried(totals, keys, {f"__{name}1": F.max(f"__{name}") for name in values}, backwards=True)
     back = Window.partitionBy(*keys, PART).orderBy(F.desc(number)).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.withColumn("__own", F.max(value).over(back)).join(after, [*keys, PART])
-    return both.withColumn(name, F.greatest("__own", "__later")).drop("__own", "__later")
+    both = rows.withColumns({name: F.max(value).over(back) for name, value in values.items()}).join(after, [*keys, PART])
+    return both.withColumns({name: F.greatest(name, f"__{name}1") for name in values}).drop(*(f"__{name}1" for name in values))

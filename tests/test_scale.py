@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import grouped, raster
+from lumenframe.operators import grouped, matching, metrics, raster
 from lumenframe.plans import registry
+from lumenframe.plans.fixtures import table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -66,3 +67,19 @@ def test_many_groups_are_matched_at_once_as_one_by_one():
     free = [len(set(left[owner == g])) == len(set(right[owner == g])) == (owner == g).sum() for g in owner]
     assert grouped.lone(owner, left, right).tolist() == free
     assert grouped.in_order(*(np.zeros(0, int),) * 3).tolist() == []
+
+
+def test_thresholds_are_bits_of_one_row(spark):
+    a, p = (table(spark, SMALL, n) for n in ("annotations", "predictions"))
+    pairs = metrics.candidates(a, p)
+    hits = metrics.hits_at(pairs, p, (0.5, 0.7, 0.9))
+    assert hits.count() == p.count()
+    got = {(r["threshold"], r["model"], r["image_id"], r["pred_idx"]) for r in metrics.flags_at(pairs, p, (0.5, 0.7, 0.9)).where("tp = 1").collect()}
+    want = {(t, r["model"], r["image_id"], r["pred_idx"]) for t in (0.5, 0.7, 0.9) for r in matching.greedy_matching(pairs.where(F.col("iou") >= t)).collect()}
+    assert got == want and len(want) > 100
+
+
+def test_levels_that_a_recall_reaches(spark):
+    recalls = [-1.0, 0.0, 1.0, 1 / 3, *(i * 0.01 for i in range(101)), *(float(np.nextafter(i * 0.01, s)) for i in range(101) for s in (-1, 2)), *(i / 29 for i in range(30))]
+    rows = spark.createDataFrame([(r,) for r in recalls], "r double").select("r", metrics._reached(F.col("r")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [sum(i * 0.01 <= r["r"] for i in range(101)) for r in rows]
