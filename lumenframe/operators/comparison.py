@@ -91,13 +91,29 @@ def calibrate_maps(pixels: DataFrame, thresholds: list[float]) -> DataFrame:
     return metrics.calibrate(threshold_counts(pixels, thresholds))
 
 
+def _row(runs: DataFrame) -> list[str]:
+    """Key of a pixel row, or of equal neighbouring ones with their number ``rows``."""
+    return ["model", "image_id", "y", *(["rows"] if "rows" in runs.columns else [])]
+
+
+def levelled(runs: DataFrame) -> DataFrame:
+    """Runs that repeat over ``rows`` pixel rows, cut at every row where a run of their image starts or ends: between these all pixel rows are alike."""
+    case = ["model", "image_id"]
+    whole = runs.where("rows > 0 and x0 < x1").withColumn("low", F.col("y") + F.col("rows"))
+    ends = whole.select(*case, F.explode(F.array("y", "low")).alias("a")).distinct()
+    bands = ends.withColumn("b", F.lead("a").over(Window.partitionBy(*case).orderBy("a"))).where("b is not null")
+    return whole.join(bands, case).where("y <= a and b <= low").select(*case, F.col("a").alias("y"), (F.col("b") - F.col("a")).alias("rows"), "x0", "x1", "score")
+
+
 def score_map(runs: DataFrame) -> DataFrame:
     """(model, image_id, y, x0, x1, score): the highest score over each stretch of a pixel row that any run (model, image_id, y, x0, x1, score) covers.
 
     Rows are cut where a run starts or ends, so the work follows the number of
-    runs that meet in a row, not its pixels.
+    runs that meet in a row, not its pixels. Runs with a number of ``rows``, over which
+    they repeat from ``y`` on, give stretches with one, and no row a pixel row.
     """
-    row = ["model", "image_id", "y"]
+    runs = levelled(runs) if "rows" in runs.columns else runs
+    row = _row(runs)
     cuts = runs.select(*row, F.explode(F.array("x0", "x1")).alias("a")).distinct()
     cuts = cuts.withColumn("b", F.lead("a").over(Window.partitionBy(*row).orderBy("a"))).where("b is not null")
     met = runs.join(cuts, row).where("x0 <= a and b <= x1")
@@ -105,8 +121,8 @@ def score_map(runs: DataFrame) -> DataFrame:
 
 
 def projection(scores: DataFrame, threshold: float) -> DataFrame:
-    """Runs (model, image_id, y, x0, x1) of a score map at least ``threshold``, neighbours joined."""
-    row = ["model", "image_id", "y"]
+    """Runs (model, image_id, y, x0, x1, and ``rows`` if there) of a score map at least ``threshold``, neighbours joined."""
+    row = _row(scores)
     order = Window.partitionBy(*row).orderBy("x0")
     kept = scores.where(F.col("score") >= threshold)
     fresh = F.coalesce((F.lag("x1").over(order) != F.col("x0")).cast("int"), F.lit(1))

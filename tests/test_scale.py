@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
+import re
 from contextlib import redirect_stdout
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import grouped, matching, metrics, raster
+from lumenframe.operators import comparison, grouped, matching, metrics, raster
 from lumenframe.plans import registry
 from lumenframe.plans.fixtures import table
 
@@ -48,10 +49,11 @@ def test_repeated_runs_share_what_their_pixels_do(spark, light):
         assert {(r["image_id"], r["ref"], r["pred"]): r["pixels"] for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["mask_overlap", "overlap_matching", "component_dice", "component_dice_matching"])
+@pytest.mark.parametrize("name", ["mask_overlap", "overlap_matching", "component_dice", "component_dice_matching", "score_map", "score_projection", "connected_components"])
 def test_boxes_travel_once_and_whole(spark, name):
-    text = plan(registry.QUERIES[name](spark, SMALL))
-    assert text.count("hashpartitioning(") == text.count("hashpartitioning(l_orderkey") > 0
+    # Beside the lines only the distinct models, a row each and task, are shuffled.
+    keys = set(re.findall(r"hashpartitioning\(([^)]*)\)", plan(registry.QUERIES[name](spark, SMALL))))
+    assert keys and all(re.fullmatch(r"(l_orderkey|model)#\d+L?, \d+", k) for k in keys)
 
 
 def test_many_groups_are_matched_at_once_as_one_by_one():
@@ -83,3 +85,19 @@ def test_levels_that_a_recall_reaches(spark):
     recalls = [-1.0, 0.0, 1.0, 1 / 3, *(i * 0.01 for i in range(101)), *(float(np.nextafter(i * 0.01, s)) for i in range(101) for s in (-1, 2)), *(i / 29 for i in range(30))]
     rows = spark.createDataFrame([(r,) for r in recalls], "r double").select("r", metrics._reached(F.col("r")).alias("n")).collect()
     assert [r["n"] for r in rows] == [sum(i * 0.01 <= r["r"] for i in range(101)) for r in rows]
+
+
+def test_score_map_and_components_of_repeated_runs(spark, light):
+    boxes = [b for b in drawn_boxes(4, 2, 7) if b[5] and b[4] > b[2]]
+    runs = as_runs(spark, boxes)
+    scored = runs.withColumns({"model": F.lit("m"), "score": (F.col("component") + 1) / 8.0}).drop("component")
+    lines = scored.select("model", "image_id", F.explode(F.sequence("y", F.expr("y + rows - 1"))).alias("y"), "x0", "x1", "score")
+    each = F.explode(F.sequence("y", F.expr("y + rows - 1"))).alias("y")
+    made, plain = comparison.score_map(scored), comparison.score_map(lines)
+    assert sorted(made.select("image_id", each, "x0", "x1", "score").collect()) == sorted(plain.select("image_id", "y", "x0", "x1", "score").collect())
+    assert sorted(comparison.projection(made, 0.5).select("image_id", each, "x0", "x1").collect()) == sorted(comparison.projection(plain, 0.5).select("image_id", "y", "x0", "x1").collect())
+    got = raster.connected_components(runs).collect()
+    assert sorted(got) == sorted(raster.connected_components(lines.select("image_id", "y", "x0", "x1")).collect())
+    for image in {b[0] for b in boxes}:
+        drawn = [(y, a, b) for i, _, a, top, b, h in boxes if i == image for y in range(top, top + h)]
+        assert sum(r["image_id"] == image for r in got) == raster.label_runs(np.array(drawn)).max() + 1
