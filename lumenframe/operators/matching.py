@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, intersection
-from lumenframe.operators.grouped import in_order, lone, per_batch, per_group
+from lumenframe.operators.grouped import in_order, linked, lone, per_batch
+from lumenframe.operators.polygons import AT_ONCE, expanded
 
 #: Cost of a pair that may not be matched: any number of valid pairs outweighs it.
 FORBIDDEN = 1e6
@@ -240,23 +241,69 @@ def suppressed(boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, metho
     return out
 
 
+def near_pairs(owner: np.ndarray, b: np.ndarray, classes: np.ndarray, metric: str, threshold: float, agnostic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of the boxes of a group that overlap by at least ``threshold``; groups lie one after the other."""
+    ends = np.cumsum(np.bincount(owner))[owner]
+    count, found, area = ends - np.arange(len(owner)) - 1, [], (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(np.cumsum(count) // AT_ONCE)) + 1):
+        i, k = expanded(count[part])
+        i = part[i]
+        j = i + 1 + k
+        wide = np.maximum(0, np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0]))
+        high = np.maximum(0, np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1]))
+        inter = wide * high
+        low = np.minimum(area[i], area[j]) if metric == "ios" else area[i] + area[j] - inter
+        near = np.divide(inter, low, out=np.zeros_like(inter), where=low > 0) >= threshold
+        if not agnostic:
+            near &= classes[i] == classes[j]
+        found.append((i[near], j[near]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def winners(owner: np.ndarray, b: np.ndarray, classes: np.ndarray, method: str, metric: str, threshold: float, agnostic: bool) -> np.ndarray:
+    """Of the boxes of many groups, best first in each, the place of the one that :func:`suppressed` gives each to."""
+    n = len(owner)
+    i, j = near_pairs(owner, b, classes, metric, threshold, agnostic)
+    if method == "NMM":
+        return linked(n, i, j)
+    # A box without an open better one near it wins, and those near a winner are out; until none is open.
+    win, out = np.zeros(n, bool), np.zeros(n, bool)
+    a, c = i, j
+    while not (win | out).all():
+        blocked = np.zeros(n, bool)
+        blocked[c] = True
+        win |= ~blocked & ~out
+        out[j[win[i]]] = True
+        live = ~win[a] & ~out[a] & ~out[c]
+        a, c = a[live], c[live]
+    # A beaten one goes to its best winner.
+    winner = np.arange(n)
+    of = win[i] & out[j]
+    winner[out] = n
+    np.minimum.at(winner, j[of], i[of])
+    return winner
+
+
 def non_maximum(predictions: DataFrame, method: str = "GREEDYNMM", metric: str = "ios", threshold: float = 0.2, agnostic: bool = False) -> DataFrame:
     """Predictions after suppression or merging, each image by itself; merged boxes are unions, with ``members`` of them."""
     if method not in ("NMS", "LSNMS", "NMM", "GREEDYNMM"):
         raise ValueError(f"unknown method {method!r}")
     columns = ("pred_idx", "class_id", "score", "x1", "y1", "x2", "y2")
 
-    def one(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        boxes = np.column_stack([x[c] for c in ("x1", "y1", "x2", "y2")]).astype(float)
-        groups = suppressed(boxes, x["score"], x["class_id"], method, metric, threshold, agnostic)
-        first = [g[0] for g in groups]
-        out = {c: x[c][first] for c in columns}
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        order = np.lexsort((np.arange(len(owner)), -x["score"], owner))
+        b = np.column_stack([x[c][order] for c in ("x1", "y1", "x2", "y2")]).astype(float)
+        winner = winners(owner, b, x["class_id"][order], method, metric, threshold, agnostic)
+        first = np.flatnonzero(winner == np.arange(len(winner)))
+        out = {c: x[c][order[first]] for c in columns}
         if method in ("NMM", "GREEDYNMM"):
-            low, high = np.array([boxes[g][:, :2].min(0) for g in groups]), np.array([boxes[g][:, 2:].max(0) for g in groups])
-            out |= {"x1": low[:, 0], "y1": low[:, 1], "x2": high[:, 0], "y2": high[:, 1]}
-        return out | {"members": [len(g) for g in groups]}
+            low, high = b.copy(), b.copy()
+            np.minimum.at(low, winner, b)
+            np.maximum.at(high, winner, b)
+            out |= {"x1": low[first, 0], "y1": low[first, 1], "x2": high[first, 2], "y2": high[first, 3]}
+        return owner[first], out | {"members": np.bincount(winner, minlength=len(winner))[first]}
 
-    return per_group(predictions, ("model", "image_id"), ("pred_idx",), columns, one, {"pred_idx": "int", "class_id": "int", "score": "double", "x1": "double", "y1": "double", "x2": "double", "y2": "double", "members": "int"})
+    return per_batch(predictions, ("model", "image_id"), ("pred_idx",), columns, many, {"pred_idx": "int", "class_id": "int", "score": "double", "x1": "double", "y1": "double", "x2": "double", "y2": "double", "members": "int"})
 
 
 def suppression_edges(predictions: DataFrame, threshold: float = 0.2) -> DataFrame:

@@ -101,3 +101,20 @@ def test_score_map_and_components_of_repeated_runs(spark, light):
     for image in {b[0] for b in boxes}:
         drawn = [(y, a, b) for i, _, a, top, b, h in boxes if i == image for y in range(top, top + h)]
         assert sum(r["image_id"] == image for r in got) == raster.label_runs(np.array(drawn)).max() + 1
+
+
+@pytest.mark.parametrize("method", ["NMS", "GREEDYNMM", "NMM"])
+@pytest.mark.parametrize("metric", ["ios", "iou"])
+def test_many_images_are_suppressed_at_once_as_one_by_one(method, metric):
+    rng = np.random.default_rng(5)
+    owner = np.sort(rng.integers(0, 12, 150))
+    corner, score, classes = rng.integers(0, 40, (150, 2)), rng.integers(0, 6, 150) / 8, rng.integers(0, 2, 150)
+    b = np.column_stack([corner, corner + rng.integers(0, 25, (150, 2))]).astype(float)
+    order = np.lexsort((np.arange(150), -score, owner))
+    got = order[matching.winners(owner, b[order], classes[order], method, metric, 0.2, False)]
+    want = {}
+    for g in np.unique(owner):
+        at = np.flatnonzero(owner == g)
+        for group in matching.suppressed(b[at], score[at], classes[at], method, metric, 0.2, False):
+            want |= {int(at[k]): int(at[group[0]]) for k in group}
+    assert dict(zip(order.tolist(), got.tolist(), strict=True)) == want
