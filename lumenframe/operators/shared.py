@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that a task gets.
+DEALT = 100_000
+
 
 def work_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Only a session within one process may lack it and gets one of its own."""
@@ -29,9 +32,15 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt out by ``key``; joins on the key and further columns leave the rows where they are, so a key's rows have to fit in a task."""
-    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return df.repartition(key)
+    """``df`` dealt out by ``key``; joins on the key and further columns leave the rows where they are, so a key's rows have to fit in a task.
+
+    A task gets about :data:`DEALT` rows of a larger table, however few shuffle
+    partitions the session has: later steps sort what they make of them in memory.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    parts = -(-df.count() // DEALT)
+    return df.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import comparison, grouped, matching, metrics, raster
+from lumenframe.operators import comparison, grouped, matching, metrics, raster, shared
 from lumenframe.plans import registry
 from lumenframe.plans.fixtures import table
 
@@ -56,6 +56,14 @@ def test_boxes_travel_once_and_whole(spark, name):
     assert keys and all(re.fullmatch(r"(l_orderkey|model)#\d+L?, \d+", k) for k in keys)
 
 
+@pytest.mark.parametrize("name", ["component_dice", "component_dice_matching", "score_map", "score_projection"])
+def test_a_task_gets_a_bounded_number_of_lines(spark, monkeypatch, name):
+    lines = table(spark, SMALL, "lineitem").count()
+    monkeypatch.setattr(shared, "DEALT", 500, raising=False)
+    found = {int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan(registry.QUERIES[name](spark, SMALL)))}
+    assert found == {-(-lines // 500)} and lines > 2000
+
+
 def test_many_groups_are_matched_at_once_as_one_by_one():
     rng = np.random.default_rng(3)
     owner = np.sort(rng.integers(0, 40, 300))
