@@ -15,113 +15,249 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.raster import runs_of
+from lumenframe.operators.polygons import expanded
 
 RUNS = "array<struct<y:int,x0:int,x1:int>>"
 #: Fixed values of the format.
 FIRST_CHARACTER, BITS, SIGN, MORE = 48, 5, 0x10, 0x20
+#: Longest side of a mask, whose runs are ints.
+LONGEST = (1 << 31) - 1
 
 
 def counts_of(text: str) -> np.ndarray:
     """Counts that a compressed string holds; ValueError if it breaks off or goes below zero."""
-    code = np.frombuffer(text.encode("latin-1"), np.uint8).astype(np.int64) - FIRST_CHARACTER
-    if not len(code):
-        return np.zeros(0, np.int64)
-    if code.min() < 0 or code.max() >= 2 * MORE or code[-1] & MORE:
+    counts, _, problem = all_counts([text.encode("latin-1")])
+    if problem[0]:
         raise ValueError("not a compressed mask")
+    return counts
+
+
+def _within(owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Number of each element among those of its owner."""
+    return np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+
+
+def all_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts of all, how many are each one's, whether it is broken: it breaks off, goes below zero or has a count that no long holds) of many compressed strings."""
+    n, sizes = len(texts), np.array([len(x) for x in texts], np.int64)
+    code = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) - FIRST_CHARACTER
+    owner = np.repeat(np.arange(n), sizes)
+    bad = np.bincount(owner[(code < 0) | (code >= 2 * MORE)], minlength=n) > 0
+    some = np.flatnonzero(sizes)
+    bad[some] |= code[np.cumsum(sizes)[some] - 1] & MORE != 0
+    whole = ~bad[owner]
+    code, owner = code[whole], owner[whole]
     last = np.flatnonzero(code & MORE == 0)
-    first = np.append(0, last[:-1] + 1)
-    if (last - first).max() > 11:
-        raise ValueError("a count is too long")
-    place = np.arange(len(code)) - np.repeat(first, last - first + 1)
-    value = np.add.reduceat((code & (MORE - 1)) << (BITS * place), first)
-    value -= np.where(code[last] & SIGN, 1 << (BITS * (last - first + 1)), 0)
-    # Each count from the fourth on is a step from the one two before: sums along every second place.
-    value[1::2] = np.cumsum(value[1::2])
-    value[2::2] = np.cumsum(value[2::2])
-    if value.min() < 0:
-        raise ValueError("a count is negative")
-    return value
+    first = np.append(0, last[:-1] + 1)[: len(last)]
+    long = last - first > 11
+    bad[owner[last[long]]] = True
+    of = owner[last]
+    value = np.zeros(len(last), np.int64)
+    if len(last):
+        place = np.minimum(np.arange(len(code)) - np.repeat(first, last - first + 1), 11)
+        value = np.add.reduceat((code & (MORE - 1)) << (BITS * place), first)
+        value -= np.where(code[last] & SIGN, np.int64(1) << np.minimum(BITS * (last - first + 1), 60), 0)
+    counted = np.bincount(of, minlength=n)
+    # Each count from the fourth on is a step from the one two before: sums along every second place of a string, the first left out.
+    number = _within(of, counted)
+    for which in (number % 2 == 1, (number % 2 == 0) & (number > 0)):
+        total, of_these = np.cumsum(value[which]), of[which]
+        start = np.flatnonzero(np.diff(of_these, prepend=-1))
+        value[which] = total - np.repeat(np.append(0, total)[start], np.diff(np.append(start, len(total))))
+    bad[of[value < 0]] = True
+    keep = ~bad[of]
+    return value[keep], np.where(bad, 0, counted), bad
 
 
 def text_of(counts: np.ndarray) -> str:
     """The compressed string of counts."""
-    out = []
-    for i, c in enumerate(np.asarray(counts).tolist()):
-        left = c - int(counts[i - 2]) if i > 2 else c
-        while True:
-            code, left = left & (MORE - 1), left >> BITS
-            done = left == (-1 if code & SIGN else 0)
-            out.append(chr(code + FIRST_CHARACTER + (0 if done else MORE)))
-            if done:
-                break
-    return "".join(out)
+    return all_texts(np.asarray(counts, np.int64), np.array([len(counts)]))[0]
+
+
+def all_texts(counts: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The compressed strings of many masks' counts, ``sizes`` of each."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    step = np.flatnonzero(_within(owner, sizes) > 2)
+    left = counts.copy()
+    left[step] -= counts[step - 2]
+    open_, parts = np.ones(len(left), bool), []
+    while open_.any():
+        code = left & (MORE - 1)
+        left = left >> BITS
+        more = left != np.where(code & SIGN, -1, 0)
+        parts.append(np.where(open_, code + FIRST_CHARACTER + np.where(more, MORE, 0), 0))
+        open_ &= more
+    characters = np.column_stack(parts) if parts else np.zeros((0, 1), np.int64)
+    length = np.bincount(owner, (characters > 0).sum(1), len(sizes)).astype(int)
+    text, ends = characters[characters > 0].astype(np.uint8).tobytes().decode("latin-1"), np.cumsum(length)
+    return [text[a:b] for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+
+
+def _ordered(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equally long arrays sorted by the first, then the second and so on; plain masks come sorted."""
+    later, open_ = np.zeros(max(len(keys[0]) - 1, 0), bool), np.ones(max(len(keys[0]) - 1, 0), bool)
+    for key in keys:
+        step = np.diff(key)
+        later |= open_ & (step < 0)
+        open_ &= step == 0
+    if not later.any():
+        return keys
+    order = np.lexsort(keys[::-1])
+    return tuple(key[order] for key in keys)
+
+
+def _turned(owner: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, across, first line, last line, exclusive) of the stretches across the lines of masks that lie along them as start to end, ``line`` positions a line.
+
+    Where a mask is and was not a line earlier, a stretch across starts; where it was
+    and is not, one ends. Both are differences of the mask and itself moved on by
+    a line, so only the ends of stretches are touched; those that continue
+    straight on cancel out. No pixel inside is looked at.
+    """
+    if not len(owner):
+        return (np.zeros(0, np.int64),) * 4
+    fresh = np.flatnonzero(np.diff(owner, prepend=-1))
+    low = np.minimum.reduceat(start, fresh)
+    span = np.maximum.reduceat(end, fresh) - low + 2 * line[fresh]
+    base = np.repeat(np.cumsum(span) - span - low, np.diff(np.append(fresh, len(owner))))
+    a, b = start + base, end + base
+    on_a = np.append((a[1:] == a[:-1] + line[:-1]) & (owner[1:] == owner[:-1]), False)
+    on_b = np.append((b[1:] == b[:-1] + line[:-1]) & (owner[1:] == owner[:-1]), False)
+    own_a, own_b = ~np.append(False, on_a[:-1]), ~np.append(False, on_b[:-1])
+    k = np.concatenate([np.flatnonzero(x) for x in (own_a, own_b, ~on_a, ~on_b)])
+    at = np.concatenate([a[own_a], b[own_b], (a + line)[~on_a], (b + line)[~on_b]])
+    turn = np.repeat([1, -1, -1, 1], [own_a.sum(), own_b.sum(), (~on_a).sum(), (~on_b).sum()])
+    order = np.argsort(at, kind="stable")
+    k, at, level = k[order], at[order], np.cumsum(turn[order])
+    width = np.diff(at, append=at[-1])
+
+    def places(sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i = np.flatnonzero((level == sign) & (width > 0))
+        e, number = expanded(width[i])
+        of, p = k[i][e], at[i][e] + number
+        p = p - base[of]
+        o, across, n = owner[of], p % line[of], p // line[of]
+        return _ordered(o, across, n)
+
+    o, across, first = places(1)
+    return o, across, first, places(-1)[2]
 
 
 def decode(counts: np.ndarray, width: int, height: int) -> np.ndarray:
-    """(n, 3) runs y, x0, x1 of counts; only the columns between the mask's first and last are drawn."""
+    """(n, 3) runs y, x0, x1 of counts."""
     counts = np.asarray(counts, np.int64)
-    ends = np.cumsum(counts)
-    if len(counts) and (counts.min() < 0 or ends[-1] > width * height):
+    runs, _, problem = decode_all(counts, np.array([len(counts)]), np.array([width]), np.array([height]))
+    if problem[0]:
         raise ValueError("counts leave the image")
-    start, stop = (ends - counts)[1::2], ends[1::2]
-    start, stop = start[stop > start], stop[stop > start]
-    if not len(start):
-        return np.zeros((0, 3), int)
-    left, right = int(start[0]) // height, -(-int(stop[-1]) // height)
-    change = np.zeros((right - left) * height + 1, np.int8)
-    change[start - left * height] += 1
-    np.add.at(change, stop - left * height, -1)
-    runs = runs_of(np.cumsum(change[:-1], dtype=np.int8).reshape(right - left, height).T > 0)
-    return runs + np.array([0, left, left])
+    return runs
+
+
+def decode_all(counts: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """((n, 3) runs y, x0, x1 of all, how many are each one's, whether its counts leave its image) of many masks, ``sizes`` counts of each."""
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    bad = np.bincount(owner[counts < 0], minlength=n) > 0
+    # As doubles first: counts of a broken mask may add up to more than a long.
+    bad |= np.bincount(owner, counts.astype(float), n) > 1.5 * width.astype(float) * height
+    keep = ~bad[owner]
+    total, number, owner, counts = np.cumsum(counts[keep]), _within(owner, sizes)[keep], owner[keep], counts[keep]
+    fresh = np.flatnonzero(number == 0)
+    end = total - np.repeat((total - counts)[fresh], np.diff(np.append(fresh, len(total))))
+    out = np.flatnonzero(end > (width * height)[owner])
+    bad[owner[out]] = True
+    i = np.flatnonzero((number % 2 == 1) & (counts > 0) & ~bad[owner])
+    o, y, x0, x1 = _turned(owner[i], end[i] - counts[i], end[i], height[owner[i]])
+    return np.column_stack([y, x0, x1]), np.bincount(o, minlength=n), bad
 
 
 def encode(runs: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Counts of runs y, x0, x1; only the columns between the first and the last are drawn."""
-    runs = np.asarray(runs, int).reshape(-1, 3)
-    if not len(runs):
-        return np.array([width * height])
-    left, right = int(runs[:, 1].min()), int(runs[:, 2].max())
-    mask = np.zeros((right - left) * height, bool)
-    for y, a, b in runs.tolist():
-        mask[(a - left) * height + y : (b - left) * height + y : height] = True
-    edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)) + left * height
-    return np.diff(np.concatenate([[0], edges[edges < width * height], [width * height]]))
-
-
-def parsed(segmentation: str) -> tuple[np.ndarray, int, int]:
-    """(counts, width, height) of an RLE object's JSON."""
+    """Counts of runs y, x0, x1."""
+    runs = np.asarray(runs, np.int64).reshape(-1, 3)
+    return encode_all(runs, np.array([len(runs)]), np.array([width]), np.array([height]))[0]
+
+
+def encode_all(runs: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of all, how many are each one's) of many masks' runs y, x0, x1, ``sizes`` of each; runs may overlap and touch."""
+    n, runs, end = len(sizes), runs.astype(np.int64), width.astype(np.int64) * height
+    owner = np.repeat(np.arange(n), sizes)
+    line = int(max(width.max(initial=0), runs[:, 2].max(initial=0))) + 1
+    some = runs[:, 1] < runs[:, 2]
+    owner, a, b = owner[some], runs[some, 0] * line + runs[some, 1], runs[some, 0] * line + runs[some, 2]
+    o, a, b = _joined(*_ordered(owner, a, b))
+    o, x, y0, y1 = _turned(o, a, b, np.full(len(o), line))
+    # Down the columns; what reaches a column's foot goes on at the head of the next.
+    o, a, b = _joined(o, x * height[o] + y0, x * height[o] + y1)
+    a, b, o = a[a < end[o]], np.minimum(b, end[o])[a < end[o]], o[a < end[o]]
+    edges, of = np.column_stack([a, b]).ravel(), np.repeat(o, 2)
+    edges, of = edges[edges < end[of]], of[edges < end[of]]
+    counted = np.bincount(of, minlength=n)
+    offset = np.cumsum(counted + 2) - counted - 2
+    marks = np.zeros(len(edges) + 2 * n, np.int64)
+    marks[offset[of] + 1 + _within(of, counted)] = edges
+    marks[offset + counted + 1] = end
+    return np.delete(np.diff(marks), offset[1:] - 1), counted + 1
+
+
+def _joined(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches, sorted by owner and start, with those that overlap or touch as one."""
+    if not len(owner):
+        return owner, a, b
+    # Owners lie so far apart that one's reach ends before the next one's first.
+    far = owner * (int(b.max()) - int(a.min()) + 2)
+    reach = np.maximum.accumulate(b + far)
+    fresh = np.flatnonzero(np.append(True, (a + far)[1:] > reach[:-1]))
+    last = np.append(fresh[1:], len(a)) - 1
+    return owner[fresh], a[fresh], reach[last] - far[last]
+
+
+def parsed(segmentation: str) -> tuple[np.ndarray | bytes, int, int]:
+    """(counts, or their compressed string, width, height) of an RLE object's JSON."""
     found = json.loads(segmentation)
     height, width = (int(x) for x in found["size"])
     counts = found["counts"]
-    return (counts_of(counts) if isinstance(counts, str) else np.array(counts, np.int64)), width, height
+    if isinstance(counts, str):
+        return counts.encode("latin-1"), width, height
+    counts = np.array(counts, np.int64)
+    if counts.ndim != 1:
+        raise ValueError("counts are no list")
+    return counts, width, height
 
 
 def decoded(rows: DataFrame, text: str = "rle", width: str = "width", height: str = "height", runs: str = "runs", problem: str = "problem") -> DataFrame:
     """``rows`` with the ``runs`` of the JSON in the column ``text`` (null: null), and ``problem``, null or what is wrong: not a mask, counts outside it, or not the image's size."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{runs}` {RUNS}, `{problem}` string"
-    at = rows.columns.index
+    at, problem_column = rows.columns.index, problem
     columns = (at(text), at(width), at(height))
 
-    def one(rle: str | None, w: int | None, h: int | None) -> tuple[np.ndarray | None, str | None]:
+    def read(rle: str | None, w: int | None, h: int | None) -> tuple[bytes | np.ndarray | None, int, int, str | None]:
         if rle is None:
-            return None, None
+            return None, 1, 1, None
         try:
             counts, rw, rh = parsed(rle)
-            if (w is not None and h is not None and (rw, rh) != (w, h)) or rw < 1 or rh < 1:
-                return None, "mask size"
-            return decode(counts, rw, rh), None
+            wrong = (w is not None and h is not None and (rw, rh) != (w, h)) or not (0 < rw <= LONGEST and 0 < rh <= LONGEST)
+            return counts, *((1, 1, "mask size") if wrong else (rw, rh, None))
         except (ValueError, KeyError, TypeError, OverflowError):
-            return None, "mask"
+            return None, 1, 1, "mask"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
-            flat = np.concatenate([np.zeros((0, 3), int), *(r for r, _ in found if r is not None)]).astype(np.int32)
-            ends = np.cumsum([0, *(0 if r is None else len(r) for r, _ in found)]).astype(np.int32)
-            parts = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["y", "x0", "x1"])
-            lists = pa.ListArray.from_arrays(pa.array(ends), parts, mask=pa.array([r is None for r, _ in found], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array([p for _, p in found], pa.string())], [*batch.schema.names, runs, problem])
+            found = [read(*r) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+            n, packed = len(found), [i for i, f in enumerate(found) if isinstance(f[0], bytes)]
+            plain = [i for i, f in enumerate(found) if isinstance(f[0], np.ndarray)]
+            counts, sizes, broken = all_counts([found[i][0] for i in packed])
+            size, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+            size[packed], bad[packed] = sizes, broken
+            size[plain] = [len(found[i][0]) for i in plain]
+            # In the order of the rows.
+            owner = np.concatenate([np.repeat(np.array(packed, int), sizes), np.repeat(np.array(plain, int), size[plain])])
+            counts = np.concatenate([counts, *(found[i][0] for i in plain)])[np.argsort(owner, kind="stable")]
+            drawn, lengths, out = decode_all(counts, size, np.array([f[1] for f in found]), np.array([f[2] for f in found]))
+            problem = [f[3] or ("mask" if b else None) for f, b in zip(found, (bad | out).tolist(), strict=True)]
+            none = np.array([r[0] is None for r in found], bool) | np.array([p is not None for p in problem], bool)
+            shown = ~np.repeat(none, lengths)
+            parts = pa.StructArray.from_arrays([pa.array(drawn[shown, i].astype(np.int32)) for i in range(3)], ["y", "x0", "x1"])
+            ends = np.append(0, np.cumsum(np.where(none, 0, lengths))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), parts, mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(problem, pa.string())], [*batch.schema.names, runs, problem_column])
 
     # With a number: a few bytes of counts can be large masks, and must not end in one task.
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -139,10 +275,13 @@ def encoded(rows: DataFrame, compressed: bool = True, runs: str = "runs", width:
             lists = batch.column(columns[0])
             flat = np.column_stack([np.asarray(lists.flatten().field(c)) for c in ("y", "x0", "x1")])
             ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
-            texts = []
-            for there, end, start, w, h in zip(lists.is_valid().to_pylist(), ends.tolist(), [0, *ends[:-1].tolist()], batch.column(columns[1]).to_pylist(), batch.column(columns[2]).to_pylist(), strict=True):
-                counts = encode(flat[start:end], w, h) if there else None
-                texts.append(None if counts is None else json.dumps({"size": [h, w], "counts": text_of(counts) if compressed else counts.tolist()}))
+            there = lists.is_valid().to_pylist()
+            if any(ok and None in side for ok, *side in zip(there, *(batch.column(c).to_pylist() for c in columns[1:]), strict=True)):
+                raise ValueError("a mask needs the sides of its image")
+            sides = [batch.column(c).fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[1:]]
+            counts, sizes = encode_all(flat, np.diff(ends, prepend=0), *sides)
+            cut = all_texts(counts, sizes) if compressed else np.split(counts, np.cumsum(sizes)[:-1])
+            texts = [json.dumps({"size": [h, w], "counts": c if compressed else c.tolist()}) if ok else None for ok, c, w, h in zip(there, cut, *(x.tolist() for x in sides), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
     return rows.mapInArrow(run, schema)

@@ -226,3 +226,23 @@ def test_rle_columns(spark):
         assert [tuple(q) for q in r["runs"]] == [(y, r["x1"], r["x2"]) for y in range(r["y1"], r["y2"])]
     again = rle.decoded(rle.encoded(found.drop("rle", "problem")).withColumnRenamed("runs", "before"))
     assert again.where("not (runs <=> before)").isEmpty() and again.where("problem is not null").isEmpty()
+
+
+def test_rle_of_many_masks_at_once_as_one_by_one():
+    rng = np.random.default_rng(6)
+    masks = [rng.random(rng.integers(1, 12, 2)) < rng.choice([0, 0.1, 0.5, 0.9, 1]) for _ in range(200)]
+    runs = [raster.runs_of(m) for m in masks]
+    height, width = (np.array([m.shape[i] for m in masks]) for i in (0, 1))
+    counts, sizes = rle.encode_all(np.concatenate(runs), np.array([len(r) for r in runs]), width, height)
+    cut = np.split(counts, np.cumsum(sizes)[:-1])
+    assert [c.tolist() for c in cut] == [slow_counts(m) for m in masks]
+    drawn, lengths, out = rle.decode_all(counts, sizes, width, height)
+    assert not out.any() and (lengths == [len(r) for r in runs]).all() and (drawn == np.concatenate(runs)).all()
+    # Broken ones among them change no other's.
+    texts = [t.encode() for t in rle.all_texts(counts, sizes)]
+    texts[3], texts[50], texts[120] = b"`", b"\x1f0", b"p" * 20 + b"0"
+    again, sizes, bad = rle.all_counts(texts)
+    assert np.flatnonzero(bad).tolist() == [3, 50, 120]
+    assert (again == np.concatenate([c for i, c in enumerate(cut) if not bad[i]])).all()
+    broken = rle.decode_all(np.array([1, 2, -1, 3, 1 << 62, 1 << 62, 1, 2, 0, 1]), np.array([4, 2, 4]), np.array([2] * 3), np.array([2] * 3))
+    assert broken[2].tolist() == [True, True, False] and broken[0].tolist() == [[0, 1, 2], [1, 0, 2]]
