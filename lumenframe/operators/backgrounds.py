@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators.grouped import per_group
+from lumenframe.operators.grouped import per_batch
 from lumenframe.operators.shared import small_batches
 from lumenframe.operators.tiling import allocate_backgrounds, background_count, boxed
 from lumenframe.sources.yolo import local, named
@@ -49,14 +49,16 @@ def free_places(samples: DataFrame, annotations: DataFrame, size: int) -> DataFr
     return gaps.where("x0 < a").select("image_id", "x0", "y0", F.col("a").alias("x1"), "y1")
 
 
-def cut_away(rects: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
-    """Rectangles (x0, y0, x1, y1) without one: what lies above, below, left and right of it stays."""
-    met = (rects[:, 0] < x1) & (rects[:, 2] > x0) & (rects[:, 1] < y1) & (rects[:, 3] > y0)
-    a, b, c, d = rects[met].T
+def cut_away(owner: np.ndarray, rects: np.ndarray, hole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rectangles (x0, y0, x1, y1), by ``owner``, each without the ``hole`` of its row: what lies above, below, left and right of it stays."""
+    met = (rects[:, 0] < hole[:, 2]) & (rects[:, 2] > hole[:, 0]) & (rects[:, 1] < hole[:, 3]) & (rects[:, 3] > hole[:, 1])
+    (a, b, c, d), (x0, y0, x1, y1) = rects[met].T, hole[met].T
     top, low = np.maximum(b, y0), np.minimum(d, y1)
     parts = [np.column_stack(p) for p in ((a, b, c, top), (a, low, c, d), (a, top, np.maximum(a, np.minimum(c, x0)), low), (np.minimum(c, np.maximum(a, x1)), top, c, low))]
-    left = np.concatenate([rects[~met], *parts])
-    return left[(left[:, 0] < left[:, 2]) & (left[:, 1] < left[:, 3])]
+    left, of = np.concatenate([rects[~met], *parts]), np.concatenate([owner[~met], *[owner[met]] * 4])
+    some = np.flatnonzero((left[:, 0] < left[:, 2]) & (left[:, 1] < left[:, 3]))
+    some = some[np.argsort(of[some], kind="stable")]
+    return of[some], left[some]
 
 
 def proposals(samples: DataFrame, annotations: DataFrame, size: int, seed: int = 0) -> DataFrame:
@@ -68,23 +70,31 @@ def proposals(samples: DataFrame, annotations: DataFrame, size: int, seed: int =
     """
     rows = free_places(samples, annotations, size).join(samples.select("image_id", side("width", size).alias("tw"), side("height", size).alias("th")), "image_id")
 
-    def one(x: dict[str, np.ndarray]) -> dict[str, list]:
-        tw, th = int(x["tw"][0]), int(x["th"][0])
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"background:{seed}:{x['image_id'][0]}".encode()).digest()[:8]))
-        rects = np.column_stack([x[c] for c in ("x0", "y0", "x1", "y1")]).astype(np.int64)
-        lefts, tops = [], []
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        tw, th = (x[c][first].astype(np.int64) for c in ("tw", "th"))
+        rngs = [np.random.default_rng(int.from_bytes(hashlib.sha256(f"background:{seed}:{i}".encode()).digest()[:8])) for i in x["image_id"][first].tolist()]
+        of, rects, made = owner, np.column_stack([x[c] for c in ("x0", "y0", "x1", "y1")]).astype(np.int64), []
+        # In every round each image that has room draws one crop.
         while len(rects):
-            ends = np.cumsum((rects[:, 2] - rects[:, 0]) * (rects[:, 3] - rects[:, 1]))
-            pick = int(rng.integers(ends[-1]))
-            i = int(np.searchsorted(ends, pick, side="right"))
-            a, b, c, _ = rects[i].tolist()
-            pick -= int(ends[i - 1]) if i else 0
-            left, top = a + pick % (c - a), b + pick // (c - a)
-            lefts.append(left), tops.append(top)
-            rects = cut_away(rects, left - tw + 1, top - th + 1, left + tw, top + th)
-        return {"tile": range(len(lefts)), "x1": lefts, "y1": tops, "x2": [v + tw for v in lefts], "y2": [v + th for v in tops]}
-
-    drawn = per_group(rows, ("image_id",), ("y0", "x0"), ("image_id", "tw", "th", "x0", "y0", "x1", "y1"), one, dict.fromkeys(("tile", "x1", "y1", "x2", "y2"), "int"))
+            area = (rects[:, 2] - rects[:, 0]) * (rects[:, 3] - rects[:, 1])
+            ends = np.cumsum(area)
+            start = np.flatnonzero(np.diff(of, prepend=-1))
+            image, before = of[start], (ends - area)[start]
+            room = np.append(before[1:], ends[-1]) - before
+            pick = before + np.array([rngs[g].integers(n) for g, n in zip(image.tolist(), room.tolist(), strict=True)])
+            i = np.searchsorted(ends, pick, side="right")
+            pick, wide = pick - (ends - area)[i], rects[i, 2] - rects[i, 0]
+            left, top = rects[i, 0] + pick % wide, rects[i, 1] + pick // wide
+            hole = np.column_stack([left - tw[image] + 1, top - th[image] + 1, left + tw[image], top + th[image]])
+            made.append((image, np.full(len(image), len(made)), left, top))
+            of, rects = cut_away(of, rects, np.repeat(hole, np.diff(np.append(start, len(of))), 0))
+        image, tile, left, top = (np.concatenate(m) for m in zip(*made, strict=True))
+        order = np.argsort(image, kind="stable")
+        image, tile, left, top = image[order], tile[order], left[order], top[order]
+        return image, {"tile": tile, "x1": left, "y1": top, "x2": left + tw[image], "y2": top + th[image]}
+
+    drawn = per_batch(rows, ("image_id",), ("y0", "x0"), ("image_id", "tw", "th", "x0", "y0", "x1", "y1"), many, dict.fromkeys(("tile", "x1", "y1", "x2", "y2"), "int"))
     peopled = annotations.select("image_id").distinct().withColumn("origin", F.lit(POPULATED))
     return drawn.join(peopled, "image_id", "left").withColumn("origin", F.coalesce("origin", F.lit(EMPTY)))
 

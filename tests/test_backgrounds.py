@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,18 @@ def test_filter_sees_pixels(spark, light, tmp_path):
     found = made.samples.where("origin is not null")
     assert found.count() >= 1 and made.annotations.join(found, "image_id", "left_semi").isEmpty()
     assert set(made.issues.columns) == {"split", "positives", "target", "allocated", "shortfall"} and made.plan[0][0] == "tile"
+
+
+def test_many_rectangles_are_cut_at_once():
+    rng = np.random.default_rng(3)
+    owner = np.sort(rng.integers(0, 6, 40))
+    low = rng.integers(0, 9, (40, 2))
+    rects = np.column_stack([low, low + rng.integers(1, 7, (40, 2))])
+    corner = rng.integers(0, 9, (6, 2))
+    hole = np.column_stack([corner, corner + rng.integers(1, 6, (6, 2))])[owner]
+    of, left = backgrounds.cut_away(owner, rects, hole)
+    assert (np.diff(of) >= 0).all()
+    cells = lambda r: [(x, y) for x in range(r[0], r[2]) for y in range(r[1], r[3])]
+    for g in range(6):
+        want = sorted(p for r, h in zip(rects[owner == g], hole[owner == g], strict=True) for p in cells(r) if p not in set(cells(h)))
+        assert sorted(p for r in left[of == g] for p in cells(r)) == want
