@@ -56,7 +56,7 @@ def test_boxes_travel_once_and_whole(spark, name):
     assert keys and all(re.fullmatch(r"(l_orderkey|model)#\d+L?, \d+", k) for k in keys)
 
 
-@pytest.mark.parametrize("name", ["component_dice", "component_dice_matching", "score_map", "score_projection"])
+@pytest.mark.parametrize("name", ["component_dice", "component_dice_matching", "score_map", "score_projection", "sliced_to_source"])
 def test_a_task_gets_a_bounded_number_of_lines(spark, monkeypatch, name):
     lines = table(spark, SMALL, "lineitem").count()
     monkeypatch.setattr(shared, "DEALT", 500, raising=False)
