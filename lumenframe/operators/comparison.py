@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from lumenframe.operators import matching, metrics, selection, stats
 
 @dataclass(frozen=True)
 class Comparison:
-    """Tables of a comparison; all are lazy.
+    """A comparison, whose tables are made when they are asked for: one that needs no matching or AP runs none.
 
     ``ranking``: a row a model, best ``map50_95`` first. ``classes``: AP a model
     and class. ``images``: tp, fp and fn a model and image. ``pairs``: paired
@@ -22,12 +23,63 @@ class Comparison:
     (they count nowhere), originals that a model was trained on.
     """
 
-    ranking: DataFrame
-    classes: DataFrame
-    images: DataFrame
-    pairs: DataFrame
-    worst: DataFrame
-    issues: DataFrame
+    samples: DataFrame
+    annotations: DataFrame
+    predictions: DataFrame
+    models: DataFrame
+    trained: DataFrame | None
+    most: int
+    resamples: int
+
+    @cached_property
+    def _inside(self) -> DataFrame:
+        return self.predictions.join(self.samples.select("image_id"), "image_id", "left_semi")
+
+    @cached_property
+    def _truth(self) -> DataFrame:
+        return self.annotations.join(self.samples.select("image_id"), "image_id", "left_semi")
+
+    @cached_property
+    def _candidates(self) -> DataFrame:
+        return metrics.candidates(self._truth, self._inside)
+
+    @cached_property
+    def _averaged(self) -> tuple[DataFrame, DataFrame]:
+        return metrics.averaged_precision(self._candidates, self._inside, self._truth, models=self.models)
+
+    @cached_property
+    def images(self) -> DataFrame:
+        return metrics.per_image(self.samples, self._truth, matched_flags(self._candidates, self._inside), self.models)
+
+    @property
+    def classes(self) -> DataFrame:
+        return self._averaged[0]
+
+    @cached_property
+    def ranking(self) -> DataFrame:
+        scores = metrics.detection_summary(self.images).join(F.broadcast(self._averaged[1]), "model", "left")  # a row a model
+        return metrics.ranking(scores, "map50_95")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        paired = stats.paired_bootstrap(metrics.model_pairs(group_scores(self.images), "key", "f1"), self.resamples)
+        return metrics.holm(paired.withColumn("test", F.concat_ws("/", "model_a", "model_b")), "p").drop("test")
+
+    @cached_property
+    def worst(self) -> DataFrame:
+        return metrics.worst_cases(self.images, self.most)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        # A row an image and model, made where the predictions lie.
+        predicted = self.predictions.select("image_id", "model").distinct()
+        outside = predicted.join(self.samples.select("image_id"), "image_id", "left_anti")
+        per = outside.groupBy("model").agg(F.count("image_id").alias("n"))
+        out = per.select("model", F.lit("outside the cohort").alias("problem"), "n")
+        if self.trained is not None:
+            evaluated = self.samples.select("group_key").distinct().join(F.broadcast(self.models))
+            out = out.unionByName(selection.leakage(self.trained, evaluated, "group_key").select("model", F.lit("trained on").alias("problem"), F.col("leaked").alias("n")))
+        return out
 
 
 def matched_flags(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -51,20 +103,7 @@ def compare_models(samples: DataFrame, annotations: DataFrame, predictions: Data
     nothing; ``trained`` (model, group_key) is checked for leakage.
     """
     models = (models if models is not None else predictions).select("model").distinct()
-    inside = predictions.join(samples.select("image_id"), "image_id", "left_semi")
-    truth = annotations.join(samples.select("image_id"), "image_id", "left_semi")
-    pairs = metrics.candidates(truth, inside)
-    images = metrics.per_image(samples, truth, matched_flags(pairs, inside), models)
-    classes, means = metrics.averaged_precision(pairs, inside, truth, models=models)
-    scores = metrics.detection_summary(images).join(F.broadcast(means), "model", "left")  # a row a model
-    ranking = metrics.ranking(scores, "map50_95")
-    paired = stats.paired_bootstrap(metrics.model_pairs(group_scores(images), "key", "f1"), resamples)
-    tests = paired.withColumn("test", F.concat_ws("/", "model_a", "model_b"))
-    issues = predictions.join(samples.select("image_id"), "image_id", "left_anti").groupBy("model").agg(F.count_distinct("image_id").alias("n")).select("model", F.lit("outside the cohort").alias("problem"), "n")
-    if trained is not None:
-        evaluated = samples.select("group_key").distinct().join(F.broadcast(models))
-        issues = issues.unionByName(selection.leakage(trained, evaluated, "group_key").select("model", F.lit("trained on").alias("problem"), F.col("leaked").alias("n")))
-    return Comparison(ranking, classes, images, metrics.holm(tests, "p").drop("test"), metrics.worst_cases(images, worst), issues)
+    return Comparison(samples, annotations, predictions, models, trained, worst, resamples)
 
 
 def threshold_counts(pixels: DataFrame, thresholds: list[float]) -> DataFrame:

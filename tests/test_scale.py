@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import comparison, grouped, matching, metrics, raster, shared
+from lumenframe.operators import comparison, grouped, matching, metrics, raster, scan, shared
 from lumenframe.plans import registry
 from lumenframe.plans.fixtures import table
 
@@ -144,3 +144,16 @@ def test_outline_pixels_are_sorted_as_one_number_each(monkeypatch):
         assert (got[got[:, 0] == i, 1:] == alone[:, 1:]).all()
     wide = raster.all_runs(xy, sizes, width + (1 << 29), height)
     assert (wide == raster.all_runs(xy, sizes, np.full(5, 1 << 12), height)).all()
+
+
+def test_issues_of_a_comparison_run_no_matching(spark, monkeypatch):
+    monkeypatch.setattr(scan, "stored", lambda *_: pytest.fail("a curve was stored"))
+    monkeypatch.setattr(matching, "optimal_matching", lambda *_: pytest.fail("a matching was planned"))
+    assert registry.QUERIES["model_comparison_issues"](spark, SMALL).count() == 4
+
+
+def test_issues_count_images_once_and_no_missing_ones(spark):
+    samples = spark.createDataFrame([(1, "g")], "image_id long, group_key string")
+    p = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 2, 1), ("b", None, 0), ("a", None, 0)], "model string, image_id long, pred_idx int")
+    found = comparison.compare_models(samples, samples, p).issues.collect()
+    assert sorted((r["model"], r["n"]) for r in found) == [("a", 1), ("b", 0)]
