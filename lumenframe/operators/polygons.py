@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 
 #: Pairs of edges that are compared at once.
 AT_ONCE = 1 << 20
+#: Polygons that the bits of a word tell apart.
+PARTS = 62
 
 
 def expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -20,19 +22,52 @@ def expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _heights(edges: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, height) of all corners and of all crossings of edges of one pair; edges are sorted by pair, ``last`` is where each edge's pair ends."""
-    i, k = expanded(last - np.arange(len(edges)) - 1)
-    j = i + 1 + k
-    d = edges[:, 2:] - edges[:, :2]
-    gap = edges[j, :2] - edges[i, :2]
-    cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+def _heights(e: np.ndarray) -> np.ndarray:
+    """(pairs, n), sorted, nan at the end: the heights of all corners, and of all crossings, of the edges (pairs, edges, 4)."""
+    i, j = np.triu_indices(e.shape[1], 1)
+    x, y, dx, dy = e[:, :, 0], e[:, :, 1], e[:, :, 2] - e[:, :, 0], e[:, :, 3] - e[:, :, 1]
+    gx, gy = x[:, j] - x[:, i], y[:, j] - y[:, i]
+    cross = dx[:, i] * dy[:, j] - dy[:, i] * dx[:, j]
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[:, 0] * d[j, 1] - gap[:, 1] * d[j, 0]) / cross
-        u = (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / cross
+        t = (gx * dy[:, j] - gy * dx[:, j]) / cross
+        u = (gx * dy[:, i] - gy * dx[:, i]) / cross
     met = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    i, t = i[met], t[met]
-    return np.concatenate([pair, pair[i]]), np.concatenate([edges[:, 1], edges[i, 1] + t * d[i, 1]])
+    crossing = np.where(met, y[:, i] + t * dy[:, i], np.nan)
+    # Pairs that meet most often bound the width.
+    most = int(met.sum(1).max(initial=0))
+    if most < crossing.shape[1]:
+        crossing = np.sort(crossing, 1)[:, :most]
+    return np.sort(np.concatenate([e[:, :, 1], e[:, :, 3], crossing], 1), 1)
+
+
+def _swept(e: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shared_areas` of edges (pairs, edges, 4) with their parts (pairs, edges); edges of nan fill up."""
+    n, wide = part.shape
+    height = _heights(e)
+    of, k = np.nonzero(height[:, 1:] > height[:, :-1])
+    both, either = np.zeros(n), np.zeros(n)
+    # Every second crossing of a polygon leaves it: which ones hold a stretch is a bit a polygon, in as many words as they need.
+    word, bit = part // PARTS, np.left_shift(1, part % PARTS)
+    for at in range(0, len(of), max(1, AT_ONCE // wide)):
+        s, c = of[at : at + max(1, AT_ONCE // wide)], k[at : at + max(1, AT_ONCE // wide)]
+        mid, high = (height[s, c] + height[s, c + 1])[:, None] / 2, height[s, c + 1] - height[s, c]
+        x0, y0, x1, y1 = (e[s, :, i] for i in range(4))
+        met = (np.minimum(y0, y1) <= mid) & (mid < np.maximum(y0, y1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.where(met, x0 + (mid - y0) * (x1 - x0) / (y1 - y0), np.inf)
+        order = np.argsort(x, 1)
+        x = np.take_along_axis(x, order, 1)
+        in_first, in_others = np.zeros((2, len(s), wide - 1), bool)
+        for w in range(int(part.max()) // PARTS + 1):
+            held = np.bitwise_xor.accumulate(np.take_along_axis(np.where(met & (word[s] == w), bit[s], 0), order, 1), 1)[:, :-1]
+            if w == 0:
+                in_first, held = held & 1 != 0, held >> 1
+            in_others = in_others | (held != 0)
+        with np.errstate(invalid="ignore"):
+            area = np.where(in_first | in_others, x[:, 1:] - x[:, :-1], 0.0) * high[:, None]
+        both += np.bincount(s, np.where(in_first & in_others, area, 0.0).sum(1), n)
+        either += np.bincount(s, area.sum(1), n)
+    return both, either
 
 
 def shared_areas(edges: np.ndarray, pair: np.ndarray, part: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,31 +78,25 @@ def shared_areas(edges: np.ndarray, pair: np.ndarray, part: np.ndarray, pairs: i
     trapezoids, whose area follows from their width halfway. A polygon that
     crosses itself is filled even-odd.
     """
-    ends = np.cumsum(np.bincount(pair, minlength=pairs))
-    owner, height = _heights(edges, pair, ends[pair])
-    order = np.lexsort((height, owner))
-    owner, height = owner[order], height[order]
-    slab = np.nonzero((owner[1:] == owner[:-1]) & (height[1:] > height[:-1]))[0]
-    of, mid, high = owner[slab], (height[slab] + height[slab + 1]) / 2, height[slab + 1] - height[slab]
-    s, k = expanded(np.bincount(pair, minlength=pairs)[of])
-    e = np.append(0, ends)[of[s]] + k
-    y0, y1 = edges[e, 1], edges[e, 3]
-    met = (np.minimum(y0, y1) <= mid[s]) & (mid[s] < np.maximum(y0, y1))
-    s, e = s[met], e[met]
-    x = edges[e, 0] + (mid[s] - edges[e, 1]) * (edges[e, 2] - edges[e, 0]) / (edges[e, 3] - edges[e, 1])
-    # In each slab every second crossing of a polygon leaves it.
-    order = np.lexsort((x, part[e], s))
-    s, x, p = s[order], x[order], part[e][order]
-    fresh = np.append(True, (s[1:] != s[:-1]) | (p[1:] != p[:-1])) if len(s) else np.zeros(0, bool)
-    turn = np.arange(len(s)) - np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))
-    step = np.where(turn % 2 == 0, 1, -1)
-    order = np.lexsort((x, s))
-    s, x, step, p = s[order], x[order], step[order], p[order]
-    # All are left again at a slab's end, so the sums need no restart.
-    a, b = np.cumsum(step * (p == 0)) > 0, np.cumsum(step * (p > 0)) > 0
-    area = np.append(x[1:] - x[:-1], 0.0)[: len(x)] * high[s]
-    total = lambda where: np.bincount(of[s], np.where(where, area, 0.0), pairs)
-    return total(a & b), total(a | b)
+    # No slab meets a level edge, and its ends are those of others.
+    sloped = edges[:, 1] != edges[:, 3]
+    edges, pair, part = edges[sloped], pair[sloped], part[sloped]
+    count = np.bincount(pair, minlength=pairs)
+    number = np.arange(len(pair)) - (np.cumsum(count) - count)[pair]
+    inter, union = np.zeros(pairs), np.zeros(pairs)
+    # Pairs of about equally many edges are swept at once, filled up to a multiple of four.
+    room = -(-count // 4) * 4
+    for wide in np.unique(room[room > 0]).tolist():
+        some = np.flatnonzero(room == wide)
+        for at in range(0, len(some), step := max(1, AT_ONCE // wide**2)):
+            chosen = some[at : at + step]
+            place = np.full(pairs, -1)
+            place[chosen] = np.arange(len(chosen))
+            rows = np.flatnonzero(place[pair] >= 0)
+            e, p = np.full((len(chosen), wide, 4), np.nan), np.zeros((len(chosen), wide), np.int64)
+            e[place[pair[rows]], number[rows]], p[place[pair[rows]], number[rows]] = edges[rows], part[rows]
+            inter[chosen], union[chosen] = _swept(e, p)
+    return inter, union
 
 
 def _corners(points: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +122,15 @@ def ious(first: pa.Array, parts: pa.Array) -> np.ndarray:
     follow[ends[shape_size > 0] - 1] = (ends - shape_size)[shape_size > 0]
     edges, pair, part = np.column_stack([xy, xy[follow]]), shape_pair[corner], shape_part[corner]
     keep = bad[pair] == 0
-    order = np.lexsort((part[keep], pair[keep]))
-    edges, pair, part = edges[keep][order], pair[keep][order], part[keep][order]
+    order = np.flatnonzero(keep)[np.argsort(pair[keep], kind="stable")]
+    edges, pair, part = edges[order], pair[order], part[order]
+    if len(pair):
+        # Where the boxes of both sides are apart nothing is shared.
+        turn = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(part > 0, prepend=False) != 0))
+        low, high = np.minimum.reduceat(edges[:, :2], turn), np.maximum.reduceat(edges[:, :2], turn)
+        near = np.zeros(n, bool)
+        near[pair[turn[::2]]] = ((low[::2] < high[1::2]) & (low[1::2] < high[::2])).all(1)
+        edges, pair, part = edges[near[pair]], pair[near[pair]], part[near[pair]]
     out, count = np.zeros(n), np.bincount(pair, minlength=n)
     chunk = np.cumsum(count.astype(np.int64) ** 2) // AT_ONCE
     for c in np.unique(chunk):

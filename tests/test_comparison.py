@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,35 @@ def test_polygon_areas_against_a_fine_grid():
         assert inter == pytest.approx((a & b).sum() / 3600, abs=0.06) and union == pytest.approx((a | b).sum() / 3600, abs=0.08)
 
 
+def test_many_pairs_of_polygons_are_swept_at_once():
+    rng = np.random.default_rng(7)
+    whole, owner, part = [], [], []
+    for i in range(60):
+        for k in range(1 + int(rng.integers(1, 90 if i % 20 == 0 else 4))):
+            xy = rng.integers(0, 8, (int(rng.integers(3, 8)), 2)).astype(float) + (0.0 if i % 3 else rng.uniform(0, 1))
+            whole.append(np.column_stack([xy, np.roll(xy, -1, axis=0)]))
+            owner.append(np.full(len(xy), i))
+            part.append(np.full(len(xy), k))
+    edges, owner, part = np.concatenate(whole), np.concatenate(owner), np.concatenate(part)
+    inter, union = polygons.shared_areas(edges, owner, part, 60)
+    y, x = (np.mgrid[:400, :400] + 0.5) / 400 * 9
+    for i in range(0, 60, 5):
+        held = [inside(edges[(owner == i) & (part == k), :2], x, y) for k in range(part[owner == i].max() + 1)]
+        a, b = held[0], np.any(held[1:], axis=0)
+        cell = (9 / 400) ** 2
+        assert inter[i] == pytest.approx((a & b).sum() * cell, abs=0.25) and union[i] == pytest.approx((a | b).sum() * cell, abs=0.25)
+
+
+def test_the_sweep_of_polygons_skips_level_edges_and_pairs_apart(monkeypatch):
+    square = [{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]
+    moved = lambda d: [{"x": p["x"] + d, "y": p["y"]} for p in square]
+    seen, sweep = [], polygons._swept
+    monkeypatch.setattr(polygons, "_swept", lambda e, p: seen.append(int(np.isfinite(e).all(2).sum())) or sweep(e, p))
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    got = polygons.ious(pa.array([square, square, square], kind), pa.array([[moved(1.0)], [moved(2.0)], [moved(9.0)]], pa.list_(kind)))
+    assert got == pytest.approx([1 / 3, 0.0, 0.0]) and seen == [4]
+
+
 def test_polygon_iou_of_broken_ones(spark):
     square = [{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]
     right = [{"x": p["x"] + 1, "y": p["y"]} for p in square]
