@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, clip_polygon, grid_cell, intersection, moved, polygon_area, polygon_bounds, ratio
 from lumenframe.functions.text import seed_of
-from lumenframe.operators.grouped import per_group
+from lumenframe.operators.grouped import per_batch
 
 
 def starts(length: Column, size: int, overlap: float) -> Column:
@@ -185,44 +186,56 @@ def coverage_tiles(samples: DataFrame, annotations: DataFrame, size: int, appear
     """
     rows = annotations.join(samples.select("image_id", "width", "height"), "image_id").select("image_id", "width", "height", "ann_idx", "x1", "y1", "x2", "y2")
 
-    def one(x: dict[str, np.ndarray]) -> dict[str, list]:
-        image, w, h = int(x["image_id"][0]), int(x["width"][0]), int(x["height"][0])
+    def one(image: int, w: int, h: int, boxes: list[tuple[float, float, float, float]]) -> tuple[list[tuple[int, int]], int, int]:
+        # An image has few boxes: plain numbers are quicker than arrays.
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{image}".encode()).digest()[:8]))
-        boxes = np.column_stack([x[c] for c in ("x1", "y1", "x2", "y2")]).astype(float)
         tw, th = min(size, w), min(size, h)
-        holds = lambda t: (boxes[:, 0] >= t[0]) & (boxes[:, 1] >= t[1]) & (boxes[:, 2] <= t[0] + tw) & (boxes[:, 3] <= t[1] + th)
-        tiles: list[tuple[int, int]] = []
-        counts = np.zeros(len(boxes), int)
+        holds = lambda t: [b[0] >= t[0] and b[1] >= t[1] and b[2] <= t[0] + tw and b[3] <= t[1] + th for b in boxes]
+        found: list[tuple[int, int]] = []
+        taken: set[tuple[int, int]] = set()
+        counts = [0] * len(boxes)
         for i, (x1, y1, x2, y2) in enumerate(boxes):
             tries = 0
+            lo = (max(0, math.ceil(x2) - tw), max(0, math.ceil(y2) - th))
+            hi = (min(w - tw, int(x1)), min(h - th, int(y1)))
             while counts[i] < appearances:
-                lo = (max(0, int(np.ceil(x2)) - tw), max(0, int(np.ceil(y2)) - th))
-                hi = (min(w - tw, int(x1)), min(h - th, int(y1)))
                 if tries < attempts and lo[0] <= hi[0] and lo[1] <= hi[1]:
                     t = (int(rng.integers(lo[0], hi[0] + 1)), int(rng.integers(lo[1], hi[1] + 1)))
                 else:
                     t = (int(min(max(0, (x1 + x2 - tw) // 2), w - tw)), int(min(max(0, (y1 + y2 - th) // 2), h - th)))
                 tries += 1
-                if t in tiles and tries <= attempts:
+                if t in taken and tries <= attempts:
                     continue
-                tiles.append(t)
-                counts += holds(t)
-                if not holds(t)[i]:
+                taken.add(t)
+                found.append(t)
+                held = holds(t)
+                counts = [c + k for c, k in zip(counts, held, strict=True)]
+                if not held[i]:
                     break  # larger than a tile
                 if tries > attempts:
                     break
-        if len(tiles) > cap:
-            left, chosen = np.ones(len(boxes), bool), []
-            while len(chosen) < cap and left.any():
-                best = max(range(len(tiles)), key=lambda j: ((holds(tiles[j]) & left).sum(), -j))
-                if not (holds(tiles[best]) & left).any():
+        if len(found) > cap:
+            left, chosen, held = set(range(len(boxes))), [], [{i for i, k in enumerate(holds(t)) if k} for t in found]
+            while len(chosen) < cap and left:
+                best = max(range(len(found)), key=lambda j: (len(held[j] & left), -j))
+                if not held[best] & left:
                     break
                 chosen.append(best)
-                left &= ~holds(tiles[best])
-            rest = [j for j in range(len(tiles)) if j not in chosen]
+                left -= held[best]
+            rest = [j for j in range(len(found)) if j not in chosen]
             rng.shuffle(rest)
-            tiles = [tiles[j] for j in sorted([*chosen, *rest[: cap - len(chosen)]])]
-        left, top = [t[0] for t in tiles], [t[1] for t in tiles]
-        return {"tile": range(len(tiles)), "x1": left, "y1": top, "x2": [v + tw for v in left], "y2": [v + th for v in top]}
-
-    return per_group(rows, ("image_id",), ("ann_idx",), ("image_id", "width", "height", "x1", "y1", "x2", "y2"), one, dict.fromkeys(("tile", "x1", "y1", "x2", "y2"), "int"))
+            found = [found[j] for j in sorted([*chosen, *rest[: cap - len(chosen)]])]
+        return found, tw, th
+
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        boxes = list(zip(*(x[c].astype(float).tolist() for c in ("x1", "y1", "x2", "y2")), strict=True))
+        images, ends = zip(*(x[c][first].tolist() for c in ("image_id", "width", "height")), strict=True), [*first[1:].tolist(), len(owner)]
+        made = [one(int(i), int(w), int(h), boxes[a:b]) for (i, w, h), a, b in zip(images, first.tolist(), ends, strict=True)]
+        of = np.repeat(np.arange(len(made)), [len(t) for t, _, _ in made])
+        at = np.array([t for tiles, _, _ in made for t in tiles], np.int64).reshape(-1, 2)
+        wide, tall = np.array([(w, h) for _, w, h in made], np.int64).reshape(-1, 2)[of].T
+        number = np.arange(len(of)) - np.searchsorted(of, of)
+        return of, {"tile": number, "x1": at[:, 0], "y1": at[:, 1], "x2": at[:, 0] + wide, "y2": at[:, 1] + tall}
+
+    return per_batch(rows, ("image_id",), ("ann_idx",), ("image_id", "width", "height", "x1", "y1", "x2", "y2"), many, dict.fromkeys(("tile", "x1", "y1", "x2", "y2"), "int"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import comparison, grouped, matching, metrics, raster, scan, shared
+from lumenframe.operators import comparison, grouped, matching, metrics, raster, scan, shared, tiling
 from lumenframe.plans import registry
 from lumenframe.plans.fixtures import table
 
@@ -173,3 +173,16 @@ def test_tiles_of_many_images_are_stitched_at_once(spark, light, monkeypatch):
     got = {(r["image_id"], r["y"], r["x"]): r["value"] for r in raster.feather_stitch(rows).collect()}
     assert got == {at: pytest.approx(total[at] / weight[at], abs=2e-9) for at in weight} and len(got) > 200
     assert not hasattr(raster, "per_group")  # nothing is stitched image by image
+
+
+def test_coverage_tiles_cover_and_keep_the_cap(spark, light):
+    boxes = [(1, k, float(x), float(x % 50), float(x + 9), float(x % 50 + 9)) for k, x in enumerate(range(0, 500, 20))] + [(2, 0, 0.0, 0.0, 390.0, 20.0)]
+    a = spark.createDataFrame(boxes, "image_id long, ann_idx int, x1 double, y1 double, x2 double, y2 double")
+    samples = spark.createDataFrame([(1, 600, 100), (2, 400, 60)], "image_id long, width int, height int")
+    whole = [tuple(r) for r in tiling.coverage_tiles(samples, a, 64, 3).collect()]
+    assert {r[0] for r in whole} == {1, 2} and all(r[4] - r[2] == 64 and r[5] - r[3] == (64 if r[0] == 1 else 60) for r in whole)
+    for _, k, x1, y1, x2, y2 in boxes[1:-1]:  # the first one has a single place
+        assert sum(r[0] == 1 and r[2] <= x1 and r[3] <= y1 and r[4] >= x2 and r[5] >= y2 for r in whole) >= 3, k
+    few = [tuple(r) for r in tiling.coverage_tiles(samples, a, 64, 3, cap=12).collect() if r["image_id"] == 1]
+    assert len(few) == 12 and {r[2:] for r in few} <= {r[2:] for r in whole}
+    assert not hasattr(tiling, "per_group")
