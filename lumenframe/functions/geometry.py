@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,12 +38,21 @@ def box_ios(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.coalesce(F.try_divide(intersection(a, b), F.least(box_area(a), box_area(b))), F.lit(0.0))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside lambdas a column is worked out anew wherever it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def polygon_area(points: Column | str) -> Column:
     """Shoelace area of array<struct<x, y>>."""
-    p = _col(points)
-    n = F.size(p)
-    terms = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(p, i)["x"] * F.get(p, (i + 1) % n)["y"] - F.get(p, (i + 1) % n)["x"] * F.get(p, i)["y"])
-    return F.when(n >= 3, F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2).otherwise(F.lit(0.0))
+
+    def area(p: Column) -> Column:
+        n = F.size(p)
+        edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(p, i).alias("p"), F.get(p, (i + 1) % n).alias("q")))
+        total = F.aggregate(edges, F.lit(0.0), lambda a, e: a + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]))
+        return F.when(n >= 3, F.abs(total) / 2).otherwise(F.lit(0.0))
+
+    return bound(_col(points), area)
 
 
 def polygon_bounds(points: Column | str) -> Column:
@@ -58,18 +69,24 @@ def clip_polygon(points: Column | str, x1: Column, y1: Column, x2: Column, y2: C
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
 
     def cut(acc: Column, h: Column) -> Column:
-        def step(i: Column) -> Column:
-            p, q = F.get(acc, i), F.get(acc, (i + 1) % F.size(acc))
-            d, e = h["a"] * p["x"] + h["b"] * p["y"] + h["c"], h["a"] * q["x"] + h["b"] * q["y"] + h["c"]
+        depth = lambda p: h["a"] * p["x"] + h["b"] * p["y"] + h["c"]
+        deep = F.transform(acc, lambda p: F.struct(p.alias("p"), depth(p).alias("d")))
+
+        def step(f: Column, s: Column) -> Column:
+            p, q, d, e = f["p"], s["p"], f["d"], s["d"]
             t = F.try_divide(d, d - e)
             # On the side itself, the cut coordinate is the side's.
             met = point(F.when(h["a"] != 0, -h["c"] / h["a"]).otherwise(p["x"] + t * (q["x"] - p["x"])), F.when(h["b"] != 0, -h["c"] / h["b"]).otherwise(p["y"] + t * (q["y"] - p["y"])))
             return F.when((d >= 0) & (e >= 0), F.array(q)).when(d >= 0, F.array(met)).when(e >= 0, F.array(met, q)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
 
-        return F.when(F.size(acc) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(acc) - 1), step))).otherwise(acc)
+        around = lambda v: F.zip_with(v, F.concat(F.slice(v, 2, F.size(v)), F.slice(v, 1, 1)), step)
+        return F.when(F.size(acc) > 0, F.flatten(bound(deep, around))).otherwise(acc)
 
     start = F.transform(_col(points), lambda q: point(q["x"].cast("double"), q["y"].cast("double")))
-    return F.aggregate(sides, start, cut)
+    # A polygon that is inside as a whole only starts at another corner, a step further after each side.
+    inside = lambda v: F.forall(v, lambda q: (q["x"] >= x1) & (q["x"] <= x2) & (q["y"] >= y1) & (q["y"] <= y2))
+    turned = lambda v: F.concat(F.slice(v, 4 % F.size(v) + 1, F.size(v)), F.slice(v, 1, 4 % F.size(v)))
+    return bound(start, lambda v: F.when((F.size(v) > 0) & inside(v), turned(v)).otherwise(F.aggregate(sides, v, cut)))
 
 
 def moved(points: Column | str, dx: Column, dy: Column, sx: Column | float = 1.0, sy: Column | float = 1.0) -> Column:
@@ -83,8 +100,9 @@ def oks(gt: Column | str, pred: Column | str, area: Column | str, sigmas: Column
     sigma = sigmas if sigmas is not None else F.transform(g, lambda _: F.lit(0.1))
     three = F.zip_with(F.arrays_zip(g.alias("g"), p.alias("p")), sigma, lambda z, s: F.struct(z["g"].alias("g"), z["p"].alias("p"), s.alias("s")))
     seen = F.filter(three, lambda t: t["g"].isNotNull() & t["p"].isNotNull() & (F.coalesce(t["g"]["v"], F.lit(2.0)) > 0))
-    each = F.transform(seen, lambda t: F.exp(-(F.pow(t["g"]["x"] - t["p"]["x"], 2) + F.pow(t["g"]["y"] - t["p"]["y"], 2)) / (2 * a * F.pow(2 * t["s"], 2) + 1e-12)))
-    return F.try_divide(F.aggregate(each, F.lit(0.0), lambda x, y: x + y), F.size(seen))
+    one = lambda t, size: F.exp(-(F.pow(t["g"]["x"] - t["p"]["x"], 2) + F.pow(t["g"]["y"] - t["p"]["y"], 2)) / (2 * size * F.pow(2 * t["s"], 2) + 1e-12))
+    of = F.struct(seen.alias("seen"), a.alias("size"))
+    return bound(of, lambda o: F.try_divide(F.aggregate(o["seen"], F.lit(0.0), lambda x, t: x + one(t, o["size"])), F.size(o["seen"])))
 
 
 def point_distance(x1: Column, y1: Column, x2: Column, y2: Column, radius: Column) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe.functions import geometry
 from lumenframe.operators import comparison, grouped, matching, metrics, raster, scan, shared, tiling
 from lumenframe.plans import registry
 from lumenframe.plans.fixtures import table
@@ -186,3 +187,16 @@ def test_coverage_tiles_cover_and_keep_the_cap(spark, light):
     few = [tuple(r) for r in tiling.coverage_tiles(samples, a, 64, 3, cap=12).collect() if r["image_id"] == 1]
     assert len(few) == 12 and {r[2:] for r in few} <= {r[2:] for r in whole}
     assert not hasattr(tiling, "per_group")
+
+
+def test_geometry_names_a_polygon_once(spark):
+    # Inside lambdas nothing is shared: a column that is named twice is worked out twice.
+    assert str(geometry.polygon_area("corners")).count("corners") == 1
+    assert str(geometry.oks("truth", "guess", F.lit(9.0))).count("guess") == 1
+
+
+def test_a_polygon_inside_a_tile_is_turned_not_cut(spark, light):
+    five = [{"x": float(x), "y": float(y)} for x, y in ((1, 0), (3, 0), (4, 2), (2, 4), (0, 2))]
+    row = spark.createDataFrame([(five,)], "p array<struct<x:double,y:double>>")
+    got = row.select(geometry.clip_polygon("p", *(F.lit(float(v)) for v in (0, 0, 4, 4)))).first()[0]
+    assert [(q["x"], q["y"]) for q in got] == [(4, 2), (2, 4), (0, 2), (1, 0), (3, 0)][2:] + [(4, 2), (2, 4)]
