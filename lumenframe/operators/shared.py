@@ -31,15 +31,16 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
+def dealt(df: DataFrame, key: str, beside: DataFrame | None = None) -> DataFrame:
     """``df`` dealt out by ``key``; joins on the key and further columns leave the rows where they are, so a key's rows have to fit in a task.
 
     A task gets about :data:`DEALT` rows of a larger table, however few shuffle
     partitions the session has: later steps sort what they make of them in memory.
+    A table that is to meet another, dealt ``beside`` it, goes to as many tasks as that one.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    parts = -(-df.count() // DEALT)
+    parts = -(-(df if beside is None else beside).count() // DEALT)
     return df.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
 
 

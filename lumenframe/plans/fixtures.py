@@ -87,3 +87,8 @@ def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table as views read it: the lines of an order come together once, for all steps that go by image."""
     df = table(spark, sf_dir, name)
     return dealt(df.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"), "l_orderkey") if name == "lineitem" else df
+
+
+def beside_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view with a row an image, dealt as the lines are: what is made of an image afterwards meets its lines without a shuffle of its own."""
+    return dealt(table(spark, sf_dir, name), "image_id", table(spark, sf_dir, "lineitem"))

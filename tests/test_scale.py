@@ -200,3 +200,18 @@ def test_a_polygon_inside_a_tile_is_turned_not_cut(spark, light):
     row = spark.createDataFrame([(five,)], "p array<struct<x:double,y:double>>")
     got = row.select(geometry.clip_polygon("p", *(F.lit(float(v)) for v in (0, 0, 4, 4)))).first()[0]
     assert [(q["x"], q["y"]) for q in got] == [(4, 2), (2, 4), (0, 2), (1, 0), (3, 0)][2:] + [(4, 2), (2, 4)]
+
+
+@pytest.mark.parametrize("name", ["sliced_to_source", "tile_annotation_clip"])
+def test_images_travel_before_they_are_cut_into_tiles(spark, name):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be sent whole
+    try:
+        lines = plan(registry.QUERIES[name](spark, SMALL)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    depth = [len(re.match(r"[ :+*\-|]*", line)[0]) for line in lines]
+    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    below = [next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)) for i in at]
+    assert at and any("Generate" in line for line in lines)
+    assert not any("Generate" in line for i, j in zip(at, below, strict=True) for line in lines[i:j])
