@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.geometry import box, box_area, box_iou, f1, intersection, point_distance, ratio, ratio0
 from lumenframe.operators import scan
 from lumenframe.operators.matching import greedy_hits
+from lumenframe.operators.shared import stored
 
 
 def _r(x: Column) -> Column:
@@ -93,22 +94,36 @@ def _curve_keys(flags: DataFrame) -> list[str]:
 
 def pr_curve(flags: DataFrame, annotations: DataFrame) -> DataFrame:
     """Cumulative precision and recall of each model and class, and threshold if ``flags`` have one, in score order."""
-    return _curve(flags, annotations).drop("tp", "before", scan.PART)
+    keys = _curve_keys(flags)
+    run = _curve(_in_score_order(flags), keys).join(F.broadcast(_truth(annotations)), "class_id")
+    return run.select(*keys, "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"))
+
+
+ORDER = ("score", False), ("image_id", True), ("pred_idx", True)
+
+
+def _order() -> list[Column]:
+    return [F.asc(c) if up else F.desc(c) for c, up in ORDER]
 
 
-def _curve(flags: DataFrame, annotations: DataFrame) -> DataFrame:
-    """:func:`pr_curve` with ``tp`` and the range that each row lies in: no task holds a whole curve."""
-    truth = annotations.groupBy("class_id").agg(F.count("*").alias("n_gt"))
+def _truth(annotations: DataFrame) -> DataFrame:
+    return annotations.groupBy("class_id").agg(F.count("*").alias("n_gt"))
+
+
+def _in_score_order(flags: DataFrame) -> DataFrame:
+    """``flags`` stored by ranges of the curves' order, with the running ``tp`` of each range: no task holds a whole curve."""
     keys = _curve_keys(flags)
-    order = [F.desc("score"), F.asc("image_id"), F.asc("pred_idx")]
-    run = scan.running(scan.ranged(flags, keys, order), keys, order, {"ctp": "tp"})
-    return run.join(F.broadcast(truth), "class_id").select(*keys, "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"), ratio0(F.col("ctp") - F.col("tp"), F.col("n_gt")).alias("before"), "tp", scan.PART)
+    return scan.ranged(flags.select(*keys, *(c for c, _ in ORDER), "tp"), keys, _order(), {"ctp": "tp"}, ["score"])
+
+
+def _curve(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    return scan.running(ranges, keys, _order(), {"ctp": "tp"})
 
 
 def _ranked(hits: DataFrame, annotations: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """(model, class_id, k, score, n_gt, range) of :func:`hits_at` with ``tp0``, ``ctp0`` and so on of each threshold: the order is the same at all of them, so a prediction is one row."""
-    truth = annotations.groupBy("class_id").agg(F.count("*").alias("n_gt"))
-    keys, order = ["model", "class_id"], [F.desc("score"), F.asc("image_id"), F.asc("pred_idx")]
+    truth = _truth(annotations)
+    keys, order = ["model", "class_id"], _order()
     flags = scan.ranged(hits, keys, order).withColumns({f"tp{i}": _bit(i) for i in range(len(thresholds))}).drop("hits")
     run = scan.running(flags, keys, order, {f"ctp{i}": f"tp{i}" for i in range(len(thresholds))})
     return run.join(F.broadcast(truth), "class_id").drop("image_id", "pred_idx")
@@ -134,22 +149,23 @@ def _reached(recall: Column) -> Column:
 def average_precision(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """101-point interpolated AP of each model and class with truth, and threshold if ``flags`` have one; 0 without predictions.
 
-    The best precision from a recall level on is a suffix maximum; each curve
-    point serves the levels that its recall is the first to reach, so no level
-    meets every point.
+    A curve's points are brought down to the best precision at each number of
+    levels that a recall reaches, at most 101 rows; the best from a level on is
+    the largest of those that reach more.
     """
     return _exact_ap(flags, annotations, models).withColumn("ap", _r(F.col("ap")))
 
 
 def _exact_ap(flags: DataFrame, annotations: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    curve, keys = _curve(flags, annotations), _curve_keys(flags)
-    # Before a curve's first row not even the level 0 is reached.
-    stepped = scan.suffix_max(curve, keys, "k", "precision", "best").withColumn("before", F.when(F.col("k") == 1, F.lit(-1.0)).otherwise(F.col("before")))
-    steps = stepped.where("recall > before")
-    sums = steps.groupBy(*keys).agg(F.sum(F.col("best") * (_reached(F.col("recall")) - _reached(F.col("before")))).alias("s"))
-    grid = annotations.select("class_id").distinct().join(F.broadcast(models if models is not None else flags.select("model").distinct()))
+    keys, ranges, truth = _curve_keys(flags), _in_score_order(flags), stored(_truth(annotations), "truth")[0]
+    # A false positive has the recall of the hit before it and less precision; before the first hit precision is 0.
+    hits = _curve(ranges, keys).where("tp > 0").join(F.broadcast(truth), "class_id")
+    at = hits.groupBy(*keys, _reached(ratio0(F.col("ctp"), F.col("n_gt"))).alias("reached")).agg(F.max(ratio0(F.col("ctp"), F.col("k"))).alias("best"))
+    best = lambda i: F.coalesce(F.array_max(F.transform(F.filter("at", lambda x: x["reached"] >= i), lambda x: x["best"])), F.lit(0.0))
+    sums = at.groupBy(*keys).agg(F.collect_list(F.struct("reached", "best")).alias("at")).select(*keys, F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), best), F.lit(0.0), lambda s, x: s + x).alias("s"))
+    grid = truth.join(F.broadcast(models if models is not None else ranges.select("model").distinct()))
     if "threshold" in keys:
-        grid = grid.join(F.broadcast(flags.select("threshold").distinct()))
+        grid = grid.join(F.broadcast(ranges.select("threshold").distinct()))
     return grid.join(sums, keys, "left").select(*keys, (F.coalesce("s", F.lit(0.0)) / LEVELS).alias("ap"))
 
 

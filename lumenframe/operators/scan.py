@@ -8,21 +8,66 @@ over those alone.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lumenframe.operators.shared import stored
+from lumenframe.operators.shared import deleted, stored
 
 PART = "__part"
-
-
-def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """``rows``, dealt and stored by ranges of keys and order, with the number of each row's range. ``order`` must leave no ties within a key."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *keys, *order)
-    return stored(dealt.withColumn(PART, F.spark_partition_id()), "ranged")[0]
+PLACE = "__place"
+
+
+def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``rows``, dealt and stored by ranges of keys and order, with the number of each row's range. ``order`` must leave no ties within a key.
+
+    With ``sums`` (name to a column of whole numbers) a task that has its range in order
+    also writes what :func:`running` needs of it, which then neither shuffles nor sorts;
+    of the other columns only keys and those to ``keep`` are stored then.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealing by ranges reads rows twice, the first time for a sample.
+    plain, path = stored(rows, "unranged")
+    dealt = plain.repartitionByRange(n, *keys, *order)
+    if sums:
+        dealt = _summed(dealt.sortWithinPartitions(*keys, *order).select(*keys, *dict.fromkeys([*keep, *sums.values()])), keys, sums)
+    out = stored(dealt.withColumn(PART, F.spark_partition_id()), "ranged")[0]
+    deleted(spark, path)
+    return out
+
+
+def _summed(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+    """Sorted ``rows`` with their place within key and task, from 1, and their running sums up to there."""
+    names = {PLACE: None, **{f"__{name}": c for name, c in sums.items()}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, dict.fromkeys(names, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for i, k in enumerate(keys):
+                column = batch.column(k)
+                column = pa.concat_arrays([column.slice(0, 1) if last is None else last[i], column])
+                codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new |= codes[1:] != codes[:-1]
+            last = [batch.column(k).slice(batch.num_rows - 1) for k in keys]
+            starts = np.flatnonzero(new)
+            group, made = np.cumsum(new), []
+            for name, c in names.items():
+                x = np.ones(batch.num_rows, np.int64) if c is None else pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                total = np.cumsum(x)
+                made.append(total - np.append(-carry[name], total[starts] - x[starts])[group])
+                carry[name] = int(made[-1][-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v) for v in made)], [*batch.schema.names, *names])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *(StructField(name, LongType()) for name in names)]))
 
 
 def _carried(totals: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], backwards: bool = False) -> DataFrame:
@@ -34,6 +79,13 @@ def _carried(totals: DataFrame, keys: Sequence[str], columns: Mapping[str, Colum
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str], number: str = "k") -> DataFrame:
     """``rows`` of :func:`ranged` with their 1-based ``number`` within the key and the running ``sums`` (name to column)."""
     keys = list(keys)
+    if PLACE in rows.columns:
+        totals = rows.groupBy(*keys, PART).agg(F.max(PLACE).alias("__n"), *(F.max_by(f"__{name}", PLACE).alias(f"__{name}") for name in sums))
+        before = _carried(totals, keys, {"__n0": F.sum("__n"), **{f"__{name}0": F.sum(f"__{name}") for name in sums}})
+        both = rows.join(F.broadcast(before), [*keys, PART])  # a row a range, and one more a key: models and classes are few
+        added = {number: (PLACE, "__n0"), **{name: (f"__{name}", f"__{name}0") for name in sums}}
+        out = both.withColumns({name: F.col(inner) + F.coalesce(outer, F.lit(0)) for name, (inner, outer) in added.items()})
+        return out.drop(*(c for pair in added.values() for c in pair))
     totals = rows.groupBy(*keys, PART).agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{name}") for name, c in sums.items()))
     before = _carried(totals, keys, {"__n0": F.sum("__n"), **{f"__{name}0": F.sum(f"__{name}") for name in sums}})
     along = Window.partitionBy(*keys, PART).orderBy(*order)

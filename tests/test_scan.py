@@ -47,3 +47,32 @@ def test_curve_without_windows_over_a_class(spark):
     plan = metrics.average_precision(flags, truth)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if " Window " in line or line.lstrip(" :+-").startswith("Window")]
     assert windows and all(scan.PART in line for line in windows)
+
+
+def test_sums_are_made_where_a_range_is_sorted(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 20 + ["a", "b", None]), rng.randrange(40) / 8, i, rng.choice([0, 0, 1, None])) for i in range(3000)]
+    order = [F.desc("score"), F.asc("id")]
+    ranges = scan.ranged(spark.createDataFrame(rows, "key string, score double, id long, tp int"), ["key"], order, {"ctp": "tp"}, ["id"])
+    assert ranges.where("key = 'hot'").select(scan.PART).distinct().count() > 1
+    want = slow([(k or "", s, i, t or 0) for k, s, i, t in rows])
+    run = scan.running(ranges.fillna("", ["key"]), ["key"], order, {"ctp": "tp"})
+    assert {r["id"]: (r["k"], r["ctp"]) for r in run.collect()} == {i: v[:2] for (_, _, i), v in want.items()}
+    # Only the totals of ranges are sorted; rows stay where they are read.
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Window") for line in plan.splitlines()) == 1
+
+
+def test_average_precision_keeps_levels_not_points(spark, monkeypatch):
+    monkeypatch.setattr(scan, "suffix_max", lambda *_: pytest.fail("every point was sorted again"))
+    rng = random.Random(9)
+    flags = [(m, c, i, 0, rng.randrange(20) / 8, int(rng.random() < 0.5 and m != "none")) for m in ("a", "b", "none") for c in (0, 1, 7) for i in range(150)]
+    truth = [(i, 0, c) for c in (0, 1, 2) for i in range(170)]
+    got = metrics.average_precision(spark.createDataFrame(flags, "model string, class_id int, image_id long, pred_idx int, score double, tp int"), spark.createDataFrame(truth, "image_id long, ann_idx int, class_id int"))
+    want = {}
+    for m in ("a", "b", "none"):
+        for c in (0, 1, 2):
+            mine = sorted((f for f in flags if f[:2] == (m, c)), key=lambda f: (-f[4], f[2]))
+            points = [(sum(f[5] for f in mine[: k + 1]) / 170, sum(f[5] for f in mine[: k + 1]) / (k + 1)) for k in range(len(mine))]
+            want[m, c] = pytest.approx(sum(max((p for r, p in points if r >= i * 0.01), default=0.0) for i in range(101)) / 101, abs=2e-6)
+    assert {(r["model"], r["class_id"]): r["ap"] for r in got.collect()} == want
