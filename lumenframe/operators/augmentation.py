@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +87,10 @@ def transformed(annotations: DataFrame, samples: DataFrame, min_visibility: floa
     inside; points and keypoints if they are inside, a pose with its box; hidden
     and outside keypoints are zero. What lies behind a perspective's horizon goes.
     """
-    rows = annotations.join(samples.select("image_id", F.col("width").cast("double").alias("__w"), F.col("height").cast("double").alias("__h"), F.col("matrix").alias("__m")), "image_id")
+    entries = [f"__m{i}" for i in range(9)]
+    # explode keeps a matrix, and inline a box's corners, from being worked out again wherever a filter names them.
+    per = samples.select("image_id", F.col("width").cast("double").alias("__w"), F.col("height").cast("double").alias("__h"), F.explode(F.array("matrix")).alias("__m"))
+    rows = annotations.join(per.select("*", *(F.col("__m")[i].alias(e) for i, e in enumerate(entries))), "image_id")
     m, w, h = F.col("__m"), F.col("__w"), F.col("__h")
     kept = lambda after, before: (after > 0) & (after >= min_visibility * before)
     inside = lambda x, y: (x >= 0) & (x < w) & (y >= 0) & (y < h)
@@ -100,11 +105,12 @@ def transformed(annotations: DataFrame, samples: DataFrame, min_visibility: floa
         rows = rows.withColumns({"px": P.image_x(m, F.col("px"), F.col("py")), "py": P.image_y(m, F.col("px"), F.col("py")), "radius": F.col("radius") * P.stretch(m, F.col("px"), F.col("py"))})
         rows = rows.where(inside(F.col("px"), F.col("py")))
     if "x1" in annotations.columns:
-        corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        rows = rows.withColumn("__c", F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2")))
-        rows = rows.where(F.forall("__c", lambda q: P.depth(m, q["x"], q["y"]) > 0)).withColumn("__c", _points(m, F.col("__c")))
-        low, high = (lambda k: F.array_min(F.transform("__c", lambda q: q[k]))), (lambda k: F.array_max(F.transform("__c", lambda q: q[k])))
-        rows = rows.withColumns({"__x1": low("x"), "__y1": low("y"), "__x2": high("x"), "__y2": high("y")})
+        flat, ends = [F.col(e) for e in entries], [(F.col(x).cast("double"), F.col(y).cast("double")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
+        rows = rows.where(reduce(and_, (P.depth(flat, x, y) > 0 for x, y in ends)))
+        places = [of(flat, x, y).alias(f"__{k}{i}") for i, (x, y) in enumerate(ends) for k, of in (("cx", P.image_x), ("cy", P.image_y))]
+        rows = rows.select("*", F.inline(F.array(F.struct(*places))))
+        side = lambda pick, k: pick(*(f"__{k}{i}" for i in range(4)))
+        rows = rows.withColumns({"__x1": side(F.least, "cx"), "__y1": side(F.least, "cy"), "__x2": side(F.greatest, "cx"), "__y2": side(F.greatest, "cy")})
         cut = {"x1": F.greatest("__x1", F.lit(0.0)), "y1": F.greatest("__y1", F.lit(0.0)), "x2": F.least("__x2", w), "y2": F.least("__y2", h)}
         rows = rows.withColumns(cut)
         area = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")) * F.greatest(F.lit(0.0), F.col("y2") - F.col("y1"))

@@ -12,6 +12,7 @@ from lumenframe.dataset import Dataset
 from lumenframe.functions import projective as P
 from lumenframe.operators import augmentation
 from lumenframe.operators.augmentation import Transform
+from lumenframe.plans import registry
 
 ALL = [Transform("rotate", -40, 40), Transform("scale", 0.7, 1.4), Transform("shear_x", -15, 15), Transform("shear_y", -10, 10), Transform("shift_x", -0.1, 0.1), Transform("shift_y", -0.1, 0.1), Transform("flip_x", p=0.5), Transform("flip_y", p=0.5), Transform("perspective_x", -0.3, 0.3), Transform("perspective_y", -0.2, 0.2, 0.5)]
 
@@ -105,3 +106,10 @@ def test_dataset_augment(spark):
     turned = out.samples.where("copy > 0").join(out.annotations, "image_id").select("x1", "y1", "x2", "y2").collect()
     assert all(np.allclose(r, (60, 40, 80, 60)) for r in turned)
     assert out.annotations.where("x1 < 0").count() == 1 and "rotate" in str(out.samples.where("copy = 1").first()["replay"])
+
+
+def test_matrices_and_corners_are_worked_out_once(spark):
+    plan = registry.QUERIES["augment_affine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # The only product of matrices is where a copy gets its own; filters name plain columns.
+    assert sum("aggregate(" in line for line in plan.splitlines()) == 1
+    assert not any("transform(" in line or "aggregate(" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith(("Filter", "Join")))
