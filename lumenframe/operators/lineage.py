@@ -76,24 +76,33 @@ def resolved(records: DataFrame, files: DataFrame, rewrites: Mapping[str, str] |
     path has null.
 
     Every suffix of a file keeps one file by digest, and one of all, so a common
-    name such as ``0.jpg`` meets each record once, however many files bear it.
+    name such as ``0.jpg`` meets each record once, however many files bear it. Suffixes
+    and records travel as the first 128 bits of their SHA-256.
     """
-    one = F.min(F.struct("root", F.col("path").alias("found"))).alias("best")
     named = files.where("path is not null")
     whole = named.select("root", "path", "sha256", F.lit(0).alias("kind"), F.col("path").alias("suffix"))
     ends = whole.unionByName(named.where("root >= 0").select("root", "path", "sha256", F.lit(1).alias("kind"), F.explode(suffixes("path")["suffix"]).alias("suffix")))
-    any_of = ends.groupBy("kind", "suffix").agg(one).select("kind", "suffix", F.lit("").alias("digest"), "best")
-    index = any_of.unionByName(ends.where("sha256 is not null").groupBy("kind", "suffix", F.col("sha256").alias("digest")).agg(one))
-    wanted = records.select("path", "sha256").where("path is not null").distinct().withColumn("digest", F.coalesce("sha256", F.lit("")))
+    both = F.array(_short("kind", "suffix", F.lit("")), F.when(F.col("sha256").isNotNull(), _short("kind", "suffix", F.col("sha256"))))
+    index = ends.select("root", "path", F.explode(both).alias("key")).groupBy("key").agg(F.min(F.struct("root", F.col("path").alias("found"))).alias("best")).select("key", "best.found")
+    digest = F.coalesce("sha256", F.lit(""))
+    rows = records.withColumn("__record", F.when(F.col("path").isNotNull(), _short(F.lit(2), "path", digest)))
     key = lambda kind, step, suffix, parts: F.struct(F.lit(kind).alias("kind"), F.lit(step).alias("step"), suffix.alias("suffix"), parts.cast("int").alias("parts"))
     direct = F.array(key(0, 0, rewritten(F.col("path"), rewrites or {}), F.lit(0)), key(0, 1, F.col("path"), F.lit(0)))
-    keys = wanted.select("path", "sha256", "digest", F.explode(F.concat(direct, F.transform(suffixes("path"), lambda s: key(1, 2, s["suffix"], s["parts"])))).alias("k")).select("path", "sha256", "digest", "k.*")
-    met = keys.join(index, ["kind", "suffix", "digest"])
-    best = met.groupBy("path", "sha256").agg(F.min(F.struct("step", (-F.col("parts")).alias("parts"), "best")).alias("b"))
+    wanted = F.concat(direct, F.transform(suffixes("path"), lambda s: key(1, 2, s["suffix"], s["parts"])))
+    keys = rows.where("path is not null").select("__record", digest.alias("digest"), F.explode(wanted).alias("k")).where("k.suffix is not null")
+    met = keys.select("__record", "k.step", "k.parts", F.explode(F.array(_short("k.kind", "k.suffix", F.col("digest")))).alias("key")).join(index, "key")
+    best = met.groupBy("__record").agg(F.min(F.struct("step", (-F.col("parts")).alias("parts"), "found")).alias("b"))
     how = F.element_at(F.array(F.lit("path-rewrite"), F.lit("stored-path"), F.lit("search")), F.col("b.step") + 1)
-    found = best.select(F.col("path").alias("r_path"), F.col("sha256").alias("r_sha256"), F.col("b.best.found").alias("resolved"), how.alias("resolved_by"))
-    both = records.join(found, (records["path"] == found["r_path"]) & records["sha256"].eqNullSafe(found["r_sha256"]), "left")
-    return both.drop("r_path", "r_sha256").withColumn("resolved_by", F.when(F.col("path").isNotNull(), F.coalesce("resolved_by", F.lit("unresolved"))))
+    found = best.select("__record", F.col("b.found").alias("resolved"), how.alias("resolved_by"))
+    out = rows.join(found, "__record", "left").select(*records.columns, "resolved", "resolved_by")
+    return out.withColumn("resolved_by", F.when(F.col("path").isNotNull(), F.coalesce("resolved_by", F.lit("unresolved"))))
+
+
+def _short(kind: F.Column | str, suffix: F.Column | str, digest: F.Column) -> F.Column:
+    """16 bytes that stand for a suffix of a kind and the digest that its file has to have."""
+    kind = F.col(kind) if isinstance(kind, str) else kind
+    text = F.concat(kind.cast("string"), F.length(digest).cast("string"), F.lit(":"), digest, suffix)
+    return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
 
 
 def freeze(samples: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import shutil
 
 from pyspark.sql import functions as F
@@ -84,3 +85,16 @@ def test_trace_of_a_moved_set(spark, light, tmp_path):
     assert moved.datasets.where("depth = 2").first()["resolved"] == str(tmp_path / "later/kept/set")
     png(tmp_path / "later" / "kept" / "set" / "train" / "images" / "a +.png", 20, 10, 9)  # changed since
     assert {r["path"][-7:]: r["resolved_by"] for r in two.trace(path_rewrites=moves).samples.collect()} == {"a +.png": "unresolved", "b +.png": "path-rewrite"}
+
+
+def test_suffixes_and_records_travel_as_short_keys(spark):
+    records = spark.createDataFrame([("/old/a/0.jpg", None), ("/old/a/0.jpg", "x"), ("/old/a/0.jpg", "x"), ("/b/0.jpg", "y"), ("/old/a/0.jpg", ""), (None, "x")], "path string, sha256 string")
+    files = spark.createDataFrame([(0, "/new/a/0.jpg", "x"), (0, "/new/c/0.jpg", None), (1, "/aa/0.jpg", "y"), (-1, "/b/0.jpg", "z")], "root int, path string, sha256 string")
+    out = lineage.resolved(records, files)
+    plan = [line.lstrip(" :+-") for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    # Nothing is joined or grouped by whole suffixes, paths or digests.
+    shuffled = [line for line in plan if line.startswith("Join") or line.startswith("Aggregate")]
+    assert shuffled and all(re.search(r"(Join \w+, \(?(key|__record)#|Aggregate \[(key|__record)#)", line) for line in shuffled)
+    found = sorted((str(r["path"]), str(r["sha256"]), r["resolved"], r["resolved_by"]) for r in out.collect())
+    a = "/new/a/0.jpg"
+    assert found == sorted([("/old/a/0.jpg", "None", a, "search"), *[("/old/a/0.jpg", "x", a, "search")] * 2, ("/old/a/0.jpg", "", a, "search"), ("/b/0.jpg", "y", "/aa/0.jpg", "search"), ("None", "x", None, None)])
