@@ -37,52 +37,100 @@ def contested(rows: DataFrame, by: Sequence[str], ends: tuple[str, str], value:
     return per_batch(rows, by, ends, columns, many, out)
 
 
+#: Cells of the cost matrices that are solved at once.
+CELLS = 1 << 21
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum-cost assignment of rows to columns, shortest augmenting paths with potentials."""
-    n, m = cost.shape
-    if n > m:
+    """Minimum-cost assignment of rows to columns."""
+    if cost.shape[0] > cost.shape[1]:
         return sorted((i, j) for j, i in assign(cost.T))
-    u, v = np.zeros(n), np.zeros(m)
-    row_of = np.full(m, -1)
+    return sorted((int(i), j) for j, i in enumerate(assign_all(cost[None])[0]) if i >= 0)
+
+
+def assign_all(cost: np.ndarray) -> np.ndarray:
+    """The row of each column, or -1, in minimum-cost assignments of many matrices (b, n, m), n at most m: shortest augmenting paths with potentials, a step in all of them at a time."""
+    b, n, m = cost.shape
+    u, v = np.zeros((b, n)), np.zeros((b, m))
+    row_of, every = np.full((b, m), -1), np.arange(b)
     for row in range(n):
-        free = np.ones(m, bool)
-        dist, via = np.full(m, np.inf), np.full(m, -1)
-        i, j = row, -1
-        while True:
-            gap = cost[i] - u[i] - v
-            base = 0.0 if j < 0 else dist[j]
-            better = free & (gap + base < dist)
-            dist[better], via[better] = gap[better] + base, j
-            j = int(np.argmin(np.where(free, dist, np.inf)))
-            free[j] = False
-            if row_of[j] < 0:
-                break
-            i = int(row_of[j])
-        reach = dist[j]
+        free = np.ones((b, m), bool)
+        dist, via = np.full((b, m), np.inf), np.full((b, m), -1)
+        i, j, live = np.full(b, row), np.full(b, -1), every
+        while len(live):
+            at = i[live]
+            base = np.where(j[live] < 0, 0.0, dist[live, j[live]])
+            reached = cost[live, at] - u[live, at][:, None] - v[live] + base[:, None]
+            better = free[live] & (reached < dist[live])
+            dist[live] = np.where(better, reached, dist[live])
+            via[live] = np.where(better, j[live][:, None], via[live])
+            j[live] = np.argmin(np.where(free[live], dist[live], np.inf), axis=1)
+            free[live, j[live]] = False
+            i[live] = row_of[live, j[live]]
+            live = live[i[live] >= 0]
+        reach = dist[every, j]
         done = ~free
-        done[j] = False
-        u[row] += reach
-        u[row_of[done]] += reach - dist[done]
-        v[done] -= reach - dist[done]
-        while j >= 0:
-            k = via[j]
-            row_of[j] = row if k < 0 else row_of[k]
-            j = int(k)
-    return sorted((int(i), j) for j, i in enumerate(row_of) if i >= 0)
+        done[every, j] = False
+        u[:, row] += reach
+        k, c = np.nonzero(done)
+        gain = reach[k] - dist[k, c]
+        u[k, row_of[k, c]] += gain
+        v[k, c] -= gain
+        k, c = every, j
+        while len(k):
+            back = via[k, c]
+            row_of[k, c] = np.where(back < 0, row, row_of[k, back])
+            k, c = k[back >= 0], back[back >= 0]
+    return row_of
+
+
+def best_pairs(owner: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Indices of the pairs that each group keeps: as many as can be and, among those, of most ``value``. Groups of one size are solved together."""
+
+    def ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.unique(x, return_inverse=True)[1]
+        ends, at = np.unique(group * (x.max() + 1) + x, return_inverse=True)
+        sizes = np.bincount(ends // (x.max() + 1), minlength=groups)
+        return at - (np.cumsum(sizes) - sizes)[group], sizes
+
+    if not len(owner):
+        return np.zeros(0, int)
+    group = np.unique(owner, return_inverse=True)[1]
+    groups = group[-1] + 1
+    (i, n), (j, m) = ranks(left), ranks(right)
+    turned = n > m
+    i, j = np.where(turned[group], j, i), np.where(turned[group], i, j)
+    n, m = np.minimum(n, m), np.maximum(n, m)
+    first = np.searchsorted(group, np.arange(groups + 1))
+    taken = []
+    order = np.lexsort((m, n))
+    for same in np.split(order, np.flatnonzero(np.diff(n[order]) | np.diff(m[order])) + 1):
+        rows, columns = n[same[0]], m[same[0]]
+        most = max(1, CELLS // int(rows * columns))
+        for some in (same[a : a + most] for a in range(0, len(same), most)):
+            sizes = first[some + 1] - first[some]
+            mine = np.repeat(first[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            of = np.repeat(np.arange(len(some)), sizes)
+            cost, pair = np.full((len(some), rows, columns), FORBIDDEN), np.full((len(some), rows, columns), -1)
+            cost[of, i[mine], j[mine]], pair[of, i[mine], j[mine]] = -value[mine], mine
+            row_of = assign_all(cost)
+            k, c = np.nonzero(row_of >= 0)
+            found = pair[k, row_of[k, c], c]
+            taken.append(found[found >= 0])
+    return np.sort(np.concatenate(taken))
 
 
 def optimal_matching(pairs: DataFrame, by: tuple[str, ...] = ("model", "image_id"), similarity: str = "iou") -> DataFrame:
     """The matching of most valid pairs and, among those, of most similarity. ``pairs``: by, ann_idx, pred_idx, similarity; all of them valid."""
+    ends = ("ann_idx", "pred_idx")
 
-    def one(x: dict[str, np.ndarray]) -> dict[str, list]:
-        g, gi = np.unique(x["ann_idx"], return_inverse=True)
-        p, pi = np.unique(x["pred_idx"], return_inverse=True)
-        cost = np.full((len(g), len(p)), FORBIDDEN)
-        cost[gi, pi] = -x[similarity]
-        found = [(i, j) for i, j in assign(cost) if cost[i, j] < FORBIDDEN]
-        return {"ann_idx": [g[i] for i, _ in found], "pred_idx": [p[j] for _, j in found], similarity: [-cost[i, j] for i, j in found]}
-
-    return contested(pairs, by, ("ann_idx", "pred_idx"), similarity, one, {"ann_idx": "int", "pred_idx": "int", similarity: "double"})
+    def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        free = lone(owner, *(x[c] for c in ends))
+        hard = np.flatnonzero(~free)
+        free[hard[best_pairs(owner[hard], *(x[c][hard] for c in (*ends, similarity)))]] = True
+        return owner[free], {c: v[free] for c, v in x.items()}
+
+    return per_batch(pairs, by, ends, (*ends, similarity), many, {"ann_idx": "int", "pred_idx": "int", similarity: "double"})
 
 
 def by_score(x: dict[str, np.ndarray], owner: np.ndarray, similarity: str, smaller_is_better: bool) -> np.ndarray:

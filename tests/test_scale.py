@@ -215,3 +215,23 @@ def test_images_travel_before_they_are_cut_into_tiles(spark, name):
     below = [next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)) for i in at]
     assert at and any("Generate" in line for line in lines)
     assert not any("Generate" in line for i, j in zip(at, below, strict=True) for line in lines[i:j])
+
+
+def test_contested_matchings_are_solved_together(monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = np.unique(np.column_stack([rng.integers(0, 60, 500), rng.integers(-2, 4, 500), rng.integers(5, 10, 500)]), axis=0)
+    owner, left, right = rows.T
+    value = rng.integers(4, 9, len(rows)) / 8
+    steps, solve = [], matching.assign_all
+    monkeypatch.setattr(matching, "assign_all", lambda cost: steps.append(cost.shape) or solve(cost))
+    got = matching.best_pairs(owner, left, right, value)
+    assert len(steps) == len({s[1:] for s in steps}) < 30  # one call a size, not one a group
+    for g in np.unique(owner):
+        at = np.flatnonzero(owner == g)
+        cost = np.full((6, 5), 1e6)
+        cost[left[at] + 2, right[at] - 5] = -value[at]
+        want = [cost[i, j] for i, j in matching.assign(cost) if cost[i, j] < 0]
+        mine = got[owner[got] == g]
+        assert len(set(left[mine])) == len(set(right[mine])) == len(mine) == len(want)
+        assert value[mine].sum() == -sum(want)
+    assert matching.best_pairs(*(np.zeros(0, int),) * 4).tolist() == []
