@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,34 +41,56 @@ def _within(owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def all_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(counts of all, how many are each one's, whether it is broken: it breaks off, goes below zero or has a count that no long holds) of many compressed strings."""
-    n, sizes = len(texts), np.array([len(x) for x in texts], np.int64)
-    code = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) - FIRST_CHARACTER
-    owner = np.repeat(np.arange(n), sizes)
-    bad = np.bincount(owner[(code < 0) | (code >= 2 * MORE)], minlength=n) > 0
-    some = np.flatnonzero(sizes)
-    bad[some] |= code[np.cumsum(sizes)[some] - 1] & MORE != 0
-    whole = ~bad[owner]
-    code, owner = code[whole], owner[whole]
-    last = np.flatnonzero(code & MORE == 0)
-    first = np.append(0, last[:-1] + 1)[: len(last)]
-    long = last - first > 11
-    bad[owner[last[long]]] = True
-    of = owner[last]
-    value = np.zeros(len(last), np.int64)
-    if len(last):
-        place = np.minimum(np.arange(len(code)) - np.repeat(first, last - first + 1), 11)
-        value = np.add.reduceat((code & (MORE - 1)) << (BITS * place), first)
-        value -= np.where(code[last] & SIGN, np.int64(1) << np.minimum(BITS * (last - first + 1), 60), 0)
-    counted = np.bincount(of, minlength=n)
-    # Each count from the fourth on is a step from the one two before: sums along every second place of a string, the first left out.
-    number = _within(of, counted)
-    for which in (number % 2 == 1, (number % 2 == 0) & (number > 0)):
-        total, of_these = np.cumsum(value[which]), of[which]
-        start = np.flatnonzero(np.diff(of_these, prepend=-1))
-        value[which] = total - np.repeat(np.append(0, total)[start], np.diff(np.append(start, len(total))))
-    bad[of[value < 0]] = True
-    keep = ~bad[of]
-    return value[keep], np.where(bad, 0, counted), bad
+    return _unpacked(np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts], np.int64))
+
+
+def _unpacked(characters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`all_counts` of strings that lie behind each other, ``sizes`` characters of each."""
+    n, code = len(sizes), characters - np.uint8(FIRST_CHARACTER)  # below the first one: wraps to more than two sets
+    bad, some = np.zeros(n, bool), np.flatnonzero(sizes)
+    ends = np.cumsum(sizes)
+    if len(code) and code.max() >= 2 * MORE:
+        bad[np.searchsorted(ends, np.flatnonzero(code >= 2 * MORE), "right")] = True
+    bad[some] |= code[ends[some] - 1] & MORE != 0
+    if bad.any():
+        code = code[np.repeat(~bad, sizes)]
+        sizes = np.where(bad, 0, sizes)
+        ends = np.cumsum(sizes)
+    last = np.flatnonzero(code < MORE)
+    counted = np.diff(np.searchsorted(last, ends), prepend=0)
+    length = np.diff(last, prepend=-1)
+    # Most numbers are one character.
+    value = ((code[last] ^ SIGN).astype(np.int64)) - SIGN
+    long = np.flatnonzero(length > 1)
+    if len(long):
+        size, at = length[long], last[long]
+        if size.max() > 12:
+            bad[np.searchsorted(np.cumsum(counted), long[size > 12], "right")] = True
+        made = np.zeros(len(long), np.int64)
+        for k in range(min(int(size.max()), 12)):
+            i = np.flatnonzero(size > k)
+            made[i] += (code[at[i] - size[i] + 1 + k].astype(np.int64) & (MORE - 1)) << (BITS * k)
+        value[long] = made - np.where(code[at] & SIGN, np.int64(1) << np.minimum(BITS * size, 60), 0)
+    value = _second_sums(value, counted)
+    if len(value) and value.min() < 0:
+        bad[np.searchsorted(np.cumsum(counted), np.flatnonzero(value < 0), "right")] = True
+    if bad.any():
+        return value[~np.repeat(bad, counted)], np.where(bad, 0, counted), bad
+    return value, counted, bad
+
+
+def _second_sums(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each count from the fourth on is a step from the one two before: sums along every second place of a string, the first left out."""
+    first = (np.cumsum(sizes) - sizes)[:, None] + np.arange(3)
+    fresh = first[np.arange(3) < sizes[:, None]]  # places where a sum starts anew
+    total, out = np.empty_like(value), value.copy()
+    for parity in (0, 1):
+        np.cumsum(value[parity::2], out=total[parity::2])
+        at = fresh[fresh % 2 == parity]
+        before = np.where(at < 2, 0, total[np.maximum(at - 2, 0)])
+        out[at] -= np.diff(before, prepend=0)
+        out[parity::2] = np.cumsum(out[parity::2])
+    return out
 
 
 def text_of(counts: np.ndarray) -> str:
@@ -76,21 +100,34 @@ def text_of(counts: np.ndarray) -> str:
 
 def all_texts(counts: np.ndarray, sizes: np.ndarray) -> list[str]:
     """The compressed strings of many masks' counts, ``sizes`` of each."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    step = np.flatnonzero(_within(owner, sizes) > 2)
-    left = counts.copy()
-    left[step] -= counts[step - 2]
-    open_, parts = np.ones(len(left), bool), []
-    while open_.any():
-        code = left & (MORE - 1)
-        left = left >> BITS
-        more = left != np.where(code & SIGN, -1, 0)
-        parts.append(np.where(open_, code + FIRST_CHARACTER + np.where(more, MORE, 0), 0))
-        open_ &= more
-    characters = np.column_stack(parts) if parts else np.zeros((0, 1), np.int64)
-    length = np.bincount(owner, (characters > 0).sum(1), len(sizes)).astype(int)
-    text, ends = characters[characters > 0].astype(np.uint8).tobytes().decode("latin-1"), np.cumsum(length)
-    return [text[a:b] for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+    ends = np.cumsum(sizes)
+    first = (ends - sizes)[:, None] + np.arange(3)
+    first = first[np.arange(3) < np.asarray(sizes)[:, None]]
+    left = np.array(counts, np.int64)
+    left[2:] -= counts[:-2]
+    left[first] = counts[first]
+    # Most numbers are one character.
+    lengths = np.ones(len(left), np.int64)
+    long = np.flatnonzero((left + SIGN).view(np.uint64) >= MORE)
+    rest, open_ = left[long] >> BITS, np.arange(len(long))
+    parts = []
+    while len(open_):
+        lengths[long[open_]] += 1
+        digit = rest[open_] & (MORE - 1)
+        rest[open_] >>= BITS
+        more = rest[open_] != np.where(digit & SIGN, -1, 0)
+        parts.append((open_, digit + FIRST_CHARACTER + np.where(more, MORE, 0)))
+        open_ = open_[more]
+    characters = ((left & (MORE - 1)) + FIRST_CHARACTER).astype(np.uint8)
+    until = np.cumsum(lengths)
+    if len(long):
+        characters[long] += MORE
+        characters = np.repeat(characters, lengths)
+        at = until[long] - lengths[long]
+        for k, (i, digit) in enumerate(parts, 1):
+            characters[at[i] + k] = digit
+    text, ends = characters.tobytes().decode("latin-1"), np.append(0, until)[ends].tolist()
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _ordered(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -100,6 +137,8 @@ def _ordered(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
         step = np.diff(key)
         later |= open_ & (step < 0)
         open_ &= step == 0
+        if not open_.any():
+            break
     if not later.any():
         return keys
     order = np.lexsort(keys[::-1])
@@ -118,25 +157,31 @@ def _turned(owner: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.ndar
         return (np.zeros(0, np.int64),) * 4
     fresh = np.flatnonzero(np.diff(owner, prepend=-1))
     low = np.minimum.reduceat(start, fresh)
+    # Two lines between owners: none of them meets the next one's, moved on or not.
     span = np.maximum.reduceat(end, fresh) - low + 2 * line[fresh]
     base = np.repeat(np.cumsum(span) - span - low, np.diff(np.append(fresh, len(owner))))
     a, b = start + base, end + base
-    on_a = np.append((a[1:] == a[:-1] + line[:-1]) & (owner[1:] == owner[:-1]), False)
-    on_b = np.append((b[1:] == b[:-1] + line[:-1]) & (owner[1:] == owner[:-1]), False)
-    own_a, own_b = ~np.append(False, on_a[:-1]), ~np.append(False, on_b[:-1])
-    k = np.concatenate([np.flatnonzero(x) for x in (own_a, own_b, ~on_a, ~on_b)])
-    at = np.concatenate([a[own_a], b[own_b], (a + line)[~on_a], (b + line)[~on_b]])
-    turn = np.repeat([1, -1, -1, 1], [own_a.sum(), own_b.sum(), (~on_a).sum(), (~on_b).sum()])
+    next_a, next_b = a + line, b + line
+    on_a, on_b = np.append(a[1:] == next_a[:-1], False), np.append(b[1:] == next_b[:-1], False)
+    own_a, own_b = np.flatnonzero(~np.append(False, on_a[:-1])), np.flatnonzero(~np.append(False, on_b[:-1]))
+    out_a, out_b = np.flatnonzero(~on_a), np.flatnonzero(~on_b)
+    k = np.concatenate([own_a, own_b, out_a, out_b])
+    at = np.concatenate([a[own_a], b[own_b], next_a[out_a], next_b[out_b]])
+    turn = np.repeat([1, -1, -1, 1], [len(own_a), len(own_b), len(out_a), len(out_b)])
     order = np.argsort(at, kind="stable")
     k, at, level = k[order], at[order], np.cumsum(turn[order])
     width = np.diff(at, append=at[-1])
 
     def places(sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i = np.flatnonzero((level == sign) & (width > 0))
+        of = k[i]
+        n, across = np.divmod(at[i] - base[of], line[of])
         e, number = expanded(width[i])
-        of, p = k[i][e], at[i][e] + number
-        p = p - base[of]
-        o, across, n = owner[of], p % line[of], p // line[of]
+        o, across, n = owner[of][e], across[e] + number, n[e]
+        over = np.flatnonzero(across >= line[of][e])
+        if len(over):  # goes on in the next lines
+            more, across[over] = np.divmod(across[over], line[of][e[over]])
+            n[over] += more
         return _ordered(o, across, n)
 
     o, across, first = places(1)
@@ -154,19 +199,29 @@ def decode(counts: np.ndarray, width: int, height: int) -> np.ndarray:
 
 def decode_all(counts: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """((n, 3) runs y, x0, x1 of all, how many are each one's, whether its counts leave its image) of many masks, ``sizes`` counts of each."""
-    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    bad = np.bincount(owner[counts < 0], minlength=n) > 0
-    # As doubles first: counts of a broken mask may add up to more than a long.
-    bad |= np.bincount(owner, counts.astype(float), n) > 1.5 * width.astype(float) * height
-    keep = ~bad[owner]
-    total, number, owner, counts = np.cumsum(counts[keep]), _within(owner, sizes)[keep], owner[keep], counts[keep]
-    fresh = np.flatnonzero(number == 0)
-    end = total - np.repeat((total - counts)[fresh], np.diff(np.append(fresh, len(total))))
-    out = np.flatnonzero(end > (width * height)[owner])
-    bad[owner[out]] = True
-    i = np.flatnonzero((number % 2 == 1) & (counts > 0) & ~bad[owner])
-    o, y, x0, x1 = _turned(owner[i], end[i] - counts[i], end[i], height[owner[i]])
-    return np.column_stack([y, x0, x1]), np.bincount(o, minlength=n), bad
+    o, *runs, bad = _decoded(counts, sizes, width, height)
+    return np.column_stack(runs), np.bincount(o, minlength=len(sizes)), bad
+
+
+def _decoded(counts: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`decode_all` as columns: (owner, y, x0, x1) of the runs, and whether a mask's counts leave its image."""
+    n, sizes = len(sizes), np.asarray(sizes, np.int64)
+    ends, some = np.cumsum(sizes), np.flatnonzero(sizes)
+    starts, bad = ends - sizes, np.zeros(n, bool)
+    if len(counts):
+        bad[some] = np.minimum.reduceat(counts, starts[some]) < 0
+        # As doubles first: counts of a broken mask may add up to more than a long.
+        bad[some] |= np.add.reduceat(counts.astype(float), starts[some]) > 1.5 * width[some].astype(float) * height[some]
+    total = np.append(0, np.cumsum(counts))
+    # None is below zero, so that the last count is the one to leave the image.
+    bad |= total[ends] - total[starts] > width.astype(np.int64) * height
+    o, number = expanded(np.where(bad, 0, sizes // 2))
+    i = starts[o] + 2 * number + 1  # every second count is of ones
+    here = total[starts][o]
+    start, end = total[i] - here, total[i + 1] - here
+    if (thin := start == end).any():
+        o, start, end = o[~thin], start[~thin], end[~thin]
+    return *_turned(o, start, end, height.astype(np.int64)[o]), bad
 
 
 def encode(runs: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -177,30 +232,46 @@ def encode(runs: np.ndarray, width: int, height: int) -> np.ndarray:
 
 def encode_all(runs: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(counts of all, how many are each one's) of many masks' runs y, x0, x1, ``sizes`` of each; runs may overlap and touch."""
-    n, runs, end = len(sizes), runs.astype(np.int64), width.astype(np.int64) * height
-    owner = np.repeat(np.arange(n), sizes)
-    line = int(max(width.max(initial=0), runs[:, 2].max(initial=0))) + 1
-    some = runs[:, 1] < runs[:, 2]
-    owner, a, b = owner[some], runs[some, 0] * line + runs[some, 1], runs[some, 0] * line + runs[some, 2]
-    o, a, b = _joined(*_ordered(owner, a, b))
+    return _encoded(np.repeat(np.arange(len(sizes)), sizes), *runs.astype(np.int64).T, width, height)
+
+
+def _encoded(owner: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`encode_all` of columns."""
+    n, height = len(width), height.astype(np.int64)
+    end = width.astype(np.int64) * height
+    line = int(max(width.max(initial=0), x1.max(initial=0))) + 1
+    if (none := x0 >= x1).any():
+        owner, y, x0, x1 = owner[~none], y[~none], x0[~none], x1[~none]
+    at = y * line
+    o, a, b = _joined(*_ordered(owner, at + x0, at + x1))
     o, x, y0, y1 = _turned(o, a, b, np.full(len(o), line))
     # Down the columns; what reaches a column's foot goes on at the head of the next.
-    o, a, b = _joined(o, x * height[o] + y0, x * height[o] + y1)
-    a, b, o = a[a < end[o]], np.minimum(b, end[o])[a < end[o]], o[a < end[o]]
-    edges, of = np.column_stack([a, b]).ravel(), np.repeat(o, 2)
-    edges, of = edges[edges < end[of]], of[edges < end[of]]
-    counted = np.bincount(of, minlength=n)
-    offset = np.cumsum(counted + 2) - counted - 2
-    marks = np.zeros(len(edges) + 2 * n, np.int64)
-    marks[offset[of] + 1 + _within(of, counted)] = edges
-    marks[offset + counted + 1] = end
-    return np.delete(np.diff(marks), offset[1:] - 1), counted + 1
+    top = x * height[o]
+    o, a, b = _joined(o, top + y0, top + y1)
+    last = end[o]
+    if (b > last).any():
+        inside = a < last
+        o, a, b, last = o[inside], a[inside], np.minimum(b, last)[inside], last[inside]
+    edges, counted = np.column_stack([a, b]).ravel(), 2 * np.bincount(o, minlength=n)
+    if (foot := b == last).any():  # an edge at the end is the end
+        edges = edges[np.column_stack([np.ones(len(foot), bool), ~foot]).ravel()]
+        counted -= np.bincount(o[foot], minlength=n)
+    until = np.cumsum(counted + 2)
+    marks, inner = np.zeros(len(edges) + 2 * n, np.int64), np.ones(len(edges) + 2 * n, bool)
+    marks[until - 1] = end
+    inner[until - 1] = inner[until - counted - 2] = False
+    marks[inner] = edges
+    between = np.ones(max(len(marks) - 1, 0), bool)
+    between[until[:-1] - 1] = False
+    return np.diff(marks)[between], counted + 1
 
 
 def _joined(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches, sorted by owner and start, with those that overlap or touch as one."""
     if not len(owner):
         return owner, a, b
+    if not ((a[1:] <= b[:-1]) & (owner[1:] == owner[:-1])).any():
+        return owner, a, b
     # Owners lie so far apart that one's reach ends before the next one's first.
     far = owner * (int(b.max()) - int(a.min()) + 2)
     reach = np.maximum.accumulate(b + far)
@@ -222,69 +293,238 @@ def parsed(segmentation: str) -> tuple[np.ndarray | bytes, int, int]:
     return counts, width, height
 
 
+#: JSON as it is mostly written, which is read without a parser; what looks otherwise goes through :func:`parsed`.
+_SIZE = r'^\{"size": ?\[(0|[1-9][0-9]{0,8}), ?(0|[1-9][0-9]{0,8})\], ?"counts": ?'
+PLAIN = _SIZE + r"\[(0|[1-9][0-9]{0,17})(, ?(0|[1-9][0-9]{0,17}))*\]\}$"
+PACKED = _SIZE + r'"([0-\[\]-o]|\\\\)*"\}$'
+#: Masks that a kernel takes at once: their arrays stay in a core's cache.
+AT_ONCE = 1000
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts behind each other, where each ends) of strings without nulls."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return data, ends[1:] - ends[0]
+
+
+def _numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of at most 18 digits in ASCII text that neither begins nor ends with one, where each ends)."""
+    digit = data - np.uint8(48)
+    is_digit = digit < 10
+    edge = np.flatnonzero(is_digit[1:] != is_digit[:-1])
+    last, length = edge[1::2], edge[1::2] - edge[::2]
+    value = digit[last].astype(np.int64)
+    for k in range(1, int(length.max(initial=0))):
+        # Most numbers are short: all are taken twice, then only those that go on.
+        i = np.flatnonzero(length > k) if k > 2 else slice(None)
+        at = last[i] - k
+        value[i] += np.where(length[i] > k, digit[at], 0) * np.int64(10**k)
+    return value, last
+
+
+def _read(texts: pa.Array, width: pa.Array, height: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(counts of all, how many are each one's, widths, heights, what is wrong: a place in PROBLEMS) of many masks' JSON; null: no counts."""
+    n = len(texts)
+    size, wide, tall, wrong, torn = np.zeros(n, np.int64), np.ones(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []  # (masks, their counts in that order)
+
+    def take(at: np.ndarray, counts: np.ndarray, sizes: np.ndarray, broken: np.ndarray | None = None) -> None:
+        size[at] = sizes
+        parts.append((at, counts))
+        if broken is not None:
+            torn[at] = broken
+
+    there = texts.is_valid().to_numpy(zero_copy_only=False)
+    plain = pc.match_substring_regex(texts, PLAIN).fill_null(False).to_numpy(zero_copy_only=False)
+    packed = there & ~plain
+    if packed.any():
+        packed = pc.match_substring_regex(texts, PACKED).fill_null(False).to_numpy(zero_copy_only=False)
+    if plain.any():
+        at = np.flatnonzero(plain)
+        data, ends = _bytes(texts if plain.all() else texts.filter(pa.array(plain)))
+        value, last = _numbers(data)
+        until = np.searchsorted(last, ends)
+        first = np.append(0, until[:-1])
+        tall[at], wide[at] = value[first], value[first + 1]
+        counts = np.ones(len(value), bool)
+        counts[first] = counts[first + 1] = False
+        take(at, value[counts], until - first - 2)
+    if packed.any():
+        at = np.flatnonzero(packed)
+        data, ends = _bytes(texts if packed.all() else texts.filter(pa.array(packed)))
+        start, stop = np.flatnonzero(data == ord('"')).reshape(-1, 6)[:, 4:].T
+        turn = np.zeros(len(data), np.int8)
+        turn[start + 1] += 1
+        turn[stop] -= 1
+        inside = np.cumsum(turn, dtype=np.int8).astype(bool)
+        value, _ = _numbers(np.where(inside, np.uint8(32), data))
+        tall[at], wide[at] = value[::2], value[1::2]
+        escapes = np.flatnonzero(data == ord("\\"))[1::2]  # they stand in pairs
+        inside[escapes] = False
+        length = stop - start - 1 - np.bincount(np.searchsorted(ends, escapes, "right"), minlength=len(at))
+        take(at, *_unpacked(data[inside], length))
+    rest = np.flatnonzero(there & ~plain & ~packed)
+    strings: list[tuple[int, bytes]] = []
+    for i, text in zip(rest.tolist(), texts.take(pa.array(rest)).to_pylist(), strict=True):
+        try:
+            counts, w, h = parsed(text)
+            # Sides that no int holds are wrong, whatever the image's.
+            wide[i], tall[i] = (w, h) if 0 < w <= LONGEST and 0 < h <= LONGEST else (0, 0)
+            if isinstance(counts, bytes):
+                strings.append((i, counts))
+            else:
+                take(np.array([i]), counts, np.array([len(counts)]))
+        except (ValueError, KeyError, TypeError, OverflowError):
+            wrong[i] = 2
+    if strings:
+        take(np.array([i for i, _ in strings]), *all_counts([t for _, t in strings]))
+    given = there & (wrong < 2) & (width.is_valid().to_numpy(zero_copy_only=False) & height.is_valid().to_numpy(zero_copy_only=False))
+    sides = [c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (width, height)]
+    other = given & ((wide != sides[0]) | (tall != sides[1])) | (wide < 1) | (tall < 1)
+    wrong[other], wide[other], tall[other] = 1, 1, 1
+    wrong[torn & (wrong == 0)] = 2
+    if len(parts) == 1 and len(parts[0][0]) == n:
+        return parts[0][1], size, wide, tall, wrong
+    # In the order of the rows.
+    at, counts = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    lies = np.zeros(n, np.int64)
+    lies[at] = np.cumsum(size[at]) - size[at]
+    owner, number = expanded(size)
+    return counts[lies[owner] + number], size, wide, tall, wrong
+
+
+#: What can be wrong with a mask.
+PROBLEMS = (None, "mask size", "mask")
+
+
+def _drawn(texts: pa.Array, width: pa.Array, height: pa.Array) -> Iterator[tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Some masks' JSON after the other: ((mask, y, x0, x1) of the runs of those without a problem, widths, heights, problems)."""
+    for a in range(0, len(texts), AT_ONCE):
+        counts, sizes, w, h, wrong = _read(*(c.slice(a, AT_ONCE) for c in (texts, width, height)))
+        o, y, x0, x1, out = _decoded(counts, sizes, w, h)
+        wrong[out & (wrong == 0)] = 2
+        if wrong.any():
+            shown = wrong[o] == 0
+            o, y, x0, x1 = o[shown], y[shown], x0[shown], x1[shown]
+        yield (o, y, x0, x1), w, h, wrong
+
+
+def _added(rows: DataFrame, *types: str) -> str:
+    """The schema of ``rows``, all of it nullable, with more columns."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *types])
+
+
 def decoded(rows: DataFrame, text: str = "rle", width: str = "width", height: str = "height", runs: str = "runs", problem: str = "problem") -> DataFrame:
     """``rows`` with the ``runs`` of the JSON in the column ``text`` (null: null), and ``problem``, null or what is wrong: not a mask, counts outside it, or not the image's size."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{runs}` {RUNS}, `{problem}` string"
-    at, problem_column = rows.columns.index, problem
+    at = rows.columns.index
     columns = (at(text), at(width), at(height))
 
-    def read(rle: str | None, w: int | None, h: int | None) -> tuple[bytes | np.ndarray | None, int, int, str | None]:
-        if rle is None:
-            return None, 1, 1, None
-        try:
-            counts, rw, rh = parsed(rle)
-            wrong = (w is not None and h is not None and (rw, rh) != (w, h)) or not (0 < rw <= LONGEST and 0 < rh <= LONGEST)
-            return counts, *((1, 1, "mask size") if wrong else (rw, rh, None))
-        except (ValueError, KeyError, TypeError, OverflowError):
-            return None, 1, 1, "mask"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [read(*r) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
-            n, packed = len(found), [i for i, f in enumerate(found) if isinstance(f[0], bytes)]
-            plain = [i for i, f in enumerate(found) if isinstance(f[0], np.ndarray)]
-            counts, sizes, broken = all_counts([found[i][0] for i in packed])
-            size, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-            size[packed], bad[packed] = sizes, broken
-            size[plain] = [len(found[i][0]) for i in plain]
-            # In the order of the rows.
-            owner = np.concatenate([np.repeat(np.array(packed, int), sizes), np.repeat(np.array(plain, int), size[plain])])
-            counts = np.concatenate([counts, *(found[i][0] for i in plain)])[np.argsort(owner, kind="stable")]
-            drawn, lengths, out = decode_all(counts, size, np.array([f[1] for f in found]), np.array([f[2] for f in found]))
-            problem = [f[3] or ("mask" if b else None) for f, b in zip(found, (bad | out).tolist(), strict=True)]
-            none = np.array([r[0] is None for r in found], bool) | np.array([p is not None for p in problem], bool)
-            shown = ~np.repeat(none, lengths)
-            parts = pa.StructArray.from_arrays([pa.array(drawn[shown, i].astype(np.int32)) for i in range(3)], ["y", "x0", "x1"])
-            ends = np.append(0, np.cumsum(np.where(none, 0, lengths))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), parts, mask=pa.array(none))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(problem, pa.string())], [*batch.schema.names, runs, problem_column])
-
+            if not batch.num_rows:
+                continue
+            lengths, parts, wrong = [], [], []
+            for (o, *places), w, _, bad in _drawn(*(batch.column(c) for c in columns)):
+                lengths.append(np.bincount(o, minlength=len(w)))
+                parts.append(pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in places], ["y", "x0", "x1"]))
+                wrong.append(bad)
+            problem = pa.array(PROBLEMS, pa.string()).take(pa.array(np.concatenate(wrong)))
+            none = pc.or_(batch.column(columns[0]).is_null(), problem.is_valid())
+            ends = np.append(0, np.cumsum(np.concatenate(lengths))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(parts), mask=none)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, problem], names)
+
+    names = [*rows.columns, runs, problem]
     # With a number: a few bytes of counts can be large masks, and must not end in one task.
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n).mapInArrow(run, schema)
+    return rows.repartition(n).mapInArrow(run, _added(rows, f"`{runs}` {RUNS}", f"`{problem}` string"))
+
+
+#: What :func:`measured` adds.
+MEASURES = {"n_runs": "long", "pixels": "long", "first_y": "int", "last_y": "int", "first_x": "int", "after_x": "int"}
+
+
+def measured(rows: DataFrame, text: str = "rle", width: str = "width", height: str = "height") -> DataFrame:
+    """``rows``, those without runs left out, with the number of runs of the JSON in the column ``text``, their pixels and their sides.
+
+    A mask is decoded as by :func:`decoded`, but its runs live in the kernel only:
+    rows stay where they lie, and a task holds those of some masks at a time.
+    """
+    at = rows.columns.index
+    columns = (at(text), at(width), at(height))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, base = [], 0
+            for (o, y, x0, x1), w, _, _ in _drawn(*(batch.column(c) for c in columns)):
+                fresh = np.flatnonzero(np.diff(o, prepend=-1))
+                last = np.append(fresh[1:], len(o)) - 1
+                sums = [f.reduceat(x, fresh) if len(o) else x for f, x in ((np.add, x1 - x0), (np.minimum, x0), (np.maximum, x1))]
+                found.append([o[fresh] + base, last - fresh + 1, sums[0], y[fresh], y[last], *sums[1:]] if len(o) else [o] * 7)
+                base += len(w)
+            if found:
+                some, *made = (np.concatenate(x) for x in zip(*found, strict=True))
+                made = [pa.array(x).cast(pa.int64() if t == "long" else pa.int32()) for x, t in zip(made, MEASURES.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(some)).columns, *made], [*batch.schema.names, *MEASURES])
+
+    return rows.mapInArrow(run, _added(rows, *(f"{c} {t}" for c, t in MEASURES.items())))
+
+
+def _json(counts: np.ndarray, sizes: np.ndarray, width: np.ndarray, height: np.ndarray, compressed: bool) -> list[str]:
+    """The JSON of many masks' counts, as ``json.dumps`` writes it."""
+    sides = zip(height.tolist(), width.tolist(), strict=True)
+    if not compressed:
+        cut = np.split(counts, np.cumsum(sizes)[:-1])
+        return [json.dumps({"size": [h, w], "counts": c.tolist()}) for (h, w), c in zip(sides, cut, strict=True)]
+    texts = all_texts(counts, sizes)
+    # Of the characters of counts JSON escapes the backslash only.
+    return [f'{{"size": [{h}, {w}], "counts": "{c if escape not in c else c.replace(escape, escape * 2)}"}}' for (h, w), c, escape in zip(sides, texts, repeat("\\"))]
 
 
 def encoded(rows: DataFrame, compressed: bool = True, runs: str = "runs", width: str = "width", height: str = "height", text: str = "rle") -> DataFrame:
     """``rows`` with the JSON of their ``runs`` in the column ``text`` (null: null)."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{text}` string"
     at = rows.columns.index
     columns = (at(runs), at(width), at(height))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(columns[0])
-            flat = np.column_stack([np.asarray(lists.flatten().field(c)) for c in ("y", "x0", "x1")])
-            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
-            there = lists.is_valid().to_pylist()
-            if any(ok and None in side for ok, *side in zip(there, *(batch.column(c).to_pylist() for c in columns[1:]), strict=True)):
+            lists, *given = (batch.column(c) for c in columns)
+            if pc.any(pc.and_(lists.is_valid(), pc.or_(*(c.is_null() for c in given)))).as_py():
                 raise ValueError("a mask needs the sides of its image")
-            sides = [batch.column(c).fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[1:]]
-            counts, sizes = encode_all(flat, np.diff(ends, prepend=0), *sides)
-            cut = all_texts(counts, sizes) if compressed else np.split(counts, np.cumsum(sizes)[:-1])
-            texts = [json.dumps({"size": [h, w], "counts": c if compressed else c.tolist()}) if ok else None for ok, c, w, h in zip(there, cut, *(x.tolist() for x in sides), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            sides = [c.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64) for c in given]
+            flat = lists.flatten()
+            places = [np.asarray(flat.field(c)).astype(np.int64) for c in ("y", "x0", "x1")]
+            ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0))))
+            texts = []
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part, (w, h) = ends[a : a + AT_ONCE + 1], (x[a : a + AT_ONCE] for x in sides)
+                owner = np.repeat(np.arange(len(w)), np.diff(part))
+                texts += _json(*_encoded(owner, *(x[part[0] : part[-1]] for x in places), w, h), w, h, compressed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], [*batch.schema.names, text])
+
+    return rows.mapInArrow(run, _added(rows, f"`{text}` string"))
+
+
+def recoded(rows: DataFrame, compressed: bool = True, text: str = "rle", width: str = "width", height: str = "height") -> DataFrame:
+    """``rows`` with the masks of the JSON in the column ``text`` written anew, compressed or plain, by way of their runs; null where it is null or has a problem.
+
+    What :func:`encoded` makes of :func:`decoded`, but runs live in the kernel only, and rows stay where they lie.
+    """
+    at = rows.columns.index
+    columns = (at(text), at(width), at(height))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, texts, wrong = batch.column(columns[0]), [], []
+            for (o, *places), w, h, bad in _drawn(old, *(batch.column(c) for c in columns[1:])):
+                texts += _json(*_encoded(o, *places, w, h), w, h, compressed)
+                wrong.append(bad > 0)
+            none = old.is_null().to_numpy(zero_copy_only=False) | (np.concatenate(wrong) if wrong else False)
+            yield batch.set_column(columns[0], text, pa.array(texts, pa.string(), mask=none))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, _added(rows))
 
 
 def of_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
@@ -297,6 +537,14 @@ def of_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height
     return F.concat(body, rest)
 
 
+def text_of_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """JSON of :func:`of_box`: its columns but the first are one piece of text, repeated."""
+    tall, number = (y2 - y1).cast("long"), lambda c: c.cast("long").cast("string")
+    piece = F.concat(F.lit(","), number(height.cast("long") - tall), F.lit(","), number(tall))
+    ends = number(x1 * height + y1), number((width - x2) * height + (height - y2))
+    return F.concat(F.lit('{"size":['), number(height), F.lit(","), number(width), F.lit('],"counts":['), ends[0], F.lit(","), number(tall), F.repeat(piece, (x2 - x1).cast("int") - 1), F.lit(","), ends[1], F.lit("]}"))
+
+
 def exploded(rows: DataFrame, *keep: str, runs: str = "runs") -> DataFrame:
     """A row (``keep``, y, x0, x1) for each run."""
     return rows.select(*keep, F.inline(runs))
