@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import box, box_area, intersection
-from lumenframe.operators.grouped import in_order, linked, lone, per_batch
+from lumenframe.operators.grouped import ROW, in_order, linked, lone, per_batch
 from lumenframe.operators.polygons import AT_ONCE, expanded
 
 #: Cost of a pair that may not be matched: any number of valid pairs outweighs it.
@@ -153,23 +153,28 @@ def greedy_matching(pairs: DataFrame, by: tuple[str, ...] = ("model", "image_id"
     return per_batch(pairs, by, ("pred_idx", "ann_idx"), ("ann_idx", "pred_idx", "score", similarity), many, {"ann_idx": "int", "pred_idx": "int"})
 
 
-def greedy_hits(pairs: DataFrame, thresholds: Sequence[float], by: tuple[str, ...] = ("model", "image_id", "class_id"), smaller_is_better: bool = False, similarity: str = "iou") -> DataFrame:
-    """(by, pred_idx, hits): the bit of every threshold at which :func:`greedy_matching`, anew among the pairs valid there, gives a prediction a truth; predictions without one have no row."""
+def greedy_hits(predictions: DataFrame, pairs: DataFrame, thresholds: Sequence[float], by: tuple[str, ...] = ("model", "image_id", "class_id"), smaller_is_better: bool = False, similarity: str = "iou") -> DataFrame:
+    """(by, pred_idx, score, hits) of all ``predictions``: the bit of every threshold at which :func:`greedy_matching`, anew among the ``pairs`` valid there, gives one a truth.
+
+    Predictions meet their pairs where both lie, so what has been matched need not travel to those without a truth.
+    """
 
     def many(x: dict[str, np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        order = by_score(x, owner, similarity, smaller_is_better)
-        group, truth, pred, near = owner[order], x["ann_idx"][order], x["pred_idx"][order], x[similarity][order]
-        bits = np.zeros(len(order), np.int64)
+        fresh = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (x["pred_idx"][1:] != x["pred_idx"][:-1])))
+        paired = np.flatnonzero(~np.isnan(x[similarity]))
+        pair = {c: v[paired] for c, v in x.items()}
+        order = by_score(pair, owner[paired], similarity, smaller_is_better)
+        group, truth, pred, near = owner[paired][order], pair["ann_idx"][order].astype(np.int64), pair["pred_idx"][order], pair[similarity][order]
+        bits = np.zeros(len(owner), np.int64)
         for i, t in enumerate(thresholds):
             valid = np.flatnonzero(near <= t if smaller_is_better else near >= t)
-            bits[valid[in_order(group[valid], truth[valid], pred[valid])]] |= 1 << i
-        found = np.flatnonzero(bits)
-        found = found[np.lexsort((pred[found], group[found]))]
-        fresh = np.flatnonzero((np.diff(group[found], prepend=-1) != 0) | (np.diff(pred[found], prepend=pred.min() - 1) != 0))
+            bits[paired[order[valid[in_order(group[valid], truth[valid], pred[valid])]]]] |= 1 << i
         # At different thresholds a prediction may take different truths, but at each only one.
-        return group[found[fresh]], {"pred_idx": pred[found[fresh]], "hits": np.add.reduceat(bits[found], fresh) if len(fresh) else bits[:0]}
+        return owner[fresh], {ROW: fresh, "pred_idx": x["pred_idx"][fresh], "hits": np.add.reduceat(bits, fresh)}
 
-    return per_batch(pairs, by, ("pred_idx", "ann_idx"), ("ann_idx", "pred_idx", "score", similarity), many, {"pred_idx": "int", "hits": "long"})
+    ends = [*by, "pred_idx"]
+    both = predictions.select(*ends, "score").join(pairs.select(*ends, "ann_idx", similarity), ends, "left")
+    return per_batch(both, by, ("pred_idx", "ann_idx"), ("ann_idx", "pred_idx", "score", similarity), many, {"pred_idx": "int", "hits": "long"}, ["score"])
 
 
 def nearest_matching(pairs: DataFrame, most: float = 50.0, by: tuple[str, ...] = ("model", "image_id")) -> DataFrame:

@@ -73,9 +73,7 @@ def point_candidates(annotations: DataFrame, predictions: DataFrame, most: float
 
 def hits_at(pairs: DataFrame, predictions: DataFrame, thresholds: Sequence[float] = IOU_GRID, similarity: str = "iou", smaller_is_better: bool = False) -> DataFrame:
     """(model, class_id, image_id, pred_idx, score, hits): a row a prediction, with the bit of every threshold at which it has a truth, matched greedily anew at each among ``pairs``."""
-    found = greedy_hits(pairs, thresholds, ("model", "image_id", "class_id"), smaller_is_better, similarity)
-    rows = predictions.select("model", "class_id", "image_id", "pred_idx", "score")
-    return rows.join(found, ["model", "image_id", "class_id", "pred_idx"], "left").select("model", "class_id", "image_id", "pred_idx", "score", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return greedy_hits(predictions, pairs, thresholds, ("model", "image_id", "class_id"), smaller_is_better, similarity).select("model", "class_id", "image_id", "pred_idx", "score", "hits")
 
 
 def _bit(i: int) -> Column:
@@ -130,10 +128,19 @@ def _ranked(hits: DataFrame, annotations: DataFrame, thresholds: Sequence[float]
 
 
 def pr_curve_at(hits: DataFrame, annotations: DataFrame, thresholds: Sequence[float] = IOU_GRID) -> DataFrame:
-    """:func:`pr_curve` at every threshold, from :func:`hits_at`; a row a threshold is only made at the end."""
-    each = F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"ctp{i}").alias("ctp")) for i, t in enumerate(thresholds)]))
-    rows = _ranked(hits, annotations, thresholds).select("model", "class_id", "k", "score", "n_gt", each)
-    return rows.select("model", "class_id", "threshold", "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"))
+    """:func:`pr_curve` at every threshold, from :func:`hits_at`; a row a threshold is only made at the end.
+
+    Hits and the truth of each class are stored at once, as both need what is known of an image's truths.
+    """
+    keys, order, names = ["model", "class_id"], _order(), [f"ctp{i}" for i in range(len(thresholds))]
+    both, path = stored(hits.unionByName(_truth(annotations), allowMissingColumns=True), "unranged")
+    truth = stored(both.where("n_gt IS NOT NULL").select("class_id", "n_gt"), "truth")[0]
+    sums = {name: ("hits", i) for i, name in enumerate(names)}
+    flags = both.where("n_gt IS NULL").select(*keys, *(c for c, _ in ORDER), "hits")
+    run = scan.running(scan.ranged(flags, keys, order, sums, ["score"], path), keys, order, sums).join(F.broadcast(truth), "class_id")
+    each = F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(name).alias("ctp")) for t, name in zip(thresholds, names, strict=True)]))
+    rows = run.select(*keys, "k", "score", "n_gt", each)
+    return rows.select(*keys, "threshold", "k", "score", "ctp", ratio0(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio0(F.col("ctp"), F.col("k")).alias("precision"))
 
 
 LEVELS = 101

@@ -23,29 +23,39 @@ PART = "__part"
 PLACE = "__place"
 
 
-def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str | tuple[str, int]] | None = None, keep: Sequence[str] = (), path: str | None = None) -> DataFrame:
     """``rows``, dealt and stored by ranges of keys and order, with the number of each row's range. ``order`` must leave no ties within a key.
 
-    With ``sums`` (name to a column of whole numbers) a task that has its range in order
-    also writes what :func:`running` needs of it, which then neither shuffles nor sorts;
-    of the other columns only keys and those to ``keep`` are stored then.
+    With ``sums`` (name to a column of whole numbers, or to one and the bit to count) a task that
+    has its range in order also writes what :func:`running` needs of it, which then neither shuffles
+    nor sorts; of the other columns only keys, those to ``keep`` and those summed whole are stored then.
+    ``path``: where ``rows`` are stored already.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Dealing by ranges reads rows twice, the first time for a sample.
-    plain, path = stored(rows, "unranged")
+    plain, path = (rows, path) if path else stored(rows, "unranged")
     dealt = plain.repartitionByRange(n, *keys, *order)
     if sums:
-        dealt = _summed(dealt.sortWithinPartitions(*keys, *order).select(*keys, *dict.fromkeys([*keep, *sums.values()])), keys, sums)
-    out = stored(dealt.withColumn(PART, F.spark_partition_id()), "ranged")[0]
+        whole = [c for c in sums.values() if isinstance(c, str)]
+        used = dict.fromkeys([*keep, *(c if isinstance(c, str) else c[0] for c in sums.values())])
+        dealt = _summed(dealt.sortWithinPartitions(*keys, *order).select(*keys, *used), keys, sums).drop(*(c for c in used if c not in {*keep, *whole}))
+    # Sums never fall: stored as steps they are a few bits each.
+    out = stored(dealt.withColumn(PART, F.spark_partition_id()), "ranged", steps=bool(sums))[0]
     deleted(spark, path)
     return out
 
 
-def _summed(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+def _summed(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, str | tuple[str, int]]) -> DataFrame:
     """Sorted ``rows`` with their place within key and task, from 1, and their running sums up to there."""
     names = {PLACE: None, **{f"__{name}": c for name, c in sums.items()}}
 
+    def values(batch: pa.RecordBatch, c: str | tuple[str, int] | None) -> np.ndarray:
+        if c is None:
+            return np.ones(batch.num_rows, np.int64)
+        x = pc.fill_null(batch.column(c if isinstance(c, str) else c[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return x if isinstance(c, str) else x >> c[1] & 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, carry = None, dict.fromkeys(names, 0)
         for batch in batches:
@@ -61,7 +71,7 @@ def _summed(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, str]) -> Da
             starts = np.flatnonzero(new)
             group, made = np.cumsum(new), []
             for name, c in names.items():
-                x = np.ones(batch.num_rows, np.int64) if c is None else pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                x = values(batch, c)
                 total = np.cumsum(x)
                 made.append(total - np.append(-carry[name], total[starts] - x[starts])[group])
                 carry[name] = int(made[-1][-1])
@@ -76,7 +86,7 @@ def _carried(totals: DataFrame, keys: Sequence[str], columns: Mapping[str, Colum
     return totals.select(*keys, PART, *(c.over(order).alias(name) for name, c in columns.items()))
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str], number: str = "k") -> DataFrame:
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str | tuple[str, int]], number: str = "k") -> DataFrame:
     """``rows`` of :func:`ranged` with their 1-based ``number`` within the key and the running ``sums`` (name to column)."""
     keys = list(keys)
     if PLACE in rows.columns:

@@ -44,11 +44,12 @@ def dealt(df: DataFrame, key: str, beside: DataFrame | None = None) -> DataFrame
     return df.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written as a Parquet table and read again, and where it is: a lost executor costs its tasks only."""
+def stored(df: DataFrame, name: str, steps: bool = False) -> tuple[DataFrame, str]:
+    """``df`` written as a Parquet table and read again, and where it is: a lost executor costs its tasks only. ``steps``: whole numbers as differences from row to row."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"} if steps else {}
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
