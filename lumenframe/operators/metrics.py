@@ -130,10 +130,13 @@ def _ranked(hits: DataFrame, annotations: DataFrame, thresholds: Sequence[float]
 def pr_curve_at(hits: DataFrame, annotations: DataFrame, thresholds: Sequence[float] = IOU_GRID) -> DataFrame:
     """:func:`pr_curve` at every threshold, from :func:`hits_at`; a row a threshold is only made at the end.
 
-    Hits and the truth of each class are stored at once, as both need what is known of an image's truths.
+    Hits and the truth of each class are stored at once. Hits need annotations that
+    have an image; counted apart from the others, truths read the same shuffle.
     """
     keys, order, names = ["model", "class_id"], _order(), [f"ctp{i}" for i in range(len(thresholds))]
-    both, path = stored(hits.unionByName(_truth(annotations), allowMissingColumns=True), "unranged")
+    lost = F.col("image_id").isNull()
+    truth = _truth(annotations.where(~lost).unionByName(annotations.where(lost)))
+    both, path = stored(hits.unionByName(truth, allowMissingColumns=True), "unranged")
     truth = stored(both.where("n_gt IS NOT NULL").select("class_id", "n_gt"), "truth")[0]
     sums = {name: ("hits", i) for i, name in enumerate(names)}
     flags = both.where("n_gt IS NULL").select(*keys, *(c for c, _ in ORDER), "hits")

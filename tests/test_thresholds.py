@@ -24,7 +24,7 @@ def windows(df) -> int:
 def test_curve_at_thresholds_sorts_no_row_twice(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), rng.choice([0] * 20 + [1, 2, 7]), i, 0, rng.randrange(30) / 8, rng.randrange(8)) for i in range(2500)]
-    truth = [(i, 0, c) for c, n in ((0, 900), (1, 40), (2, 30), (3, 5)) for i in range(n)]  # none of class 7
+    truth = [(i or None, 0, c) for c, n in ((0, 900), (1, 40), (2, 30), (3, 5)) for i in range(n)]  # none of class 7; one of each has no image
     hits = spark.createDataFrame(rows, "model string, class_id int, image_id long, pred_idx int, score double, hits long")
     curve = metrics.pr_curve_at(hits, spark.createDataFrame(truth, "image_id long, ann_idx int, class_id int"), (0.5, 0.6, 0.9))
     assert windows(curve) == 1  # of the ranges' totals
@@ -79,3 +79,20 @@ def test_sums_are_stored_as_steps(spark):
         rows += meta.num_rows
         size += sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns) if meta.row_group(g).column(c).path_in_schema.startswith("__c"))
     assert rows == 20000 and size < 3 * rows  # of 24 bytes a row
+
+
+def test_truths_read_the_shuffle_that_hits_read(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(metrics, "stored", lambda df, name: kept.append((name, df)) or shared.stored(df, name))
+    a, p = (table(spark, SMALL, n) for n in ("annotations", "predictions"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        metrics.pr_curve_at(metrics.hits_at(metrics.candidates(a, p), p), a)
+        found = dict(kept)["unranged"]
+        found.collect()
+        out = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = [line for line in out.splitlines() if "Exchange hashpartitioning(l_orderkey" in line]
+    assert len(lines) > 1 and sum("ReusedExchange" not in line for line in lines) == 1
